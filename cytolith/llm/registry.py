@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import packing, simhash
+from cytolith.llm import packing, pii, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_pii": pii.query,
     "op7_best_two_fit_packing": packing.query,
     "op8_simhash_near_dedup": simhash.query,
 }
