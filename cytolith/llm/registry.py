@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, packing, pii, simhash
+from cytolith.llm import decontamination, packing, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": decontamination.query,
     "op5_pii": pii.query,
+    "op6_quality": quality.query,
     "op7_best_two_fit_packing": packing.query,
     "op8_simhash_near_dedup": simhash.query,
 }
