@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, packing, permutation_index, pii, quality, simhash
+from cytolith.llm import decontamination, html_text, packing, permutation_index, pii, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_html_text": html_text.query,
     "op10_permutation_index": permutation_index.query,
     "op2_decontamination": decontamination.query,
     "op5_pii": pii.query,
