@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, html_text, packing, permutation_index, pii, quality, simhash
+from cytolith.llm import decontamination, html_text, packing, permutation_index, pii, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.query,
     "op10_permutation_index": permutation_index.query,
     "op2_decontamination": decontamination.query,
+    "op4_token_counts": token_counts.query,
     "op5_pii": pii.query,
     "op6_quality": quality.query,
     "op7_best_two_fit_packing": packing.query,
