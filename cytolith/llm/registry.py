@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, html_text, packing, permutation_index, pii, quality, simhash, token_counts
+from cytolith.llm import decontamination, html_text, licenses, packing, permutation_index, pii, quality, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.query,
+    "op1_licenses": licenses.query,
     "op10_permutation_index": permutation_index.query,
     "op2_decontamination": decontamination.query,
     "op4_token_counts": token_counts.query,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}
