@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, html_text, licenses, packing, permutation_index, pii, quality, simhash, token_counts
+from cytolith.llm import decontamination, html_text, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.query,
     "op1_licenses": licenses.query,
     "op10_permutation_index": permutation_index.query,
     "op2_decontamination": decontamination.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_token_counts": token_counts.query,
     "op5_pii": pii.query,
     "op6_quality": quality.query,
