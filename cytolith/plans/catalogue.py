@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from cytolith.plans import cell_queries, site_queries
+from cytolith.plans.fixtures import Fixtures, with_views
+
+
+def _bound(query: Callable[[Fixtures], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: query(Fixtures(spark, sf_dir))
+
+
+QUERIES = {name: _bound(query) for name, query in (site_queries.QUERIES | cell_queries.QUERIES).items()}
+ORACLES = {name: with_views(sql) for name, sql in (site_queries.ORACLES | cell_queries.ORACLES).items()}
