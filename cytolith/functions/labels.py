@@ -43,7 +43,7 @@ def is_primary(chrom: Column, mitochondrial: bool = False) -> Column:
 
 def number_or_na(value: Column, digits: int = 8) -> Column:
     """Fixed digits, ``NA`` for null."""
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("NA"))
+    return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def parse_region(name: Column) -> list[Column]:
