@@ -49,8 +49,10 @@ def _pivots(rows: DataFrame, n: int):
     drawn = [r[0] for r in kept.groupBy("vector").count().orderBy(F.xxhash64("vector", F.lit(5))).limit(count).select("vector").collect()]
     sizes = [len(x) for x in drawn]
     size = max(sorted(set(sizes)), key=sizes.count) if sizes else 0
-    found = np.array([x for x in drawn if len(x) == size], dtype=np.float64).reshape(-1, size)
-    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300) if size else found
+    if not size:
+        return np.zeros((0, 0))
+    found = np.array([x for x in drawn if len(x) == size], dtype=np.float64)
+    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
 
 def _listed(rows: DataFrame, pivots) -> DataFrame:
