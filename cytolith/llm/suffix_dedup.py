@@ -10,6 +10,9 @@ document has bytes, so the collection is dealt out first, such that equal string
    smallest doc_id only, so a passage of a third of all documents is a record per task.
 2. In a bucket, equal segments are settled by their smallest doc_id. Segments that share
    an anchor and 13 more bytes on one side, but not all, are asked for.
+   Anchors with very many different segments, such as lines that stand in a large share of
+   all documents, would fill one bucket; their strings are sent one by one instead, each
+   to the bucket of its own hash, where equal ones again are a record per task.
 3. Their texts, of at most 76 bytes, go to the bucket of their anchor as small documents.
    There the suffix order is built column by column: each round inserts one symbol of
    every document, updating the Burrows-Wheeler transform and the common prefixes of the
@@ -31,9 +34,12 @@ SPAN, GRAM = 50, 24
 WINDOW = SPAN - GRAM + 1
 SIDE = (SPAN - GRAM) // 2
 #: Bytes of text per bucket of anchors, per chunk of documents, and per step inside a task.
-BUCKET_BYTES, CHUNK_BYTES, STEP_BYTES = 12 << 20, 8 << 20, 2 << 20
+BUCKET_BYTES, CHUNK_BYTES, STEP_BYTES = 12 << 20, 8 << 20, 4 << 20
 #: Texts that are put in order together, about.
 GROUP = 20_000
+#: Documents that very common anchors are looked for in: their number and share, at least. They only
+#: choose the way of a string, not its result. An anchor is common from so many segments in all documents.
+SEEN_DOCS, SEEN_SHARE, COMMON_SEGMENTS, MOST_COMMON = 5_000, 0.0005, 50_000, 100_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -164,38 +170,67 @@ def _texts_of(batch):
     return data, offsets
 
 
-def _send_segments(buckets: int, chunks: int):
+def _read_segments(batch, step_bytes: int, common) -> dict:
+    """Records of all segments of a batch (doc_id, tag, text); segments of common anchors as single strings."""
+    import numpy as np
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    data, offsets = _texts_of(batch.column(2))
+    parts: list[dict] = []
+    row = 0
+    while row < len(docs):
+        # a step of whole texts, or pieces of one that is longer than a step
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + step_bytes, side="right")) - 1)
+        base, stop, alone = int(offsets[row]), int(offsets[last]), last == row + 1
+        for begin in range(base, stop, step_bytes) if alone else [base]:
+            end = min(stop, begin + step_bytes + SPAN - 1) if alone else stop
+            starts, ends = (np.array([0]), np.array([end - begin])) if alone else (offsets[row:last] - begin, offsets[row + 1 : last + 1] - begin)
+            first, count, _, key, left, right = segments(data[begin:end], starts, ends)
+            text = data[begin:end].tobytes()
+            single = np.isin(key, common)
+            if single.any():
+                each = np.repeat(first[single], count[single]) + np.concatenate([np.arange(n) for n in count[single].tolist()])
+                names = np.array([digest(text[a : a + SPAN], 1) for a in each.tolist()], np.uint64)
+                none = np.zeros(len(each), np.uint16)
+                first, count, key = np.concatenate([first[~single], each]), np.concatenate([count[~single], none + 1]), np.concatenate([key[~single], names])
+                left, right = np.concatenate([left[~single], none]), np.concatenate([right[~single], none])
+            sums = np.array([digest(text[a:b]) for a, b in zip(first.tolist(), (first + count + SPAN - 1).tolist(), strict=True)], np.uint64)
+            owner = row + np.searchsorted(starts, first, side="right") - 1
+            parts.append({"hash": key, "left": left, "right": right, "digest": sums, "doc": docs[owner], "tag": tags[owner], "at": first + begin - offsets[owner], "count": count})
+        row = last
+    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+
+
+def _common_anchors(texts: DataFrame, rows: int, step_bytes: int):
+    """Anchors with very many different segments, counted in documents drawn by a hash; their number is bounded."""
+    import numpy as np
+
+    share = min(1.0, max(SEEN_DOCS / max(rows, 1), SEEN_SHARE))
+    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * share))
+
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = _read_segments(batch, step_bytes, np.array([], np.uint64))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(found[c].view(np.int64)) for c in ("hash", "digest")], ["anchor", "form"])
+
+    seen = drawn.mapInArrow(work, "anchor long, form long").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    kept = seen.where(F.col("n") >= max(2, share * COMMON_SEGMENTS)).orderBy(F.desc("n"), "anchor").limit(MOST_COMMON)
+    return np.array([r.anchor for r in kept.collect()], np.int64).view(np.uint64)
+
+
+def _send_segments(buckets: int, chunks: int, step_bytes: int, shared):
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
-        import xxhash
 
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            data, offsets = _texts_of(batch.column(2))
-            parts: list[dict] = []
-            row = 0
-            while row < len(docs):
-                # a step of whole texts, or of pieces of one that is longer than a step
-                last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + STEP_BYTES, side="right")) - 1)
-                base, stop = int(offsets[row]), int(offsets[last])
-                for begin in range(base, stop, STEP_BYTES * 4) if last == row + 1 else [base]:
-                    end = min(stop, begin + STEP_BYTES * 4 + SPAN - 1) if last == row + 1 else stop
-                    view = data[begin:end]
-                    if last == row + 1:
-                        starts, ends = np.array([0]), np.array([end - begin])
-                    else:
-                        starts, ends = offsets[row:last] - begin, offsets[row + 1 : last + 1] - begin
-                    first, count, _, key, left, right = segments(view, starts, ends)
-                    owner = row + np.searchsorted(starts, first, side="right") - 1
-                    text = view.tobytes()
-                    sums = [digest(text[a:b]) for a, b in zip(first.tolist(), (first + count + SPAN - 1).tolist(), strict=True)]
-                    sums = np.array(sums, np.uint64)
-                    at = first + begin - offsets[owner]
-                    parts.append({"hash": key, "left": left, "right": right, "digest": sums, "doc": docs[owner], "tag": tags[owner], "at": at, "count": count})
-                row = last
-            found = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
+            found = _read_segments(batch, step_bytes, shared.value)
             if not found or not len(found["hash"]):
                 continue
             # of equal segments in this batch only those of the smallest document are sent; the rest are settled
@@ -415,8 +450,8 @@ def repeated_strings(texts: list[bytes], docs):
     return masks
 
 
-def _order_texts(chunks: int):
-    """Marks of the repeated strings of a bucket's texts, whole anchors at a time, about GROUP texts."""
+def _order_texts(chunks: int, group: int):
+    """Marks of the repeated strings of a bucket's texts, whole anchors at a time, about ``group`` texts."""
 
     def work(frame):
         import numpy as np
@@ -428,7 +463,7 @@ def _order_texts(chunks: int):
         masks = np.zeros(len(keys), np.uint32)
         start = 0
         while start < len(keys):
-            end = int(np.searchsorted(keys, keys[min(start + GROUP, len(keys)) - 1], side="right"))
+            end = int(np.searchsorted(keys, keys[min(start + group, len(keys)) - 1], side="right"))
             masks[start:end] = repeated_strings(texts[start:end], docs[start:end])
             start = end
         hit = masks > 0
@@ -502,16 +537,18 @@ def remove_repeats(docs: DataFrame, with_texts: bool = True) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t")).select(
         "doc_id", (F.xxhash64("t").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), F.encode("t", "UTF-8").alias("text")
     )
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    total, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
     buckets, chunks = max(48, total // BUCKET_BYTES) | 1, max(48, total // CHUNK_BYTES) | 1
     named = texts.where("doc_id is not null")
-    sent = named.where(F.octet_length("text") >= SPAN).mapInArrow(_send_segments(buckets, chunks), "bucket int, chunk int, blob binary")
+    long = named.where(F.octet_length("text") >= SPAN)
+    shared = docs.sparkSession.sparkContext.broadcast(_common_anchors(long, rows, STEP_BYTES))
+    sent = long.mapInArrow(_send_segments(buckets, chunks, STEP_BYTES, shared), "bucket int, chunk int, blob binary")
     settled = checkpointed(sent.groupBy("bucket").applyInPandas(_settle(chunks), "chunk int, kind int, blob binary"))
 
     dealt = named.withColumn("chunk", _chunk(chunks))
     wanted = settled.where("kind = 1").select("chunk", "blob")
     contexts = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_send_texts(buckets), CONTEXT_SCHEMA)
-    ordered = contexts.groupBy("bucket").applyInPandas(_order_texts(chunks), "chunk int, blob binary")
+    ordered = contexts.groupBy("bucket").applyInPandas(_order_texts(chunks, GROUP), "chunk int, blob binary")
     marks = settled.where("kind = 0").select("chunk", "blob").unionByName(ordered)
     found = dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_cut(with_texts), RESULT)
     lone = texts.where("doc_id is null").select(

@@ -107,9 +107,11 @@ def repeating_texts(seed):
     return [*out, None, "", "a" * 300, "a" * 49, "ab" * 200, out[0], out[0], "x" + out[1]]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup_equals_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "step", "common"), [(1, 4 << 20, 50_000), (2, 64, 50_000), (3, 4 << 20, 3)])
+def test_suffix_dedup_equals_brute_force(spark, seed, step, common, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 50)
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", step)
+    monkeypatch.setattr(suffix_dedup, "COMMON_SEGMENTS", common)
     texts = repeating_texts(seed)
     docs = list(enumerate(texts, 1))
     docs += [docs[3], docs[20]]  # repeated rows
