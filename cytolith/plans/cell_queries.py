@@ -169,11 +169,13 @@ def _metrics(v: Fixtures) -> DataFrame:
 
 
 def _before_after(v: Fixtures) -> DataFrame:
-    """Mean depth per sample over all cells, and over the cells that stay."""
-    typed = _levels(v).select("sample", "cell_no", "total_coverage", "n_sites")
-    measured = [F.avg("total_coverage").alias("depth"), F.avg("n_sites").alias("sites")]
-    after = typed.where("cell_no % 7 <> 0").groupBy("sample").agg(*measured).withColumn("stage", F.lit("after"))
-    both = typed.groupBy("sample").agg(*measured).withColumn("stage", F.lit("before")).unionByName(after)
+    """Mean depth and sites per sample over all sites, and over those with more than one read."""
+
+    def measured(stage: str, rows: DataFrame) -> DataFrame:
+        means = [F.avg("total_coverage").alias("depth"), F.avg("n_sites").alias("sites")]
+        return sites.cell_levels(rows).groupBy("sample").agg(*means).withColumn("stage", F.lit(stage))
+
+    both = measured("before", v.sites).unionByName(measured("after", v.sites.where("mc + uc > 1")))
     return _rounded(annotation.before_after(both, ["sample"], "stage", ["depth", "sites"]), "depth_delta", "sites_delta")
 
 
@@ -317,8 +319,8 @@ c as (select lv.sample, lv.qc, {QC_COLUMNS} from lv left join q on lv.qc = q.qc
     "depth_by_type": f"with {LEVELS} select concat('T', cell_no % 4) as cell_type, {quantile_sql('total_coverage')} from levels group by 1",
     "depth_by_status": f"with {LEVELS}, {STATUS} select status, {quantile_sql('n_sites')} from levels join st using (cell_no) group by 1",
     "metric_quantiles": f"with {LEVELS} select sample, {quantile_sql('overall_level').replace('min(overall_level) as low, max(overall_level) as high', 'round(min(overall_level), 6) as low, round(max(overall_level), 6) as high')} from levels group by 1",
-    "before_after_delta": f"""with {LEVELS} select sample, round(avg(total_coverage) filter (cell_no % 7 <> 0) - avg(total_coverage), 6) as depth_delta,
-round(avg(n_sites) filter (cell_no % 7 <> 0) - avg(n_sites), 6) as sites_delta from levels group by sample""",
+    "before_after_delta": """with c as (select sample, cell_no, sum(mc + uc) as d, count(*) as n, sum(mc + uc) filter (mc + uc > 1) as d2, count(*) filter (mc + uc > 1) as n2 from fx_sites group by all)
+select sample, round(avg(d2) - avg(d), 6) as depth_delta, round(avg(case when n2 > 0 then n2 end) - avg(n), 6) as sites_delta from c group by sample""",
     "target_codes": f"""with {METADATA}, k as (select distinct label from a where lower(trim(label)) not in ('', 'unknown', 'unannotated', 'nan')), c as (select label, row_number() over (order by label) - 1 as code from k)
 select cell_no, coalesce(code, -1) as code from a left join c using (label)""",
     "zscore": f"with {VALUES}, {MOMENTS} select sample, cell_no, region, round(value, 6) as value, cell_type, round(z, 6) as z from z",
