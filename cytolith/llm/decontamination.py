@@ -115,3 +115,21 @@ def query(spark, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+
+
+def oracle() -> str:
+    """The same overlaps in SQL, by comparing every item with every document on every diagonal."""
+    split = f"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{SEPARATORS}'), lambda w: w <> '')"
+    return f"""
+with docs as (select distinct doc_id, {split} as w from documents where doc_id is not null),
+items as (select distinct item_id, {split} as w, len({split}) as n from benchmark where item_id is not null and len({split}) >= {LEAST_WORDS}),
+d as (select doc_id, unnest(w) as word, unnest(range(len(w))) as p from docs),
+i as (select item_id, unnest(w) as word, unnest(range(len(w))) as q, n, least(n, greatest({WINDOW_WORDS}, cast(ceil(n / 2.0) as bigint))) as size from items),
+equal as (select distinct doc_id, item_id, p - q as diagonal, q, n, size from d join i using (word)),
+near as (select doc_id, item_id, diagonal, n, size from equal group by all having count(*) >= ceil({SIMILARITY} * size - 1e-9)),
+starts as (select *, unnest(range(n - size + 1)) as a from near),
+counted as (select s.doc_id, s.item_id, s.diagonal + a as start, size, count(*) as n_equal from starts s join equal e using (doc_id, item_id, diagonal, size)
+  where e.q >= a and e.q < a + size group by all),
+best as (select * from counted where n_equal >= ceil({SIMILARITY} * size - 1e-9) qualify row_number() over (partition by doc_id, item_id order by n_equal desc, start) = 1)
+select doc_id, item_id, start, n_equal, size as n_compared, round(cast(n_equal as double) / size, 6) as similarity from best
+"""

@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.query,
 }
 
-ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}
+#: The others read models, tokens or hashes that SQL lacks; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
+    "op2_decontamination": decontamination.oracle(),
+    "op3_suffix_dedup": suffix_dedup.oracle(),
+}

@@ -569,3 +569,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     found = remove_repeats(read_table(spark, sf_dir, "documents"), with_texts=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def oracle() -> str:
+    """The same removal in SQL, from all strings of SPAN bytes, as hexadecimal digits."""
+    return f"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+s as (select doc_id, place, substr(h, 2 * place + 1, {2 * SPAN}) as string from (select doc_id, h, unnest(range(length(h) // 2 - {SPAN - 1})) as place from t)),
+first as (select string, min(doc_id) as least from s group by string),
+gone as (select s.doc_id, place from s join first using (string) where doc_id > least),
+bytes as (select doc_id, p, substr(h, 2 * p + 1, 2) as byte from (select doc_id, h, unnest(range(length(h) // 2)) as p from t)),
+marked as (select b.doc_id, b.p, byte, coalesce(max(g.place) over (partition by b.doc_id order by b.p rows between {SPAN - 1} preceding and current row) is not null, false) as out
+  from bytes b left join gone g on b.doc_id = g.doc_id and b.p = g.place),
+runs as (select *, out and not coalesce(lag(out) over (partition by doc_id order by p), false) as opens from marked),
+sums as (select doc_id, count(*) filter (out) as n_removed, count(*) filter (opens) as n_spans, coalesce(string_agg(byte, '' order by p) filter (not out), '') as kept from runs group by doc_id)
+select t.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from t left join sums using (doc_id)
+"""
