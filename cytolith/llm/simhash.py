@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import hex64, whole_text
+from cytolith.llm.common import checkpointed, hex64, whole_text
 from cytolith.llm.components import connected_components
 
 BITS = 64
@@ -78,7 +78,7 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     result; rows with a null identifier get one too, and a component without any
     identifier has a null component_id.
     """
-    prints = fingerprints(docs, words)
+    prints = checkpointed(fingerprints(docs, words))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = connected_components(ball_links(distinct.select("fp")))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
