@@ -111,3 +111,46 @@ def target_codes(df: DataFrame, label: str, unlabeled: tuple[str, ...] = ("", "u
     names = df.select(known.alias("__label")).where("__label is not null").distinct()
     codes = names.withColumn("code", F.row_number().over(Window.orderBy("__label")) - 1)
     return df.withColumn("__label", known).join(codes, "__label", "left").withColumn("code", F.coalesce("code", F.lit(-1))).drop("__label")
+
+
+def derive_group(sample: Column, groups: tuple[str, ...] = ("IR", "NR")) -> Column:
+    """The group a sample name starts with; other names are an error."""
+    found = F.lit(None).cast("string")
+    for group in groups:
+        found = F.when(sample.startswith(group), group).otherwise(found)
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no group for "), sample)).cast("string"))
+
+
+def validate_metadata(df: DataFrame, sample: str, group: str, groups: tuple[str, ...]) -> DataFrame:
+    """Trimmed, upper-cased samples and groups, with a flag for rows that are empty, repeated or of an unknown group."""
+    clean = df.select(F.trim(sample).alias("sample_id"), F.upper(F.trim(group)).alias("condition"))
+    n = clean.groupBy("sample_id").agg(F.count(F.lit(1)).alias("__n"))
+    valid = (F.col("sample_id") != "") & F.col("condition").isin(*groups) & (F.col("__n") == 1)
+    return clean.join(n, "sample_id", "left").select("sample_id", "condition", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def json_value(text: Column, path: str, default: str) -> Column:
+    """A value of a JSON text, or the default where it is missing."""
+    return F.coalesce(F.get_json_object(text, path), F.lit(default))
+
+
+def full_outer(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict[str, str]) -> DataFrame:
+    """Rows of either side, with defaults for columns that a side lacks."""
+    return left.join(right, keys, "full").withColumns({c: F.coalesce(c, F.lit(value)) for c, value in defaults.items()})
+
+
+def plot_order(df: DataFrame, label: str, index: str) -> DataFrame:
+    """Places of rows by label, whatever its case, then by their own order."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower(label), index)) - 1)
+
+
+def keep_features(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Values of the wanted features; a wanted feature without any value is an error."""
+    missing = wanted.select(key).distinct().join(df.select(key), key, "left_anti")
+    checked = missing.select(F.raise_error(F.concat(F.lit("no feature "), F.col(key))).cast("string").alias(key))
+    return df.join(wanted.select(key).distinct(), key, "left_semi").unionByName(checked, allowMissingColumns=True)
+
+
+def count_kind(largest: Column) -> Column:
+    """The narrowest unsigned kind that holds the largest count; counts are never clipped."""
+    return F.when(largest <= 65_535, "uint16").when(largest <= 4_294_967_295, "uint32").otherwise("uint64")

@@ -73,3 +73,30 @@ def top_both_ends(df: DataFrame, by: list[str], value: str, key: str, n: int) ->
 def dotplot(values: DataFrame, groups: DataFrame) -> DataFrame:
     """Mean value and share of cells above 0 per group and gene, over cells with a row."""
     return values.join(groups, "cell_no").groupBy("group", "gene_no").agg(F.avg("value").alias("mean_value"), F.avg((F.col("value") > 0).cast("double")).alias("fraction"))
+
+
+def doublet_rate(counts: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Expected doublet rate per sample: an override, else 0.004 per 1,000 cells; outside (0, 1) is an error."""
+    rate = F.coalesce("rate", 0.004 * F.col("n_cells") / 1000)
+    wrong = F.raise_error(F.concat(F.lit("no rate for "), F.col("sample"))).cast("double")
+    return counts.join(overrides, "sample", "left").select("sample", "n_cells", F.when((rate > 0) & (rate < 1), rate).otherwise(wrong).alias("rate"))
+
+
+def fill_doublets(metrics: DataFrame, scores: DataFrame, least_genes: int = 3) -> DataFrame:
+    """Scores of eligible cells; the others have none and are no doublets."""
+    joined = metrics.join(scores, "cell_no", "left")
+    eligible = F.col("n_genes") >= least_genes
+    return joined.select("cell_no", F.when(eligible, F.col("score")).alias("score"), F.coalesce(eligible & F.col("predicted"), F.lit(False)).alias("predicted"))
+
+
+def concat_outer(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Counts of two samples over all their genes, 0 where a cell's sample lacks a gene; genes of both are few next to counts."""
+    both = left.unionByName(right)
+    genes = both.select("gene_no").distinct()
+    cells = both.select("cell_no").distinct()
+    return cells.join(genes).join(both.select("cell_no", "gene_no", "n"), ["cell_no", "gene_no"], "left").na.fill(0, ["n"])
+
+
+def available_markers(markers: DataFrame, counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """Markers (cell_type, gene_no) whose gene is counted and whose type has cells."""
+    return markers.join(counts.select("gene_no"), "gene_no", "left_semi").join(cells.select("cell_type"), "cell_type", "left_semi")

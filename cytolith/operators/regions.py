@@ -142,3 +142,30 @@ def without_null_fdr(df: DataFrame, permuted: Column, by: list[str]) -> DataFram
     """Adjusted p is null in groups without permuted rows."""
     n = F.count_if(permuted).over(Window.partitionBy(*by))
     return df.withColumn("adjusted_p", F.when(n > 0, F.col("adjusted_p")))
+
+
+def windows(sites: DataFrame, width: int, step: int) -> DataFrame:
+    """Sites with each sliding window (start_pos) that holds them; a site is in width / step windows."""
+    last = F.floor(F.col("pos") / step)
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - width) / step) + 1)
+    return sites.withColumn("start_pos", F.explode(F.transform(F.sequence(first, last), lambda i: i * step)))
+
+
+def window_variance(values: DataFrame, width: int, step: int, least_cells: int) -> DataFrame:
+    """Variance over cells of their mean residual per window, residuals shrunk by one: sum of (ratio - site mean) / (n + 1)."""
+    site = values.groupBy("chrom", "pos").agg(F.avg("ratio").alias("site_mean"))
+    residuals = values.join(site, ["chrom", "pos"])
+    cells = windows(residuals, width, step).groupBy("chrom", "start_pos", "cell_no").agg((F.sum(F.col("ratio") - F.col("site_mean")) / (F.count(F.lit(1)) + 1)).alias("r"))
+    out = cells.groupBy("chrom", "start_pos").agg(F.count(F.lit(1)).alias("n_cells"), F.var_samp("r").alias("variance"))
+    return out.where(F.col("n_cells") >= least_cells)
+
+
+def welch_t(values: DataFrame, group: str, sides: tuple[str, str], by: list[str], value: str = "value") -> DataFrame:
+    """Welch's t of two groups from their moments; null without two values and spread on either side."""
+    moments = []
+    for name, side in zip(("a", "b"), sides, strict=True):
+        x = F.when(F.col(group) == side, F.col(value))
+        moments += [F.count(x).alias(f"n_{name}"), F.avg(x).alias(f"mean_{name}"), F.var_samp(x).alias(f"var_{name}")]
+    out = values.where(F.col(group).isin(*sides)).groupBy(*by).agg(*moments)
+    error = F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
+    return out.select(*by, "n_a", "n_b", F.when((F.col("n_a") > 1) & (F.col("n_b") > 1) & (error > 0), (F.col("mean_a") - F.col("mean_b")) / error).alias("t"))

@@ -265,6 +265,47 @@ QUERIES = {
     "knn_edges": lambda v: _rounded(clusters.knn_edges(_knn(v)), "weight"),
 }
 
+RESIDUALS = f"""sv as (select chrom, pos, cell_no, avg({RATIO}) as ratio from fx_sites group by all), sm as (select chrom, pos, avg(ratio) as site_mean from sv group by all),
+sr as (select sv.*, ratio - site_mean as r from sv join sm using (chrom, pos)), wd as (select *, unnest(range(greatest(0, (pos - 100) // 50 + 1), pos // 50 + 1)) * 50 as start_pos from sr where pos >= 100
+union all select *, unnest(range(0, pos // 50 + 1)) * 50 from sr where pos < 100),
+wc as (select chrom, start_pos, cell_no, sum(r) / (count(*) + 1) as r from wd group by all)"""
+
+
+def _site_values(v: Fixtures) -> DataFrame:
+    return v.sites.groupBy("chrom", "pos", "cell_no").agg(F.avg(sites.ratio()).alias("ratio"))
+
+
+def _sample_sizes(v: Fixtures) -> DataFrame:
+    return v.cells.groupBy("sample").agg((F.count(F.lit(1)) * 100).alias("n_cells"))
+
+
+def _overrides(v: Fixtures) -> DataFrame:
+    return v.cells.where("sample = 'IR02'").select("sample", F.lit(0.07).alias("rate")).distinct()
+
+
+QUERIES |= {
+    "derive_group": lambda v: v.cells.select("cell_no", annotation.derive_group(F.col("sample")).alias("condition")),
+    "meta_validate": lambda v: annotation.validate_metadata(
+        v.cells.where("cell_no % 5 <> 1").select(F.concat(F.lit(" S"), F.col("cell_no") % 45).alias("s"), F.when(F.col("cell_no") % 7 == 0, "xx").otherwise(F.lower(F.substring("sample", 1, 2))).alias("g")), "s", "g", ("IR", "NR")
+    ),
+    "json_get": lambda v: v.cells.select("cell_no", annotation.json_value(F.when(F.col("cell_no") % 3 == 0, F.to_json(F.struct(F.col("cell_type").alias("t")))).otherwise("{}"), "$.t", "none").alias("value")),
+    "response_split": lambda v: v.cells.groupBy(annotation.derive_group(F.col("sample")).alias("response")).agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct("sample").alias("n_samples")),
+    "cluster_full_outer": lambda v: annotation.full_outer(
+        v.clusters.where("vec_id < 60 and vec_id % 2 = 0").select(F.col("vec_id").alias("cell_no"), F.concat(F.lit("C"), "cluster_b").alias("cluster")), v.cells.select("cell_no", "cell_type"), ["cell_no"], {"cluster": "none", "cell_type": "unknown"}
+    ),
+    "cell_plot_order": lambda v: annotation.plot_order(v.cells.select("cell_no", F.when(F.col("cell_no") % 2 == 0, F.lower("cell_type")).otherwise(F.col("cell_type")).alias("label")), "label", "cell_no").withColumn("place", F.col("place").cast("long")),
+    "keep_features": lambda v: _rounded(annotation.keep_features(_values(v).select("cell_no", "region", "value"), _values(v).where("region like 'chr1:%'").select("region"), "region"), "value"),
+    "dtype_choice": lambda v: v.counts.groupBy("is_mt").agg(F.max("n").alias("largest")).withColumn("kind", annotation.count_kind(F.col("largest"))),
+    "doublet_rate": lambda v: _rounded(expression.doublet_rate(_sample_sizes(v), _overrides(v)), "rate"),
+    "doublet_fill": lambda v: _rounded(
+        expression.fill_doublets(_metrics(v), _metrics(v).where("cell_no % 4 <> 0").select("cell_no", (F.col("n_genes") / 1000).alias("score"), (F.col("n_genes") % 2 == 0).alias("predicted")), 20), "score"
+    ),
+    "concat_outer": lambda v: expression.concat_outer(v.counts.where("cell_no = 1").select("cell_no", "gene_no", "n"), v.counts.where("cell_no = 2").select("cell_no", "gene_no", "n")),
+    "marker_available": lambda v: expression.available_markers(v.table("part").select(F.concat(F.lit("T"), F.col("p_partkey") % 6).alias("cell_type"), F.col("p_partkey").alias("gene_no")), v.counts, v.cells),
+    "window_variance": lambda v: _rounded(regions.window_variance(_site_values(v), 100, 50, 6), "variance"),
+    "welch_t": lambda v: _rounded(regions.welch_t(_values(v).withColumn("response", F.substring("sample", 1, 2)), "response", ("IR", "NR"), ["region"]), "t"),
+}
+
 _SHARE = "select {0}, {1}, count(*) as n, round(cast(count(*) as double) / sum(count(*)) over (partition by {0}), 6) as share from {2} group by {0}, {1}"
 ORACLES = {
     "dmr_standardize": f"with {STANDARD} select {STANDARD_OUT} from d",
@@ -372,3 +413,27 @@ z as (select gene_no, grp as "group", n1, round(w - n1 * (n1 + 1) / cast(2 as do
 ORACLES["wilcoxon_rank"] = _RANKED + " select * from z"
 ORACLES["topk_both_ends"] = _RANKED + """, h as (select "group", gene_no, z, row_number() over (partition by "group" order by z desc, gene_no) as hi, row_number() over (partition by "group" order by z, gene_no) as lo from z where z is not null)
 select "group", gene_no, z, hi as nth, 'high' as side from h where hi <= 5 union all select "group", gene_no, z, lo, 'low' from h where lo <= 5"""
+
+ORACLES |= {
+    "derive_group": "select cell_no, substr(sample, 1, 2) as condition from fx_cells",
+    "meta_validate": """with m as (select concat('S', cell_no % 45) as sample_id, case when cell_no % 7 = 0 then 'XX' else substr(sample, 1, 2) end as condition from fx_cells where cell_no % 5 <> 1)
+select sample_id, condition, condition in ('IR', 'NR') and count(*) over (partition by sample_id) = 1 as valid from m""",
+    "json_get": "select cell_no, case when cell_no % 3 = 0 then cell_type else 'none' end as value from fx_cells",
+    "response_split": "select substr(sample, 1, 2) as response, count(*) as n_cells, count(distinct sample) as n_samples from fx_cells group by 1",
+    "cluster_full_outer": """with a as (select vec_id as cell_no, concat('C', cluster_b) as cluster from fx_clusters where vec_id < 60 and vec_id % 2 = 0)
+select coalesce(a.cell_no, c.cell_no) as cell_no, coalesce(cluster, 'none') as cluster, coalesce(cell_type, 'unknown') as cell_type from a full join fx_cells c on a.cell_no = c.cell_no""",
+    "cell_plot_order": """with l as (select cell_no, case when cell_no % 2 = 0 then lower(cell_type) else cell_type end as label from fx_cells)
+select cell_no, label, row_number() over (order by lower(label), cell_no) - 1 as place from l""",
+    "keep_features": f"with {VALUES} select cell_no, region, round(value, 6) as value from mx where region like 'chr1:%'",
+    "dtype_choice": "select is_mt, max(n) as largest, case when max(n) <= 65535 then 'uint16' else 'uint32' end as kind from fx_counts group by is_mt",
+    "doublet_rate": "select sample, count(*) * 100 as n_cells, case when sample = 'IR02' then 0.07 else round(0.004 * count(*) * 100 / 1000, 6) end as rate from fx_cells group by sample",
+    "doublet_fill": f"""with {METRICS} select cell_no, case when n_genes >= 20 and cell_no % 4 <> 0 then round(cast(n_genes as double) / 1000, 6) end as score,
+n_genes >= 20 and cell_no % 4 <> 0 and n_genes % 2 = 0 as predicted from q""",
+    "concat_outer": """with c as (select cell_no, gene_no, n from fx_counts where cell_no in (1, 2))
+select x.cell_no, g.gene_no, coalesce(n, 0) as n from (select distinct cell_no from c) x, (select distinct gene_no from c) g left join c on c.cell_no = x.cell_no and c.gene_no = g.gene_no""",
+    "marker_available": "select concat('T', p_partkey % 6) as cell_type, p_partkey as gene_no from part where p_partkey in (select gene_no from fx_counts) and concat('T', p_partkey % 6) in (select cell_type from fx_cells)",
+    "window_variance": f"with {RESIDUALS} select chrom, start_pos, count(*) as n_cells, round(var_samp(r), 6) as variance from wc group by all having count(*) >= 6",
+    "welch_t": f"""with {VALUES}, w as (select region, count(value) filter (sample like 'IR%') as n_a, count(value) filter (sample like 'NR%') as n_b, avg(value) filter (sample like 'IR%') as ma,
+avg(value) filter (sample like 'NR%') as mb, var_samp(value) filter (sample like 'IR%') as va, var_samp(value) filter (sample like 'NR%') as vb from mx group by region)
+select region, n_a, n_b, round(case when n_a > 1 and n_b > 1 and va / n_a + vb / n_b > 0 then (ma - mb) / sqrt(va / n_a + vb / n_b) end, 6) as t from w""",
+}
