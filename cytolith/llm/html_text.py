@@ -46,8 +46,9 @@ FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion banner sidebar side menu nav navbar"
     " navigation breadcrumb breadcrumbs footer footnotes foot header masthead topbar toolbar comment comments disqus respond reply replies cookie cookies"
     " consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search related recommended recommendations"
-    " share sharing social widget pagination pager tags copyright skip".split()
+    " share sharing social pagination pager copyright skip disclaimer".split()
 )
+MODIFIERS = frozenset("has with without no not is".split())
 CONTENT = frozenset("content article main post entry story body text prose".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
@@ -122,11 +123,19 @@ def _is_furniture(node: Node, in_article: bool, paragraphs: int) -> bool:
     values = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(node.attributes)}
     if "hidden" in values or values.get("aria-hidden") == "true" or values.get("role", "").lower() in ROLES or "display:none" in values.get("style", "").replace(" ", "").lower():
         return True
-    if node.name in HEADINGS or node.name in ("p", "span", "a", "b", "i", "em", "strong"):
-        words = {w.lower() for w in _WORD.findall(values.get("class", ""))}
-    else:
-        words = {w.lower() for w in _WORD.findall(values.get("class", "") + " " + values.get("id", ""))}
-    return bool(words & FURNITURE) and not words & CONTENT
+    names = values.get("class", "")
+    if node.name not in HEADINGS | {"p", "span", "a", "b", "i", "em", "strong"}:
+        names += " " + values.get("id", "")
+    return any(_names_furniture([w.lower() for w in _WORD.findall(name)]) for name in names.split())
+
+
+def _names_furniture(words: list[str]) -> bool:
+    """Whether a class or id names furniture: ``post-comments`` and ``comment-text`` do, ``has-sidebar`` and ``entry-header`` do not."""
+    if not words or MODIFIERS & set(words) or not FURNITURE & set(words):
+        return False
+    if words[-1] == "header" and words[0] in CONTENT:
+        return False
+    return words[0] in FURNITURE or words[-1] not in CONTENT
 
 
 def _prune(root: Node) -> list[Node]:

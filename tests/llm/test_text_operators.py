@@ -368,3 +368,15 @@ def test_containers_without_an_article():
     page = """<body><header><h1>Site</h1></header><div><div class="sidebar"><p>Other, stories, here, of length.</p></div><div class="post"><h2>Own</h2><p>Hello, world, this is
  long enough, really, to count.</p><table><tr><td>a<td>b</table><form><input></form><div class="related"><p>More, and more.</p></div></div></div></body>"""
     assert html_text.main_text(page) == "Own\nHello, world, this is long enough, really, to count.\na b"
+
+
+@pytest.mark.parametrize(
+    ("name", "drops"),
+    [
+        ("post-comments", True), ("commentText", True), ("ad", True), ("main-menu", True), ("entry-footer", True), ("cookie_notice", True), ("story-share-buttons", True),
+        ("content", False), ("has-sidebar", False), ("article-with-sidebar", False), ("entry-header", False), ("adventure", False), ("post", False),
+    ],
+)
+def test_names_of_furniture(name, drops):
+    page = f"<article><h1>Title</h1><p>One, two, three, four.</p><div class='{name}'><p>Five, six.</p></div></article>"
+    assert ("Five" in html_text.main_text(page)) != drops
