@@ -68,7 +68,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FMClass
     drawn = usable.where(F.pmod(F.xxhash64("__id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.95 * fit_rows / max(n, 1))))
     drawn = spark.createDataFrame(drawn.limit(fit_rows).collect(), drawn.schema)
     texts = docs.select(F.col("doc_id").alias("__id"), whole_text().alias("text"))
-    rows = checkpointed(features(texts.join(F.broadcast(drawn), "__id")).select("__label", "__features").coalesce(12))
+    rows = checkpointed(features(texts.join(F.broadcast(drawn), "__id")).select("__label", "__features").repartition(12))  # few rows; the scan keeps its tasks
     classes = [r[0] for r in rows.select("__label").distinct().collect()]
     if len(classes) < 2:
         return classes[0] if classes else 1.0
