@@ -140,8 +140,17 @@ def full_outer(left: DataFrame, right: DataFrame, keys: list[str], defaults: dic
 
 
 def plot_order(df: DataFrame, label: str, index: str) -> DataFrame:
-    """Places of rows by label, whatever its case, then by their own order."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower(label), index)) - 1)
+    """Places of rows by label, whatever its case, then by their own order.
+
+    Rows are numbered within labels; only the table of labels is ordered as a whole.
+    """
+    name = F.coalesce(F.lower(label), F.lit(""))
+    sizes = df.groupBy(name.alias("__name")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__name").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__name", F.coalesce(before, F.lit(0)).alias("__start"))
+    own = F.row_number().over(Window.partitionBy("__name").orderBy(index)) - 1
+    numbered = df.withColumn("__name", name).withColumn("__own", own).join(starts, "__name", "left")
+    return numbered.withColumn("place", F.coalesce("__start", F.lit(0)) + F.col("__own")).drop("__name", "__own", "__start")
 
 
 def keep_features(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

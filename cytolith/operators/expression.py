@@ -48,13 +48,16 @@ def gene_moments(counts: DataFrame) -> DataFrame:
 
 
 def rank_sum(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """Wilcoxon rank sum of each group against the rest, per gene, over cells with a value; ties share ranks, no tie correction."""
-    joined = values.join(groups, "cell_no")
-    order = Window.partitionBy("gene_no").orderBy("value")
-    tied = Window.partitionBy("gene_no", "value")
-    whole = Window.partitionBy("gene_no")
-    ranked = joined.select("gene_no", "group", (F.rank().over(order) + (F.count(F.lit(1)).over(tied) - 1) / 2).alias("r"), F.count(F.lit(1)).over(whole).alias("n"))
-    sums = ranked.groupBy("gene_no", "group").agg(F.sum("r").alias("w"), F.count(F.lit(1)).alias("n1"), F.max("n").alias("n"))
+    """Wilcoxon rank sum of each group against the rest, per gene, over cells with a value; ties share ranks, no tie correction.
+
+    Ranks are taken over distinct values with their counts, not over cells.
+    """
+    joined = values.join(groups, "cell_no").groupBy("gene_no", "group", "value").agg(F.count(F.lit(1)).alias("k"))
+    tied = joined.groupBy("gene_no", "value").agg(F.sum("k").alias("same"))
+    below = F.coalesce(F.sum("same").over(Window.partitionBy("gene_no").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = tied.select("gene_no", "value", (below + (F.col("same") + 1) / 2).alias("r"))
+    totals = tied.groupBy("gene_no").agg(F.sum("same").alias("n"))
+    sums = joined.join(ranks, ["gene_no", "value"]).groupBy("gene_no", "group").agg(F.sum(F.col("k") * F.col("r")).alias("w"), F.sum("k").alias("n1")).join(totals, "gene_no")
     n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
     u = F.col("w") - n1 * (n1 + 1) / 2
     z = F.when(n2 > 0, (u - n1 * n2 / 2) / F.sqrt(n1 * n2 * (F.col("n") + 1) / 12))
