@@ -34,7 +34,7 @@ SPAN, GRAM = 50, 24
 WINDOW = SPAN - GRAM + 1
 SIDE = (SPAN - GRAM) // 2
 #: Bytes of text per bucket of anchors, per chunk of documents, and per step inside a task.
-BUCKET_BYTES, CHUNK_BYTES, STEP_BYTES = 12 << 20, 8 << 20, 4 << 20
+BUCKET_BYTES, CHUNK_BYTES, STEP_BYTES = 12 << 20, 8 << 20, 1 << 20
 #: Texts that are put in order together, about.
 GROUP = 20_000
 #: Documents that very common anchors are looked for in: their number and share, at least. They only
@@ -198,7 +198,7 @@ def _read_segments(batch, step_bytes: int, common) -> dict:
                 left, right = np.concatenate([left[~single], none]), np.concatenate([right[~single], none])
             sums = np.array([digest(text[a:b]) for a, b in zip(first.tolist(), (first + count + SPAN - 1).tolist(), strict=True)], np.uint64)
             owner = row + np.searchsorted(starts, first, side="right") - 1
-            parts.append({"hash": key, "left": left, "right": right, "digest": sums, "doc": docs[owner], "tag": tags[owner], "at": first + begin - offsets[owner], "count": count})
+            parts.append({"hash": key, "left": left, "right": right, "digest": sums, "doc": docs[owner], "tag": tags[owner].astype(np.uint16), "at": (first + begin - offsets[owner]).astype(np.uint32), "count": count.astype(np.uint8)})
         row = last
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
 
