@@ -87,18 +87,19 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FMClass
     return machine.fit(rows)
 
 
-def score(df: DataFrame, model: FMClassificationModel | float, text: str = "text") -> DataFrame:
-    """``df`` with ``quality_score`` from 0 to 1, higher where label 1 is likelier."""
+def score(df: DataFrame, model: FMClassificationModel | float, text: str = "text", to: str = "quality_score") -> DataFrame:
+    """``df`` with the column ``to``, from 0 to 1, higher where label 1 is likelier; a column of that name is replaced."""
     if isinstance(model, float):
-        return df.withColumn("quality_score", F.lit(model))
+        return df.withColumn(to, F.lit(model))
     scored = model.transform(features(df, text))
     value = F.get(vector_to_array("__probability"), F.lit(1))
-    return scored.withColumn("quality_score", F.coalesce(F.nanvl(value, F.lit(0.5)), F.lit(0.5))).select(*df.columns, "quality_score")
+    scored = scored.withColumn(to, F.coalesce(F.nanvl(value, F.lit(0.5)), F.lit(0.5)))
+    return scored.select(*[c for c in df.columns if c != to], to)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` whose score reaches the threshold; all columns and repeated rows are kept."""
-    return score(docs, fit(docs, labels)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    return score(docs, fit(docs, labels), to="__score").where(F.col("__score") >= threshold).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
