@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prefixes and suffixes that cell names carry in the input files.
-COHORT_PREFIX = "25110891_"
-SUFFIXES = (".cov.gz", ".bismark.cov.gz", ".allc.tsv.gz")
+# Suffixes of the input files.
+SUFFIXES = (".cov.gz", ".cov", ".allc.gz")
 
 
 def canonical_cell_id(cell: Column) -> Column:
@@ -27,15 +26,18 @@ def base_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)/*$", 1)
 
 
-def normalize_cell(cell: Column, suffixes: tuple[str, ...] = SUFFIXES, prefixes: tuple[str, ...] = (COHORT_PREFIX,), repeated: bool = True) -> Column:
-    """Base name without one suffix and without prefixes, stripped again and again or at most once."""
-    ends = "|".join(x.replace(".", r"\.") for x in sorted(suffixes, key=len, reverse=True))
-    starts = "|".join(prefixes)
-    return F.regexp_replace(F.regexp_replace(base_name(cell), f"(?:{ends})$", ""), f"^(?:{starts}){'+' if repeated else ''}", "")
+def normalize_cell(cell: Column, sample: Column, short: Column, repeated: bool = True) -> Column:
+    """Base name without one suffix and without sample names and underscores in front, stripped again and again or once."""
+    ends = "|".join(x.replace(".", r"\.") for x in SUFFIXES)
+    name = F.regexp_replace(base_name(F.trim(cell)), f"(?:{ends})$", "")
+    quoted = [F.concat(F.lit("\\Q"), x, F.lit("\\E"), F.lit(line)) for x in (sample, short) for line in ("__", "_")]
+    prefix = F.concat(F.lit("^(?:"), F.concat_ws("|", *quoted), F.lit(")++" if repeated else ")"))
+    return F.regexp_replace(name, prefix, F.lit(""))
 
 
 def short_sample(name: Column) -> Column:
     """``IR`` or ``NR`` and two digits, between underscores or at the start; anything else is an error."""
+    name = F.trim(name)
     inside = F.regexp_extract(name, r"(?:^|_)((?:IR|NR)[0-9]{2})(?:_|$)", 1)
     start = F.regexp_extract(name, r"^((?:IR|NR)[0-9]{2})", 1)
     return F.when(inside != "", inside).when(start != "", start).otherwise(F.raise_error(F.concat(F.lit("no sample in "), name)).cast("string"))

@@ -71,7 +71,7 @@ def allocate_bins(counts: DataFrame, bins: int, by: list[str] | None = None) ->
     filled = F.count_if(F.col("n") > 0).over(whole)
     spare = F.lit(bins) - filled
     weighed = counts.withColumns({"total": total, "filled": filled, "spare": spare})
-    exact = F.when(F.col("total") > F.col("filled"), F.col("spare") * F.greatest(F.col("n") - 1, F.lit(0)) / (F.col("total") - F.col("filled"))).otherwise(0.0)
+    exact = F.when(F.col("n") > 0, F.col("spare") * F.col("n") / F.col("total")).otherwise(0.0)
     shared = weighed.withColumn("exact", exact).withColumn("base", F.floor("exact"))
     shared = shared.withColumn("left", F.col("spare") - F.sum("base").over(whole))
     order = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.desc(F.round(F.col("exact") - F.col("base"), 9)), "nth")

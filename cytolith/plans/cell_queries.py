@@ -147,7 +147,7 @@ def _display(v: Fixtures) -> DataFrame:
 
 
 ALLOCATED = f"""{VALUES}, sz as (select cell_type as grp, count(distinct region) as n, cast(substr(cell_type, 2) as int) as nth from mx group by cell_type),
-t as (select sum(n) as total, count(*) filter (n > 0) as filled from sz), e as (select sz.*, total, filled, (40 - filled) * cast(n - 1 as double) / (total - filled) as exact from sz, t),
+t as (select sum(n) as total, count(*) filter (n > 0) as filled from sz), e as (select sz.*, total, filled, (40 - filled) * cast(n as double) / total as exact from sz, t),
 b as (select *, floor(exact) as base from e), o as (select *, row_number() over (order by round(exact - base, 9) desc, nth) as served, 40 - filled - sum(base) over () as rest from b),
 al as (select grp, n, cast(case when total <= 40 then n else 1 + base + case when served <= rest then 1 else 0 end end as bigint) as n_bins from o)"""
 

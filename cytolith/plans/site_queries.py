@@ -113,6 +113,9 @@ QUERIES = {
     "chrom_sort": lambda v: v.regions.select("chrom", "start_pos", "end_pos", labels.chrom_key(F.col("chrom"))["number"].cast("long").alias("chrom_number")).orderBy("chrom_number", "start_pos", "end_pos"),
     "primary_filter": lambda v: v.regions.withColumn("chrom", F.concat("chrom", F.when(F.col("start_pos") % 3 == 0, "_alt").otherwise(""))).where(labels.is_primary(F.col("chrom"))),
     "parse_region": lambda v: v.regions.select(F.concat_ws("-", "chrom", "start_pos", "end_pos").alias("name")).select("name", *labels.parse_region(F.col("name"))),
+    "normalize_cell": lambda v: v.sites.select(F.concat(F.lit("/data/"), "sample", F.lit("__"), "sample", F.lit("_"), "cell_no", F.lit(".cov.gz")).alias("raw"), "sample").distinct().select(
+        "raw", ids.normalize_cell(F.col("raw"), F.lit("Cohort"), F.col("sample")).alias("barcode"), ids.normalize_cell(F.col("raw"), F.lit("Cohort"), F.col("sample"), False).alias("once"), ids.short_sample(F.col("sample")).alias("short")
+    ),
     "canonical_ids": lambda v: v.sites.select(F.concat(F.lit("25110891_"), "sample", F.lit("_Met-"), "cell_no").alias("raw")).distinct().select(
         "raw", ids.canonical_cell_id(F.col("raw")).alias("cell_id"), ids.infer_sample_id(F.col("raw")).alias("sample_id"), ids.response_of(ids.infer_sample_id(F.col("raw"))).alias("response")
     ),
@@ -176,5 +179,6 @@ k as (select * from s where end_pos is not null and (select count(distinct left_
     "chrom_sort": "select *, cast(substr(chrom, 4) as bigint) as chrom_number from fx_regions order by 4, 2, 3",
     "primary_filter": "select * from fx_regions where start_pos % 3 <> 0",
     "parse_region": "select concat_ws('-', chrom, start_pos, end_pos) as name, chrom, start_pos, end_pos from fx_regions",
+    "normalize_cell": "select distinct concat('/data/', sample, '__', sample, '_', cell_no, '.cov.gz') as raw, cast(cell_no as varchar) as barcode, concat(sample, '_', cell_no) as once, sample as short from fx_sites",
     "canonical_ids": """select distinct concat('25110891_', sample, '_Met-', cell_no) as raw, concat(sample, '__', cell_no) as cell_id, sample as sample_id, substr(sample, 1, 2) as response from fx_sites""",
 }
