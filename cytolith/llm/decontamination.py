@@ -33,22 +33,27 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(hashes: Column) -> Column:
-    """For each mask, the seed at each word; null where the mask runs over the end."""
+SPAN = 1 + max(mask[-1] for mask in MASKS)
+WORDS = [f"w{i}" for i in range(SPAN)]
 
-    def seed(mask: tuple[int, ...]) -> Column:
-        def at(_: Column, i: Column) -> Column:
-            return F.when(i + mask[-1] < F.size(hashes), F.xxhash64(*[F.get(hashes, i + o) for o in mask], F.lit(MASKS.index(mask))))
 
-        return F.transform(hashes, at)
+def _places(df: DataFrame, key: str) -> DataFrame:
+    """(key, at, w0 .. w7): every word of every row's ``words`` with those that follow, null beyond the end."""
+    n = F.size("words")
+    shifted = [F.slice("words", i + 1, n) for i in range(SPAN)]
+    rows = df.where(n > 0).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), n - 1), *shifted)))
+    return rows.toDF(key, "at", *WORDS)
 
-    return F.concat(*[seed(mask) for mask in MASKS])
 
+def _pair() -> Column:
+    """All masks begin with two neighbouring words."""
+    return F.xxhash64("w0", "w1")
 
-def _seeded(df: DataFrame, key: str) -> DataFrame:
-    """(key, seed, at): every seed of every row's ``words``."""
-    rows = df.select(key, F.size("words").alias("n"), F.posexplode(_seeds(F.col("words"))).alias("pos", "seed"))
-    return rows.where("seed is not null").select(key, "seed", (F.col("pos") % F.col("n")).alias("at"))
+
+def _seeded(places: DataFrame, key: str) -> DataFrame:
+    """(key, seed, at): the seed of each mask at each place; none where the mask runs over the end."""
+    seeds = [F.when(F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(*[F.col(f"w{o}") for o in mask], F.lit(k))) for k, mask in enumerate(MASKS)]
+    return places.select(key, "at", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -61,9 +66,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """
     items = benchmark.where("item_id is not null").select("item_id", word_hashes(whole_text()).alias("words")).distinct()
     items = checkpointed(items.where(F.size("words") >= LEAST_WORDS))
-    seeds = _seeded(items, "item_id").select("seed", "item_id", F.col("at").alias("item_at"))
+    item_places = _places(items, "item_id")
+    seeds = _seeded(item_places, "item_id").select("seed", "item_id", F.col("at").alias("item_at"))
+    pairs = item_places.select(_pair().alias("pair")).distinct()
     texts = docs.where("doc_id is not null").select("doc_id", whole_text().alias("text"))
-    found = _seeded(texts.select("doc_id", word_hashes(F.col("text")).alias("words")), "doc_id").join(sized(seeds), "seed")
+    places = _places(texts.select("doc_id", word_hashes(F.col("text")).alias("words")), "doc_id").withColumn("pair", _pair())
+    # few places have two neighbouring words of an item; only there are seeds made
+    places = places.join(sized(pairs), "pair", "left_semi")
+    found = _seeded(places, "doc_id").join(sized(seeds), "seed")
     hits = checkpointed(found.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
 
     few = hits.count() <= BROADCAST_ROWS
