@@ -346,6 +346,50 @@ def _send_texts(buckets: int):
     return work
 
 
+def _range_minima(values):
+    """A function of (lo, hi): the least of values[lo:hi] for each pair, lo < hi.
+
+    Ranges of up to two blocks are covered by two windows of a power of two; longer ones
+    by a window at either end and the blocks between, which have a table of their own.
+    """
+    import numpy as np
+
+    block = 64
+
+    def table(x, most):
+        levels = [x]
+        while (2 << (len(levels) - 1)) <= min(most, len(x)):
+            step = 1 << (len(levels) - 1)
+            levels.append(np.minimum(levels[-1][: len(x) - 2 * step + 1], levels[-1][step : len(x) - step + 1]))
+        return levels
+
+    def covered(levels, lo, hi):
+        out = np.zeros(len(lo), values.dtype)
+        depth = np.frexp((hi - lo).astype(np.float64))[1] - 1
+        for d in np.unique(depth):
+            at = np.flatnonzero(depth == d)
+            out[at] = np.minimum(levels[d][lo[at]], levels[d][hi[at] - (1 << int(d))])
+        return out
+
+    near = table(values, block)
+    whole = len(values) // block
+    far = table(values[: whole * block].reshape(whole, block).min(axis=1), whole) if whole else []
+
+    def least(lo, hi):
+        out = np.empty(len(lo), np.int64)
+        long = hi - lo >= 2 * block
+        short = np.flatnonzero(~long)
+        out[short] = covered(near, lo[short], hi[short])
+        long = np.flatnonzero(long)
+        if len(long):
+            a, b = lo[long], hi[long]
+            ends = np.minimum(near[-1][a], near[-1][b - block])
+            out[long] = np.minimum(ends, covered(far, -(-a // block), b // block))
+        return out
+
+    return least
+
+
 def column_wise_order(texts: list[bytes], folder: str):
     """(document, offset, common prefix) of all suffixes of a collection, in order.
 
@@ -353,80 +397,75 @@ def column_wise_order(texts: list[bytes], folder: str):
     place of a suffix that a symbol precedes follows from the number of smaller symbols,
     and of equal ones before it, in the transform; its common prefix with its neighbours
     is one more than the least common prefix between the places of their tails. Ends of
-    documents are smaller than all symbols and differ by document. The transform, the
-    prefixes and the owners are files of the round before, read and written in sequence.
+    documents are smaller than all symbols and differ by document. The transform and the
+    prefixes are files of the round before, read and written in sequence. Documents and
+    offsets are read off at the end, by walking the transform from the ends.
     """
     import numpy as np
 
     m = len(texts)
     lengths = np.array([len(t) for t in texts], np.int64)
     rounds = int(lengths.max()) if m else 0
-    cells = np.zeros((m, rounds + 1), np.int16)  # symbols from the end, 0 before the start
+    if 255 in b"".join(texts):
+        raise ValueError("the byte 255 is no part of a text")
+    cells = np.zeros((m, rounds + 1), np.uint8)  # symbols from the end, 0 before the start
     for i, t in enumerate(texts):
-        cells[i, : len(t)] = np.frombuffer(t, np.uint8)[::-1].astype(np.int16) + 1
-    names = [f"{folder}/{x}" for x in ("transform", "prefix", "owner", "length")]
-    kinds = (np.int16, np.uint8, np.int32, np.int16)
-    first = (cells[:, 0], np.zeros(m, np.uint8), np.arange(m, dtype=np.int32), np.zeros(m, np.int16))
-    for name, kind, x in zip(names, kinds, first, strict=True):
-        x.astype(kind).tofile(name)
+        cells[i, : len(t)] = np.frombuffer(t, np.uint8)[::-1] + 1
+    transform_file, prefix_file = f"{folder}/transform", f"{folder}/prefix"
+    cells[:, 0].tofile(transform_file)
+    np.zeros(m, np.uint8).tofile(prefix_file)
     place, active = np.arange(m), np.arange(m)
     for j in range(1, rounds + 1):
-        transform, prefix, owner, length = (np.fromfile(name, kind) for name, kind in zip(names, kinds, strict=True))
+        transform, prefix = np.fromfile(transform_file, np.uint8), np.fromfile(prefix_file, np.uint8)
         symbols = cells[active, j - 1]
         going = symbols > 0
         active, place, symbols = active[going], place[going], symbols[going]
         if not len(active):
             break
         order = np.argsort(transform, kind="stable")  # places by symbol, then as they stand
-        ends = int((transform == 0).sum())
-        nth = np.empty(len(order), np.int64)
-        nth[order] = np.arange(len(order))
-        target = m + nth[place] - ends  # ends precede nothing; the m empty suffixes come first
-        # least prefixes over (place before with this symbol, place], by doubling
-        before = np.where(nth[place] > 0, order[np.maximum(nth[place] - 1, 0)], -1)
-        same = (before >= 0) & (transform[before] == symbols)
-        after_at = np.minimum(nth[place] + 1, len(order) - 1)
-        after = order[after_at]
-        follows = (nth[place] + 1 < len(order)) & (transform[after] == symbols)
-        levels = [prefix]
-        widest = int(max((place - before)[same].max(initial=1), (after - place)[follows].max(initial=1)))
-        while (2 << (len(levels) - 1)) <= widest:
-            step = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][: len(prefix) - 2 * step + 1], levels[-1][step : len(prefix) - step + 1]))
-
-        def least(lo, hi, levels=levels):
-            out = np.zeros(len(lo), np.int64)
-            depth = np.frexp((hi - lo).astype(np.float64))[1] - 1
-            for d in np.unique(depth):
-                at = depth == d
-                out[at] = np.minimum(levels[d][lo[at]], levels[d][hi[at] - (1 << int(d))])
-            return out
-
-        own = np.zeros(len(place), np.int64)
+        starts = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
+        nth = np.empty(len(place), np.int64)
+        by_symbol = np.argsort(symbols, kind="stable")
+        for rows in np.split(by_symbol, np.flatnonzero(np.diff(symbols[by_symbol])) + 1):
+            low, high = starts[int(symbols[rows[0]])], starts[int(symbols[rows[0]]) + 1]
+            nth[rows] = low + np.searchsorted(order[low:high], place[rows])
+        target = m + nth - starts[1]  # ends precede nothing; the m empty suffixes come first
+        same = nth > starts[symbols]
+        follows = nth + 1 < starts[symbols.astype(np.int64) + 1]
+        before, after = order[np.maximum(nth - 1, 0)], order[np.minimum(nth + 1, len(order) - 1)]
+        # least prefixes between a tail and the ones before and after it with its symbol
+        least = _range_minima(prefix)
+        own, next_one = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
         own[same] = 1 + least(before[same] + 1, place[same] + 1)
-        next_one = np.zeros(len(place), np.int64)
         next_one[follows] = 1 + least(place[follows] + 1, after[follows] + 1)
-        # all suffixes of the new order: those from the round before, and the ones inserted now
-        by = np.argsort(target)
-        new_at = target[by]
+        # the new order holds all suffixes of the round before, and the ones inserted now
         total = len(transform) + len(active)
-        inserted = np.zeros(total, bool)
-        inserted[new_at] = True
+        kept = np.ones(total, bool)
+        kept[target] = False
         grown = []
-        for x, values in ((transform, cells[active, j]), (prefix, np.minimum(own, 255)), (owner, active), (length, np.full(len(active), j))):
-            y = np.empty(total, x.dtype)
-            y[inserted] = values[by]
-            y[~inserted] = x
+        for x, values in ((transform, cells[active, j]), (prefix, np.minimum(own, 255))):
+            y = np.empty(total, np.uint8)
+            y[kept] = x
+            y[target] = values
             grown.append(y)
-        # a suffix that now follows an inserted one shares more or as much with it
-        later = new_at + 1
-        touched = (later < total) & ~inserted[np.minimum(later, total - 1)]
-        grown[1][later[touched]] = np.minimum(next_one[by][touched], 255)
-        for name, x in zip(names, grown, strict=True):
-            x.tofile(name)
+        # a suffix that now follows an inserted one shares with it what was found above
+        later = target + 1
+        touched = (later < total) & kept[np.minimum(later, total - 1)]
+        grown[1][later[touched]] = np.minimum(next_one[touched], 255)
+        grown[0].tofile(transform_file)
+        grown[1].tofile(prefix_file)
         place = target
-    transform, prefix, owner, length = (np.fromfile(name, kind) for name, kind in zip(names, kinds, strict=True))
-    return owner, lengths[owner] - length, prefix
+    transform, prefix = np.fromfile(transform_file, np.uint8), np.fromfile(prefix_file, np.uint8)
+    order = np.argsort(transform, kind="stable")
+    to = np.empty(len(order), np.int64)
+    to[order] = np.arange(len(order)) + m - int((transform == 0).sum())
+    owner, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    place, active = np.arange(m), np.arange(m)
+    for j in range(rounds + 1):
+        owner[place], offset[place] = active, lengths[active] - j
+        going = lengths[active] > j
+        active, place = active[going], to[place[going]]
+    return owner, offset, prefix
 
 
 def repeated_strings(texts: list[bytes], docs):
@@ -435,6 +474,10 @@ def repeated_strings(texts: list[bytes], docs):
 
     import numpy as np
 
+    # a document that repeats a text to itself asks for it once
+    rows: dict = {}
+    row = np.array([rows.setdefault((t, d), len(rows)) for t, d in zip(texts, docs.tolist(), strict=True)], np.int64)
+    texts, docs = [t for t, _ in rows], np.array([d for _, d in rows], np.int64)
     with tempfile.TemporaryDirectory(prefix="cytolith-suffixes-") as folder:
         owner, offset, prefix = column_wise_order(texts, folder)
     full = np.array([len(t) for t in texts])[owner] - offset >= SPAN
@@ -447,7 +490,7 @@ def repeated_strings(texts: list[bytes], docs):
         least = np.minimum.reduceat(docs[owner], np.flatnonzero(head))[np.cumsum(head) - 1]
         gone = docs[owner] > least
         np.bitwise_or.at(masks, owner[gone], (np.uint64(1) << offset[gone].astype(np.uint64)).astype(np.uint32))
-    return masks
+    return masks[row]
 
 
 def _order_texts(chunks: int, group: int):

@@ -144,6 +144,18 @@ def test_column_wise_order(tmp_path):
             assert prefix[x] == next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
 
 
+def test_column_wise_order_of_many_texts(tmp_path):
+    r = random.Random(4)
+    pool = ["".join(r.choice("abcdefgh ") for _ in range(40)) for _ in range(30)]
+    texts = [(r.choice(pool) + r.choice("xyz") + r.choice(pool))[: r.randint(55, 76)].encode() for _ in range(500)]
+    owner, offset, prefix = suffix_dedup.column_wise_order(texts, str(tmp_path))
+    expected = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+    assert list(zip(owner.tolist(), offset.tolist(), strict=True)) == [(i, k) for _, i, k in expected]
+    for x in range(1, len(expected), 7):
+        a, b = expected[x - 1][0], expected[x][0]
+        assert prefix[x] == next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+
+
 # tokens
 
 
