@@ -11,6 +11,7 @@ is many tasks; queries go to every block of the files they visit, in bounded gro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,8 +22,8 @@ from cytolith.llm.common import checkpointed
 
 #: Pivots per square root of the number of vectors, and their bounds; they are the only sample that is drawn.
 PIVOT_FACTOR, LEAST_PIVOTS, MOST_PIVOTS = 1.15, 16, 4096
-#: Length of the ordered pivot lists, files a vector is posted in, files a query visits.
-LIST, POSTED, VISITED = 64, 4, 40
+#: Length of the ordered pivot lists, files a vector is posted in, least files a query visits and least share of all files.
+LIST, POSTED, VISITED, VISITED_SHARE = 64, 4, 40, 0.155
 #: Vectors and queries per block of a file, and candidates of a block that are reranked for a query.
 BLOCK, QUERY_BLOCK, RERANKED = 1024, 2048, 256
 NEAREST, QUERY_STEP = 20, 20
@@ -55,11 +56,17 @@ def _pivots(rows: DataFrame, n: int):
     return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300)
 
 
+def visited(n_pivots: int) -> int:
+    """Files a query visits; they grow with the pivots, so the share of the index that is seen does not shrink."""
+    return min(n_pivots, max(VISITED, math.ceil(VISITED_SHARE * n_pivots)))
+
+
 def _listed(rows: DataFrame, pivots) -> DataFrame:
-    """``rows`` with near, the ordered list of the nearest pivots by direction."""
+    """``rows`` with near, the ordered list of the nearest pivots by direction, and files, those that a row is posted in or visits."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
-    length = min(LIST, len(pivots))
-    schema = T.StructType([*rows.schema.fields, T.StructField("near", T.ArrayType(T.ShortType()))])
+    length, visits = min(LIST, len(pivots)), visited(len(pivots))
+    pivot_list = T.ArrayType(T.ShortType())
+    schema = T.StructType([*rows.schema.fields, T.StructField("near", pivot_list), T.StructField("files", pivot_list)])
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -69,8 +76,9 @@ def _listed(rows: DataFrame, pivots) -> DataFrame:
             frame = frame[frame["vector"].map(len) == base.shape[1]]
             if len(frame):
                 data = np.stack(frame["vector"].to_numpy()).astype(np.float64)
-                order = np.argsort(-(data @ base.T), axis=1, kind="stable")[:, :length]
-                yield frame.assign(near=list(order.astype(np.int16)))
+                order = np.argsort(-(data @ base.T), axis=1, kind="stable")[:, : max(length, visits)].astype(np.int16)
+                files = [x[: visits if asked else POSTED].copy() for x, asked in zip(order, frame["asked"], strict=True)]
+                yield frame.assign(near=list(order[:, :length].copy()), files=files)
 
     return rows.mapInPandas(work, schema)
 
@@ -90,19 +98,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST) -> DataFrame
     if not pivots.size:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     listed = _listed(rows, pivots)
-    visits = listed.select("asked", F.posexplode(F.slice("near", 1, VISITED)).alias("nth", "file"))
+    visits = listed.select("asked", F.posexplode("files").alias("nth", "file"))
     sizes = visits.groupBy("file").agg(F.count_if(F.col("nth") < POSTED).alias("n"), F.count_if("asked").alias("q")).where("n > 0 and q > 0")
     parts = [F.ceil(F.col(c) / size).cast("int").alias(name) for c, size, name in (("n", BLOCK, "parts"), ("q", QUERY_BLOCK, "groups"))]
     sizes = F.broadcast(checkpointed(sizes.select("file", *parts)))  # a row per pivot at most
 
     def dealt(df: DataFrame, files: int, own: str, own_parts: str, other: str, other_parts: str) -> DataFrame:
-        out = df.select("vec_id", "vector", "near", F.explode(F.slice("near", 1, files)).alias("file")).join(sizes, "file")
+        out = df.select("vec_id", "vector", "near", F.explode(F.slice("files", 1, files)).alias("file")).join(sizes, "file")
         out = out.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(own_parts)).cast("int"))
         out = out.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_parts) - 1)))
         return out.select(*[F.col(c).alias(c) for c in ("file", "part", "group", "vec_id", "vector", "near")])  # the sides of the cogroup share a source
 
     posted = dealt(listed, POSTED, "part", "parts", "group", "groups")
-    asked = dealt(listed.where("asked"), VISITED, "group", "groups", "part", "parts")
+    asked = dealt(listed.where("asked"), visited(len(pivots)), "group", "groups", "part", "parts")
     n_pivots, length = len(pivots), min(LIST, len(pivots))
 
     def search(left, right):

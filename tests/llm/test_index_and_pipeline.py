@@ -41,6 +41,19 @@ def test_recall_ties_and_odd_vectors(spark):
     assert got[300] == truth[300] and got[320] == truth[320]
 
 
+def test_recall_holds_with_many_pivots(spark, monkeypatch):
+    """As many pivots as half a million vectors have; 40 visited files are too few of them."""
+    monkeypatch.setattr(permutation_index, "PIVOT_FACTOR", 15)
+    r = np.random.default_rng(2)
+    data = r.normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(data)], VECTORS)
+    got: dict = {}
+    for x in permutation_index.nearest(df, F.col("vec_id") % 60 == 0).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    truth = exact(dict(enumerate(data)), range(0, 3000, 60), 20)
+    assert np.mean([len(got[q] & set(t)) / 20 for q, t in truth.items()]) >= 0.9
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], ""), (20, [0.5, 0.5], ""), (21, [0.0, 1.0], "")], VECTORS)
     got = permutation_index.nearest(df, F.col("vec_id") % 20 == 0).collect()
