@@ -255,6 +255,17 @@ def test_ibans_scores_and_redaction(spark):
     assert pii.redact(frame(spark, texts)).columns == frame(spark, texts).columns
 
 
+def test_ibans_end_where_their_country_says(spark):
+    texts = [
+        "IBAN DE89370400440532013000 BIC COBADEFF", "GB82 WEST 1234 5698 7654 32 BIC now", "NO93 8601 1117 947 AND MORE WORDS HERE", "REF AB12 CD DE89 3704 0044 0532 0130 00 X",
+        "MT84MALT011000012345MTLCAST001S NOW", "DE8937040044053201300", "DE893704004405320130001",
+    ]
+    found = {r.doc_id: [texts[r.doc_id - 1][s.start : s.end] for s in r.pii_spans if s.kind == "iban"] for r in pii.with_spans(frame(spark, texts)).collect()}
+    numbers = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "MT84MALT011000012345MTLCAST001S"]
+    assert found == {**{i: [x] for i, x in enumerate(numbers, 1)}, 6: [], 7: []}
+    assert pii.redact(frame(spark, texts)).where("doc_id = 1").first().text == "IBAN [IBAN] BIC COBADEFF"
+
+
 # quality
 
 
