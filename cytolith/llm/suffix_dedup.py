@@ -4,43 +4,43 @@ A byte goes if a string of ``SPAN`` bytes over it also starts in a document with
 doc_id. One suffix order over a whole corpus would need as many rounds as its longest
 document has bytes, so the collection is dealt out first, such that equal strings meet:
 
-1. Every string of SPAN bytes has an anchor, its least-hashed gram of ``GRAM`` bytes.
-   Neighbouring strings with one anchor form a segment; tasks send a short record of each
-   segment to the bucket of its anchor. Segments that a task sees twice are sent for the
-   smallest doc_id only, so a passage of a third of all documents is a record per task.
-2. In a bucket, equal segments are settled by their smallest doc_id. Segments that share
-   an anchor and 13 more bytes on one side, but not all, are asked for.
-   Anchors with very many different segments, such as lines that stand in a large share of
-   all documents, would fill one bucket; their strings are sent one by one instead, each
-   to the bucket of its own hash, where equal ones again are a record per task.
-3. Their texts, of at most 76 bytes, go to the bucket of their anchor as small documents.
-   There the suffix order is built column by column: each round inserts one symbol of
-   every document, updating the Burrows-Wheeler transform and the common prefixes of the
-   collection, which pass from round to round through files that are read and written in
-   sequence. Runs with common prefixes of SPAN bytes are equal strings.
-4. Marked strings return to their documents, in chunks of bounded size.
+1. Tasks pack rows into chunks of bounded size, which are written once, compressed. A row
+   is named by its chunk and its place there, so rows may share a doc_id.
+2. Every string of SPAN bytes has an anchor, its least-hashed gram of ``GRAM`` bytes;
+   neighbouring strings with one anchor form a segment. Each chunk sends the distinct
+   hashes of its anchors to buckets, which answer with a code per anchor: of one document
+   only, shared, or common (very many segments have it).
+3. Chunks send each distinct segment with a shared anchor once, as a text of at most 76
+   bytes, with the smallest doc_id that has it there. Segments of common anchors are sent
+   as single strings of SPAN bytes, each to the bucket of its own hash, so that no anchor
+   fills a bucket. Anchors only choose where strings meet, not what is equal.
+4. In a bucket the texts are the documents of a collection whose suffix order is built
+   column by column: each round inserts one symbol of every document, updating the
+   Burrows-Wheeler transform and the common prefixes of the collection, which pass from
+   round to round through files that are read and written in sequence, block by block.
+   Runs with common prefixes of SPAN bytes or more are equal strings; their smallest
+   doc_id goes back to the chunks, which remove what starts in a smaller document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import checkpointed, whole_text
+from cytolith.llm.common import checkpointed, stored, whole_text
 
 SPAN, GRAM = 50, 24
 WINDOW = SPAN - GRAM + 1
-SIDE = (SPAN - GRAM) // 2
-#: Bytes of text per bucket of anchors, per chunk of documents, and per step inside a task.
-BUCKET_BYTES, CHUNK_BYTES, STEP_BYTES = 12 << 20, 8 << 20, 1 << 20
-#: Texts that are put in order together, about.
+#: Bytes of text per chunk (a longer text is a chunk of its own), per step inside a task, and per bucket of anchors.
+CHUNK_BYTES, STEP_BYTES, BUCKET_BYTES = 4 << 20, 1 << 17, 16 << 20
+#: Texts that are put in order together, about; whole anchors at a time. An anchor with more segments counts as common.
 GROUP = 20_000
-#: Documents that very common anchors are looked for in: their number and share, at least. They only
-#: choose the way of a string, not its result. An anchor is common from so many segments in all documents.
-SEEN_DOCS, SEEN_SHARE, COMMON_SEGMENTS, MOST_COMMON = 5_000, 0.0005, 50_000, 100_000
+#: Entries of the transform and prefix files per block.
+BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
+ALONE, SHARED, COMMON = 0, 1, 2
 
 
 def _power(n: int) -> int:
@@ -48,18 +48,17 @@ def _power(n: int) -> int:
 
 
 def segments(data, starts, ends):
-    """Segments of texts that lie at [starts, ends) of a byte array: arrays (first, count, anchor, key, left, right).
+    """Segments of texts that lie at [starts, ends) of a byte array: arrays (first, count, key).
 
     first is where the first string of a segment starts, count the number of its strings,
-    anchor the place of their gram, key the gram's hash; left and right are 16-bit hashes
-    of the gram with SIDE more bytes on that side, 0 where the segment does not reach.
+    key the hash of the gram that is their anchor.
     """
     import numpy as np
 
     n = len(data)
     none = np.array([], np.int64)
     if n < SPAN:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint16), none.astype(np.uint16)
+        return none, none, none.astype(np.uint64)
     h1 = data.astype(np.uint64) + np.uint64(1)
 
     def joined(a, size, b, added):
@@ -87,261 +86,207 @@ def segments(data, starts, ends):
     valid = np.cumsum(valid[:-1]) > 0
     opens = valid.copy()
     opens[1:] &= (place[1:] != place[:-1]) | ~valid[:-1]
-    first = np.flatnonzero(opens)
     closes = valid.copy()
     closes[:-1] &= (place[1:] != place[:-1]) | ~valid[1:]
-    count = np.flatnonzero(closes) - first + 1
-    anchor = place[first]
-
-    def extended(at):
-        h = h16[at] * np.uint64(_power(21)) + h16[at + 16] * np.uint64(_power(5)) + h4[at + 32] * np.uint64(_power(1)) + h1[at + 36]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        return ((h >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
-
-    left, right = np.zeros(len(first), np.uint16), np.zeros(len(first), np.uint16)
-    has = anchor - first >= SIDE
-    left[has] = extended(anchor[has] - SIDE)
-    has = first + count - 1 + SPAN - anchor - GRAM >= SIDE
-    right[has] = extended(anchor[has])
-    return first, count, anchor, gram[anchor], left, right
-
-
-#: Columns of packed records; planes of bytes are kept together, which compress well.
-SEGMENT = [("key", "<u4"), ("left", "<u2"), ("right", "<u2"), ("digest", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("count", "u1")]
-MARK = [("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("mask", "<u4")]
-WANTED = [("key", "<u4"), ("doc", "<i8"), ("tag", "<u2"), ("at", "<u4"), ("count", "u1")]
+    first = np.flatnonzero(opens)
+    return first, np.flatnonzero(closes) - first + 1, gram[place[first]]
 
 
-def packed(columns: dict, layout: list) -> bytes:
+def packed(*arrays) -> bytes:
+    """Arrays in one compressed blob; planes of bytes are kept together."""
     import numpy as np
+    import zstandard
 
-    out = []
-    for name, kind in layout:
-        x = np.ascontiguousarray(columns[name].astype(kind))
-        out.append(x.view(np.uint8).reshape(len(x), -1).T.tobytes())
-    return b"".join(out)
+    planes = [x if x.dtype == np.uint8 else np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.reshape(-1) for x in arrays]
+    head = np.array([len(p) for p in planes], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in planes))
 
 
-def unpacked(blobs, layout: list) -> dict:
+def unpacked(blob: bytes, *kinds: str) -> list:
+    """The arrays of a blob, by their kinds."""
     import numpy as np
+    import zstandard
 
-    width = sum(np.dtype(kind).itemsize for _, kind in layout)
-    parts: dict = {name: [np.array([], kind)] for name, kind in layout}
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for name, kind in layout:
-            size = np.dtype(kind).itemsize
-            planes = np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n)
-            parts[name].append(np.ascontiguousarray(planes.T).view(kind).ravel())
-            at += n * size
-    return {name: np.concatenate(x) for name, x in parts.items()}
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 8 * len(kinds)
+    for kind, n in zip(kinds, np.frombuffer(raw, "<i8", len(kinds)).tolist(), strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n, at).reshape(width, n // width).T).view(kind).reshape(-1))
+        at += n
+    return out
 
 
-def _dealt(columns: dict, layout: list, to) -> Iterator[tuple[int, bytes]]:
-    """(part, blob) for the records of each part, in the order of doc and place."""
-    import numpy as np
+#: Kinds of the blobs: chunks (doc_id, length, bytes), anchors (hash, segments up to 65,535, several documents),
+#: texts (hash, doc_id, several documents, length, bytes), marks (text, first string, strings, doc_id).
+CHUNK, ANCHORS, TEXTS, MARKS = ("<i8", "<i8", "u1"), ("<u4", "<u2", "u1"), ("<u4", "<i8", "u1", "u1", "u1"), ("<u4", "u1", "u1", "<i8")
 
-    order = np.lexsort((columns["at"], columns["doc"], to))
-    to = to[order]
-    cuts = np.flatnonzero(np.diff(to)) + 1
-    for rows in np.split(order, cuts) if len(order) else []:
-        yield rows, packed({name: columns[name][rows] for name, _ in layout}, layout)
 
+def _pack_chunks(chunk_bytes: int):
+    """Rows (doc_id, text) to chunks (chunk, n_bytes, blob), as they come; nothing is shuffled."""
 
-def _chunk_of(doc, chunks: int):
-    """The chunk of each document; ``_chunk`` is the same inside Spark."""
-    import numpy as np
+    def work(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        docs, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
 
-    return np.mod(doc ^ (doc >> 17), chunks).astype(np.int32)
+        def flush():
+            nonlocal docs, texts, size, number
+            blob = packed(np.array(docs, "<i8"), np.array([len(t) for t in texts], "<i8"), np.frombuffer(b"".join(texts), np.uint8))
+            row = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([blob], pa.binary())], ["chunk", "n_bytes", "blob"])
+            docs, texts, size, number = [], [], 0, number + 1
+            return row
 
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_py()
+                if docs and size + len(raw) > chunk_bytes:
+                    yield flush()
+                docs.append(doc)
+                texts.append(raw)
+                size += len(raw)
+        if docs:
+            yield flush()
 
-def _chunk(chunks: int) -> Column:
-    doc = F.col("doc_id")
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(chunks)).cast("int")
+    return work
 
 
-def _texts_of(batch):
-    """Bytes and offsets of a binary Arrow column without nulls."""
-    import numpy as np
+class Chunk:
+    """The rows of a chunk and its segments; ``names`` are the distinct anchors in order of bucket and hash."""
 
-    column = batch.cast("large_binary")
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.array([], np.uint8)
-    return data, offsets
+    def __init__(self, blob: bytes, buckets: int, step_bytes: int) -> None:
+        import numpy as np
 
+        self.docs, lengths, self.data = unpacked(blob, *CHUNK)
+        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+        parts, row, offsets = [], 0, self.offsets
+        while row < len(self.docs):
+            # a step of whole texts, or pieces of one that is longer than a step
+            last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + step_bytes, side="right")) - 1)
+            base, stop, alone = int(offsets[row]), int(offsets[last]), last == row + 1
+            for begin in range(base, stop, step_bytes) if alone else [base]:
+                end = min(stop, begin + step_bytes + SPAN - 1) if alone else stop
+                starts, ends = (np.array([0]), np.array([end - begin])) if alone else (offsets[row:last] - begin, offsets[row + 1 : last + 1] - begin)
+                first, count, key = segments(self.data[begin:end], starts, ends)
+                parts.append((first + begin, count, key))
+            row = last
+        empty = np.array([], np.int64)
+        self.first, self.count, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty, empty, empty.astype(np.uint64))
+        self.row = np.searchsorted(offsets, self.first, side="right") - 1
+        self.buckets = buckets
+        bucket = (key >> np.uint64(32)) % np.uint64(buckets)
+        self.names, self.name = np.unique((bucket << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)), return_inverse=True)
+
+    def anchors(self) -> tuple:
+        """Segments and whether there are several documents, for each name."""
+        import numpy as np
 
-def _read_segments(batch, step_bytes: int, common) -> dict:
-    """Records of all segments of a batch (doc_id, tag, text); segments of common anchors as single strings."""
-    import numpy as np
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    data, offsets = _texts_of(batch.column(2))
-    parts: list[dict] = []
-    row = 0
-    while row < len(docs):
-        # a step of whole texts, or pieces of one that is longer than a step
-        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + step_bytes, side="right")) - 1)
-        base, stop, alone = int(offsets[row]), int(offsets[last]), last == row + 1
-        for begin in range(base, stop, step_bytes) if alone else [base]:
-            end = min(stop, begin + step_bytes + SPAN - 1) if alone else stop
-            starts, ends = (np.array([0]), np.array([end - begin])) if alone else (offsets[row:last] - begin, offsets[row + 1 : last + 1] - begin)
-            first, count, _, key, left, right = segments(data[begin:end], starts, ends)
-            text = data[begin:end].tobytes()
-            single = np.isin(key, common)
-            if single.any():
-                each = np.repeat(first[single], count[single]) + np.concatenate([np.arange(n) for n in count[single].tolist()])
-                names = np.array([digest(text[a : a + SPAN], 1) for a in each.tolist()], np.uint64)
-                none = np.zeros(len(each), np.uint16)
-                first, count, key = np.concatenate([first[~single], each]), np.concatenate([count[~single], none + 1]), np.concatenate([key[~single], names])
-                left, right = np.concatenate([left[~single], none]), np.concatenate([right[~single], none])
-            sums = np.array([digest(text[a:b]) for a, b in zip(first.tolist(), (first + count + SPAN - 1).tolist(), strict=True)], np.uint64)
-            owner = row + np.searchsorted(starts, first, side="right") - 1
-            parts.append({"hash": key, "left": left, "right": right, "digest": sums, "doc": docs[owner], "tag": tags[owner].astype(np.uint16), "at": (first + begin - offsets[owner]).astype(np.uint32), "count": count.astype(np.uint8)})
-        row = last
-    return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else {}
-
-
-def _common_anchors(texts: DataFrame, rows: int, step_bytes: int):
-    """Anchors with very many different segments, counted in documents drawn by a hash; their number is bounded."""
-    import numpy as np
+        n = np.bincount(self.name, minlength=len(self.names))
+        order = np.argsort(self.name, kind="stable")
+        docs, heads = self.docs[self.row[order]], np.concatenate([[0], np.cumsum(n)[:-1]])
+        several = np.minimum.reduceat(docs, heads) < np.maximum.reduceat(docs, heads) if len(n) else np.array([], bool)
+        return n, several
 
-    share = min(1.0, max(SEEN_DOCS / max(rows, 1), SEEN_SHARE))
-    drawn = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * share))
+    def texts(self, codes) -> tuple:
+        """Distinct texts to compare, and where they stand: (bucket, hash, text), (text of each occurrence, its start, its row).
 
-    def work(batches: Iterator) -> Iterator:
+        Segments of shared anchors are texts; those of common ones are cut into single strings.
+        """
         import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            found = _read_segments(batch, step_bytes, np.array([], np.uint64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(found[c].view(np.int64)) for c in ("hash", "digest")], ["anchor", "form"])
+        import xxhash
+
+        code = codes[self.name]
+        whole, cut = np.flatnonzero(code == SHARED), np.flatnonzero(code == COMMON)
+        singles = np.repeat(self.first[cut], self.count[cut]) + (np.arange(int(self.count[cut].sum())) - np.repeat(np.cumsum(self.count[cut]) - self.count[cut], self.count[cut]))
+        start, row = np.concatenate([self.first[whole], singles]), np.concatenate([self.row[whole], np.repeat(self.row[cut], self.count[cut])])
+        end = np.concatenate([self.first[whole] + self.count[whole] + SPAN - 1, singles + SPAN])
+        raw, known = self.data.tobytes(), {}
+        text = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        found = list(known)
+        bucket, name = np.zeros(len(found), np.int64), np.zeros(len(found), np.uint32)
+        names = self.names[self.name[whole]]
+        bucket[text[: len(whole)]], name[text[: len(whole)]] = (names >> np.uint64(32)).astype(np.int64), (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        for i in np.unique(text[len(whole) :]).tolist():
+            h = xxhash.xxh3_64_intdigest(found[i], 1)
+            bucket[i], name[i] = (h >> 32) % self.buckets, h & 0xFFFFFFFF
+        return (bucket, name, found), (text, start, row)
+
+
+def _by(values) -> Iterator:
+    """(value, places) for each distinct value."""
+    import numpy as np
 
-    seen = drawn.mapInArrow(work, "anchor long, form long").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    kept = seen.where(F.col("n") >= max(2, share * COMMON_SEGMENTS)).orderBy(F.desc("n"), "anchor").limit(MOST_COMMON)
-    return np.array([r.anchor for r in kept.collect()], np.int64).view(np.uint64)
+    order = np.argsort(values, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(values[order])) + 1) if len(order) else []:
+        yield int(values[rows[0]]), rows
 
 
-def _send_segments(buckets: int, chunks: int, step_bytes: int, shared):
+def _send_anchors(buckets: int, step_bytes: int):
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            found = _read_segments(batch, step_bytes, shared.value)
-            if not found or not len(found["hash"]):
-                continue
-            # of equal segments in this batch only those of the smallest document are sent; the rest are settled
-            order = np.lexsort((found["doc"], found["digest"], found["hash"]))
-            found = {k: v[order] for k, v in found.items()}
-            new = np.ones(len(order), bool)
-            new[1:] = (found["hash"][1:] != found["hash"][:-1]) | (found["digest"][1:] != found["digest"][:-1])
-            least = found["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-            sent = found["doc"] == least
-            rows: list[tuple[int, int, bytes]] = []
-            kept = {k: v[sent] for k, v in found.items()}
-            kept["key"] = kept["hash"] & np.uint64(0xFFFFFFFF)
-            kept["digest"] = kept["digest"] & np.uint64(0xFFFFFFFF)
-            bucket = ((kept["hash"] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            rows += [(int(bucket[r[0]]), -1, blob) for r, blob in _dealt(kept, SEGMENT, bucket)]
-            settled = {k: v[~sent] for k, v in found.items()}
-            settled["mask"] = (np.uint64(1) << settled["count"].astype(np.uint64)) - np.uint64(1)
-            chunk = _chunk_of(settled["doc"], chunks)
-            rows += [(int(chunk[r[0]]) % buckets, int(chunk[r[0]]), blob) for r, blob in _dealt(settled, MARK, chunk)]
-            for i in range(0, len(rows), 256):
-                b, c, x = zip(*rows[i : i + 256], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(x, pa.binary())], ["bucket", "chunk", "blob"])
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                chunk = Chunk(blob.as_py(), buckets, step_bytes)
+                n, several = chunk.anchors()
+                n, several = np.minimum(n, 65535).astype("<u2"), several.astype(np.uint8)
+                rows = [(b, packed((chunk.names[r] & np.uint64(0xFFFFFFFF)).astype("<u4"), n[r], several[r])) for b, r in _by((chunk.names >> np.uint64(32)).astype(np.int64))]
+                for i in range(0, len(rows), 256):
+                    b, x = zip(*rows[i : i + 256], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([number] * len(b), pa.int64()), pa.array(x, pa.binary())], ["bucket", "chunk", "blob"])
 
     return work
 
 
-def _settle(chunks: int):
-    """In a bucket of anchors: marks of settled strings (kind 0) and segments whose texts are wanted (kind 1), by chunk."""
+def _judge_anchors(common: int):
+    """In a bucket: a code for each anchor that a chunk has sent, in the order in which it did."""
 
     def work(frame):
         import numpy as np
         import pandas as pd
 
-        passed = frame[frame["chunk"] >= 0]
-        out = {"chunk": passed["chunk"].tolist(), "kind": [0] * len(passed), "blob": passed["blob"].tolist()}
-        s = unpacked(frame["blob"][frame["chunk"] < 0], SEGMENT)
-        whole = (s["left"].astype(np.uint64) << np.uint64(48)) | (s["right"].astype(np.uint64) << np.uint64(32)) | s["digest"]
-        order = np.lexsort((s["doc"], whole, s["key"]))
-        s, whole = {k: v[order] for k, v in s.items()}, whole[order]
-        if len(order):
-            new = np.ones(len(order), bool)
-            new[1:] = (s["key"][1:] != s["key"][:-1]) | (whole[1:] != whole[:-1])
-            least = s["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = s["doc"] > least
-            marks = {k: s[k][gone] for k in ("doc", "tag", "at")}
-            marks["mask"] = (np.uint64(1) << s["count"][gone].astype(np.uint64)) - np.uint64(1)
-            # the others are wanted if a different segment of another document has the gram and more on one side
-            rest = {k: v[~gone] for k, v in s.items()}
-            form = whole[~gone]
-            wanted = np.zeros(len(form), bool)
-            for side in ("left", "right"):
-                group = (rest["key"].astype(np.uint64) << np.uint64(16)) | rest[side]
-                by = np.argsort(group, kind="stable")
-                g, f, d = group[by], form[by], rest["doc"][by]
-                head = np.ones(len(g), bool)
-                head[1:] = g[1:] != g[:-1]
-                number = np.cumsum(head) - 1
-                at = np.flatnonzero(head)
-                mixed = np.zeros(len(at), bool)
-                if len(at):
-                    mixed = (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)) & (np.minimum.reduceat(f, at) < np.maximum.reduceat(f, at))
-                wanted[by[mixed[number] & (rest[side][by] > 0)]] = True
-            asked = {k: v[wanted] for k, v in rest.items()}
-            for kind, columns, layout in ((0, marks, MARK), (1, asked, WANTED)):
-                chunk = _chunk_of(columns["doc"], chunks)
-                for r, blob in _dealt(columns, layout, chunk):
-                    out["chunk"].append(int(chunk[r[0]]))
-                    out["kind"].append(kind)
-                    out["blob"].append(blob)
-        return pd.DataFrame(out).astype({"chunk": "int32", "kind": "int32"})
+        parts = [unpacked(blob, *ANCHORS) for blob in frame["blob"]]
+        names, name = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        segments = np.bincount(name, weights=np.concatenate([p[1] for p in parts]), minlength=len(names))
+        shared = (np.bincount(name, minlength=len(names)) > 1) | (np.bincount(name, weights=np.concatenate([p[2] for p in parts]), minlength=len(names)) > 0)
+        code = np.where(shared, np.where(segments > common, COMMON, SHARED), ALONE).astype(np.uint8)[name]
+        codes = np.split(code, np.cumsum([len(p[0]) for p in parts])[:-1])
+        return pd.DataFrame({"chunk": frame["chunk"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "codes": [packed(c) for c in codes]})
 
     return work
 
 
-def _located(docs, tags, columns):
-    """The row of the document that each record belongs to; -1 if it is not there."""
+def _codes(frame):
+    """The codes of a chunk's anchors, bucket by bucket."""
     import numpy as np
 
-    names = np.unique(docs)
-    order = np.argsort(np.searchsorted(names, docs) * 65536 + tags, kind="stable")
-    keys = (np.searchsorted(names, docs) * 65536 + tags)[order]
-    at = np.searchsorted(keys, np.searchsorted(names, columns["doc"]) * 65536 + columns["tag"])
-    row = order[np.minimum(at, len(keys) - 1)]
-    return np.where((docs[row] == columns["doc"]) & (tags[row] == columns["tag"]), row, -1)
+    codes = frame[frame["codes"].notna()].sort_values("bucket")["codes"]
+    return np.concatenate([unpacked(x, "u1")[0] for x in codes]) if len(codes) else np.array([], np.uint8)
 
 
-CONTEXT_SCHEMA = "bucket int, key long, doc long, tag int, at long, count int, text binary"
+def _send_texts(buckets: int, step_bytes: int):
+    """Each distinct text of a chunk that may also be elsewhere, to its bucket."""
 
-
-def _send_texts(buckets: int):
     def work(left, right):
         import numpy as np
         import pandas as pd
 
-        out: dict = {"bucket": [], "key": [], "doc": [], "tag": [], "at": [], "count": [], "text": []}
-        if len(left) and len(right):
-            w = unpacked(right["blob"], WANTED)
-            docs, tags, texts = left["doc_id"].to_numpy(), left["tag"].to_numpy(), left["text"].tolist()
-            row = _located(docs, tags, w)
-            has = row >= 0
-            at, end = w["at"].astype(np.int64), w["at"].astype(np.int64) + w["count"] + SPAN - 1
-            out = {
-                "bucket": (w["key"][has] % np.uint32(buckets)).astype(np.int32),
-                "key": w["key"][has].astype(np.int64),
-                "doc": w["doc"][has],
-                "tag": w["tag"][has].astype(np.int32),
-                "at": at[has],
-                "count": w["count"][has].astype(np.int32),
-                "text": [texts[r][a:b] for r, a, b in zip(row[has].tolist(), at[has].tolist(), end[has].tolist(), strict=True)],
-            }
-        return pd.DataFrame(out)
+        out: dict = {"bucket": [], "chunk": [], "blob": []}
+        for number, blob in zip(left["chunk"].tolist(), left["blob"], strict=True):
+            chunk = Chunk(blob, buckets, step_bytes)
+            (bucket, name, texts), (text, _, row) = chunk.texts(_codes(right))
+            least, most = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
+            np.minimum.at(least, text, chunk.docs[row])
+            np.maximum.at(most, text, chunk.docs[row])
+            several, lengths = (least < most).astype(np.uint8), np.array([len(t) for t in texts], np.uint8)
+            for b, r in _by(bucket):
+                own = np.frombuffer(b"".join([texts[i] for i in r.tolist()]), np.uint8)
+                out["bucket"].append(b)
+                out["chunk"].append(number)
+                out["blob"].append(packed(name[r], least[r], several[r], lengths[r], own))
+        return pd.DataFrame(out).astype({"bucket": "int32", "chunk": "int64"})
 
     return work
 
@@ -357,23 +302,20 @@ def _range_minima(values):
     block = 64
 
     def table(x, most):
-        levels = [x]
-        while (2 << (len(levels) - 1)) <= min(most, len(x)):
-            step = 1 << (len(levels) - 1)
-            levels.append(np.minimum(levels[-1][: len(x) - 2 * step + 1], levels[-1][step : len(x) - step + 1]))
+        levels = np.full((max(1, min(most, len(x)).bit_length()), len(x)), 255, x.dtype)
+        levels[0] = x
+        for d in range(1, len(levels)):
+            step = 1 << (d - 1)
+            np.minimum(levels[d - 1, : len(x) - 2 * step + 1], levels[d - 1, step : len(x) - step + 1], out=levels[d, : len(x) - 2 * step + 1])
         return levels
 
     def covered(levels, lo, hi):
-        out = np.zeros(len(lo), values.dtype)
-        depth = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        for d in np.unique(depth):
-            at = np.flatnonzero(depth == d)
-            out[at] = np.minimum(levels[d][lo[at]], levels[d][hi[at] - (1 << int(d))])
-        return out
+        depth = np.frexp(hi - lo)[1] - 1
+        return np.minimum(levels[depth, lo], levels[depth, hi - (1 << depth)])
 
     near = table(values, block)
     whole = len(values) // block
-    far = table(values[: whole * block].reshape(whole, block).min(axis=1), whole) if whole else []
+    far = table(values[: whole * block].reshape(whole, block).min(axis=1), whole) if whole else near
 
     def least(lo, hi):
         out = np.empty(len(lo), np.int64)
@@ -390,7 +332,68 @@ def _range_minima(values):
     return least
 
 
-def column_wise_order(texts: list[bytes], folder: str):
+def _blocks(transform_file: str, prefix_file: str, block: int) -> Iterator:
+    """(start, transform, prefix) of the two files, in sequence."""
+    import numpy as np
+
+    with open(transform_file, "rb") as t, open(prefix_file, "rb") as p:
+        start = 0
+        while raw := t.read(block):
+            yield start, np.frombuffer(raw, np.uint8), np.frombuffer(p.read(block), np.uint8)
+            start += len(raw)
+
+
+def _meet(blocks: Iterator, place, symbols):
+    """For places in order and the symbols there: (rank of the symbol, prefix shared with the one before, with the one after).
+
+    One pass over the files. Between blocks only a count, the least prefix since the last
+    occurrence, and the place that waits for the next one are kept for each symbol.
+    """
+    import numpy as np
+
+    rank, own, after = (np.zeros(len(place), np.int64) for _ in range(3))
+    seen, carry, waiting = np.zeros(256, np.int64), np.full(256, 255, np.int64), np.full(256, -1, np.int64)
+    for start, transform, prefix in blocks:
+        n = len(transform)
+        lo, hi = np.searchsorted(place, (start, start + n))
+        order = np.argsort(transform, kind="stable")
+        counts = np.bincount(transform, minlength=256)
+        heads = np.concatenate([[0], np.cumsum(counts)])
+        here = np.flatnonzero(counts)
+        least = _range_minima(prefix)
+        up_to = lambda ends, least=least: least(np.zeros(len(ends), np.int64), ends + 1)
+        held = waiting[here]
+        ends = held >= 0
+        after[held[ends]] = 1 + np.minimum(carry[here[ends]], up_to(order[heads[here[ends]]]))
+        waiting[here] = -1
+        if hi > lo:
+            at, symbol = place[lo:hi] - start, symbols[lo:hi]
+            asked = np.zeros(n, bool)
+            asked[at] = True
+            nth = np.empty(hi - lo, np.int64)
+            nth[np.argsort(symbol, kind="stable")] = np.flatnonzero(asked[order])
+            rank[lo:hi] = seen[symbol] + nth - heads[symbol]
+            has = nth > heads[symbol]
+            found = np.zeros(hi - lo, np.int64)
+            found[has] = 1 + least(order[nth[has] - 1] + 1, at[has] + 1)
+            has = ~has & (seen[symbol] > 0)
+            found[has] = 1 + np.minimum(carry[symbol[has]], up_to(at[has]))
+            own[lo:hi] = found
+            has = nth + 1 < heads[symbol.astype(np.int64) + 1]
+            found = np.zeros(hi - lo, np.int64)
+            found[has] = 1 + least(at[has] + 1, order[nth[has] + 1] + 1)
+            after[lo:hi] = found
+            waiting[symbol[~has]] = lo + np.flatnonzero(~has)
+        carry = np.minimum(carry, prefix.min())
+        lasts = order[heads[here + 1] - 1]
+        inner = lasts + 1 < n
+        carry[here] = 255
+        carry[here[inner]] = least(lasts[inner] + 1, np.full(int(inner.sum()), n))
+        seen += counts
+    return rank, own, after
+
+
+def column_wise_order(texts: list[bytes], folder: str, block: int = BLOCK):
     """(document, offset, common prefix) of all suffixes of a collection, in order.
 
     Round j inserts the suffix of j symbols of each document that is long enough. The
@@ -398,9 +401,12 @@ def column_wise_order(texts: list[bytes], folder: str):
     and of equal ones before it, in the transform; its common prefix with its neighbours
     is one more than the least common prefix between the places of their tails. Ends of
     documents are smaller than all symbols and differ by document. The transform and the
-    prefixes are files of the round before, read and written in sequence. Documents and
-    offsets are read off at the end, by walking the transform from the ends.
+    prefixes are files in ``folder``; each round reads those of the round before in
+    sequence, block by block, and writes its own. Documents and offsets are read off at
+    the end, by walking the transform from the ends.
     """
+    import os
+
     import numpy as np
 
     m = len(texts)
@@ -411,50 +417,41 @@ def column_wise_order(texts: list[bytes], folder: str):
     cells = np.zeros((m, rounds + 1), np.uint8)  # symbols from the end, 0 before the start
     for i, t in enumerate(texts):
         cells[i, : len(t)] = np.frombuffer(t, np.uint8)[::-1] + 1
-    transform_file, prefix_file = f"{folder}/transform", f"{folder}/prefix"
-    cells[:, 0].tofile(transform_file)
+    cells = np.ascontiguousarray(cells.T)
+    transform_file, prefix_file = f"{folder}/transform-0", f"{folder}/prefix-0"
+    cells[0].tofile(transform_file)
     np.zeros(m, np.uint8).tofile(prefix_file)
-    place, active = np.arange(m), np.arange(m)
+    counts = np.bincount(cells[0], minlength=256)
+    place, active, total = np.arange(m), np.arange(m), m
     for j in range(1, rounds + 1):
-        transform, prefix = np.fromfile(transform_file, np.uint8), np.fromfile(prefix_file, np.uint8)
-        symbols = cells[active, j - 1]
+        symbols = cells[j - 1][active]
         going = symbols > 0
         active, place, symbols = active[going], place[going], symbols[going]
         if not len(active):
             break
-        order = np.argsort(transform, kind="stable")  # places by symbol, then as they stand
-        starts = np.concatenate([[0], np.cumsum(np.bincount(transform, minlength=256))])
-        nth = np.empty(len(place), np.int64)
-        by_symbol = np.argsort(symbols, kind="stable")
-        for rows in np.split(by_symbol, np.flatnonzero(np.diff(symbols[by_symbol])) + 1):
-            low, high = starts[int(symbols[rows[0]])], starts[int(symbols[rows[0]]) + 1]
-            nth[rows] = low + np.searchsorted(order[low:high], place[rows])
-        target = m + nth - starts[1]  # ends precede nothing; the m empty suffixes come first
-        same = nth > starts[symbols]
-        follows = nth + 1 < starts[symbols.astype(np.int64) + 1]
-        before, after = order[np.maximum(nth - 1, 0)], order[np.minimum(nth + 1, len(order) - 1)]
-        # least prefixes between a tail and the ones before and after it with its symbol
-        least = _range_minima(prefix)
-        own, next_one = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        own[same] = 1 + least(before[same] + 1, place[same] + 1)
-        next_one[follows] = 1 + least(place[follows] + 1, after[follows] + 1)
-        # the new order holds all suffixes of the round before, and the ones inserted now
-        total = len(transform) + len(active)
-        kept = np.ones(total, bool)
-        kept[target] = False
-        grown = []
-        for x, values in ((transform, cells[active, j]), (prefix, np.minimum(own, 255))):
-            y = np.empty(total, np.uint8)
-            y[kept] = x
-            y[target] = values
-            grown.append(y)
-        # a suffix that now follows an inserted one shares with it what was found above
-        later = target + 1
-        touched = (later < total) & kept[np.minimum(later, total - 1)]
-        grown[1][later[touched]] = np.minimum(next_one[touched], 255)
-        grown[0].tofile(transform_file)
-        grown[1].tofile(prefix_file)
-        place = target
+        rank, own, after = _meet(_blocks(transform_file, prefix_file, block), place, symbols)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        # ends precede nothing; the m empty suffixes come first. Places are in order within a symbol
+        by = np.argsort(symbols, kind="stable")
+        place, active = (m + starts[symbols] - starts[1] + rank)[by], active[by]
+        before = place - np.arange(len(by))  # rows of the files that come before an inserted one
+        new_symbols, new_prefixes, next_prefixes = cells[j][active], np.minimum(own[by], 255).astype(np.uint8), np.minimum(after[by], 255).astype(np.uint8)
+        last = np.concatenate([before[1:] != before[:-1], [True]])  # the row that follows this one was there already
+        grown = f"{folder}/transform-{j}", f"{folder}/prefix-{j}"
+        with open(grown[0], "wb") as t, open(grown[1], "wb") as p:
+            for start, transform, prefix in _blocks(transform_file, prefix_file, block):
+                stop = start + len(transform)
+                lo, hi = np.searchsorted(before, (start, stop if stop < total else stop + 1))
+                prefix = prefix.copy()
+                follows = np.flatnonzero(last[lo:hi] & (before[lo:hi] < stop)) + lo
+                prefix[before[follows] - start] = next_prefixes[follows]
+                t.write(np.insert(transform, before[lo:hi] - start, new_symbols[lo:hi]).tobytes())
+                p.write(np.insert(prefix, before[lo:hi] - start, new_prefixes[lo:hi]).tobytes())
+        for name in (transform_file, prefix_file):
+            os.unlink(name)
+        transform_file, prefix_file = grown
+        counts += np.bincount(new_symbols, minlength=256)
+        total += len(by)
     transform, prefix = np.fromfile(transform_file, np.uint8), np.fromfile(prefix_file, np.uint8)
     order = np.argsort(transform, kind="stable")
     to = np.empty(len(order), np.int64)
@@ -468,52 +465,87 @@ def column_wise_order(texts: list[bytes], folder: str):
     return owner, offset, prefix
 
 
-def repeated_strings(texts: list[bytes], docs):
-    """Per text, a mask of the strings of SPAN bytes that a text of a smaller document has too."""
+def least_documents(texts: list[bytes], docs):
+    """(text, first string, strings, doc_id): the smallest document of each string of SPAN bytes of distinct texts.
+
+    ``docs`` has the smallest document of each text. Strings that follow each other and
+    have the same smallest document are one row. The files of the order are scratch of
+    the task, on the executor's own disk, and end with the call.
+    """
     import tempfile
 
     import numpy as np
 
-    # a document that repeats a text to itself asks for it once
-    rows: dict = {}
-    row = np.array([rows.setdefault((t, d), len(rows)) for t, d in zip(texts, docs.tolist(), strict=True)], np.int64)
-    texts, docs = [t for t, _ in rows], np.array([d for _, d in rows], np.int64)
     with tempfile.TemporaryDirectory(prefix="cytolith-suffixes-") as folder:
         owner, offset, prefix = column_wise_order(texts, folder)
-    full = np.array([len(t) for t in texts])[owner] - offset >= SPAN
+    full = np.array([len(t) for t in texts], np.int64)[owner] - offset >= SPAN
     run = np.cumsum(prefix < SPAN)
     owner, offset, run = owner[full], offset[full], run[full]
-    masks = np.zeros(len(texts), np.uint32)
-    if len(owner):
-        head = np.ones(len(run), bool)
-        head[1:] = run[1:] != run[:-1]
-        least = np.minimum.reduceat(docs[owner], np.flatnonzero(head))[np.cumsum(head) - 1]
-        gone = docs[owner] > least
-        np.bitwise_or.at(masks, owner[gone], (np.uint64(1) << offset[gone].astype(np.uint64)).astype(np.uint32))
-    return masks[row]
+    heads = np.flatnonzero(np.diff(run, prepend=-1))
+    least = np.minimum.reduceat(docs[owner], heads)[np.cumsum(np.diff(run, prepend=-1) != 0) - 1]
+    order = np.lexsort((offset, owner))
+    owner, offset, least = owner[order], offset[order], least[order]
+    opens = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(least, prepend=-1) != 0))
+    return owner[opens], offset[opens], np.diff(opens, append=len(owner)), least[opens]
 
 
-def _order_texts(chunks: int, group: int):
-    """Marks of the repeated strings of a bucket's texts, whole anchors at a time, about ``group`` texts."""
+def _order_texts(group: int):
+    """Marks for the chunks that have texts in a bucket, from the order of whole anchors, about ``group`` texts at a time."""
 
     def work(frame):
         import numpy as np
         import pandas as pd
 
-        frame = frame.sort_values("key", kind="stable")
-        keys, docs = frame["key"].to_numpy(), frame["doc"].to_numpy()
-        texts = frame["text"].tolist()
-        masks = np.zeros(len(keys), np.uint32)
-        start = 0
-        while start < len(keys):
-            end = int(np.searchsorted(keys, keys[min(start + group, len(keys)) - 1], side="right"))
-            masks[start:end] = repeated_strings(texts[start:end], docs[start:end])
+        known: dict = {}
+        text, docs, several, nth, chunk, names = [], [], [], [], [], []
+        for number, blob in zip(frame["chunk"].tolist(), frame["blob"], strict=True):
+            name, least, multi, lengths, raw = unpacked(blob, *TEXTS)
+            ends, raw = np.cumsum(lengths.astype(np.int64)), raw.tobytes()
+            text.append([known.setdefault(raw[b - n : b], len(known)) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)])
+            docs.append(least)
+            several.append(multi)
+            names.append(name)
+            nth.append(np.arange(len(name)))
+            chunk.append(np.full(len(name), number))
+        text, docs, several, nth, chunk, names = (np.concatenate(x) for x in (text, docs, several, nth, chunk, names))
+        texts = list(known)
+        del known
+        least, anchor = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+        np.minimum.at(least, text, docs)
+        anchor[text] = names
+        # texts of one anchor are put in order together; where all are of one document, nothing is repeated
+        most, lone = least.copy(), np.ones(len(texts), bool)
+        np.maximum.at(most, text, docs)
+        lone[text[several > 0]] = False
+        groups, own = np.unique(anchor, return_inverse=True)
+        low, high, single = np.full(len(groups), np.iinfo(np.int64).max), np.full(len(groups), np.iinfo(np.int64).min), np.ones(len(groups), bool)
+        np.minimum.at(low, own, least)
+        np.maximum.at(high, own, most)
+        single[own[~lone]] = False
+        order = np.argsort(anchor, kind="stable")
+        order = order[~(single & (low == high))[own[order]]]
+        parts, start = [], 0
+        while start < len(order):
+            end = int(np.searchsorted(anchor[order], anchor[order[min(start + group, len(order)) - 1]], side="right"))
+            mine = order[start:end]
+            owner, *rest = least_documents([texts[i] for i in mine.tolist()], least[mine])
+            parts.append((mine[owner], *rest))
             start = end
-        hit = masks > 0
-        marks = {"doc": docs[hit], "tag": frame["tag"].to_numpy()[hit], "at": frame["at"].to_numpy()[hit], "mask": masks[hit]}
-        chunk = _chunk_of(marks["doc"], chunks)
-        rows = [(int(chunk[r[0]]), blob) for r, blob in _dealt(marks, MARK, chunk)]
-        return pd.DataFrame({"chunk": np.array([c for c, _ in rows], np.int32), "blob": [b for _, b in rows]})
+        out: dict = {"chunk": [], "bucket": [], "marks": []}
+        if parts:
+            owner, first, n, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(owner, kind="stable")
+            owner, first, n, doc = owner[by], first[by], n[by], doc[by]
+            lo, hi = np.searchsorted(owner, text, side="left"), np.searchsorted(owner, text, side="right")
+            which = np.repeat(np.arange(len(text)), hi - lo)
+            run = np.arange(len(which)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[which]
+            told = (doc[run] < docs[which]) | (several[which] > 0)
+            which, run = which[told], run[told]
+            for number, rows in _by(chunk[which]):
+                out["chunk"].append(number)
+                out["bucket"].append(int(frame["bucket"].iloc[0]))
+                out["marks"].append(packed(nth[which[rows]].astype("<u4"), first[run[rows]].astype("u1"), n[run[rows]].astype("u1"), doc[run[rows]].astype("<i8")))
+        return pd.DataFrame(out).astype({"bucket": "int32", "chunk": "int64"})
 
     return work
 
@@ -521,48 +553,47 @@ def _order_texts(chunks: int, group: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, starts array<long>, ends array<long>"
 
 
-def _cut(with_texts: bool):
+def _cut(buckets: int, step_bytes: int, with_texts: bool):
+    """The rows of a chunk without the strings that start in smaller documents."""
+
+    def removed(chunk: Chunk, answers):
+        import numpy as np
+
+        edges = np.zeros(len(chunk.data) + 1, np.int32)
+        marks = answers[answers["marks"].notna()]
+        if len(marks):
+            (bucket, _, texts), (text, start, row) = chunk.texts(_codes(answers))
+            places = dict(_by(bucket))
+            at = np.argsort(text, kind="stable")
+            heads = np.searchsorted(text[at], np.arange(len(texts) + 1))
+            for b, blob in zip(marks["bucket"].tolist(), marks["marks"], strict=True):
+                nth, first, n, doc = unpacked(blob, *MARKS)
+                own = places[b][nth]
+                times = heads[own + 1] - heads[own]
+                which = np.repeat(np.arange(len(own)), times)
+                there = at[np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + heads[own[which]]]
+                gone = chunk.docs[row[there]] > doc[which]
+                begin = start[there[gone]] + first[which[gone]]
+                np.add.at(edges, begin, 1)
+                np.add.at(edges, begin + n[which[gone]].astype(np.int64) + SPAN - 1, -1)
+        return np.cumsum(edges[:-1]) > 0
+
     def work(left, right):
         import hashlib
 
         import numpy as np
         import pandas as pd
 
-        texts = left["text"].tolist()
-        lengths = np.array([len(t) for t in texts], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        removed = np.zeros(len(data) + 1, np.int32)
-        docs, tags = left["doc_id"].to_numpy(), left["tag"].to_numpy()
-        if len(right) and len(texts):
-            m = unpacked(right["blob"], MARK)
-            rows = _located(docs, tags, m)
-            # repeated rows of a document have the same marks
-            first_of: dict = {}
-            twins = [(i, first_of.setdefault((d, t), i)) for i, (d, t) in enumerate(zip(docs.tolist(), tags.tolist(), strict=True))]
-            found, bit = np.nonzero((m["mask"][:, None] >> np.arange(WINDOW, dtype=np.uint32)) & 1)
-            found, bit = found[rows[found] >= 0], bit[rows[found] >= 0]
-            at = starts[rows[found]] + m["at"][found] + bit
-            removed += np.bincount(at, minlength=len(removed)).astype(np.int32)
-            removed -= np.bincount(at + SPAN, minlength=len(removed)).astype(np.int32)
-            removed = np.cumsum(removed[:-1]) > 0
-            for i, j in twins:
-                if i != j:
-                    a, b = sorted((i, j))
-                    either = removed[starts[a] : starts[a + 1]] | removed[starts[b] : starts[b + 1]]
-                    removed[starts[a] : starts[a + 1]] = removed[starts[b] : starts[b + 1]] = either
-        else:
-            removed = np.zeros(len(data), bool)
         out = []
-        for i, doc in enumerate(docs.tolist()):
-            gone = removed[starts[i] : starts[i + 1]]
-            kept = data[starts[i] : starts[i + 1]][~gone].tobytes() if gone.any() else texts[i]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))) if gone.any() else np.array([], np.int64)
-            spans = edges.reshape(-1, 2)
-            out.append(
-                (doc, int(lengths[i]), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest())
-                + ((kept, spans[:, 0].tolist(), spans[:, 1].tolist()) if with_texts else (None, None, None))
-            )
+        for blob in left["blob"]:
+            chunk = Chunk(blob, buckets, step_bytes)
+            mask = removed(chunk, right)
+            for i, doc in enumerate(chunk.docs.tolist()):
+                data, gone = chunk.data[chunk.offsets[i] : chunk.offsets[i + 1]], mask[chunk.offsets[i] : chunk.offsets[i + 1]]
+                kept = data[~gone].tobytes()
+                spans = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
+                texts = (kept, spans[:, 0].tolist(), spans[:, 1].tolist()) if with_texts else (None, None, None)
+                out.append((doc, len(data), int(gone.sum()), len(spans), hashlib.sha256(kept).hexdigest(), *texts))
         return pd.DataFrame(out, columns=[x.split()[0] for x in RESULT.split(", ")])
 
     return work
@@ -575,25 +606,20 @@ def remove_repeats(docs: DataFrame, with_texts: bool = True) -> DataFrame:
     a smaller doc_id lose their bytes; n_spans and starts, ends give the maximal removed
     runs, kept the bytes left (null without ``with_texts``). Nulls and texts shorter than
     SPAN lose nothing. Rows that repeat a doc_id are equal in rank: none removes from
-    another. Rows without a doc_id lose nothing and are no source.
+    another, whether their texts are equal or not. Rows without a doc_id lose nothing and
+    are no source. Other columns are not read. An empty table gives an empty result. Runs
+    the first of its jobs when it is called.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("t")).select(
-        "doc_id", (F.xxhash64("t").bitwiseAND(F.lit(0xFFFF))).cast("int").alias("tag"), F.encode("t", "UTF-8").alias("text")
-    )
-    total, rows = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets, chunks = max(48, total // BUCKET_BYTES) | 1, max(48, total // CHUNK_BYTES) | 1
-    named = texts.where("doc_id is not null")
-    long = named.where(F.octet_length("text") >= SPAN)
-    shared = docs.sparkSession.sparkContext.broadcast(_common_anchors(long, rows, STEP_BYTES))
-    sent = long.mapInArrow(_send_segments(buckets, chunks, STEP_BYTES, shared), "bucket int, chunk int, blob binary")
-    settled = checkpointed(sent.groupBy("bucket").applyInPandas(_settle(chunks), "chunk int, kind int, blob binary"))
-
-    dealt = named.withColumn("chunk", _chunk(chunks))
-    wanted = settled.where("kind = 1").select("chunk", "blob")
-    contexts = dealt.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInPandas(_send_texts(buckets), CONTEXT_SCHEMA)
-    ordered = contexts.groupBy("bucket").applyInPandas(_order_texts(chunks, GROUP), "chunk int, blob binary")
-    marks = settled.where("kind = 0").select("chunk", "blob").unionByName(ordered)
-    found = dealt.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInPandas(_cut(with_texts), RESULT)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("text"))
+    chunks = stored(texts.where("doc_id is not null").mapInArrow(_pack_chunks(CHUNK_BYTES), "chunk long, n_bytes long, blob binary"), "suffix-chunks")
+    total = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    buckets, chunks = max(24, total // BUCKET_BYTES) | 1, chunks.select("chunk", "blob")
+    anchors = chunks.mapInArrow(_send_anchors(buckets, STEP_BYTES), "bucket int, chunk long, blob binary")
+    codes = checkpointed(anchors.groupBy("bucket").applyInPandas(_judge_anchors(GROUP), "chunk long, bucket int, codes binary"))
+    sent = chunks.groupBy("chunk").cogroup(codes.groupBy("chunk")).applyInPandas(_send_texts(buckets, STEP_BYTES), "bucket int, chunk long, blob binary")
+    marks = sent.groupBy("bucket").applyInPandas(_order_texts(GROUP), "chunk long, bucket int, marks binary")
+    answers = codes.withColumn("marks", F.lit(None).cast("binary")).unionByName(marks.withColumn("codes", F.lit(None).cast("binary")))
+    found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(_cut(buckets, STEP_BYTES, with_texts), RESULT)
     lone = texts.where("doc_id is null").select(
         "doc_id",
         F.octet_length("text").cast("long").alias("n_bytes"),

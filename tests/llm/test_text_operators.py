@@ -107,15 +107,16 @@ def repeating_texts(seed):
     return [*out, None, "", "a" * 300, "a" * 49, "ab" * 200, out[0], out[0], "x" + out[1]]
 
 
-@pytest.mark.parametrize(("seed", "step", "common"), [(1, 4 << 20, 50_000), (2, 64, 50_000), (3, 4 << 20, 3)])
-def test_suffix_dedup_equals_brute_force(spark, seed, step, common, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP", 50)
+@pytest.mark.parametrize(("seed", "step", "group", "chunk"), [(1, 1 << 20, 20_000, 4 << 20), (2, 64, 50, 500), (3, 200, 3, 2000), (4, 1 << 20, 0, 1000)])
+def test_suffix_dedup_equals_brute_force(spark, seed, step, group, chunk, monkeypatch):
+    """Steps, chunks and groups of all sizes; with a group of 0 every shared anchor is common."""
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     monkeypatch.setattr(suffix_dedup, "STEP_BYTES", step)
-    monkeypatch.setattr(suffix_dedup, "COMMON_SEGMENTS", common)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
     texts = repeating_texts(seed)
     docs = list(enumerate(texts, 1))
-    docs += [docs[3], docs[20]]  # repeated rows
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    docs += [docs[3], docs[20], (4, texts[7]), (2, texts[20]), (9, "another text of that identifier, of more than fifty bytes" * 2)]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], "doc_id long, text string, chunk string, n_bytes int")
     found = suffix_dedup.remove_repeats(df)
     got = sorted(tuple(r) for r in found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
     assert got == brute_repeats(docs)
@@ -130,13 +131,26 @@ def test_suffix_dedup_of_null_identifiers_and_empty_tables(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_many_texts_of_one_identifier_and_a_very_long_one(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(5 << 20))
+    docs = [(7, words(20, i)) for i in range(1000)] + [(3, words(20, 5)), (9, words(20, 17) + " tail"), (8, long), (10, "head " + long[4_000_000:4_000_400])]
+    got = {(r.doc_id, r.n_bytes): r for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[8, 5 << 20].n_removed == 0 and got[10, 405].n_removed == 400
+    seven = [x for x in docs if x[0] == 7]
+    expected = brute_repeats([*seven, *(x for x in docs if x[0] in (3, 9))])
+    df = spark.createDataFrame([*seven, *(x for x in docs if x[0] in (3, 9))], "doc_id long, text string")
+    assert sorted(tuple(r) for r in suffix_dedup.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == expected
+
+
 def test_column_wise_order(tmp_path):
     r = random.Random(3)
     for n in range(60):
         texts = ["".join(r.choice("ab") for _ in range(r.randint(1, 12))).encode() for _ in range(r.randint(1, 9))]
         folder = tmp_path / str(n)
         folder.mkdir()
-        owner, offset, prefix = suffix_dedup.column_wise_order(texts, str(folder))
+        owner, offset, prefix = suffix_dedup.column_wise_order(texts, str(folder), r.choice([1, 7, 64, 1000]))
         expected = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
         assert [(texts[a][b:], a, b) for a, b in zip(owner.tolist(), offset.tolist(), strict=True)] == expected
         for x in range(1, len(expected)):
@@ -148,7 +162,7 @@ def test_column_wise_order_of_many_texts(tmp_path):
     r = random.Random(4)
     pool = ["".join(r.choice("abcdefgh ") for _ in range(40)) for _ in range(30)]
     texts = [(r.choice(pool) + r.choice("xyz") + r.choice(pool))[: r.randint(55, 76)].encode() for _ in range(500)]
-    owner, offset, prefix = suffix_dedup.column_wise_order(texts, str(tmp_path))
+    owner, offset, prefix = suffix_dedup.column_wise_order(texts, str(tmp_path), 5000)
     expected = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
     assert list(zip(owner.tolist(), offset.tolist(), strict=True)) == [(i, k) for _, i, k in expected]
     for x in range(1, len(expected), 7):
