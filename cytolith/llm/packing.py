@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolith.llm.common import checkpointed, whole_text
-from cytolith.llm.tokens import default_path, encoding, read_vocabulary
+from cytolith.llm.tokens import default_path, encoder, read_vocabulary
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
         import numpy as np
         import pyarrow as pa
 
-        encode = encoding(shared.value).encode_ordinary
+        encode = encoder(shared.value)
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in batches:

@@ -4,8 +4,9 @@ A text is cut into blocks at places where a pre-token ends whatever stands furth
 between a character that is no white space and a single space before another such
 character. Blocks can be encoded apart from each other, so the leaves of a document's
 tree hold their lengths and token counts and inner nodes hold sums. An edit re-encodes
-the blocks it touches, with two characters of context to either side, and updates the
-sums on the way to the root; all other blocks keep their counts.
+the blocks it touches, with two characters of context to either side, cuts what has grown
+too long, and updates the sums on the way to the root; all other blocks keep their counts.
+Trees are kept as a column beside the texts: the leaves' counts, from which the rest follows.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import whole_text
-from cytolith.llm.tokens import default_path, encoding, read_vocabulary
+from cytolith.llm.common import stored, whole_text
+from cytolith.llm.tokens import default_path, encoder, read_vocabulary
 
 BLOCK_CHARS = 256
 CONTEXT_CHARS = 2
@@ -31,15 +32,19 @@ class TokenTree:
         """``counts`` are the token counts of the blocks of this text, if they are known."""
         self.count = count
         self.encoded = 0
-        self.blocks = self.cut(text)
+        blocks = self.cut(text)
         if counts is None:
-            counts = [self._encode(block) for block in self.blocks]
-        elif len(counts) != len(self.blocks):
+            counts = [self._encode(block) for block in blocks]
+        elif len(counts) != len(blocks):
             raise ValueError("the counts are not those of this text")
-        self.size = 1 << max(0, len(self.blocks) - 1).bit_length()
+        self._plant(blocks, counts)
+
+    def _plant(self, blocks: list[str], counts: list[int]) -> None:
+        self.blocks = blocks
+        self.size = 1 << max(0, len(blocks) - 1).bit_length()
         self.chars = [0] * (2 * self.size)
         self.tokens = [0] * (2 * self.size)
-        for i, (block, n) in enumerate(zip(self.blocks, counts, strict=True)):
+        for i, (block, n) in enumerate(zip(blocks, counts, strict=True)):
             self.chars[self.size + i], self.tokens[self.size + i] = len(block), n
         for i in range(self.size - 1, 0, -1):
             self._sum(i)
@@ -83,16 +88,19 @@ class TokenTree:
         n = self.chars[1]
         if not 0 <= start <= end <= n:
             raise ValueError(f"an edit from {start} to {end} is outside a text of {n} characters")
-        if not n:
-            self._set(0, new, self._encode(new))
-            return
-        first, offset = self._find(max(0, start - CONTEXT_CHARS))
-        last, _ = self._find(min(n - 1, end + CONTEXT_CHARS))
+        first, offset = self._find(max(0, start - CONTEXT_CHARS)) if n else (0, 0)
+        last = self._find(min(n - 1, end + CONTEXT_CHARS))[0] if n else 0
         text = "".join(self.blocks[first : last + 1])
-        text = text[: start - offset] + new + text[end - offset :]
-        for block in range(first + 1, last + 1):
-            self._set(block, "", 0)
-        self._set(first, text, self._encode(text))
+        pieces = self.cut(text[: start - offset] + new + text[end - offset :])
+        counts = [self._encode(piece) for piece in pieces]
+        slots = last + 1 - first
+        if len(pieces) > slots:
+            # more blocks than leaves: the tree is planted again, with the counts that are known
+            known = self.tokens[self.size : self.size + len(self.blocks)]
+            self._plant(self.blocks[:first] + pieces + self.blocks[last + 1 :], known[:first] + counts + known[last + 1 :])
+            return
+        for i in range(slots):
+            self._set(first + i, *((pieces[i], counts[i]) if i < len(pieces) else ("", 0)))
 
     def total(self) -> int:
         return self.tokens[1]
@@ -101,25 +109,31 @@ class TokenTree:
         return "".join(self.blocks)
 
 
-def apply_in_order(tree: TokenTree, edits: list[tuple[int, int, str]]) -> int:
-    """Apply edits in coordinates of the unedited text; one that overlaps an earlier one is left out."""
+def apply_in_order(tree: TokenTree, edits: list[tuple[int | None, int | None, str | None]]) -> int:
+    """Apply edits in coordinates of the unedited text, and say how many.
+
+    Left out are edits without a start or end, those that reach beyond the text or end
+    before they start, and those that overlap one that comes before them in order of
+    start, end and replacement. A null replacement is empty.
+    """
+    n = tree.chars[1]
     kept, at = [], 0
-    for start, end, new in sorted(edits):
-        if start >= at:
+    for start, end, new in sorted((a, b, c or "") for a, b, c in edits if a is not None and b is not None):
+        if at <= start <= end <= n:
             kept.append((start, end, new))
-            at = max(end, start)
+            at = end
     for start, end, new in reversed(kept):
         tree.replace(start, end, new)
     return len(kept)
 
 
 def _counter(vocabulary: bytes) -> Callable[[str], int]:
-    encode = encoding(vocabulary).encode_ordinary
+    encode = encoder(vocabulary)
     return lambda text: len(encode(text))
 
 
 def build(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, counts) per row: the tokens of the whole text and of each of its blocks.
+    """(doc_id, text, n_tokens, counts) per row: the tokens of the whole text and of each of its blocks.
 
     Null texts count as empty, with no tokens. Repeated rows and null identifiers stay.
     """
@@ -131,37 +145,40 @@ def build(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         count = _counter(shared.value)
         for batch in batches:
             counts = [[count(block) for block in TokenTree.cut(x.as_py())] for x in batch.column(1)]
-            columns = [batch.column(0), pa.array([sum(x) for x in counts], pa.int64()), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "counts"])
+            columns = [batch.column(0), batch.column(1), pa.array([sum(x) for x in counts], pa.int64()), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "n_tokens", "counts"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, counts array<int>")
+    return rows.mapInArrow(work, "doc_id long, text string, n_tokens long, counts array<int>")
 
 
 def recount(rows: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, n_tokens_after, n_edits, n_chars, n_chars_encoded_again, text_after) of rows with edits.
+    """(doc_id, n_tokens, n_tokens_after, n_edits, n_edits_left_out, n_chars, n_chars_encoded_again, text_after).
 
     ``rows`` has doc_id, text, edits as array<struct<start, end, replacement>> in code
-    points, and counts from ``build``, or null to count the text first. Only blocks that
-    edits touch are encoded again. Null texts, edits and replacements count as empty.
+    points, and counts from ``build``; null counts, or those of another number of blocks,
+    are made anew from the text. Only blocks that edits touch are encoded again. Null
+    texts and lists of edits count as empty; ``apply_in_order`` says which edits are left out.
     """
     shared = rows.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer_path or default_path()))
-    schema = "doc_id long, n_tokens long, n_tokens_after long, n_edits int, n_chars long, n_chars_encoded_again long, text_after string"
+    schema = "doc_id long, n_tokens long, n_tokens_after long, n_edits int, n_edits_left_out int, n_chars long, n_chars_encoded_again long, text_after string"
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         count = _counter(shared.value)
         names = [x.split()[0] for x in schema.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             out = []
             for doc, text, edits, counts in zip(*(batch.column(i) for i in range(4)), strict=True):
-                text, edits = text.as_py(), edits.as_py() or []
-                tree = TokenTree(text, count, counts.as_py())
+                text, edits, counts = text.as_py(), [e or {} for e in edits.as_py() or []], counts.as_py()
+                if counts is not None and (None in counts or len(counts) != len(TokenTree.cut(text))):
+                    counts = None
+                tree = TokenTree(text, count, counts)
                 before, tree.encoded = tree.total(), 0
-                n = apply_in_order(tree, [(e["start"], e["end"], e["replacement"] or "") for e in edits])
-                out.append((doc.as_py(), before, tree.total(), n, len(text), tree.encoded, tree.text()))
+                n = apply_in_order(tree, [(e.get("start"), e.get("end"), e.get("replacement")) for e in edits])
+                out.append((doc.as_py(), before, tree.total(), n, len(edits) - n, len(text), tree.encoded, tree.text()))
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -170,14 +187,14 @@ def recount(rows: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
     return rows.select(*columns).mapInArrow(work, schema)
 
 
-def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
-    """``recount`` for a table of edits (doc_id, start, end, replacement) and trees kept by ``build``.
+def apply_edits(trees: DataFrame, edits: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """``recount`` for a table of edits (doc_id, start, end, replacement) and trees from ``build``.
 
-    Only documents with edits are read further and returned.
+    Only documents with edits are read further and returned. Rows that share a doc_id all
+    get its edits; edits without a doc_id, or with one that no tree has, do nothing.
     """
     listed = edits.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "replacement")).alias("edits"))
-    rows = docs.select("doc_id", "text").join(listed, "doc_id").join(trees.select("doc_id", "counts").dropDuplicates(["doc_id"]), "doc_id", "left")
-    return recount(rows, tokenizer_path)
+    return recount(trees.select("doc_id", "text", "counts").join(listed, "doc_id"), tokenizer_path)
 
 
 #: What the query edits out: mail addresses and long numbers.
@@ -188,7 +205,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after its mail addresses and long numbers are edited out."""
     from cytolith.llm.common import read_table
 
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", whole_text().alias("text"))
+    trees = stored(build(read_table(spark, sf_dir, "documents")), "token-trees")
     gaps, hits = F.split("text", REDACTED, -1), F.regexp_extract_all("text", F.lit(REDACTED), F.lit(0))
     parts = F.zip_with(gaps, hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
     none = F.array().cast("array<struct<start:int,end:int,replacement:string>>")
@@ -200,5 +217,4 @@ def query(spark, sf_dir: str) -> DataFrame:
         return F.struct(end.alias("at"), F.when(part["hit"].isNull(), state["edits"]).otherwise(F.concat(state["edits"], F.array(edit))).alias("edits"))
 
     edits = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("edits")), step, lambda state: state["edits"])
-    rows = docs.withColumn("edits", F.when(F.col("text").rlike(REDACTED), edits).otherwise(none)).withColumn("counts", F.lit(None).cast("array<int>"))
-    return recount(rows).drop("text_after")
+    return recount(trees.withColumn("edits", F.when(F.col("text").rlike(REDACTED), edits).otherwise(none))).drop("text_after")

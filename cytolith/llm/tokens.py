@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import lru_cache
 
 
@@ -20,7 +21,7 @@ def read_vocabulary(path: str) -> bytes:
 
 @lru_cache(maxsize=2)
 def encoding(vocabulary: bytes):
-    """An encoder with the ids of the tokenizer in ``vocabulary``, where special tokens count as text.
+    """An encoder with the ids of the tokenizer in ``vocabulary``; its added tokens are one id wherever they stand.
 
     Byte-level vocabularies spell each byte as a printable character; undoing this gives
     the byte strings, whose ids are their merge ranks.
@@ -32,6 +33,12 @@ def encoding(vocabulary: bytes):
     byte_of = {chr(b): b for b in printable}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
     model = json.loads(vocabulary)
-    special = {x["content"] for x in model.get("added_tokens", [])}
+    special = {x["content"]: x["id"] for x in model.get("added_tokens", [])}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def encoder(vocabulary: bytes) -> Callable[[str], list[int]]:
+    """Text to ids, as the tokenizer of the vocabulary file gives them without further special tokens."""
+    found = encoding(vocabulary)
+    return lambda text: found.encode(text, allowed_special="all")

@@ -177,45 +177,53 @@ def reference_tokenizer():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(tokens.default_path())
-    found.encode_special_tokens = True
     return lambda text: found.encode(text, add_special_tokens=False).ids
 
 
 def test_ids_are_those_of_the_tokenizer():
-    encode, expected = tokens.encoding(tokens.read_vocabulary(tokens.default_path())).encode_ordinary, reference_tokenizer()
-    for text in ["", " ", "a b  c\n\n d", "It's <|endoftext|> 日本 🎉 é", "x" * 500, "\t\r\n  ", "1234567 a1b2"]:
+    encode, expected = tokens.encoder(tokens.read_vocabulary(tokens.default_path())), reference_tokenizer()
+    assert encode("end <|endoftext|> start").count(50256) == 1
+    for text in ["end <|endoftext|> start", "<|endoftext|><|endoftext|>x", "<|endoftext", "a\n<|endoftext|>\n\nb", "", " ", "a b  c\n\n d", "It's <|endoftext|> 日本 🎉 é", "x" * 500, "\t\r\n  ", "1234567 a1b2"]:
         assert encode(text) == expected(text)
 
 
 def test_trees_follow_random_edits():
     n = reference_tokenizer()
-    encode = tokens.encoding(tokens.read_vocabulary(tokens.default_path())).encode_ordinary
+    encode = tokens.encoder(tokens.read_vocabulary(tokens.default_path()))
     r = random.Random(1)
     for _ in range(40):
-        text = "".join(r.choice("ab '\n\t s1!é,.日") for _ in range(r.randint(0, 2000)))
+        text = "".join(r.choice([*"ab '\n\t s1!é,.日", "<|endoftext|>", "<|endof text|>"]) for _ in range(r.randint(0, 2000)))
         tree = token_counts.TokenTree(text, lambda t: len(encode(t)))
         for _ in range(6):
             a = r.randint(0, len(text))
             b = min(len(text), a + r.choice([0, 1, 3, 600]))
-            new = "".join(r.choice("ab '\n1é") for _ in range(r.choice([0, 1, 5, 300])))
+            new = "".join(r.choice("ab '\n1é") for _ in range(r.choice([0, 1, 5, 300, 3000])))
             tree.replace(a, b, new)
             text = text[:a] + new + text[b:]
             assert tree.text() == text and tree.total() == len(n(text))
+            assert max(map(len, tree.blocks)) < 1000  # blocks that grow are cut again
 
 
 def test_edits_reencode_only_what_they_touch(spark):
     n = reference_tokenizer()
     texts = [words(5000, 1), "short", "", None]
-    docs = frame(spark, texts)
+    docs = frame(spark, texts).unionByName(spark.createDataFrame([(2, "other text of 2", "", "", 0), (None, "none", "", "", 0)], DOCS))
     trees = token_counts.build(docs)
-    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {i: len(n(t or "")) for i, t in enumerate(texts, 1)}
-    edits = spark.createDataFrame([(1, 100, 104, "HELLO there"), (1, 9000, 9000, "!"), (1, 102, 103, "overlap"), (3, 0, 0, "new"), (9, 0, 1, "no such")], "doc_id long, start int, end int, replacement string")
-    got = {r.doc_id: r for r in token_counts.apply_edits(docs, trees, edits).collect()}
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in trees.collect()) == sorted([*((i, len(n(t or ""))) for i, t in enumerate(texts, 1)), (2, len(n("other text of 2"))), (0, len(n("none")))])
+    edits = [(1, 100, 104, "HELLO there"), (1, 9000, 9000, "!"), (1, 102, 103, "overlap"), (3, 0, 0, "new"), (9, 0, 1, "no such")]
+    edits += [(1, None, 3, "x"), (1, 5, None, "x"), (1, 10**6, 10**6 + 1, "beyond"), (1, 50, 40, "backwards"), (1, -3, 2, "before"), (2, 0, 5, None), (None, 0, 1, "x"), (4, 0, 1, "beyond")]
+    got = {}
+    for r in token_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, start int, end int, replacement string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
     long = texts[0][:100] + "HELLO there" + texts[0][104:9000] + "!" + texts[0][9000:]
-    assert set(got) == {1, 3}
-    assert got[1].text_after == long and got[1].n_tokens_after == len(n(long)) and got[1].n_edits == 2
-    assert got[1].n_chars_encoded_again < 3000
-    assert (got[3].text_after, got[3].n_tokens_after) == ("new", 1)
+    assert set(got) == {1, 2, 3, 4}
+    assert got[1][0].text_after == long and got[1][0].n_tokens_after == len(n(long)) and (got[1][0].n_edits, got[1][0].n_edits_left_out) == (2, 6)
+    assert got[1][0].n_chars_encoded_again < 3000
+    assert sorted(r.text_after for r in got[2]) == ["", " text of 2"]
+    assert [(r.text_after, r.n_tokens_after, r.n_edits_left_out) for r in (*got[3], *got[4])] == [("new", 1, 0), ("", 0, 1)]
+    assert token_counts.build(docs.limit(0)).count() == 0 and token_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, start int, end int, replacement string").limit(0)).count() == 0
+    wrong = docs.limit(1).selectExpr("doc_id", "text", "array(1, 2) as counts", "cast(null as array<struct<start:int,end:int,replacement:string>>) as edits")
+    assert [(r.n_tokens, r.n_edits) for r in token_counts.recount(wrong).collect()] == [(len(n(texts[0])), 0)]
 
 
 # personal data
@@ -304,7 +312,7 @@ def test_classifier_learns_without_the_held_out_fold(spark):
 
 
 def test_packing_is_gapless_and_whole(spark):
-    texts = [words(n, n) for n in (3, 2000, 700, 700, 650, 10, 5, 1, 1200, 90)] * 3 + [None, ""]
+    texts = [words(n, n) for n in (3, 2000, 700, 700, 650, 10, 5, 1, 1200, 90)] * 3 + [None, "", "a <|endoftext|> b", "<|endoftext|>" * 3000]
     got = packing.pack(frame(spark, texts)).collect()
     encode = reference_tokenizer()
     for i, text in enumerate(texts, 1):
