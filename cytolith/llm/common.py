@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side that was counted may be broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of rows without a fixed size, up to which a side that was counted may be broadcast; larger sides are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    A temporary one is set only where none is set, as in local tests.
+    A temporary one is set only where none is set and all work is on this machine, as in
+    local tests; on a cluster, executors could not read it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cytolith-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -40,10 +43,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has few rows; otherwise as it is, for a shuffled join."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def sized(df: DataFrame, width: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is small; otherwise as it is, for a shuffled join.
+
+    Rows are counted, and their bytes summed where ``width`` tells those of a row that has no fixed size.
+    """
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def whole_text(column: str = "text") -> Column:

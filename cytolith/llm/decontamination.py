@@ -1,13 +1,14 @@
 """Benchmark decontamination by spaced-seed hashing, with built-in functions only.
 
-Texts become arrays of word hashes. Fixed masks pick five of up to eight neighbouring
-words and ignore the others, so a seed still hits where an ignored word was replaced.
-Seeds of documents are joined to those of benchmark items; each hit names an item and a
-diagonal (where the item would start in the document). On every diagonal the words of
-item and document are compared place by place, and an overlap counts if a window of the
-item has at least 80 % equal words. The window is half of the item, 13 words at least,
-or the whole of a shorter item. The three masks together hit every such window of up to
-25 words, wherever its replaced words stand.
+Texts become arrays of word hashes. Fixed masks pick words of a short stretch and ignore
+the others, so a seed still hits where an ignored word was replaced. Seeds of documents
+are joined to those of benchmark items; each hit names an item and a diagonal (where the
+item would start in the document). On every diagonal the words of item and document are
+compared place by place, and an overlap counts if a window of the item has at least 80 %
+equal words. The window is half of the item, 13 words at least, or the whole of a shorter
+item. The masks hit every such window, wherever its replaced words stand: two masks of
+five words for windows from 13 words on, two of three words for shorter ones. No way to
+replace a fifth of a window avoids them (the tests count the least replacements that do).
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from cytolith.llm.common import BROADCAST_ROWS, checkpointed, sized, whole_text
 
-#: Word offsets that a mask looks at. The first is a run, which also serves items shorter than the others' span.
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7), (0, 1, 4, 6, 7))
+#: Word offsets that a mask looks at, for items from WINDOW_WORDS words on and for shorter ones. All begin with two neighbours.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5))
+SHORT_MASKS = ((0, 1, 2), (0, 1, 3))
 LEAST_WORDS = 5
 WINDOW_WORDS = 13
 SIMILARITY = 0.8
@@ -33,12 +35,12 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-SPAN = 1 + max(mask[-1] for mask in MASKS)
+SPAN = 1 + max(mask[-1] for mask in MASKS + SHORT_MASKS)
 WORDS = [f"w{i}" for i in range(SPAN)]
 
 
 def _places(df: DataFrame, key: str) -> DataFrame:
-    """(key, at, w0 .. w7): every word of every row's ``words`` with those that follow, null beyond the end."""
+    """(key, at, w0, w1 ..): every word of every row's ``words`` with those that follow, null beyond the end."""
     n = F.size("words")
     shifted = [F.slice("words", i + 1, n) for i in range(SPAN)]
     rows = df.where(n > 0).select(key, F.inline(F.arrays_zip(F.sequence(F.lit(0), n - 1), *shifted)))
@@ -51,11 +53,29 @@ def _pair() -> Column:
 
 
 def _seeded(places: DataFrame, key: str) -> DataFrame:
-    """(key, seed, at): the seed of each mask at each place; none where the mask runs over the end."""
-    seeds = [F.when(F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(*[F.col(f"w{o}") for o in mask], F.lit(k))) for k, mask in enumerate(MASKS)]
+    """(key, seed, at): the seed of each mask at each place; none where the mask runs over the end.
+
+    ``short`` and ``long`` say which masks a place needs.
+    """
+    families = (("long", MASKS), ("short", SHORT_MASKS))
+    seeds = [
+        F.when(F.col(need) & F.col(f"w{mask[-1]}").isNotNull(), F.xxhash64(*[F.col(f"w{o}") for o in mask], F.lit(f"{need}{k}"))) for need, masks in families for k, mask in enumerate(masks)
+    ]
     return places.select(key, "at", F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
+def _best_window(equal: Column, size: Column) -> Column:
+    """(n, at): the most equal words in a window of ``size`` places, and the first place where it begins, from running sums."""
+
+    def step(state: Column, i: Column) -> Column:
+        total = state["total"] + F.get(equal, i) - F.coalesce(F.get(equal, i - size), F.lit(0))
+        better = (i + 1 >= size) & (total > state["n"])
+        return F.struct(total.alias("total"), F.when(better, total).otherwise(state["n"]).alias("n"), F.when(better, i + 1 - size).otherwise(state["at"]).alias("at"))
+
+    none = F.struct(F.lit(0).alias("total"), F.lit(-1).alias("n"), F.lit(0).alias("at"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(equal) - 1), none, step)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, n_equal, n_compared, similarity): the best overlap of each document and item.
 
@@ -66,13 +86,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """
     items = benchmark.where("item_id is not null").select("item_id", word_hashes(whole_text()).alias("words")).distinct()
     items = checkpointed(items.where(F.size("words") >= LEAST_WORDS))
-    item_places = _places(items, "item_id")
+    kinds = [(F.size("words") < WINDOW_WORDS).alias("short"), (F.size("words") >= WINDOW_WORDS).alias("long")]
+    item_places = _places(items.select("item_id", "words"), "item_id").join(sized(items.select("item_id", *kinds).distinct()), "item_id")
     seeds = _seeded(item_places, "item_id").select("seed", "item_id", F.col("at").alias("item_at"))
-    pairs = item_places.select(_pair().alias("pair")).distinct()
+    pairs = item_places.groupBy(_pair().alias("pair")).agg(F.bool_or("short").alias("short"), F.bool_or("long").alias("long"))
     texts = docs.where("doc_id is not null").select("doc_id", whole_text().alias("text"))
     places = _places(texts.select("doc_id", word_hashes(F.col("text")).alias("words")), "doc_id").withColumn("pair", _pair())
     # few places have two neighbouring words of an item; only there are seeds made
-    places = places.join(sized(pairs), "pair", "left_semi")
+    places = places.join(sized(pairs), "pair")
     found = _seeded(places, "doc_id").join(sized(seeds), "seed")
     hits = checkpointed(found.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct())
 
@@ -85,22 +106,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
         "doc_id",
         "item_id",
         "diagonal",
-        F.slice("words", F.greatest("diagonal", F.lit(0)) + 1, F.lit(1 << 20)).alias("rest"),
+        F.slice("words", F.greatest("diagonal", F.lit(0)) + 1, F.size("words")).alias("rest"),
     )
-    sides = sides.join(sized(items.withColumnRenamed("words", "item_words")), "item_id")
+    sides = sides.join(sized(items.withColumnRenamed("words", "item_words"), width=8 * F.size("item_words")), "item_id")
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))
     equal = F.transform("item_words", lambda w, q: F.coalesce(((q >= skipped) & (F.get("rest", q - skipped) == w)).cast("int"), F.lit(0)))
     n = F.size("item_words")
     window = F.least(n, F.greatest(F.lit(WINDOW_WORDS), F.ceil(n / 2).cast("int")))
     scored = sides.select("doc_id", "item_id", "diagonal", equal.alias("equal"), window.alias("n_compared"))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.size("equal") - F.col("n_compared")),
-        lambda i: F.struct(F.aggregate(F.slice("equal", i + 1, F.col("n_compared")), F.lit(0), lambda a, b: a + b).alias("n"), (-i).alias("at")),
-    )
-    best = scored.select("doc_id", "item_id", "diagonal", "n_compared", F.array_max(sums).alias("best")).where(
-        F.col("best.n") >= F.ceil(F.lit(similarity) * F.col("n_compared") - 1e-9)
-    )
-    start = (F.col("diagonal") - F.col("best.at")).cast("long")
+    best = scored.select("doc_id", "item_id", "diagonal", "n_compared", _best_window(F.col("equal"), F.col("n_compared")).alias("best"))
+    best = best.where(F.col("best.n") >= F.ceil(F.lit(similarity) * F.col("n_compared") - 1e-9))
+    start = (F.col("diagonal") + F.col("best.at")).cast("long")
     ranked = best.select("doc_id", "item_id", F.struct(F.col("best.n").alias("n"), (-start).alias("back"), F.col("n_compared").alias("of")).alias("b"))
     top = ranked.groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return top.select(
