@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cytolith.llm import permutation_index
+from test_jaccard import kept_by_comparing_all
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, score string"
@@ -64,7 +65,7 @@ def test_few_or_no_vectors(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 def test_pipeline_stages_follow_each_other(spark):
     import corpus_pipeline
-    from cytolith.llm import decontamination, quality, simhash
+    from cytolith.llm import decontamination, quality
     from cytolith.llm.common import read_table
 
     docs = read_table(spark, SF, "documents")
@@ -72,8 +73,7 @@ def test_pipeline_stages_follow_each_other(spark):
     assert first.columns == docs.columns
     scores = quality.score(docs, quality.fit(docs, read_table(spark, SF, "labels")))
     good = {r.doc_id for r in scores.where("quality_score >= 0.3").collect()}
-    components = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where(F.col("doc_id").isin(list(good)))).collect()}
-    single = {i for i, c in components.items() if i == c}
+    single = set(kept_by_comparing_all([(r.doc_id, r.text) for r in docs.where(F.col("doc_id").isin(list(good))).collect()]))
     held = {r.doc_id for r in decontamination.leaks(docs, read_table(spark, SF, "benchmark")).collect()}
     packed = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in packed} == single - held

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from cytolith.llm import simhash
+from cytolith.llm import jaccard, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,28 +27,39 @@ def planted():
     return [*texts, texts[0].upper(), texts[4].replace(" ", " \n"), "", None, " \t", "one two", "ONE\ntwo", "one three"]
 
 
+def kept_by_comparing_all(docs):
+    """Identifiers (-1 for none) of the texts that are like no earlier one that was held against them."""
+    first: dict = {}
+    for i, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(t or "", i)
+    texts = list(first.items())
+    sets = [shingles(t) for t, _ in texts]
+    near = [[i for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for j in range(len(texts))]
+    return sorted(-1 if i is None else i for (_, i), before in zip(texts, near, strict=True) if not before)
+
+
 def test_the_stage_drops_planted_near_copies(spark):
     docs = list(enumerate(planted(), 1))
     docs += [(None, docs[0][1]), (None, docs[4][1] + " tail"), (None, "alone, without an identifier"), (None, "alone, without an identifier"), (7, "another text of that identifier"), docs[11]]
-    sets = [shingles(t) for _, t in docs]
-    parent = list(range(len(docs)))
-
-    def find(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for j, y in enumerate(sets):
-        for i in range(j):
-            if len(sets[i] & y) >= 0.8 * len(sets[i] | y) and find(i) != find(j):
-                parent[find(j)] = find(i)
-    members: dict = {}
-    for i in range(len(docs)):
-        members.setdefault(find(i), []).append(docs[i][0])
-    expected = sorted(min((x for x in ids if x is not None), default=-1) for ids in members.values())
+    expected = kept_by_comparing_all(docs)
     df = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in docs], DOCS)
     kept = corpus_pipeline.near_dedup_stage(spark, df, "")
     assert kept.columns == df.columns
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == expected
+    links = jaccard.similar_to_earlier(df)[1].collect()
+    assert all(r.a < r.b for r in links) and len(links) > 40
     assert len(expected) < simhash.drop_near_duplicates(df).count() - 40  # fingerprints at two bits leave most of them
     assert corpus_pipeline.near_dedup_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_a_large_group_of_near_copies_and_one_of_unlike_texts(spark, monkeypatch):
+    """Texts that share half of their words meet often; no group is capped and no similar pair stays."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(200)]
+    docs = []
+    for i in range(120):
+        docs.append((i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :] if (k := r.randrange(200)) else base)))  # one word of 200: similar to all
+    for i in range(120, 180):
+        docs.append((i, " ".join(base[:100] + [f"own{i}x{k}" for k in range(r.choice([20, 60]))])))
+    df = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in docs], DOCS)
+    assert sorted(x.doc_id for x in jaccard.drop_similar(df).collect()) == kept_by_comparing_all(docs)
