@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 # Suffixes of the input files.
 SUFFIXES = (".cov.gz", ".cov", ".allc.gz")
+# Patterns of sample and cell names.
+NAMED_CELL = r"^(?:25110891_)?((?:IR|NR)[0-9]{2})(?:_Met)?(?:__|_|-)(.+)$"
+UNNAMED_CELL = r"^([^-_]+)-"
 
 
 def canonical_cell_id(cell: Column) -> Column:
-    """``sample__barcode``; names without a sample have their first dash replaced if no underscore stands before it."""
-    named = r"^(?:25110891_)?((?:IR|NR)[0-9]{2})(?:_Met)?(?:__|_|-)(.+)$"
-    joined = F.concat(F.regexp_extract(cell, named, 1), F.lit("__"), F.regexp_extract(cell, named, 2))
-    return F.when(cell.rlike(named), joined).otherwise(F.regexp_replace(cell, r"^([^-_]*)-", "$1_"))
+    """``sample__barcode``; names without a sample have their first dash replaced if it follows something without an underscore.
+
+    White space around the name does not count.
+    """
+    cell = F.trim(cell)
+    joined = F.concat(F.regexp_extract(cell, NAMED_CELL, 1), F.lit("__"), F.regexp_extract(cell, NAMED_CELL, 2))
+    return F.when(cell.rlike(NAMED_CELL), joined).otherwise(F.regexp_replace(cell, UNNAMED_CELL, "$1_"))
 
 
 def infer_sample_id(cell: Column, pattern: str = r"^((?:IR|NR)[0-9]{2})__") -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,22 +37,64 @@ def normalize_log1p(counts: DataFrame, target: float = 1e4) -> DataFrame:
 
 
 def scale_clip(values: DataFrame, highest: float = 10.0) -> DataFrame:
-    """Genes centred and scaled by the sample deviation, cut off above."""
-    m = values.groupBy("gene_no").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
-    z = F.when(F.col("s") > 0, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0)
-    return values.join(m, "gene_no").select("cell_no", "gene_no", F.least(z, F.lit(highest)).alias("scaled"))
+    """Genes centred and scaled by the sample deviation over all cells, cut off above.
+
+    A cell without a row for a gene has the value 0 there; scaled_zero is what that becomes.
+    """
+    m = moments(values, "value").withColumn("s", F.sqrt("variance"))
+
+    def z(x: Column) -> Column:
+        return F.least(F.when(F.col("s") > 0, (x - F.col("mean")) / F.col("s")).otherwise(0.0), F.lit(highest))
+
+    return values.join(m, "gene_no").select("cell_no", "gene_no", z(F.col("value")).alias("scaled"), z(F.lit(0.0)).alias("scaled_zero"))
+
+
+def moments(values: DataFrame, column: str) -> DataFrame:
+    """(gene_no, mean, variance, n_cells) over all cells of ``values``; a cell without a row counts as 0, n_cells are those above 0.
+
+    The moments of the rows there are, moved by the zeros that are not. Variance is null for a single cell.
+    """
+    total = values.agg(F.count_distinct("cell_no").cast("double").alias("total"))
+    there = values.groupBy("gene_no").agg(
+        F.count(column).alias("n"), F.avg(column).alias("m"), F.coalesce(F.var_pop(column), F.lit(0.0)).alias("v"), F.count_if(F.col(column) > 0).alias("n_cells")
+    )
+    mean = F.col("m") * F.col("n") / F.col("total")
+    spread = F.col("n") * (F.col("v") + (F.col("m") - mean) ** 2) + (F.col("total") - F.col("n")) * mean**2
+    return there.join(F.broadcast(total)).select("gene_no", mean.alias("mean"), F.when(F.col("total") > 1, spread / (F.col("total") - 1)).alias("variance"), "n_cells")
 
 
 def gene_moments(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("gene_no").agg(F.avg("n").alias("mean"), F.var_samp("n").alias("variance"), F.count(F.lit(1)).alias("n_cells"))
+    """(gene_no, mean, variance, n_cells) of counts over all cells; absent counts are 0."""
+    return moments(counts, "n")
+
+
+def top_variable(counts: DataFrame, n: int = 2000) -> DataFrame:
+    """The n genes with the largest ratio of variance to mean over all cells, with their rank; ties by gene."""
+    ratio = F.try_divide(F.col("variance"), F.col("mean"))
+    kept = gene_moments(counts).select("gene_no", ratio.alias("dispersion")).where("dispersion is not null").orderBy(F.desc("dispersion"), "gene_no").limit(n)
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("dispersion"), "gene_no")))
+
+
+def group_sizes(groups: DataFrame) -> DataFrame:
+    """Cells of each group; groups are few."""
+    return F.broadcast(groups.groupBy("group").agg(F.count_distinct("cell_no").alias("size")))
+
+
+def _with_zeros(present: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gene_no, group, value, k): counted values with those of cells without a row, which are 0."""
+    there = present.groupBy("gene_no", "group").agg(F.sum("k").alias("there"))
+    grid = present.select("gene_no").distinct().join(group_sizes(groups)).join(there, ["gene_no", "group"], "left")
+    zeros = grid.select("gene_no", "group", F.lit(0.0).alias("value"), (F.col("size") - F.coalesce("there", F.lit(0))).alias("k")).where("k > 0")
+    return present.unionByName(zeros).groupBy("gene_no", "group", "value").agg(F.sum("k").alias("k"))
 
 
 def rank_sum(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """Wilcoxon rank sum of each group against the rest, per gene, over cells with a value; ties share ranks, no tie correction.
+    """Wilcoxon rank sum of each group against the rest, per gene, over all cells of the groups; ties share ranks, no tie correction.
 
-    Ranks are taken over distinct values with their counts, not over cells.
+    Cells without a row for a gene have the value 0 there. Ranks are taken over distinct
+    values with their counts, not over cells.
     """
-    joined = values.join(groups, "cell_no").groupBy("gene_no", "group", "value").agg(F.count(F.lit(1)).alias("k"))
+    joined = _with_zeros(values.join(groups, "cell_no").groupBy("gene_no", "group", "value").agg(F.count(F.lit(1)).alias("k")), groups)
     tied = joined.groupBy("gene_no", "value").agg(F.sum("k").alias("same"))
     below = F.coalesce(F.sum("same").over(Window.partitionBy("gene_no").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = tied.select("gene_no", "value", (below + (F.col("same") + 1) / 2).alias("r"))
@@ -74,8 +116,10 @@ def top_both_ends(df: DataFrame, by: list[str], value: str, key: str, n: int) ->
 
 
 def dotplot(values: DataFrame, groups: DataFrame) -> DataFrame:
-    """Mean value and share of cells above 0 per group and gene, over cells with a row."""
-    return values.join(groups, "cell_no").groupBy("group", "gene_no").agg(F.avg("value").alias("mean_value"), F.avg((F.col("value") > 0).cast("double")).alias("fraction"))
+    """Mean value and share of cells above 0 per group and gene, over all cells of the group; absent values are 0."""
+    sums = values.join(groups, "cell_no").groupBy("group", "gene_no").agg(F.sum("value").alias("total"), F.count_if(F.col("value") > 0).alias("above"))
+    grid = values.select("gene_no").distinct().join(group_sizes(groups)).join(sums, ["group", "gene_no"], "left").na.fill(0, ["total", "above"])
+    return grid.select("group", "gene_no", (F.col("total") / F.col("size")).alias("mean_value"), (F.col("above") / F.col("size")).alias("fraction"))
 
 
 def doublet_rate(counts: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -93,11 +137,10 @@ def fill_doublets(metrics: DataFrame, scores: DataFrame, least_genes: int = 3) -
 
 
 def concat_outer(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Counts of two samples over all their genes, 0 where a cell's sample lacks a gene; genes of both are few next to counts."""
-    both = left.unionByName(right)
-    genes = both.select("gene_no").distinct()
-    cells = both.select("cell_no").distinct()
-    return cells.join(genes).join(both.select("cell_no", "gene_no", "n"), ["cell_no", "gene_no"], "left").na.fill(0, ["n"])
+    """Counts of two samples as long rows; in_both tells the genes that both samples have. A gene that a cell has no row for counts as 0."""
+    shared = left.select("gene_no").intersect(right.select("gene_no")).withColumn("in_both", F.lit(True))
+    both = left.select("cell_no", "gene_no", "n").unionByName(right.select("cell_no", "gene_no", "n"))
+    return both.join(shared, "gene_no", "left").na.fill(False, ["in_both"])
 
 
 def available_markers(markers: DataFrame, counts: DataFrame, cells: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str] | None = None, lea
     b = _binned(right.select(*keys, "start_pos", "end_pos").distinct(), size).withColumnsRenamed({"start_pos": "other_start", "end_pos": "other_end"})
     shared = F.least("end_pos", "other_end") - F.greatest("start_pos", "other_start")
     enough = shared > 0 if least_fraction is None else (shared > 0) & (shared >= least_fraction * (F.col("end_pos") - F.col("start_pos")))
-    return a.join(b, [*keys, "__bin"]).where(enough).select(*keys, "start_pos", "end_pos").distinct()
+    once = F.floor(F.greatest("start_pos", "other_start") / size) == F.col("__bin")  # a pair counts in the bin where the later one starts
+    return a.join(b, [*keys, "__bin"]).where(enough & once).select(*keys, "start_pos", "end_pos").distinct()
 
 
 def keep_overlapping(left: DataFrame, right: DataFrame, by: list[str] | None = None, **options) -> DataFrame:

@@ -86,12 +86,22 @@ def display_bin(index: Column, n_bins: Column, n: Column) -> Column:
     return F.least(n_bins - 1, F.floor(index * n_bins / n))
 
 
-def label_runs(df: DataFrame, by: list[str], order: str, label: str) -> DataFrame:
-    """First and last place of each run of equal labels."""
-    rows = Window.partitionBy(*by).orderBy(order)
-    new = F.coalesce(F.lag(label).over(rows) != F.col(label), F.lit(True)).cast("int")
-    runs = df.withColumn("new", new).withColumn("run", F.sum("new").over(rows))
-    return runs.groupBy(*by, "run", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+def label_runs(df: DataFrame, by: list[str], order: str, label: str, block: int = 1 << 20) -> DataFrame:
+    """First and last place of each run of equal labels, in order of a whole number that is unique within ``by``.
+
+    Runs are found within blocks of that number, and joined where they meet; only one row per block is ordered as a whole.
+    """
+    keys = [*by, "__block"]
+    rows = Window.partitionBy(*keys).orderBy(order)
+    new = F.coalesce(~F.lag(label).over(rows).eqNullSafe(F.col(label)) | (F.row_number().over(rows) == 1), F.lit(True)).cast("int")
+    marked = df.withColumn("__block", F.floor(F.col(order) / block)).withColumn("new", new).withColumn("run", F.sum("new").over(rows))
+    runs = marked.groupBy(*keys, "run", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    blocks = runs.groupBy(*keys).agg(F.max("run").alias("runs"), F.min_by(F.struct(label), "run").alias("opens"), F.max_by(F.struct(label), "run").alias("ends"))
+    in_order = Window.partitionBy(*by).orderBy("__block")
+    joins = F.coalesce(F.lag("ends").over(in_order).eqNullSafe(F.col("opens")), F.lit(False)).cast("int")
+    blocks = blocks.withColumn("joins", joins).withColumn("before", F.sum(F.col("runs") - F.col("joins")).over(in_order) - F.col("runs"))
+    placed = runs.join(blocks.select(*keys, "before"), keys).withColumn("run", F.col("run") + F.col("before"))
+    return placed.groupBy(*by, "run", label).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
 
 
 def to_long(df: DataFrame, ids: list[str]) -> DataFrame:

@@ -66,8 +66,11 @@ def select_q(df: DataFrame, column: str, q: float = 0.05) -> DataFrame:
 
 def best_per_interval(standard: DataFrame) -> DataFrame:
     """The best record of each sample, type and interval: difference, p, other type, line."""
-    order = Window.partitionBy("sample", "hypo_type", *PLACE).orderBy(F.desc("diff"), "raw_p", F.lower("other_type"), "line_no")
-    return standard.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    keys = ["sample", "hypo_type", *PLACE]
+    rest = [c for c in standard.columns if c not in keys]
+    order = [F.col("diff").isNull(), -F.col("diff"), F.col("raw_p"), F.lower("other_type"), F.col("line_no")]
+    first = F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")))
+    return standard.groupBy(*keys).agg(first.alias("first")).select(*keys, "first.row.*").select(*standard.columns)
 
 
 def top_intervals(standard: DataFrame, n: int) -> DataFrame:
@@ -129,19 +132,20 @@ def group_membership(cells: DataFrame, comparisons: DataFrame, by: str, label: s
 
 
 def comparison_summary(comparisons: DataFrame, records: DataFrame) -> DataFrame:
-    """Records and hits of each comparison, and its status."""
+    """Records and hits of each comparison, and its status: ineligible, pending without records, partial while records lack a p, complete."""
     hits = records.groupBy("sample", F.col("left_type").alias("label_a"), F.col("right_type").alias("label_b")).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("raw_p") < 0.05).alias("n_p05")
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("raw_p") < 0.05).alias("n_p05"), F.count_if(F.col("raw_p").isNull()).alias("n_open")
     )
     joined = comparisons.join(hits, ["sample", "label_a", "label_b"], "left")
-    status = F.when(F.col("eligible") == "no", "ineligible").when(F.col("total").isNull(), "pending").otherwise("complete")
+    status = F.when(F.col("eligible") == "no", "ineligible").when(F.col("total").isNull(), "pending").when(F.col("n_open") > 0, "partial").otherwise("complete")
     return joined.select("sample", "label_a", "label_b", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_p05", F.lit(0)).alias("n_p05"), status.alias("status"))
 
 
 def without_null_fdr(df: DataFrame, permuted: Column, by: list[str]) -> DataFrame:
     """Adjusted p is null in groups without permuted rows."""
-    n = F.count_if(permuted).over(Window.partitionBy(*by))
-    return df.withColumn("adjusted_p", F.when(n > 0, F.col("adjusted_p")))
+    n = df.groupBy(*by).agg(F.count_if(permuted).alias("__n")).select(*[F.col(c).alias(f"__{c}") for c in by], "__n")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    return df.join(n, same).withColumn("adjusted_p", F.when(F.col("__n") > 0, F.col("adjusted_p"))).select(*df.columns)
 
 
 def windows(sites: DataFrame, width: int, step: int) -> DataFrame:

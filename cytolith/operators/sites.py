@@ -10,11 +10,13 @@ from cytolith.operators.intervals import points_in_regions
 
 FILE = ["sample", "cell_no"]
 LOCUS = [*FILE, "chrom", "pos"]
+#: A line of a site file: its locus with the end, and the columns that are compared.
+PLACE, PROBABILITY = [*LOCUS, "end_pos"], "prob"
 
 
 def ratio() -> Column:
-    """Methylated share of the counts of a site."""
-    return F.col("mc").cast("double") / (F.col("mc") + F.col("uc"))
+    """Methylated share of the counts of a site; null without coverage, so means are over covered sites."""
+    return F.try_divide(F.col("mc").cast("double"), F.col("mc") + F.col("uc"))
 
 
 def valid_site() -> Column:
@@ -27,17 +29,20 @@ def validate_sites(sites: DataFrame) -> DataFrame:
 
 
 def audit_duplicates(sites: DataFrame, order: str = "line_no") -> DataFrame:
-    """Per file, runs of one locus in file order: duplicates, their kind, and breaks of the order."""
+    """Per file, runs of one place (chrom, pos, end_pos) in file order: duplicates, their kind, and breaks of the order.
+
+    Lines of a run are exact if they agree in prob, mc and uc as they stand.
+    """
     lines = Window.partitionBy(*FILE).orderBy(order)
-    before = {c: F.lag(c).over(lines) for c in ("chrom", "pos")}
-    new_run = before["chrom"].isNull() | (before["chrom"] != F.col("chrom")) | (before["pos"] != F.col("pos"))
+    before = {c: F.lag(c).over(lines) for c in ("chrom", "pos", "end_pos")}
+    new_run = before["chrom"].isNull() | (before["chrom"] != F.col("chrom")) | (before["pos"] != F.col("pos")) | (before["end_pos"] != F.col("end_pos"))
     new_chrom = before["chrom"].isNull() | (before["chrom"] != F.col("chrom"))
     descends = F.coalesce((before["chrom"] == F.col("chrom")) & (before["pos"] > F.col("pos")), F.lit(False))
     marked = sites.select("*", new_run.cast("int").alias("new_run"), new_chrom.cast("int").alias("new_chrom"), descends.cast("int").alias("descends"))
     marked = marked.withColumn("run", F.sum("new_run").over(lines))
     runs = marked.groupBy(*FILE, "run", "chrom").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct(F.struct("mc", "uc")).alias("kinds"),
+        F.count_distinct(F.struct(PROBABILITY, "mc", "uc")).alias("kinds"),
         F.sum("new_chrom").alias("new_chrom"),
         F.sum("descends").alias("descends"),
     )
@@ -71,18 +76,22 @@ def audit_totals(audit: DataFrame) -> DataFrame:
 
 def _by_locus(sites: DataFrame) -> DataFrame:
     first = F.min(F.struct("line_no", "mc", "uc"))
-    counts = [F.count(F.lit(1)).alias("n"), F.min(ratio()).alias("low"), F.max(ratio()).alias("high"), first.alias("first")]
-    return sites.groupBy(*LOCUS).agg(*counts)
+    counts = [F.count(F.lit(1)).alias("n"), F.min(PROBABILITY).alias("low"), F.max(PROBABILITY).alias("high"), first.alias("first")]
+    return sites.groupBy(*PLACE).agg(*counts)
 
 
 def dedup_by_probability(sites: DataFrame) -> DataFrame:
-    """The first row of each locus whose rows agree in probability; loci that disagree go as a whole."""
-    return _by_locus(sites).where("low = high").select(*LOCUS, "first.mc", "first.uc", "first.line_no")
+    """The first row of each place whose rows agree in the number of their probability column.
+
+    Places that disagree, or whose rows have no probability at all, go as a whole. Counts
+    are not compared, and may be zero.
+    """
+    return _by_locus(sites).where("low = high").select(*PLACE, F.col("low").alias(PROBABILITY), "first.mc", "first.uc", "first.line_no")
 
 
 def dedup_stats(sites: DataFrame) -> DataFrame:
     """Counts of the rule above per file, with its two invariants."""
-    twice, agree = F.col("n") > 1, F.col("low") == F.col("high")
+    twice, agree = F.col("n") > 1, F.coalesce(F.col("low") == F.col("high"), F.lit(False))
     out = _by_locus(sites).groupBy(*FILE).agg(
         F.sum("n").alias("rows_in"),
         F.count_if(agree).alias("rows_out"),
@@ -107,9 +116,9 @@ def order_audit(sites: DataFrame) -> DataFrame:
 
 
 def merge_counts(sites: DataFrame) -> DataFrame:
-    """One row per locus with summed counts; discordant if its rows' ratios differ."""
+    """One row per locus with summed counts; discordant if its rows' ratios differ. Without coverage the ratio is null."""
     out = sites.groupBy(*LOCUS).agg(
-        F.sum("mc").alias("mc"), F.sum("uc").alias("uc"), F.count(F.lit(1)).alias("n_rows"), (F.max(ratio()) - F.min(ratio()) > 1e-12).alias("discordant")
+        F.sum("mc").alias("mc"), F.sum("uc").alias("uc"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.max(ratio()) - F.min(ratio()) > 1e-12, F.lit(False)).alias("discordant")
     )
     return out.withColumn("ratio", ratio())
 
@@ -131,10 +140,10 @@ def region_mean_summary(means: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def cell_levels(sites: DataFrame) -> DataFrame:
-    """Per cell: sites, coverage, mean of ratios and ratio of sums."""
+    """Per cell: sites, coverage, mean of ratios and ratio of sums; both are null for a cell without coverage."""
     both = F.sum(F.col("mc") + F.col("uc"))
     return sites.groupBy(*FILE).agg(
-        F.count(F.lit(1)).alias("n_sites"), both.alias("total_coverage"), F.avg(ratio()).alias("mean_site_level"), (F.sum("mc") / both).alias("overall_level")
+        F.count(F.lit(1)).alias("n_sites"), both.alias("total_coverage"), F.avg(ratio()).alias("mean_site_level"), F.try_divide(F.sum("mc"), both).alias("overall_level")
     )
 
 

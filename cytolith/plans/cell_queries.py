@@ -107,7 +107,7 @@ def _values(v: Fixtures) -> DataFrame:
 
 
 VALUES = f"mx as (select sample, cell_no, concat_ws(':', chrom, pos // 100) as region, avg({RATIO}) as value, concat('T', cell_no % 4) as cell_type from fx_sites group by all)"
-MOMENTS = "zm as (select region, count(*) as n, avg(value) as m, stddev_pop(value) as s from mx group by region), z as (select mx.*, case when n >= 10 and s > 0 then (value - m) / s end as z from mx join zm using (region))"
+MOMENTS = "zm as (select region, count(value) as n, avg(value) as m, stddev_pop(value) as s from mx group by region), z as (select mx.*, case when n >= 10 and s > 0 then (value - m) / s end as z from mx join zm using (region))"
 
 
 def _z(v: Fixtures) -> DataFrame:
@@ -160,6 +160,8 @@ def _rank_sum(v: Fixtures) -> DataFrame:
     return _rounded(expression.rank_sum(expression.normalize_log1p(v.counts).withColumn("value", F.round("value", 9)), _group_of(v)), "u", "z")
 
 
+FILLED_COUNTS = "cl as (select distinct cell_no from fx_counts), ge as (select distinct gene_no from fx_counts), fc as (select cl.cell_no, ge.gene_no, coalesce(c.n, 0) as n from cl cross join ge left join fx_counts c on c.cell_no = cl.cell_no and c.gene_no = ge.gene_no)"
+FILLED = "cl as (select distinct cell_no from fx_counts), ge as (select distinct gene_no from fx_counts), fu as (select cl.cell_no, ge.gene_no, coalesce(nm.value, 0) as value from cl cross join ge left join nm on nm.cell_no = cl.cell_no and nm.gene_no = ge.gene_no)"
 NORMALIZED = "nt as (select cell_no, sum(n) as t from fx_counts group by cell_no), nm as (select c.cell_no, gene_no, ln(1 + c.n * cast(10000 as double) / t) as value from fx_counts c join nt using (cell_no))"
 METRICS = "q as (select cell_no, count(*) filter (n > 0) as n_genes, cast(sum(n) as bigint) as total_counts, round(100 * cast(sum(case when is_mt then n else 0 end) as double) / sum(n), 6) as pct_mt from fx_counts group by cell_no)"
 
@@ -216,7 +218,7 @@ QUERIES = {
     "dup_keys": lambda v: annotation.duplicate_keys(v.sites, ["sample", "cell_no", "chrom", "pos"]),
     "conflict_check": lambda v: annotation.conflicting_values(v.sites, ["sample", "cell_no", "chrom", "pos"], "mc"),
     "cell_status": _statuses,
-    "cardinality_check": lambda v: annotation.cardinality(v.cells, "cell_no", 49, "sample"),
+    "cardinality_check": lambda v: annotation.cardinality(v.cells, "cell_no", v.table("customer").count(), "sample"),
     "keep_cells": lambda v: v.cells.join(v.clusters.select(F.col("vec_id").alias("cell_no")), "cell_no", "left_semi"),
     "set_diff": lambda v: annotation.set_difference(v.cells, v.counts, "cell_no"),
     "set_intersect": lambda v: v.cells.select("cell_no").intersect(v.counts.select("cell_no")),
@@ -243,7 +245,7 @@ QUERIES = {
     "own_dmr_filter": _own_region,
     "bin_allocation": lambda v: matrix.allocate_bins(_type_sizes(v), 40),
     "display_bins": _display,
-    "label_runs": lambda v: matrix.label_runs(v.clusters.withColumn("one", F.lit(1)), ["one"], "vec_id", "cluster_a").drop("one", "run"),
+    "label_runs": lambda v: matrix.label_runs(v.clusters, [], "vec_id", "cluster_a", 64).drop("run"),
     "unpivot_matrix": lambda v: matrix.to_long(annotation.crosstab(v.cells, "sample", "cell_type", ["T0", "T1", "T2", "T3"]), ["sample"]),
     "validate_counts": lambda v: _binned(v).agg(F.count_if(~((F.col("mc") >= 0) & (F.col("mc") <= F.col("cov")))).alias("n_bad"), F.max("cov").alias("max_cov")).withColumn("kind", F.when(F.col("max_cov") <= 65535, "uint16").otherwise("uint32")),
     "rna_qc_metrics": _metrics,
@@ -251,8 +253,9 @@ QUERIES = {
     "rna_qc_counts": lambda v: expression.rna_qc_counts(_metrics(v), 20, 6000, 5.0),
     "gene_filter": lambda v: expression.gene_filter(v.counts),
     "normalize_log1p": lambda v: _rounded(expression.normalize_log1p(v.counts), "value"),
-    "scale_clip": lambda v: _rounded(expression.scale_clip(expression.normalize_log1p(v.counts)), "scaled"),
+    "scale_clip": lambda v: _rounded(expression.scale_clip(expression.normalize_log1p(v.counts)), "scaled", "scaled_zero"),
     "hvg_moments": lambda v: _rounded(expression.gene_moments(v.counts), "mean", "variance"),
+    "hvg_top": lambda v: _rounded(expression.top_variable(v.counts, 200), "dispersion"),
     "wilcoxon_rank": _rank_sum,
     "topk_both_ends": lambda v: _rounded(expression.top_both_ends(_rank_sum(v).where("z is not null"), ["group"], "z", "gene_no", 5), "z").withColumn("nth", F.col("nth").cast("long")),
     "dotplot_stats": lambda v: _rounded(expression.dotplot(expression.normalize_log1p(v.counts), _group_of(v)), "mean_value", "fraction"),
@@ -276,7 +279,7 @@ def _site_values(v: Fixtures) -> DataFrame:
 
 
 def _sample_sizes(v: Fixtures) -> DataFrame:
-    return v.cells.groupBy("sample").agg((F.count(F.lit(1)) * 100).alias("n_cells"))
+    return v.cells.groupBy("sample").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def _overrides(v: Fixtures) -> DataFrame:
@@ -291,7 +294,7 @@ QUERIES |= {
     "json_get": lambda v: v.cells.select("cell_no", annotation.json_value(F.when(F.col("cell_no") % 3 == 0, F.to_json(F.struct(F.col("cell_type").alias("t")))).otherwise("{}"), "$.t", "none").alias("value")),
     "response_split": lambda v: v.cells.groupBy(annotation.derive_group(F.col("sample")).alias("response")).agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct("sample").alias("n_samples")),
     "cluster_full_outer": lambda v: annotation.full_outer(
-        v.clusters.where("vec_id < 60 and vec_id % 2 = 0").select(F.col("vec_id").alias("cell_no"), F.concat(F.lit("C"), "cluster_b").alias("cluster")), v.cells.select("cell_no", "cell_type"), ["cell_no"], {"cluster": "none", "cell_type": "unknown"}
+        v.clusters.where("cluster_a <> 3").select(F.col("vec_id").alias("cell_no"), F.concat(F.lit("C"), "cluster_b").alias("cluster")), v.cells.select("cell_no", "cell_type"), ["cell_no"], {"cluster": "none", "cell_type": "unknown"}
     ),
     "cell_plot_order": lambda v: annotation.plot_order(v.cells.select("cell_no", F.when(F.col("cell_no") % 2 == 0, F.lower("cell_type")).otherwise(F.col("cell_type")).alias("label")), "label", "cell_no").withColumn("place", F.col("place").cast("long")),
     "keep_features": lambda v: _rounded(annotation.keep_features(_values(v).select("cell_no", "region", "value"), _values(v).where("region like 'chr1:%'").select("region"), "region"), "value"),
@@ -300,7 +303,7 @@ QUERIES |= {
     "doublet_fill": lambda v: _rounded(
         expression.fill_doublets(_metrics(v), _metrics(v).where("cell_no % 4 <> 0").select("cell_no", (F.col("n_genes") / 1000).alias("score"), (F.col("n_genes") % 2 == 0).alias("predicted")), 20), "score"
     ),
-    "concat_outer": lambda v: expression.concat_outer(v.counts.where("cell_no = 1").select("cell_no", "gene_no", "n"), v.counts.where("cell_no = 2").select("cell_no", "gene_no", "n")),
+    "concat_outer": lambda v: expression.concat_outer(v.counts.where("cell_no % 2 = 1"), v.counts.where("cell_no % 2 = 0")),
     "marker_available": lambda v: expression.available_markers(v.table("part").select(F.concat(F.lit("T"), F.col("p_partkey") % 6).alias("cell_type"), F.col("p_partkey").alias("gene_no")), v.counts, v.cells),
     "window_variance": lambda v: _rounded(regions.window_variance(_site_values(v), 100, 50, 6), "variance"),
     "welch_t": lambda v: _rounded(regions.welch_t(_values(v).withColumn("response", F.substring("sample", 1, 2)), "response", ("IR", "NR"), ["region"]), "t"),
@@ -341,7 +344,7 @@ from p left join h on p.sample = h.sample and label_a = left_type and label_b =
     "dup_keys": "select sample, cell_no, chrom, pos, count(*) as n from fx_sites group by all having count(*) > 1",
     "conflict_check": "select sample, cell_no, chrom, pos, count(distinct mc) as n_values from fx_sites group by all having count(distinct mc) > 1",
     "cell_status": f"with {STATUS} select * from st",
-    "cardinality_check": "select count(*) as n_rows, count(distinct cell_no) as n_keys, count(distinct sample) as n_samples, count(*) = count(distinct cell_no) and count(*) = 49 as holds from fx_cells",
+    "cardinality_check": "select count(*) as n_rows, count(distinct cell_no) as n_keys, count(distinct sample) as n_samples, count(*) = count(distinct cell_no) and count(*) = (select count(*) from customer) as holds from fx_cells",
     "keep_cells": "select * from fx_cells where cell_no in (select vec_id from fx_clusters)",
     "set_diff": """select cell_no, 'left' as side from fx_cells where cell_no not in (select cell_no from fx_counts)
 union all select distinct cell_no, 'right' from fx_counts where cell_no not in (select cell_no from fx_cells)""",
@@ -390,10 +393,12 @@ select cluster_a, min(vec_id) as first, max(vec_id) as last, count(*) as n from
 count(*) filter (n_genes between 20 and 6000 and pct_mt < 5) as n_out, round(100 * avg(case when n_genes between 20 and 6000 and pct_mt < 5 then 1.0 else 0.0 end), 2) as kept_percent from q""",
     "gene_filter": "select gene_no, count(distinct cell_no) as n_cells from fx_counts where n > 0 group by gene_no having count(distinct cell_no) >= 3",
     "normalize_log1p": f"with {NORMALIZED} select cell_no, gene_no, round(value, 6) as value from nm",
-    "scale_clip": f"""with {NORMALIZED}, g as (select gene_no, avg(value) as m, stddev_samp(value) as s from nm group by gene_no)
-select cell_no, gene_no, round(least(case when s > 0 then (value - m) / s else 0 end, 10), 6) as scaled from nm join g using (gene_no)""",
-    "hvg_moments": "select gene_no, round(avg(n), 6) as mean, round(var_samp(n), 6) as variance, count(*) as n_cells from fx_counts group by gene_no",
-    "dotplot_stats": f"""with {NORMALIZED} select concat('G', cell_no % 3) as "group", gene_no, round(avg(value), 6) as mean_value, round(avg(case when value > 0 then 1.0 else 0.0 end), 6) as fraction from nm group by 1, 2""",
+    "scale_clip": f"""with {NORMALIZED}, {FILLED}, g as (select gene_no, avg(value) as m, stddev_samp(value) as s from fu group by gene_no)
+select cell_no, gene_no, round(least(case when s > 0 then (value - m) / s else 0 end, 10), 6) as scaled, round(least(case when s > 0 then -m / s else 0 end, 10), 6) as scaled_zero from nm join g using (gene_no)""",
+    "hvg_moments": f"with {FILLED_COUNTS} select gene_no, round(avg(n), 6) as mean, round(var_samp(n), 6) as variance, count(*) filter (n > 0) as n_cells from fc group by gene_no",
+    "hvg_top": f"""with {FILLED_COUNTS} select gene_no, round(var_samp(n) / avg(n), 6) as dispersion, row_number() over (order by var_samp(n) / avg(n) desc, gene_no) as rank
+from fc group by gene_no order by rank limit 200""",
+    "dotplot_stats": f"""with {NORMALIZED}, {FILLED} select concat('G', cell_no % 3) as "group", gene_no, round(avg(value), 6) as mean_value, round(avg(case when value > 0 then 1.0 else 0.0 end), 6) as fraction from fu group by 1, 2""",
     "cluster_purity": "with c as (select cluster_a, cluster_b, count(*) as n from fx_clusters group by all), m as (select cluster_a, max(n) as b, sum(n) as n from c group by all) select round(cast(sum(b) as double) / sum(n), 6) as purity from m",
     "cluster_entropy": """with c as (select cluster_a, cluster_b, count(*) as n, cast(count(*) as double) / sum(count(*)) over (partition by cluster_a) as p from fx_clusters group by cluster_a, cluster_b),
 m as (select cluster_a, sum(n) as n, -sum(p * ln(p)) as h from c group by all), k as (select count(distinct cluster_b) as k from fx_clusters), t as (select sum(n * h) / sum(n) as h from m) select round(h / ln(k), 6) as entropy from t, k""",
@@ -406,7 +411,7 @@ select round((j - a * b / (t * (t - 1) / 2)) / ((a + b) / 2 - a * b / (t * (t -
     "knn_edges": KNN_SQL + "select from_id, to_id, round(1 / (1 + round(distance, 6)), 6) as weight from k where rank <= 5",
 }
 ORACLES["own_dmr_filter"] = "with asg as (" + ORACLES["dmr_assign"] + ") select distinct cell_no, concat('T', cell_no % 4) as cell_type from fx_sites where concat('T', cell_no % 4) in (select cell_type from asg)"
-_RANKED = f"""with {NORMALIZED}, g as (select gene_no, concat('G', cell_no % 3) as grp, round(value, 9) as value from nm),
+_RANKED = f"""with {NORMALIZED}, {FILLED}, g as (select gene_no, concat('G', cell_no % 3) as grp, round(value, 9) as value from fu),
 r as (select gene_no, grp, rank() over (partition by gene_no order by value) + (count(*) over (partition by gene_no, value) - 1) / cast(2 as double) as r, count(*) over (partition by gene_no) as n from g),
 w as (select gene_no, grp, sum(r) as w, count(*) as n1, max(n) as n from r group by all),
 z as (select gene_no, grp as "group", n1, round(w - n1 * (n1 + 1) / cast(2 as double), 6) as u, round(case when n > n1 then (w - n1 * (n1 + 1) / cast(2 as double) - n1 * (n - n1) / cast(2 as double)) / sqrt(n1 * (n - n1) * (n + 1) / cast(12 as double)) end, 6) as z from w)"""
@@ -420,17 +425,16 @@ ORACLES |= {
 select sample_id, condition, condition in ('IR', 'NR') and count(*) over (partition by sample_id) = 1 as valid from m""",
     "json_get": "select cell_no, case when cell_no % 3 = 0 then cell_type else 'none' end as value from fx_cells",
     "response_split": "select substr(sample, 1, 2) as response, count(*) as n_cells, count(distinct sample) as n_samples from fx_cells group by 1",
-    "cluster_full_outer": """with a as (select vec_id as cell_no, concat('C', cluster_b) as cluster from fx_clusters where vec_id < 60 and vec_id % 2 = 0)
+    "cluster_full_outer": """with a as (select vec_id as cell_no, concat('C', cluster_b) as cluster from fx_clusters where cluster_a <> 3)
 select coalesce(a.cell_no, c.cell_no) as cell_no, coalesce(cluster, 'none') as cluster, coalesce(cell_type, 'unknown') as cell_type from a full join fx_cells c on a.cell_no = c.cell_no""",
     "cell_plot_order": """with l as (select cell_no, case when cell_no % 2 = 0 then lower(cell_type) else cell_type end as label from fx_cells)
 select cell_no, label, row_number() over (order by lower(label), cell_no) - 1 as place from l""",
     "keep_features": f"with {VALUES} select cell_no, region, round(value, 6) as value from mx where region like 'chr1:%'",
     "dtype_choice": "select is_mt, max(n) as largest, case when max(n) <= 65535 then 'uint16' else 'uint32' end as kind from fx_counts group by is_mt",
-    "doublet_rate": "select sample, count(*) * 100 as n_cells, case when sample = 'IR02' then 0.07 else round(0.004 * count(*) * 100 / 1000, 6) end as rate from fx_cells group by sample",
+    "doublet_rate": "select sample, count(*) as n_cells, case when sample = 'IR02' then 0.07 else round(0.004 * count(*) / 1000, 6) end as rate from fx_cells group by sample",
     "doublet_fill": f"""with {METRICS} select cell_no, case when n_genes >= 20 and cell_no % 4 <> 0 then round(cast(n_genes as double) / 1000, 6) end as score,
 n_genes >= 20 and cell_no % 4 <> 0 and n_genes % 2 = 0 as predicted from q""",
-    "concat_outer": """with c as (select cell_no, gene_no, n from fx_counts where cell_no in (1, 2))
-select x.cell_no, g.gene_no, coalesce(n, 0) as n from (select distinct cell_no from c) x, (select distinct gene_no from c) g left join c on c.cell_no = x.cell_no and c.gene_no = g.gene_no""",
+    "concat_outer": "select cell_no, gene_no, n, count(distinct cell_no % 2) over (partition by gene_no) = 2 as in_both from fx_counts",
     "marker_available": "select concat('T', p_partkey % 6) as cell_type, p_partkey as gene_no from part where p_partkey in (select gene_no from fx_counts) and concat('T', p_partkey % 6) in (select cell_type from fx_cells)",
     "window_variance": f"with {RESIDUALS} select chrom, start_pos, count(*) as n_cells, round(var_samp(r), 6) as variance from wc group by all having count(*) >= 6",
     "welch_t": f"""with {VALUES}, w as (select region, count(value) filter (sample like 'IR%') as n_a, count(value) filter (sample like 'NR%') as n_b, avg(value) filter (sample like 'IR%') as ma,

@@ -14,13 +14,14 @@ _SAMPLE = "concat(case when {0} % 10 < 5 then 'IR0' else 'NR0' end, cast(1 + {0}
 
 VIEWS = {
     "fx_sites": f"""select {_SAMPLE.format("l_suppkey")} as sample, l_suppkey % 50 as cell_no, concat('chr', cast(1 + l_partkey % 4 as varchar(4))) as chrom,
-  (l_orderkey * 7) % 4000 as pos, cast(l_quantity as bigint) % 4 as mc, cast(round(l_discount * 100) as bigint) % 3 + 1 as uc, {_LINE} as line_no from lineitem""",
-    "fx_regions": """select distinct concat('chr', cast(1 + o_custkey % 4 as varchar(4))) as chrom, (o_orderkey * 13) % 4000 as start_pos,
-  (o_orderkey * 13) % 4000 + 5 + o_custkey % 40 as end_pos from orders where o_orderkey < 1500 and o_orderkey % 5 = 0""",
-    "fx_mask": """select distinct concat('chr', cast(1 + o_custkey % 4 as varchar(4))) as chrom, (o_orderkey * 11) % 4000 as start_pos,
-  (o_orderkey * 11) % 4000 + 3 + o_custkey % 30 as end_pos from orders where o_orderkey < 1500 and o_orderkey % 7 = 0""",
+  l_orderkey * 2 as pos, l_orderkey * 2 + 1 + l_suppkey % 2 as end_pos, cast(cast(l_quantity as bigint) % 4 * 25 as double) as prob, cast(l_quantity as bigint) % 4 as mc,
+  cast(round(l_discount * 100) as bigint) % 3 as uc, {_LINE} as line_no from lineitem""",
+    "fx_regions": """select distinct concat('chr', cast(1 + o_custkey % 4 as varchar(4))) as chrom, o_orderkey * 2 as start_pos,
+  o_orderkey * 2 + 1 + o_custkey % 7 as end_pos from orders""",
+    "fx_mask": """select distinct concat('chr', cast(1 + (o_custkey + o_orderkey) % 4 as varchar(4))) as chrom, o_orderkey * 2 + 3 as start_pos,
+  o_orderkey * 2 + 4 + o_custkey % 3 as end_pos from orders""",
     "fx_cells": f"""select c_custkey as cell_no, {_SAMPLE.format("c_custkey")} as sample, concat('T', cast(c_nationkey % 4 as varchar(4))) as cell_type,
-  c_custkey % 13 = 0 as excluded from customer where c_custkey < 50""",
+  c_custkey % 13 = 0 as excluded from customer""",
     "fx_dmr": f"""select {_SAMPLE.format("l_suppkey")} as sample, concat('T', cast(l_linenumber % 3 as varchar(4))) as left_type, 'T3' as right_type,
   concat('chr', cast(1 + l_partkey % 4 as varchar(4))) as chrom, cast(l_orderkey % 300 as bigint) as start_pos, cast(l_orderkey % 300 + 1 + l_quantity as bigint) as end_pos,
   l_tax * 10 as meth_a, l_discount * 5 as meth_b, case when l_tax * 10 < l_discount * 5 then 'group_A' else 'group_B' end as lower_group,

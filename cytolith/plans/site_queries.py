@@ -9,7 +9,7 @@ from cytolith.functions import ids, labels
 from cytolith.operators import intervals, sites
 from cytolith.plans.fixtures import Fixtures
 
-RATIO = "(cast(mc as double) / (mc + uc))"
+RATIO = "(cast(mc as double) / nullif(mc + uc, 0))"
 SIZES = "select chrom, max(end_pos) + 37 as length from fx_regions group by chrom"
 
 
@@ -22,7 +22,7 @@ def merged_sql(source: str, touching: bool, by: str = "chrom", name: str = "m",
 
 
 MERGED_SITES = f"""u as (select sample, cell_no, chrom, pos, cast(sum(mc) as bigint) as mc, cast(sum(uc) as bigint) as uc, count(*) as n_rows,
-max({RATIO}) - min({RATIO}) > 1e-12 as discordant from fx_sites group by all)"""
+coalesce(max({RATIO}) - min({RATIO}) > 1e-12, false) as discordant from fx_sites group by all)"""
 
 
 def _merged(v: Fixtures) -> DataFrame:
@@ -54,16 +54,16 @@ def _bins(v: Fixtures) -> DataFrame:
 BINS = f"sizes as ({SIZES}), bins as (select chrom, b as bin, b * 50 as start_pos, (b + 1) * 50 as end_pos from (select chrom, unnest(range(0, length // 50)) as b from sizes))"
 BINNED = f"{BINS}, binned as (select sample, cell_no, chrom, pos // 50 as bin, cast(sum(mc) as bigint) as mc, cast(sum(mc + uc) as bigint) as cov from fx_sites where (chrom, pos // 50) in (select (chrom, bin) from bins) group by all having sum(mc + uc) > 0)"
 OVERLAP = "a.chrom = b.chrom and a.start_pos < b.end_pos and b.start_pos < a.end_pos"
-LEVELS = f"levels as (select sample, cell_no, count(*) as n_sites, cast(sum(mc + uc) as bigint) as total_coverage, avg({RATIO}) as mean_site_level, cast(sum(mc) as double) / sum(mc + uc) as overall_level from fx_sites group by all)"
-AUDIT = """l as (select *, lag(chrom) over w as pc, lag(pos) over w as pp from fx_sites window w as (partition by sample, cell_no order by line_no)),
-r as (select *, sum(case when pc is null or pc <> chrom or pp <> pos then 1 else 0 end) over (partition by sample, cell_no order by line_no rows unbounded preceding) as run,
+LEVELS = f"levels as (select sample, cell_no, count(*) as n_sites, cast(sum(mc + uc) as bigint) as total_coverage, avg({RATIO}) as mean_site_level, cast(sum(mc) as double) / nullif(sum(mc + uc), 0) as overall_level from fx_sites group by all)"
+AUDIT = """l as (select *, lag(chrom) over w as pc, lag(pos) over w as pp, lag(end_pos) over w as pe from fx_sites window w as (partition by sample, cell_no order by line_no)),
+r as (select *, sum(case when pc is null or pc <> chrom or pp <> pos or pe <> end_pos then 1 else 0 end) over (partition by sample, cell_no order by line_no rows unbounded preceding) as run,
   case when pc is null or pc <> chrom then 1 else 0 end as new_chrom, case when pc = chrom and pp > pos then 1 else 0 end as descends from l),
-runs as (select sample, cell_no, run, chrom, count(*) as n, count(distinct (mc, uc)) as kinds, sum(new_chrom) as new_chrom, sum(descends) as descends from r group by all),
+runs as (select sample, cell_no, run, chrom, count(*) as n, count(distinct (prob, mc, uc)) as kinds, sum(new_chrom) as new_chrom, sum(descends) as descends from r group by all),
 audit as (select sample, cell_no, cast(sum(n) as bigint) as n_rows, count(*) filter (n > 1) as duplicate_loci, cast(sum(case when n > 1 then n - 1 else 0 end) as bigint) as extra_rows,
   count(*) filter (n > 1 and kinds = 1) as exact_loci, count(*) filter (n > 1 and kinds > 1) as conflicting_loci, count(*) filter (n > 1) as primary_loci,
   cast(sum(descends) as bigint) as descents, cast(sum(new_chrom) - count(distinct chrom) as bigint) as reentries from runs group by all),
 checked as (select *, descents = 0 and reentries = 0 as ordering_ok from audit)"""
-LOCUS = f"locus as (select sample, cell_no, chrom, pos, count(*) as n, min({RATIO}) as low, max({RATIO}) as high, min((line_no, mc, uc)) as f, arg_min(mc, line_no) as mc, arg_min(uc, line_no) as uc, min(line_no) as line_no from fx_sites group by all)"
+LOCUS = f"locus as (select sample, cell_no, chrom, pos, end_pos, count(*) as n, min(prob) as low, max(prob) as high, min((line_no, mc, uc)) as f, arg_min(mc, line_no) as mc, arg_min(uc, line_no) as uc, min(line_no) as line_no from fx_sites group by all)"
 
 QUERIES = {
     "region_mean": region_mean,
@@ -84,13 +84,13 @@ QUERIES = {
     "bin_aggregate": _binned,
     "cell_depth": lambda v: _rounded(sites.cell_depth(_binned(v)), "mean_coverage", "log1p_coverage"),
     "bin_support": lambda v: sites.bin_support(_binned(v), 0.5),
-    "bin_filter": lambda v: sites.bin_support(_binned(v), 0.5).where(F.col("n_cells") > 20),
+    "bin_filter": lambda v: sites.bin_support(_binned(v), 0.5).where(F.col("n_cells") > 6),
     "hypo_threshold": lambda v: _rounded(sites.threshold_for_target(sites.bin_support(_binned(v), 0.5), 50, 60), "percent"),
     "point_in_interval": lambda v: intervals.points_in_regions(v.sites, _merged(v).drop("n_records")).select("sample", "cell_no", "line_no", "region_start", "region_end"),
     "interval_merge_touch": lambda v: intervals.merge_intervals(v.regions, touching=True),
     "interval_merge_strict": _merged,
     "interval_merge_annot": lambda v: intervals.merge_intervals(
-        v.dmr.select("sample", "left_type", "chrom", "start_pos", "end_pos").where("start_pos % 6 = 0"), ["sample"], False, ["left_type"]
+        v.dmr.select("sample", "left_type", "chrom", (F.col("start_pos") * 200).alias("start_pos"), (F.col("end_pos") * 200 - F.col("start_pos") * 100).alias("end_pos")), ["sample"], False, ["left_type"]
     ).select("sample", "chrom", "start_pos", "end_pos", "n_records", F.array_join("left_type", ",").alias("types")),
     "interval_anti": lambda v: intervals.drop_overlapping(v.regions, v.mask),
     "interval_semi": lambda v: intervals.keep_overlapping(v.regions, v.mask),
@@ -138,7 +138,7 @@ select sample, n_cells * (select count(*) from m) as matrix_values, covered_valu
     "dup_audit": f"with {AUDIT} select * from checked",
     "dup_audit_total": f"""with {AUDIT}, t as (select count(*) as files, count(*) filter (duplicate_loci > 0) as files_with_duplicates, count(*) filter (not ordering_ok) as unordered_files,
 {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in sites.AUDIT_SUMS)} from checked) select metric, value from (unpivot t on columns(*) into name metric value value)""",
-    "dedup_prob": f"with {LOCUS} select sample, cell_no, chrom, pos, mc, uc, line_no from locus where low = high",
+    "dedup_prob": f"with {LOCUS} select sample, cell_no, chrom, pos, end_pos, low as prob, mc, uc, line_no from locus where low = high",
     "dedup_stats": f"""with {LOCUS} select sample, cell_no, cast(sum(n) as bigint) as rows_in, count(*) filter (low = high) as rows_out, count(*) filter (n > 1) as duplicate_loci,
 count(*) filter (n > 1 and low = high) as same_loci, count(*) filter (n > 1 and low <> high) as different_loci, cast(sum(n - case when low = high then 1 else 0 end) as bigint) as removed, true as holds from locus group by all""",
     "order_audit": f"with {AUDIT} select sample, cell_no, descents, reentries from audit",
@@ -150,15 +150,15 @@ from levels where n_sites between 50 and 20000 and overall_level >= 0.4""",
     "cell_depth": f"""with {BINNED} select sample, cell_no, cast(sum(cov) as bigint) as total_coverage, count(*) filter (cov > 0) as covered_bins,
 round(sum(cov) / cast(count(*) as double), 6) as mean_coverage, round(ln(1 + sum(cov)), 6) as log1p_coverage from binned group by all""",
     "bin_support": f"with {BINNED} select chrom, bin, count(*) filter (1 - cast(mc as double) / cov > 0.5) as n_cells, count(*) as n_covered from binned group by all",
-    "bin_filter": f"with {BINNED} select chrom, bin, count(*) filter (1 - cast(mc as double) / cov > 0.5) as n_cells, count(*) as n_covered from binned group by all having count(*) filter (1 - cast(mc as double) / cov > 0.5) > 20",
+    "bin_filter": f"with {BINNED} select chrom, bin, count(*) filter (1 - cast(mc as double) / cov > 0.5) as n_cells, count(*) as n_covered from binned group by all having count(*) filter (1 - cast(mc as double) / cov > 0.5) > 6",
     "hypo_threshold": f"""with {BINNED}, s as (select chrom, bin, count(*) filter (1 - cast(mc as double) / cov > 0.5) as n from binned group by all),
 t as (select min(a.n) as t from s a where a.n > 0 and (select count(*) from s b where b.n > a.n) <= 60)
 select (select count(*) from s where n > 0) as covered, t as threshold, round(cast(t as double) * 100 / 50 + 1e-6, 6) as percent from t""",
-    "point_in_interval": f"""with {merged_sql("fx_regions", False)} select sample, cell_no, line_no, start_pos as region_start, end_pos as region_end
-from fx_sites s join m on s.chrom = m.chrom and pos >= start_pos and pos < end_pos""",
+    "point_in_interval": f"""with {merged_sql("fx_regions", False)} select sample, cell_no, line_no, m.start_pos as region_start, m.end_pos as region_end
+from fx_sites s join m on s.chrom = m.chrom and pos >= start_pos and pos < m.end_pos""",
     "interval_merge_touch": f"with {merged_sql('fx_regions', True)} select * from m",
     "interval_merge_strict": f"with {merged_sql('fx_regions', False)} select * from m",
-    "interval_merge_annot": f"""with d as (select * from fx_dmr where start_pos % 6 = 0),
+    "interval_merge_annot": f"""with d as (select sample, left_type, chrom, start_pos * 200 as start_pos, end_pos * 200 - start_pos * 100 as end_pos from fx_dmr),
 {merged_sql("d", False, "sample, chrom", extra=", string_agg(distinct left_type, ',' order by left_type) as types")} select * from m""",
     "interval_anti": f"select * from fx_regions a where not exists (select 1 from fx_mask b where {OVERLAP})",
     "interval_semi": f"select * from fx_regions a where exists (select 1 from fx_mask b where {OVERLAP})",

@@ -21,10 +21,20 @@ RECORD = (
 )
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows by schema with their file; what does not parse keeps its text in ``bad_line``."""
-    options = {"sep": "\t", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_line", "comment": "#"}
-    return spark.read.options(**options).schema(f"{schema}, bad_line string").csv(path).withColumn("file", F.col("_metadata.file_path"))
+def _read(spark: SparkSession, path: str, schema: str, least: int) -> DataFrame:
+    """Lines of at least ``least`` tab-separated columns by schema, with their file; further columns are not read.
+
+    A line that is shorter, or has a value that does not parse, keeps its text in
+    ``bad_line``. Empty values are null. Empty lines and those that begin with # are skipped.
+    """
+    lines = spark.read.text(path).where((F.col("value") != "") & ~F.col("value").startswith("#")).withColumn("file", F.col("_metadata.file_path"))
+    parts = F.split("value", "\t", -1)
+    fields = [x.split() for x in schema.split(", ")]
+    texts = {name: F.nullif(F.get(parts, i), F.lit("")) for i, (name, _) in enumerate(fields)}
+    wrong = F.size(parts) < least
+    for name, kind in fields:
+        wrong = wrong | (texts[name].isNotNull() & texts[name].try_cast(kind).isNull())
+    return lines.select(*[texts[name].try_cast(kind).alias(name) for name, kind in fields], F.when(wrong, F.col("value")).alias("bad_line"), "file")
 
 
 def _checked(df: DataFrame, good: Column, what: str) -> DataFrame:
@@ -34,33 +44,46 @@ def _checked(df: DataFrame, good: Column, what: str) -> DataFrame:
     return df.withColumn("file", F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("file"))).drop("bad_line")
 
 
+def _good_site() -> Column:
+    return (F.col("mc") >= 0) & (F.col("uc") >= 0) & (F.col("start_pos") >= 0) & F.col("end_pos").isNotNull() & (F.col("prob") >= 0)
+
+
 def read_sites(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Sites of cells; bad lines are an error, or are left out if not ``strict``."""
-    rows = _read(spark, path, SITE)
-    good = (F.col("mc") >= 0) & (F.col("uc") >= 0) & (F.col("start_pos") >= 0) & F.col("end_pos").isNotNull() & (F.col("prob") >= 0)
+    """Sites of cells, lines of six columns or more; bad lines are an error, or are left out if not ``strict``.
+
+    Without coverage a site is kept if ``strict``, and left out otherwise; ``left_out`` counts.
+    """
+    rows = _read(spark, path, SITE, 6)
     if strict:
-        return _checked(rows, good, "site")
-    return rows.where(F.col("bad_line").isNull() & good & (F.col("mc") + F.col("uc") > 0)).drop("bad_line")
+        return _checked(rows, _good_site(), "site")
+    return rows.where(F.col("bad_line").isNull() & _good_site() & (F.col("mc") + F.col("uc") > 0)).drop("bad_line")
+
+
+def left_out(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_lines, n_bad, n_uncovered): what ``read_sites`` leaves out of each file when it is not strict."""
+    rows = _read(spark, path, SITE, 6)
+    bad = F.col("bad_line").isNotNull() | ~F.coalesce(_good_site(), F.lit(False))
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_bad"), F.count_if(~bad & (F.col("mc") + F.col("uc") == 0)).alias("n_uncovered"))
 
 
 def read_context_sites(spark: SparkSession, path: str, context: str = "CGN") -> DataFrame:
-    """1-based context rows of one context, with ``pos0`` 0-based; the context is chosen before values are checked."""
+    """1-based context rows, of six columns or more, of one context, with ``pos0`` 0-based; the context is chosen before values are checked."""
     from cytolith.operators.sites import in_context
 
-    rows = _read(spark, path, CONTEXT).where(in_context(F.col("context"), context))
+    rows = _read(spark, path, CONTEXT, 6).where(in_context(F.col("context"), context))
     good = (F.col("mc") >= 0) & (F.col("cov") >= F.col("mc")) & (F.col("pos") >= 1)
     return _checked(rows, good, "context row").withColumn("pos0", F.col("pos") - 1)
 
 
 def read_intervals(spark: SparkSession, path: str) -> DataFrame:
     """chrom, start, end of an interval file; further columns are not read."""
-    return _checked(_read(spark, path, "chrom string, start_pos long, end_pos long"), F.col("end_pos") > F.col("start_pos"), "interval").drop("file")
+    return _checked(_read(spark, path, "chrom string, start_pos long, end_pos long", 3), F.col("end_pos") > F.col("start_pos"), "interval").drop("file")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Region records with sample and compared types parsed from ``<sample>__<left>__vs__<right>`` in the file name."""
     good = (F.col("start_pos") >= 0) & (F.col("end_pos") > F.col("start_pos")) & F.col("lower_group").isin("group_A", "group_B")
-    rows = _checked(_read(spark, path, RECORD), good, "region record")
+    rows = _checked(_read(spark, path, RECORD, 12), good, "region record")
     name = r"([^/]+?)__([^/]+?)__vs__([^/]+?)\.[^/]*$"
     return rows.withColumns({c: F.regexp_extract("file", name, i) for i, c in ((1, "sample"), (2, "left_type"), (3, "right_type"))})
 

@@ -11,7 +11,7 @@ from cytolith.functions import ids, labels
 from cytolith.operators import annotation, matrix, sites
 from cytolith.sources import sinks, tables
 
-SITE = "sample string, cell_no long, chrom string, pos long, mc long, uc long, line_no long"
+SITE = "sample string, cell_no long, chrom string, pos long, end_pos long, prob double, mc long, uc long, line_no long"
 
 
 def rows(df):
@@ -19,19 +19,61 @@ def rows(df):
 
 
 def test_dedup_keeps_the_first_of_equal_and_drops_the_rest(spark):
-    data = [("S", 1, "chr1", 5, 1, 1, 0), ("S", 1, "chr1", 5, 2, 2, 1), ("S", 1, "chr1", 9, 1, 0, 2), ("S", 1, "chr1", 9, 0, 1, 3), ("S", 1, "chr1", 11, 1, 0, 4)]
+    data = [
+        ("S", 1, "chr1", 5, 6, 50.0, 1, 1, 0), ("S", 1, "chr1", 5, 6, 50.0, 2, 2, 1), ("S", 1, "chr1", 9, 10, 100.0, 1, 0, 2), ("S", 1, "chr1", 9, 10, 0.0, 0, 1, 3),
+        ("S", 1, "chr1", 11, 12, 0.0, 0, 0, 4), ("S", 1, "chr1", 11, 13, 7.0, 0, 0, 5), ("S", 1, "chr1", 20, 21, 33.0, 1, 3, 6), ("S", 1, "chr1", 20, 21, 25.0, 2, 6, 7), ("S", 1, "chr1", 30, 31, None, 1, 1, 8),
+    ]
     df = spark.createDataFrame(data, SITE)
-    assert rows(sites.dedup_by_probability(df)) == [("S", 1, "chr1", 5, 1, 1, 0), ("S", 1, "chr1", 11, 1, 0, 4)]
-    assert rows(sites.dedup_stats(df)) == [("S", 1, 5, 2, 2, 1, 1, 3, True)]
+    assert rows(sites.dedup_by_probability(df)) == [data[0], data[4], data[5]]
+    assert rows(sites.dedup_stats(df)) == [("S", 1, 9, 3, 3, 1, 2, 6, True)]
+
+
+def test_sites_without_coverage(spark):
+    df = spark.createDataFrame([("S", 1, "chr1", 5, 6, 0.0, 0, 0, 0), ("S", 1, "chr1", 5, 6, 0.0, 0, 0, 1), ("S", 1, "chr1", 7, 8, 50.0, 1, 1, 2), ("S", 2, "chr1", 7, 8, 0.0, 0, 0, 3)], SITE)
+    merged = {(r.cell_no, r.pos): (r.ratio, r.discordant) for r in sites.merge_counts(df).collect()}
+    assert merged == {(1, 5): (None, False), (1, 7): (0.5, False), (2, 7): (None, False)}
+    assert [(r.mean_site_level, r.overall_level) for r in sites.cell_levels(df).orderBy("cell_no").collect()] == [(0.5, 0.5), (None, None)]
+    regions = spark.createDataFrame([("chr1", 0, 9)], "chrom string, start_pos long, end_pos long")
+    assert sorted((r.cell_no, r.mean_ratio) for r in sites.region_mean(df, regions).collect()) == [(1, 0.5), (2, None)]
 
 
 def test_audit_counts_runs(spark):
-    data = [("S", 1, "chr1", 5, 1, 1, 0), ("S", 1, "chr1", 5, 2, 2, 1), ("S", 1, "chr2", 1, 1, 0, 2), ("S", 1, "chr1", 3, 0, 1, 3), ("S", 1, "chr1", 2, 0, 1, 4)]
+    data = [("S", 1, "chr1", 5, 6, 50.0, 1, 1, 0), ("S", 1, "chr1", 5, 6, 50.0, 2, 2, 1), ("S", 1, "chr2", 1, 2, 0.0, 1, 0, 2), ("S", 1, "chr1", 3, 4, 0.0, 0, 1, 3), ("S", 1, "chr1", 2, 3, 0.0, 0, 1, 4), ("S", 1, "chr1", 2, 4, 0.0, 0, 1, 5)]
     found = sites.audit_duplicates(spark.createDataFrame(data, SITE)).first().asDict()
     assert (found["duplicate_loci"], found["exact_loci"], found["conflicting_loci"]) == (1, 0, 1)
     assert (found["descents"], found["reentries"], found["ordering_ok"]) == (1, 1, False)
 
 
+def test_expression_counts_absent_values_as_zero(spark):
+    from cytolith.operators import expression
+
+    values = spark.createDataFrame([(1, 7, 3.0), (2, 8, 1.0), (3, 8, 1.0)], "cell_no long, gene_no long, value double")
+    groups = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "cell_no long, group string")
+    assert rows(expression.dotplot(values, groups)) == [("a", 7, 1.5, 0.5), ("a", 8, 0.5, 0.5), ("b", 7, 0.0, 0.0), ("b", 8, 1.0, 1.0)]
+    assert {r.gene_no: (r.mean, round(r.variance, 9), r.n_cells) for r in expression.moments(values, "value").collect()} == {7: (1.0, 3.0, 1), 8: (2 / 3, round(1 / 3, 9), 2)}
+    assert {(r.gene_no, r.group): (r.n1, r.u) for r in expression.rank_sum(values, groups).collect()} == {(7, "a"): (2, 1.5), (7, "b"): (1, 0.5), (8, "a"): (2, 0.5), (8, "b"): (1, 1.5)}
+
+
+def test_files_may_have_further_columns(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.cov").write_text("chr1\t5\t6\t50\t1\t1\textra\nchr1\t7\t8\t0\t0\t0\n")
+    (tmp_path / "s" / "b.cov").write_text("chr1\t5\t6\t50\t1\nchr1\t9\t10\t50\t1\t1\tx\ty\n")
+    assert sorted(r.start_pos for r in tables.read_sites(spark, str(tmp_path / "s"), strict=False).collect()) == [5, 9]
+    assert sorted((r.n_lines, r.n_bad, r.n_uncovered) for r in tables.left_out(spark, str(tmp_path / "s")).collect()) == [(2, 0, 1), (2, 1, 0)]
+    with pytest.raises(Exception, match="not a site"):
+        tables.read_sites(spark, str(tmp_path / "s" / "b.cov")).collect()
+    (tmp_path / "c").write_text("chr1\t5\t+\tCGA\t1\t2\nchr1\t6\t+\tCGA\t1\t2\t1\t9\n")
+    assert [(r.pos0, r.flag) for r in tables.read_context_sites(spark, str(tmp_path / "c")).orderBy("pos").collect()] == [(4, None), (5, 1)]
+
+
+def test_runs_cross_blocks(spark):
+    labels_ = "aabbbbabbbaaaaaaac"
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(labels_)], "at long, c string")
+    for block in (1, 3, 100):
+        found = sorted((r.first, r.last, r.c, r.n) for r in matrix.label_runs(df, [], "at", "c", block).collect())
+        assert found == [(0, 1, "a", 2), (2, 5, "b", 4), (6, 6, "a", 1), (7, 9, "b", 3), (10, 16, "a", 7), (17, 17, "c", 1)]
+
+
 def test_bins_of_context_rows(spark):
     data = [("chr1", 1, "CGN", 1, 2), ("chr1", 5000, "CGN", 2, 3), ("chr1", 5001, "CGN", 4, 5), ("chr1", 6000, "CHN", 9, 9)]
     df = spark.createDataFrame(data, "chrom string, pos long, context string, mc long, cov long").where(sites.in_context(F.col("context"), "CGN"))
@@ -41,9 +83,9 @@ def test_bins_of_context_rows(spark):
 
 
 def test_identifiers(spark):
-    names = ["D01-AA-BB", "IR01_X", "IR01__X", "25110891_IR01_Met__X"]
+    names = ["D01-AA-BB", " IR01_X", "IR01__X", "25110891_IR01_Met__X", "-X"]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(ids.canonical_cell_id(F.col("n")))
-    assert [r[0] for r in df.collect()] == ["D01_AA-BB", "IR01__X", "IR01__X", "IR01__X"]
+    assert [r[0] for r in df.collect()] == ["D01_AA-BB", "IR01__X", "IR01__X", "IR01__X", "-X"]
 
 
 def test_region_names(spark):
