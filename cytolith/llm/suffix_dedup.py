@@ -33,6 +33,7 @@ from cytolith.llm.common import checkpointed, stored, whole_text
 
 SPAN, GRAM = 50, 24
 WINDOW = SPAN - GRAM + 1
+SIDE = (SPAN - GRAM) // 2
 #: Bytes of text per chunk (a longer text is a chunk of its own), per step inside a task, and per bucket of anchors.
 CHUNK_BYTES, STEP_BYTES, BUCKET_BYTES = 4 << 20, 1 << 17, 16 << 20
 #: Texts that are put in order together, about; whole anchors at a time. An anchor with more segments counts as common.
@@ -48,17 +49,17 @@ def _power(n: int) -> int:
 
 
 def segments(data, starts, ends):
-    """Segments of texts that lie at [starts, ends) of a byte array: arrays (first, count, key).
+    """Segments of texts that lie at [starts, ends) of a byte array: arrays (first, count, anchor, key).
 
     first is where the first string of a segment starts, count the number of its strings,
-    key the hash of the gram that is their anchor.
+    anchor the place of their gram from there on, key the gram's hash.
     """
     import numpy as np
 
     n = len(data)
     none = np.array([], np.int64)
     if n < SPAN:
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     h1 = data.astype(np.uint64) + np.uint64(1)
 
     def joined(a, size, b, added):
@@ -89,7 +90,7 @@ def segments(data, starts, ends):
     closes = valid.copy()
     closes[:-1] &= (place[1:] != place[:-1]) | ~valid[1:]
     first = np.flatnonzero(opens)
-    return first, np.flatnonzero(closes) - first + 1, gram[place[first]]
+    return first, np.flatnonzero(closes) - first + 1, place[first] - first, gram[place[first]]
 
 
 def packed(*arrays) -> bytes:
@@ -117,8 +118,8 @@ def unpacked(blob: bytes, *kinds: str) -> list:
 
 
 #: Kinds of the blobs: chunks (doc_id, length, bytes), anchors (hash, segments up to 65,535, several documents),
-#: texts (hash, doc_id, several documents, length, bytes), marks (text, first string, strings, doc_id).
-CHUNK, ANCHORS, TEXTS, MARKS = ("<i8", "<i8", "u1"), ("<u4", "<u2", "u1"), ("<u4", "<i8", "u1", "u1", "u1"), ("<u4", "u1", "u1", "<i8")
+#: texts (hash, doc_id, several documents, place of the anchor or SPAN, length, bytes), marks (text, first string, strings, doc_id).
+CHUNK, ANCHORS, TEXTS, MARKS = ("<i8", "<i8", "u1"), ("<u4", "<u2", "u1"), ("<u4", "<i8", "u1", "u1", "u1", "u1"), ("<u4", "u1", "u1", "<i8")
 
 
 def _pack_chunks(chunk_bytes: int):
@@ -168,11 +169,11 @@ class Chunk:
             for begin in range(base, stop, step_bytes) if alone else [base]:
                 end = min(stop, begin + step_bytes + SPAN - 1) if alone else stop
                 starts, ends = (np.array([0]), np.array([end - begin])) if alone else (offsets[row:last] - begin, offsets[row + 1 : last + 1] - begin)
-                first, count, key = segments(self.data[begin:end], starts, ends)
-                parts.append((first + begin, count, key))
+                first, *rest = segments(self.data[begin:end], starts, ends)
+                parts.append((first + begin, *rest))
             row = last
         empty = np.array([], np.int64)
-        self.first, self.count, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty, empty, empty.astype(np.uint64))
+        self.first, self.count, self.anchor, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty, empty, empty, empty.astype(np.uint64))
         self.row = np.searchsorted(offsets, self.first, side="right") - 1
         self.buckets = buckets
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
@@ -189,7 +190,7 @@ class Chunk:
         return n, several
 
     def texts(self, codes) -> tuple:
-        """Distinct texts to compare, and where they stand: (bucket, hash, text), (text of each occurrence, its start, its row).
+        """Distinct texts to compare, and where they stand: (bucket, hash, anchor, text), (text of each occurrence, its start, its row).
 
         Segments of shared anchors are texts; those of common ones are cut into single strings.
         """
@@ -204,13 +205,14 @@ class Chunk:
         raw, known = self.data.tobytes(), {}
         text = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
         found = list(known)
-        bucket, name = np.zeros(len(found), np.int64), np.zeros(len(found), np.uint32)
+        bucket, name, anchor = np.zeros(len(found), np.int64), np.zeros(len(found), np.uint32), np.full(len(found), SPAN, np.uint8)
+        anchor[text[: len(whole)]] = self.anchor[whole]
         names = self.names[self.name[whole]]
         bucket[text[: len(whole)]], name[text[: len(whole)]] = (names >> np.uint64(32)).astype(np.int64), (names & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         for i in np.unique(text[len(whole) :]).tolist():
             h = xxhash.xxh3_64_intdigest(found[i], 1)
             bucket[i], name[i] = (h >> 32) % self.buckets, h & 0xFFFFFFFF
-        return (bucket, name, found), (text, start, row)
+        return (bucket, name, anchor, found), (text, start, row)
 
 
 def _by(values) -> Iterator:
@@ -276,7 +278,7 @@ def _send_texts(buckets: int, step_bytes: int):
         out: dict = {"bucket": [], "chunk": [], "blob": []}
         for number, blob in zip(left["chunk"].tolist(), left["blob"], strict=True):
             chunk = Chunk(blob, buckets, step_bytes)
-            (bucket, name, texts), (text, _, row) = chunk.texts(_codes(right))
+            (bucket, name, anchor, texts), (text, _, row) = chunk.texts(_codes(right))
             least, most = np.full(len(texts), np.iinfo(np.int64).max), np.full(len(texts), np.iinfo(np.int64).min)
             np.minimum.at(least, text, chunk.docs[row])
             np.maximum.at(most, text, chunk.docs[row])
@@ -285,7 +287,7 @@ def _send_texts(buckets: int, step_bytes: int):
                 own = np.frombuffer(b"".join([texts[i] for i in r.tolist()]), np.uint8)
                 out["bucket"].append(b)
                 out["chunk"].append(number)
-                out["blob"].append(packed(name[r], least[r], several[r], lengths[r], own))
+                out["blob"].append(packed(name[r], least[r], several[r], anchor[r], lengths[r], own))
         return pd.DataFrame(out).astype({"bucket": "int32", "chunk": "int64"})
 
     return work
@@ -489,6 +491,22 @@ def least_documents(texts: list[bytes], docs):
     return owner[opens], offset[opens], np.diff(opens, append=len(owner)), least[opens]
 
 
+def _may_overlap(texts: list[bytes], places: list[int]) -> list[int]:
+    """Texts that share their anchor and SIDE bytes before or after it with another one.
+
+    A string of SPAN bytes reaches at least that far to one side of its anchor, so all
+    others have no string in common. Single strings, with SPAN for a place, overlap nothing else.
+    """
+    met: dict = {}
+    for i, (t, at) in enumerate(zip(texts, places, strict=True)):
+        if at < SPAN:
+            if at >= SIDE:
+                met.setdefault(t[at - SIDE : at + GRAM], []).append(i)
+            if at + GRAM + SIDE <= len(t):
+                met.setdefault((t[at : at + GRAM + SIDE],), []).append(i)
+    return [i for members in met.values() if len(members) > 1 for i in members]
+
+
 def _order_texts(group: int):
     """Marks for the chunks that have texts in a bucket, from the order of whole anchors, about ``group`` texts at a time."""
 
@@ -497,33 +515,30 @@ def _order_texts(group: int):
         import pandas as pd
 
         known: dict = {}
-        text, docs, several, nth, chunk, names = [], [], [], [], [], []
+        text, docs, several, places, nth, chunk, names = [], [], [], [], [], [], []
         for number, blob in zip(frame["chunk"].tolist(), frame["blob"], strict=True):
-            name, least, multi, lengths, raw = unpacked(blob, *TEXTS)
+            name, least, multi, place, lengths, raw = unpacked(blob, *TEXTS)
             ends, raw = np.cumsum(lengths.astype(np.int64)), raw.tobytes()
             text.append([known.setdefault(raw[b - n : b], len(known)) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)])
             docs.append(least)
             several.append(multi)
+            places.append(place)
             names.append(name)
             nth.append(np.arange(len(name)))
             chunk.append(np.full(len(name), number))
-        text, docs, several, nth, chunk, names = (np.concatenate(x) for x in (text, docs, several, nth, chunk, names))
+        text, docs, several, places, nth, chunk, names = (np.concatenate(x) for x in (text, docs, several, places, nth, chunk, names))
         texts = list(known)
         del known
-        least, anchor = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64)
+        least, anchor, place = np.full(len(texts), np.iinfo(np.int64).max), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         np.minimum.at(least, text, docs)
-        anchor[text] = names
-        # texts of one anchor are put in order together; where all are of one document, nothing is repeated
+        anchor[text], place[text] = names, places
         most, lone = least.copy(), np.ones(len(texts), bool)
         np.maximum.at(most, text, docs)
         lone[text[several > 0]] = False
-        groups, own = np.unique(anchor, return_inverse=True)
-        low, high, single = np.full(len(groups), np.iinfo(np.int64).max), np.full(len(groups), np.iinfo(np.int64).min), np.ones(len(groups), bool)
-        np.minimum.at(low, own, least)
-        np.maximum.at(high, own, most)
-        single[own[~lone]] = False
+        asked = ~lone | (least < most)
+        asked[_may_overlap(texts, place.tolist())] = True
         order = np.argsort(anchor, kind="stable")
-        order = order[~(single & (low == high))[own[order]]]
+        order = order[asked[order]]
         parts, start = [], 0
         while start < len(order):
             end = int(np.searchsorted(anchor[order], anchor[order[min(start + group, len(order)) - 1]], side="right"))
@@ -562,7 +577,7 @@ def _cut(buckets: int, step_bytes: int, with_texts: bool):
         edges = np.zeros(len(chunk.data) + 1, np.int32)
         marks = answers[answers["marks"].notna()]
         if len(marks):
-            (bucket, _, texts), (text, start, row) = chunk.texts(_codes(answers))
+            (bucket, _, _, texts), (text, start, row) = chunk.texts(_codes(answers))
             places = dict(_by(bucket))
             at = np.argsort(text, kind="stable")
             heads = np.searchsorted(text[at], np.arange(len(texts) + 1))
