@@ -40,6 +40,23 @@ def test_license_scan(spark):
     assert licenses.scan(df, licenses.license_table(spark).limit(0)).where("n_licenses > 0").count() == 0
 
 
+def test_license_files_with_titles_and_other_line_ends(spark):
+    import textwrap
+
+    texts, expected = [], []
+    for key, titles in licenses.TITLES.items():
+        for title in titles:
+            body = "\n\n".join(textwrap.fill(part, 60) for part in licenses.TEXTS[key].split("\n\n"))
+            texts.append(f"{title}\n\nCopyright (c) 2021, Some One. All rights reserved.\n\n{body}\n")
+            expected.append(key)
+    texts += [licenses.TEXTS[k].replace("\n", " \r\n") for k in licenses.TEXTS]
+    expected += list(licenses.TEXTS)
+    got = {r.doc_id: r.whole_license for r in licenses.scan(frame(spark, texts), licenses.license_table(spark)).collect()}
+    assert got == dict(enumerate(expected, 1))
+    twice = frame(spark, [texts[0], texts[0] + "\nx " * 60_000]).union(frame(spark, [texts[0]]))
+    assert sorted((r.doc_id, r.n_licenses) for r in licenses.scan(twice, licenses.license_table(spark)).collect()) == [(1, 1), (1, 1), (2, 0)]
+
+
 # decontamination
 
 
