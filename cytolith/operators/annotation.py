@@ -163,3 +163,54 @@ def keep_features(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def count_kind(largest: Column) -> Column:
     """The narrowest unsigned kind that holds the largest count; counts are never clipped."""
     return F.when(largest <= 65_535, "uint16").when(largest <= 4_294_967_295, "uint32").otherwise("uint64")
+
+
+def match_statistics(cells: DataFrame, annotation: DataFrame, key: str, label: str, excluded: str) -> DataFrame:
+    """One row: how many selected cells an annotation knows, by count and share, how many have a label, are excluded, are retained.
+
+    Repeated rows of a key in the annotation count as one match; an excluded flag that is null is false.
+    """
+    known = annotation.groupBy(key).agg(F.max(label).alias("__label"), F.max(F.coalesce(excluded, F.lit(False))).alias("__out")).withColumn("__there", F.lit(True))
+    joined = cells.select(key).join(known, key, "left")
+    there, out = F.coalesce("__there", F.lit(False)), F.coalesce("__out", F.lit(False))
+    found = joined.agg(
+        F.count(F.lit(1)).alias("n_cells"),
+        F.count_if(there).alias("n_matched"),
+        F.count_if(~there).alias("n_unmatched"),
+        F.avg(there.cast("double")).alias("match_rate"),
+        F.count_if(there & F.col("__label").isNotNull()).alias("n_labelled"),
+        F.count_if(out).alias("n_excluded"),
+        F.count_if(there & ~out).alias("n_retained"),
+    )
+    rows = annotation.agg(F.count(F.lit(1)).alias("annotation_rows"))
+    return found.join(F.broadcast(rows))
+
+
+def complete_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join in which every row of ``left`` has exactly one partner; rows without one, or with several, are an error."""
+    counted = right.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)
+    joined = left.join(counted, key, "left")
+    n = F.coalesce("__n", F.lit(0))
+    wrong = F.raise_error(F.concat(F.lit(f"{key} "), F.col(key).cast("string"), F.lit(" has "), n.cast("string"), F.lit(" partners")))
+    # the check is in the key itself, so no plan can do without it
+    return joined.withColumn(key, F.when(n == 1, F.col(key)).otherwise(wrong.cast(left.schema[key].dataType))).drop("__n")
+
+
+def relabel_status(flag: Column) -> Column:
+    """Exclude where the flag holds, else Keep; null is false."""
+    return F.when(F.coalesce(flag, F.lit(False)), "Exclude").otherwise("Keep")
+
+
+def annotate_clusters(cells: DataFrame, names: dict[str, str], cluster: str, excluded: tuple[str, ...]) -> DataFrame:
+    """Cells with the name of their cluster (``Unknown`` if it has none), whether the main analysis leaves it out, and the status in words."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    name = F.coalesce(F.element_at(F.create_map(*pairs), F.col(cluster).cast("string")), F.lit("Unknown"))
+    named = cells.withColumn("cell_type", name).withColumn("excluded", F.col("cell_type").isin(*excluded))
+    return named.withColumn("status", relabel_status(F.col("excluded")))
+
+
+def stage_counts(df: DataFrame, by: list[str], status: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Rows per group and status, and whether all are done; a status that is none of ``kinds`` is counted as other."""
+    counts = [F.count_if(F.col(status) == kind).alias(kind) for kind in kinds]
+    other = F.count_if(F.col(status).isNull() | ~F.col(status).isin(*kinds)).alias("other")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts, other).withColumn("all_done", F.col("n") == F.col(kinds[0]))

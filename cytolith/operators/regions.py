@@ -150,6 +150,8 @@ def without_null_fdr(df: DataFrame, permuted: Column, by: list[str]) -> DataFram
 
 def windows(sites: DataFrame, width: int, step: int) -> DataFrame:
     """Sites with each sliding window (start_pos) that holds them; a site is in width / step windows."""
+    if width <= 0 or step <= 0:
+        raise ValueError(f"a width of {width} and a step of {step} are no windows")
     last = F.floor(F.col("pos") / step)
     first = F.greatest(F.lit(0), F.floor((F.col("pos") - width) / step) + 1)
     return sites.withColumn("start_pos", F.explode(F.transform(F.sequence(first, last), lambda i: i * step)))
@@ -173,3 +175,14 @@ def welch_t(values: DataFrame, group: str, sides: tuple[str, str], by: list[str]
     out = values.where(F.col(group).isin(*sides)).groupBy(*by).agg(*moments)
     error = F.sqrt(F.col("var_a") / F.col("n_a") + F.col("var_b") / F.col("n_b"))
     return out.select(*by, "n_a", "n_b", F.when((F.col("n_a") > 1) & (F.col("n_b") > 1) & (error > 0), (F.col("mean_a") - F.col("mean_b")) / error).alias("t"))
+
+
+# The text of a p that was written without an adjusted one.
+FALLBACK_P, FALLBACK_ADJUSTED = r"^[0-9]+([.][0-9]*)?([eE][+-]?[0-9]+)?$", "NA"
+
+
+def fallback_validity(records: DataFrame, by: list[str], raw: str = "raw_p", adjusted: str = "adjusted_p") -> DataFrame:
+    """Whether all records of a file are as a run without permuted rows leaves them: adjusted p NA, raw p an unsigned number in text."""
+    good = (F.col(adjusted) == FALLBACK_ADJUSTED) & F.col(raw).rlike(FALLBACK_P)
+    out = records.groupBy(*by).agg(F.count(F.lit(1)).alias("n_records"), F.count_if(~F.coalesce(good, F.lit(False))).alias("n_bad"))
+    return out.withColumn("valid", F.col("n_bad") == 0)

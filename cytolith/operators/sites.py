@@ -154,6 +154,8 @@ def cell_qc_filter(levels: DataFrame, min_sites: int = 300_000, max_sites: int =
 
 def aggregate_bins(sites: DataFrame, bins: DataFrame, size: int) -> DataFrame:
     """Summed counts per cell and retained bin; bins without coverage have no row."""
+    if size <= 0:
+        raise ValueError(f"{size} is no size of bins")
     out = sites.withColumn("bin", F.floor(F.col("pos") / size)).join(bins.select("chrom", "bin"), ["chrom", "bin"])
     return out.groupBy(*FILE, "chrom", "bin").agg(F.sum("mc").alias("mc"), F.sum(F.col("mc") + F.col("uc")).alias("cov")).where("cov > 0")
 

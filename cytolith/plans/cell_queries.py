@@ -287,6 +287,13 @@ def _overrides(v: Fixtures) -> DataFrame:
 
 
 QUERIES |= {
+    "annotation_match": lambda v: _rounded(annotation.match_statistics(v.counts.select("cell_no").distinct(), v.cells.where("cell_type <> 'T1' or excluded").withColumn("cell_type", F.nullif("cell_type", F.lit("T2"))), "cell_no", "cell_type", "excluded"), "match_rate"),
+    "join_complete": lambda v: annotation.complete_join(v.clusters.select(F.col("vec_id").alias("cell_no"), "cluster_a"), v.clusters.select(F.col("vec_id").alias("cell_no"), "cluster_b"), "cell_no"),
+    "cluster_status": lambda v: annotation.annotate_clusters(v.clusters, {str(i): f"T{i}" for i in range(6)}, "cluster_a", ("T1", "T4", "Unknown")),
+    "stage_counts": lambda v: annotation.stage_counts(regions.comparison_summary(_comparisons(v), v.dmr), ["sample"], "status", ("complete", "partial", "pending", "ineligible")),
+    "dmr_fallback": lambda v: regions.fallback_validity(
+        v.dmr.withColumn("adjusted_p", F.when(F.col("line_no") % 3001 == 0, "0.5").otherwise("NA")).withColumn("raw_p", F.when(F.col("start_pos") == 299, "-1").otherwise(F.col("raw_p").cast("string"))), ["sample", "left_type"]
+    ),
     "derive_group": lambda v: v.cells.select("cell_no", annotation.derive_group(F.col("sample")).alias("condition")),
     "meta_validate": lambda v: annotation.validate_metadata(
         v.cells.where("cell_no % 5 <> 1").select(F.concat(F.lit(" S"), F.col("cell_no") % 45).alias("s"), F.when(F.col("cell_no") % 7 == 0, "xx").otherwise(F.lower(F.substring("sample", 1, 2))).alias("g")), "s", "g", ("IR", "NR")
@@ -420,6 +427,15 @@ ORACLES["topk_both_ends"] = _RANKED + """, h as (select "group", gene_no, z, row
 select "group", gene_no, z, hi as nth, 'high' as side from h where hi <= 5 union all select "group", gene_no, z, lo, 'low' from h where lo <= 5"""
 
 ORACLES |= {
+    "annotation_match": """with c as (select distinct cell_no from fx_counts), a as (select cell_no, nullif(cell_type, 'T2') as cell_type, excluded from fx_cells where cell_type <> 'T1' or excluded)
+select count(*) as n_cells, count(a.cell_no) as n_matched, count(*) - count(a.cell_no) as n_unmatched, round(cast(count(a.cell_no) as double) / count(*), 6) as match_rate, count(a.cell_type) as n_labelled,
+count(*) filter (a.excluded) as n_excluded, count(*) filter (not a.excluded) as n_retained, (select count(*) from a) as annotation_rows from c left join a on a.cell_no = c.cell_no""",
+    "join_complete": "select vec_id as cell_no, cluster_a, cluster_b from fx_clusters",
+    "cluster_status": """with n as (select *, case when cluster_a between 0 and 5 then concat('T', cluster_a) else 'Unknown' end as cell_type from fx_clusters)
+select *, cell_type in ('T1', 'T4', 'Unknown') as excluded, case when cell_type in ('T1', 'T4', 'Unknown') then 'Exclude' else 'Keep' end as status from n""",
+    "stage_counts": "with cs as (" + ORACLES["comparison_summary"] + """) select sample, count(*) as n, count(*) filter (status = 'complete') as complete, count(*) filter (status = 'partial') as partial,
+count(*) filter (status = 'pending') as pending, count(*) filter (status = 'ineligible') as ineligible, cast(0 as bigint) as other, count(*) = count(*) filter (status = 'complete') as all_done from cs group by sample""",
+    "dmr_fallback": """select sample, left_type, count(*) as n_records, count(*) filter (line_no % 3001 = 0 or start_pos = 299) as n_bad, count(*) filter (line_no % 3001 = 0 or start_pos = 299) = 0 as valid from fx_dmr group by all""",
     "derive_group": "select cell_no, substr(sample, 1, 2) as condition from fx_cells",
     "meta_validate": """with m as (select concat('S', cell_no % 45) as sample_id, case when cell_no % 7 = 0 then 'XX' else substr(sample, 1, 2) end as condition from fx_cells where cell_no % 5 <> 1)
 select sample_id, condition, condition in ('IR', 'NR') and count(*) over (partition by sample_id) = 1 as valid from m""",

@@ -169,3 +169,28 @@ def test_new_files_are_taken_once(spark, tmp_path):
         (tmp_path / "source" / f"c{n}.tsv").write_text("chr1\t5\t6\t50\t1\t1\n" * n)
         incremental.append_levels(incremental.read_stream(spark, source), out, mark).awaitTermination()
         assert sorted(r.n_sites for r in incremental.read_levels(spark, out).collect()) == list(range(1, n + 1))
+
+
+def test_joins_that_have_to_be_complete(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k long, x string"), spark.createDataFrame([(1, "c"), (2, "d"), (3, "e")], "k long, y string")
+    assert rows(annotation.complete_join(left, right, "k")) == [(1, "a", "c"), (2, "b", "d")]
+    for bad in (right.where("k <> 2"), right.union(right.where("k = 1"))):
+        with pytest.raises(Exception, match="partners"):
+            annotation.complete_join(left, bad, "k").collect()
+
+
+def test_fallback_records(spark):
+    from cytolith.operators import regions
+
+    data = [("f", "0.5", "NA"), ("f", "1e-9", "NA"), ("g", ".5", "NA"), ("h", "0.5", "0.1"), ("i", None, "NA")]
+    df = spark.createDataFrame(data, "file string, raw_p string, adjusted_p string")
+    assert {r.file: (r.n_records, r.n_bad, r.valid) for r in regions.fallback_validity(df, ["file"]).collect()} == {"f": (2, 0, True), "g": (1, 1, False), "h": (1, 1, False), "i": (1, 1, False)}
+
+
+def test_parameters_out_of_range(spark):
+    from cytolith.operators import regions
+
+    df = spark.createDataFrame([], SITE)
+    for call in (lambda: regions.windows(df, 0, 1), lambda: regions.windows(df, 1, 0), lambda: sites.aggregate_bins(df, df, 0)):
+        with pytest.raises(ValueError, match="no (windows|size)"):
+            call()
