@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, memory: str = "8g", **settings: str) -> SparkSession:
@@ -17,3 +19,17 @@ def local_session(cores: int = 8, memory: str = "8g", **settings: str) -> SparkS
     for key, value in (defaults | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and cut from its past.
+
+    A temporary folder is set only where there is none and the master is local; elsewhere that is an error.
+    """
+    spark = df.sparkSession
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cytolith-checkpoint-"))
+    return df.checkpoint()
