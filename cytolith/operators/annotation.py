@@ -214,3 +214,13 @@ def stage_counts(df: DataFrame, by: list[str], status: str, kinds: tuple[str, ..
     counts = [F.count_if(F.col(status) == kind).alias(kind) for kind in kinds]
     other = F.count_if(F.col(status).isNull() | ~F.col(status).isin(*kinds)).alias("other")
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts, other).withColumn("all_done", F.col("n") == F.col(kinds[0]))
+
+
+def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """Rows in an order that depends on the seed and the key alone, whatever the partitions; ``place`` is what they are ordered by."""
+    return df.withColumn("place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))).orderBy("place", key)
+
+
+def dense_size(n_rows: Column, n_columns: Column, bytes_each: int = 4) -> Column:
+    """GiB of a dense matrix, to two digits."""
+    return F.round(n_rows.cast("double") * n_columns.cast("double") * bytes_each / 2**30, 2)

@@ -14,16 +14,20 @@ def majority(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return shares(df.where(F.col(label).isNotNull()), cluster, label).withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def purity(df: DataFrame, cluster: str, label: str) -> DataFrame:
-    counts = df.where(F.col(label).isNotNull()).groupBy(cluster, label).agg(F.count(F.lit(1)).alias("n"))
+def purity(df: DataFrame, cluster: str, label: str, keep_null: bool = False) -> DataFrame:
+    """Rows of the commonest label of their cluster, over all rows; a null is a label of its own if kept, else no row."""
+    counts = (df if keep_null else df.where(F.col(label).isNotNull())).groupBy(cluster, label).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy(cluster).agg(F.max("n").alias("most"), F.sum("n").alias("n")).agg((F.sum("most") / F.sum("n")).alias("purity"))
 
 
-def entropy(df: DataFrame, cluster: str, label: str) -> DataFrame:
-    """Mean entropy of labels within clusters, weighted by size, over the log of the number of labels; null below two."""
-    labelled = df.where(F.col(label).isNotNull())
+def entropy(df: DataFrame, cluster: str, label: str, keep_null: bool = False) -> DataFrame:
+    """Mean entropy of labels within clusters, weighted by size, over the log of the number of labels; null below two.
+
+    A null is a label of its own if kept, else no row.
+    """
+    labelled = df if keep_null else df.where(F.col(label).isNotNull())
     mixed = shares(labelled, cluster, label).groupBy(cluster).agg(F.sum("n").alias("n"), (-F.sum(F.col("share") * F.ln("share"))).alias("h"))
-    labels = labelled.agg(F.count_distinct(label).alias("labels"))
+    labels = labelled.agg((F.count_distinct(label) + F.coalesce(F.max(F.col(label).isNull().cast("int")), F.lit(0))).alias("labels"))
     total = mixed.agg((F.sum(F.col("n") * F.col("h")) / F.sum("n")).alias("h"))
     return total.join(F.broadcast(labels)).select(F.when(F.col("labels") >= 2, F.col("h") / F.ln("labels")).alias("entropy"))
 

@@ -75,6 +75,77 @@ def top_variable(counts: DataFrame, n: int = 2000) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("dispersion"), "gene_no")))
 
 
+def local_fit(x, y, span: float, knots: int):
+    """Local quadratic regression of y on x (tricube weights over the nearest ``span`` of all points), at every x.
+
+    The curve is computed at ``knots`` places spread evenly over the sorted distinct x, both ends included, and
+    joined by straight lines; with fewer distinct x, at each of them.
+    """
+    import numpy as np
+
+    order = np.argsort(x, kind="stable")
+    xs, ys = x[order], y[order]
+    near = max(1, min(len(xs), int(span * len(xs) + 1e-5)))
+    places = np.unique(xs)
+    places = places[np.unique(np.linspace(0, len(places) - 1, min(knots, len(places))).round().astype(int))]
+    fitted = np.empty(len(places))
+    for i, at in enumerate(places):
+        middle = np.searchsorted(xs, at)
+        low, high = max(0, middle - near), min(len(xs), middle + near)
+        reach = np.partition(np.abs(xs[low:high] - at), near - 1)[near - 1]
+        first, last = np.searchsorted(xs, at - reach, "left"), np.searchsorted(xs, at + reach, "right")
+        d, values = xs[first:last] - at, ys[first:last]
+        far = np.abs(d) / reach if reach > 0 else np.zeros(len(d))
+        w = np.sqrt(np.clip(1 - far**3, 0, None) ** 3)
+        fitted[i] = np.linalg.lstsq(np.stack([w, w * d, w * d * d], axis=1), w * values, rcond=None)[0][0]
+    return np.interp(x, places, fitted)
+
+
+def variable_genes(counts: DataFrame, batches: DataFrame, n: int = 2000, span: float = 0.3, knots: int = 1000) -> DataFrame:
+    """(gene_no, n_batches, median_rank, score, rank) of the n genes that vary most beyond what their mean explains.
+
+    Per batch (cell_no, batch): the log variance of counts over all cells of the batch is fitted on the log
+    mean, counts are cut off at the mean plus the fitted deviation times the root of the
+    number of cells, and genes are ranked by the variance of counts over the fitted one. A gene is
+    judged by the median of its ranks where it is among the n first, then by in how many
+    batches it is, then by number. Absent counts are 0. Only moments of the genes of one
+    batch meet in a task. Cells without a batch are left out; a batch of one cell ranks nothing.
+    """
+    import pandas as pd
+
+    joined = counts.join(batches, "cell_no").groupBy("batch", "gene_no", "cell_no").agg(F.sum("n").cast("double").alias("x"))
+    sizes = batches.groupBy("batch").agg(F.count_distinct("cell_no").cast("double").alias("size")).where("size > 1")
+    grid = joined.select("gene_no").distinct().join(F.broadcast(sizes))
+    there = joined.groupBy("batch", "gene_no").agg(F.count("x").alias("k"), F.avg("x").alias("m"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("v"))
+    k = F.coalesce("k", F.lit(0))
+    mean = F.coalesce(F.col("m") * F.col("k") / F.col("size"), F.lit(0.0))
+    spread = F.coalesce(k * (F.col("v") + (F.col("m") - mean) ** 2), F.lit(0.0)) + (F.col("size") - k) * mean**2
+    moved = grid.join(there, ["batch", "gene_no"], "left").select("batch", "gene_no", "size", mean.alias("mean"), (spread / (F.col("size") - 1)).alias("variance"))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        varies = (frame["variance"] > 1e-12).to_numpy()
+        level = np.zeros(len(frame))
+        if varies.any():
+            level[varies] = local_fit(np.log10(frame["mean"].to_numpy()[varies]), np.log10(frame["variance"].to_numpy()[varies]), span, knots)
+        return frame.assign(s=np.sqrt(10**level)).drop(columns="variance")
+
+    kind = {c: moved.schema[c].dataType.simpleString() for c in ("batch", "gene_no")}
+    fitted = moved.groupBy("batch").applyInPandas(fit, f"batch {kind['batch']}, gene_no {kind['gene_no']}, size double, mean double, s double")
+    cut = F.least("x", F.col("mean") + F.col("s") * F.sqrt("size"))
+    sums = joined.join(fitted, ["batch", "gene_no"]).groupBy("batch", "gene_no").agg(F.sum(cut).alias("a"), F.sum(cut * cut).alias("b"))
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", F.lit(0.0))
+    score = (F.col("size") * F.col("mean") ** 2 + b - 2 * a * F.col("mean")) / ((F.col("size") - 1) * F.col("s") ** 2)
+    scored = fitted.join(sums, ["batch", "gene_no"], "left").select("batch", "gene_no", score.alias("score"))
+    nth = F.row_number().over(Window.partitionBy("batch").orderBy(F.desc("score"), "gene_no")) - 1
+    first = F.when(F.col("nth") < n, F.col("nth"))
+    ranked = scored.withColumn("nth", nth).groupBy("gene_no").agg(F.count(first).alias("n_batches"), F.percentile(first, 0.5).alias("median_rank"), F.avg("score").alias("score"))
+    order = [F.asc("median_rank"), F.desc("n_batches"), F.asc("gene_no")]
+    kept = ranked.where("n_batches > 0").orderBy(*order).limit(n)
+    return kept.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def group_sizes(groups: DataFrame) -> DataFrame:
     """Cells of each group; groups are few."""
     return F.broadcast(groups.groupBy("group").agg(F.count_distinct("cell_no").alias("size")))

@@ -107,6 +107,42 @@ def region_sources(standard: DataFrame, sample: str = "sample") -> DataFrame:
     )
 
 
+def type_summary(standard: DataFrame, compared: DataFrame, united: DataFrame, shared: DataFrame) -> DataFrame:
+    """Per sample and type that was compared: its opponents, those with lower records, records, intervals, mismatches, united and shared regions.
+
+    ``compared`` is what ``opponents`` gives; ``united`` and ``shared`` have rows of
+    (sample, cell_type). A type without records has zeros.
+    """
+    own = standard.groupBy("sample", F.col("hypo_type").alias("cell_type")).agg(
+        F.count_distinct("other_type").alias("n_with_hypo"), F.count(F.lit(1)).alias("n_records"),
+        F.count_distinct(*PLACE).alias("n_intervals"), F.count_if(~F.col("consistent")).alias("n_mismatches"),
+    )
+    out = compared.withColumn("n_opponents", F.size(F.split("opponents", ","))).join(own, ["sample", "cell_type"], "left")
+    for name, df in (("n_united", united), ("n_shared", shared)):
+        out = out.join(df.groupBy("sample", "cell_type").agg(F.count(F.lit(1)).alias(name)), ["sample", "cell_type"], "left")
+    counts = ["n_with_hypo", "n_records", "n_intervals", "n_mismatches", "n_united", "n_shared"]
+    return out.na.fill(0, counts).select("sample", "cell_type", "n_opponents", *counts, "opponents")
+
+
+def input_summary(records: DataFrame, passing: DataFrame, selected: DataFrame) -> DataFrame:
+    """Per sample: comparisons read, their rows, rows that pass, rows and distinct intervals that are selected."""
+    out = records.groupBy("sample").agg(F.count_distinct("left_type", "right_type").alias("n_files"), F.count(F.lit(1)).alias("n_rows"))
+    out = out.join(passing.groupBy("sample").agg(F.count(F.lit(1)).alias("n_passing")), "sample", "left")
+    out = out.join(selected.groupBy("sample").agg(F.count(F.lit(1)).alias("n_selected"), F.count_distinct(*PLACE).alias("n_selected_intervals")), "sample", "left")
+    return out.na.fill(0)
+
+
+def subtraction_summary(response: DataFrame, clean: DataFrame, pairwise: DataFrame, selected: DataFrame, by: str) -> DataFrame:
+    """Per type of ``response``: rows before and after, the fraction removed, and whether there was something to subtract."""
+    out = response.groupBy(by).agg(F.count(F.lit(1)).alias("n_rows"))
+    for name, df in (("n_clean", clean), ("__read", pairwise), ("__selected", selected)):
+        out = out.join(df.groupBy(by).agg(F.count(F.lit(1)).alias(name)), by, "left")
+    out = out.na.fill(0, ["n_clean", "__read", "__selected"])
+    status = F.when(F.col("__read") == 0, "no_pairwise_input").when(F.col("__selected") == 0, "input_present_no_DMR_passed").otherwise("complete")
+    removed = F.col("n_rows") - F.col("n_clean")
+    return out.select(by, "n_rows", "n_clean", removed.alias("n_removed"), (removed / F.col("n_rows")).alias("removed_fraction"), status.alias("status"))
+
+
 def opponents(df: DataFrame) -> DataFrame:
     """Types each type was compared with, both ways round."""
     both = df.select("sample", F.col("left_type").alias("cell_type"), F.col("right_type").alias("other")).unionByName(

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolith.functions import labels
-from cytolith.operators import annotation, clusters, expression, matrix, regions, sites
+from cytolith.operators import annotation, clusters, decomposition, expression, intervals, matrix, regions, sites
 from cytolith.plans.fixtures import Fixtures
 from cytolith.plans.site_queries import BINNED, LEVELS, RATIO, _binned, _rounded
+from cytolith.sources import files, sinks
 
 PLACE = "chrom, start_pos, end_pos"
 STANDARD = f"""d as (select sample, case when lower_group = 'group_B' then right_type else left_type end as hypo_type,
@@ -457,3 +458,108 @@ n_genes >= 20 and cell_no % 4 <> 0 and n_genes % 2 = 0 as predicted from q""",
 avg(value) filter (sample like 'NR%') as mb, var_samp(value) filter (sample like 'IR%') as va, var_samp(value) filter (sample like 'NR%') as vb from mx group by region)
 select region, n_a, n_b, round(case when n_a > 1 and n_b > 1 and va / n_a + vb / n_b > 0 then (ma - mb) / sqrt(va / n_a + vb / n_b) end, 6) as t from w""",
 }
+
+
+def _hypo(v: Fixtures) -> DataFrame:
+    return regions.standardize(regions.select_hypo(v.dmr))
+
+
+def _typed(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("hypo_type", "cell_type")
+
+
+def _types(v: Fixtures) -> DataFrame:
+    united = intervals.merge_intervals(_typed(_hypo(v)), ["sample", "cell_type"], touching=False)
+    shared = _typed(regions.region_sources(_hypo(v)).where("n_rows > 1").withColumn("hypo_type", F.explode(F.split("types", ",")))).withColumn("sample", F.explode(F.split("samples", ",")))
+    return regions.type_summary(_hypo(v), regions.opponents(v.dmr), united, shared)
+
+
+def _subtraction(v: Fixtures) -> DataFrame:
+    by_type = v.dmr.withColumnRenamed("left_type", "cell_type")
+    response, pairwise = by_type.where("raw_p < 0.01"), by_type.where("raw_p > 0.19 and cell_type <> 'T2'")
+    selected = pairwise.where("raw_p > 0.195 and cell_type <> 'T1'")
+    clean = intervals.drop_overlapping(response, selected, ["cell_type"])
+    return _rounded(regions.subtraction_summary(response, clean, pairwise, selected, "cell_type"), "removed_fraction")
+
+
+def _context_paths(v: Fixtures) -> DataFrame:
+    name = F.concat(F.lit("/data/allc/25110891_"), F.col("sample"), F.lit("_Met-BC"), F.col("cell_no"), F.when(F.col("cell_no") % 3 == 0, ".allc.tsv").otherwise(".allc.tsv.gz"))
+    return v.cells.select(name.alias("path"))
+
+
+def _coverage_paths(v: Fixtures) -> DataFrame:
+    own = F.when(F.col("cell_no") % 2 == 0, F.concat(F.col("sample"), F.lit("_"))).otherwise("")
+    folder = F.when(F.col("cell_no") % 5 == 0, "raw").otherwise("cov_dedup_probability")
+    return v.cells.select(F.concat(F.lit("/data/25110891_"), F.col("sample"), F.lit("_Met/"), folder, F.lit("/"), own, F.lit("BC"), F.col("cell_no"), F.lit(".cov.gz")).alias("path"))
+
+
+def _record_paths(v: Fixtures) -> DataFrame:
+    """A file per sample and left type; which of the layouts holds it depends on the type."""
+    name = F.concat("sample", F.lit("__"), "left_type", F.lit("_vs_"), "right_type", F.lit("_DMRs.bed"))
+    folder = F.when(F.col("left_type") == "T0", F.concat(F.lit("/data/in/"), "sample", F.lit("_sample_celltype/"))).when(F.col("left_type") == "T1", "/data/in/sample_celltype/").otherwise("/data/more/")
+    return v.dmr.select("sample", "left_type", "right_type").distinct().select(F.concat(folder, name).alias("path"))
+
+
+def _site_bins(v: Fixtures) -> DataFrame:
+    """Mean ratio per cell and bin of the genome: what a bin has no site for is a gap."""
+    feature = F.concat_ws(":", "chrom", F.floor(F.col("pos") / 1000).cast("string"))
+    return v.sites.select("cell_no", feature.alias("feature"), sites.ratio().alias("value")).groupBy("cell_no", "feature").agg(F.avg("value").alias("value"))
+
+
+def _batches(v: Fixtures) -> DataFrame:
+    return v.counts.select("cell_no").distinct().select("cell_no", (F.col("cell_no") % 3).alias("batch"))
+
+
+QUERIES |= {
+    "type_summary": _types,
+    "input_summary": lambda v: regions.input_summary(v.dmr, _hypo(v), regions.top_intervals(_hypo(v), 20)),
+    "subtraction_summary": _subtraction,
+    "context_index": lambda v: files.context_index(_context_paths(v)),
+    "coverage_index": lambda v: files.coverage_index(_coverage_paths(v)),
+    "record_files": lambda v: files.record_files(_record_paths(v), "/data/in", ["/data/more"]),
+    "named_regions": lambda v: sinks.named_regions(intervals.merge_intervals(_typed(_hypo(v)), ["sample", "cell_type"], touching=False), ["sample", "cell_type"], "hypo_any_other").drop("n_records"),
+    "shuffled_cells": lambda v: annotation.shuffled(v.cells.select("cell_no", "cell_type"), "cell_no", 7),
+    "purity_all_rows": lambda v: _rounded(clusters.purity(v.clusters.withColumn("label", F.when(F.col("cluster_a") != 2, F.col("cluster_a"))), "cluster_b", "label", True), "purity"),
+    "entropy_all_rows": lambda v: _rounded(clusters.entropy(v.clusters.withColumn("label", F.when(F.col("cluster_a") != 2, F.col("cluster_a"))), "cluster_b", "label", True), "entropy"),
+    "dense_size": lambda v: v.counts.agg(annotation.dense_size(F.count_distinct("cell_no"), F.count_distinct("gene_no")).alias("gib"), annotation.dense_size(F.count_distinct("cell_no"), F.count_distinct("gene_no") * 1000).alias("gib_1000")),
+    "lsi_weights": lambda v: _rounded(decomposition.tf_idf(v.counts.where("n > 0")), "value"),
+    "pca_scores": lambda v: decomposition.components(expression.normalize_log1p(v.counts), 10, sweeps=20)[0],
+    "pca_impute": lambda v: decomposition.impute_components(_site_bins(v), 5, most=20)[0],
+    "hvg_seurat_v3": lambda v: expression.variable_genes(v.counts, _batches(v), 200),
+}
+
+_UNITED = f"""{STANDARD}, hy as (select * from d where raw_p < 0.01 and diff >= 0.25), mo as (select sample, hypo_type as cell_type, chrom, start_pos, end_pos,
+max(end_pos) over (partition by sample, hypo_type, chrom order by start_pos, end_pos rows between unbounded preceding and 1 preceding) as reach from hy),
+mi as (select *, sum(case when reach is null or start_pos >= reach then 1 else 0 end) over (partition by sample, cell_type, chrom order by start_pos, end_pos rows unbounded preceding) as island from mo),
+un as (select sample, cell_type, chrom, min(start_pos) as start_pos, max(end_pos) as end_pos from mi group by sample, cell_type, chrom, island)"""
+_NULLED = "cn as (select cluster_b, coalesce(cast(nullif(cluster_a, 2) as varchar), 'none') as label, count(*) as n from fx_clusters group by all)"
+
+ORACLES |= {
+    "type_summary": f"""with {_UNITED}, op as (select distinct sample, left_type as cell_type, right_type as other from fx_dmr union select distinct sample, right_type, left_type from fx_dmr),
+o as (select sample, cell_type, count(*) as n_opponents, string_agg(other, ',' order by other) as opponents from op group by all),
+w as (select sample, hypo_type as cell_type, count(distinct other_type) as n_with_hypo, count(*) as n_records, count(distinct ({PLACE})) as n_intervals, count(*) filter (not consistent) as n_mismatches from hy group by all),
+u as (select sample, cell_type, count(*) as n_united from un group by all), rs as (select {PLACE}, list(distinct hypo_type) as ts, list(distinct sample) as ss from hy group by all having count(*) > 1),
+sh as (select sample, cell_type, count(*) as n_shared from (select cell_type, unnest(ss) as sample from (select unnest(ts) as cell_type, ss from rs)) group by all)
+select sample, cell_type, n_opponents, coalesce(n_with_hypo, 0) as n_with_hypo, coalesce(n_records, 0) as n_records, coalesce(n_intervals, 0) as n_intervals, coalesce(n_mismatches, 0) as n_mismatches,
+coalesce(n_united, 0) as n_united, coalesce(n_shared, 0) as n_shared, opponents from o left join w using (sample, cell_type) left join u using (sample, cell_type) left join sh using (sample, cell_type)""",
+    "input_summary": "with top as (" + ORACLES["topn_intervals"].replace("from fx_dmr)", f"from fx_dmr where {HYPO})") + f"""), a as (select sample, count(distinct (left_type, right_type)) as n_files, count(*) as n_rows from fx_dmr group by all),
+b as (select sample, count(*) as n_passing from fx_dmr where {HYPO} group by all), c as (select sample, count(*) as n_selected, count(distinct ({PLACE})) as n_selected_intervals from top group by all)
+select sample, n_files, n_rows, coalesce(n_passing, 0) as n_passing, coalesce(n_selected, 0) as n_selected, coalesce(n_selected_intervals, 0) as n_selected_intervals from a left join b using (sample) left join c using (sample)""",
+    "subtraction_summary": """with r as (select left_type as cell_type, chrom, start_pos, end_pos from fx_dmr where raw_p < 0.01), p as (select left_type as cell_type, chrom, start_pos, end_pos, raw_p from fx_dmr where raw_p > 0.19 and left_type <> 'T2'),
+s as (select * from p where raw_p > 0.195 and cell_type <> 'T1'), k as (select r.*, exists (select 1 from s where s.cell_type = r.cell_type and s.chrom = r.chrom and s.start_pos < r.end_pos and s.end_pos > r.start_pos) as hit from r)
+select cell_type, count(*) as n_rows, count(*) filter (not hit) as n_clean, count(*) filter (hit) as n_removed, round(count(*) filter (hit) / count(*), 6) as removed_fraction,
+case when cell_type not in (select cell_type from p) then 'no_pairwise_input' when cell_type not in (select cell_type from s) then 'input_present_no_DMR_passed' else 'complete' end as status from k group by cell_type""",
+    "context_index": "select concat(sample, '__BC', cell_no) as cell, concat('/data/allc/25110891_', sample, '_Met-BC', cell_no, '.allc.tsv.gz') as path from fx_cells where cell_no % 3 <> 0",
+    "coverage_index": """select concat(sample, '__BC', cell_no) as cell, concat('/data/25110891_', sample, '_Met/cov_dedup_probability/', case when cell_no % 2 = 0 then concat(sample, '_') else '' end, 'BC', cell_no, '.cov.gz') as path
+from fx_cells where cell_no % 5 <> 0""",
+    "record_files": """with c as (select distinct sample, left_type, right_type, concat(case left_type when 'T0' then concat(sample, '_sample_celltype/') when 'T1' then 'sample_celltype/' else '' end, sample, '__', left_type, '_vs_', right_type, '_DMRs.bed') as rest from fx_dmr)
+select sample, left_type, right_type, concat(case when left_type in ('T0', 'T1') then '/data/in/' else '/data/more/' end, rest) as path, concat(case when left_type in ('T0', 'T1') then 'standard:' else 'rawp_fallback_no_null_dmrs:' end, rest) as source from c""",
+    "named_regions": f"""with {_UNITED} select *, concat(sample, '__', cell_type, '__hypo_any_other__', row_number() over (partition by sample, cell_type order by chrom, start_pos, end_pos)) as name from un""",
+    "shuffled_cells": "select cell_no, cell_type, md5(concat('7:', cell_no)) as place from fx_cells",
+    "purity_all_rows": f"with {_NULLED} select round(sum(m) / sum(t), 6) as purity from (select max(n) as m, sum(n) as t from cn group by cluster_b)",
+    "entropy_all_rows": f"""with {_NULLED}, t as (select *, n / sum(n) over (partition by cluster_b) as share from cn), h as (select cluster_b, sum(n) as n, -sum(share * ln(share)) as h from t group by all)
+select round(sum(n * h) / sum(n) / (select ln(count(distinct label)) from cn), 6) as entropy from h""",
+    "dense_size": """select round(count(distinct cell_no)::double * count(distinct gene_no) * 4 / 1073741824, 2) as gib, round(count(distinct cell_no)::double * count(distinct gene_no) * 1000 * 4 / 1073741824, 2) as gib_1000 from fx_counts""",
+    "lsi_weights": """with t as (select distinct cell_no, gene_no from fx_counts where n > 0), r as (select cell_no, count(*) as nr from t group by all), c as (select gene_no, count(*) as nc from t group by all)
+select cell_no, gene_no, round(ln(1 + 100000.0::double / nr) * ln(1 + (select count(*) from r)::double / nc), 6) as value from t join r using (cell_no) join c using (gene_no)""",
+}

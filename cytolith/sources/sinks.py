@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolith.functions.labels import number_or_na
+from cytolith.functions.labels import chrom_key, number_or_na
 
 ORDER = ["chrom", "start_pos", "end_pos"]
 
@@ -20,6 +20,30 @@ def write_intervals(df: DataFrame, path: str, names: list[str] | None = None, mo
     write_table(df.select(*ORDER, *(names or [])), path, ORDER, False, mode)
 
 
+def write_lines(df: DataFrame, path: str, line: str = "line", mode: str = "errorifexists") -> None:
+    """Records as the text they were read from, in order of place."""
+    df.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, line).select(line).write.mode(mode).text(path)
+
+
+def named_regions(df: DataFrame, by: list[str], kind: str) -> DataFrame:
+    """Regions with the name ``<by>__<kind>__<n>``, n from 1 in order of place; a group has at most as many regions as a genome has room for."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(chrom_key(F.col("chrom")), *ORDER))
+    return df.withColumn("name", F.concat_ws("__", *by, F.lit(kind), nth))
+
+
+def write_named_regions(df: DataFrame, path: str, by: list[str], columns: list[str], mode: str = "errorifexists") -> None:
+    """A folder per group with its regions under a header that begins with #, in order of place."""
+    rows = df.select(*by, F.col("chrom").alias("#chrom"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), *columns)
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, chrom_key(F.col("#chrom")), "#chrom", "start", "end")
+    ordered.write.partitionBy(*by).mode(mode).csv(path, sep="\t", header=True, comment="\x01")
+
+
+def write_groups(membership: DataFrame, path: str, by: list[str], mode: str = "errorifexists") -> None:
+    """A folder per comparison with lines of cell, group_A or group_B, without a header; cells of neither are left out."""
+    rows = membership.where("membership <> '-'").select(*by, "cell_no", "membership").repartition(*by).sortWithinPartitions(*by, "membership", "cell_no")
+    rows.write.partitionBy(*by).mode(mode).csv(path, header=False)
+
+
 def region_matrix(df: DataFrame, cells: list[str], digits: int = 8) -> DataFrame:
     """One row per region and one text column per cell, NA where there is no value; ``cells`` bounds the width."""
     wide = df.groupBy(*ORDER).pivot("cell", cells).agg(F.first("value"))

@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cytolith.functions.ids import base_name
+from cytolith.sources.files import RECORD_FILE
+
 SITE = "chrom string, start_pos long, end_pos long, prob double, mc long, uc long"
 CONTEXT = "chrom string, pos long, strand string, context string, mc long, cov long, flag int"
 #: The twelve columns of a region record; the adjusted p stays text, for it may be NA.
@@ -21,7 +24,7 @@ RECORD = (
 )
 
 
-def _read(spark: SparkSession, path: str, schema: str, least: int) -> DataFrame:
+def _read(spark: SparkSession, path: str, schema: str, least: int, keep_line: bool = False) -> DataFrame:
     """Lines of at least ``least`` tab-separated columns by schema, with their file; further columns are not read.
 
     A line that is shorter, or has a value that does not parse, keeps its text in
@@ -34,7 +37,7 @@ def _read(spark: SparkSession, path: str, schema: str, least: int) -> DataFrame:
     wrong = F.size(parts) < least
     for name, kind in fields:
         wrong = wrong | (texts[name].isNotNull() & texts[name].try_cast(kind).isNull())
-    return lines.select(*[texts[name].try_cast(kind).alias(name) for name, kind in fields], F.when(wrong, F.col("value")).alias("bad_line"), "file")
+    return lines.select(*[texts[name].try_cast(kind).alias(name) for name, kind in fields], F.when(wrong, F.col("value")).alias("bad_line"), "file", *([F.col("value").alias("line")] if keep_line else []))
 
 
 def _checked(df: DataFrame, good: Column, what: str) -> DataFrame:
@@ -81,11 +84,10 @@ def read_intervals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Region records with sample and compared types parsed from ``<sample>__<left>__vs__<right>`` in the file name."""
+    """Region records with sample and compared types from ``<sample>__<left>_vs_<right>_DMRs.bed``, and their line as it stands; other names are an error."""
     good = (F.col("start_pos") >= 0) & (F.col("end_pos") > F.col("start_pos")) & F.col("lower_group").isin("group_A", "group_B")
-    rows = _checked(_read(spark, path, RECORD, 12), good, "region record")
-    name = r"([^/]+?)__([^/]+?)__vs__([^/]+?)\.[^/]*$"
-    return rows.withColumns({c: F.regexp_extract("file", name, i) for i, c in ((1, "sample"), (2, "left_type"), (3, "right_type"))})
+    rows = _checked(_read(spark, path, RECORD, 12, keep_line=True), good & base_name(F.col("file")).rlike(RECORD_FILE), "region record")
+    return rows.withColumns({c: F.regexp_extract(base_name(F.col("file")), RECORD_FILE, i) for i, c in ((1, "sample"), (2, "left_type"), (3, "right_type"))})
 
 
 def first_present(df: DataFrame, *names: str) -> str:
