@@ -35,7 +35,7 @@ def write_named_regions(df: DataFrame, path: str, by: list[str], columns: list[s
     """A folder per group with its regions under a header that begins with #, in order of place."""
     rows = df.select(*by, F.col("chrom").alias("#chrom"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), *columns)
     ordered = rows.repartition(*by).sortWithinPartitions(*by, chrom_key(F.col("#chrom")), "#chrom", "start", "end")
-    ordered.write.partitionBy(*by).mode(mode).csv(path, sep="\t", header=True, comment="\x01")
+    ordered.write.partitionBy(*by).mode(mode).option("comment", "\x01").csv(path, sep="\t", header=True)
 
 
 def write_groups(membership: DataFrame, path: str, by: list[str], mode: str = "errorifexists") -> None:
