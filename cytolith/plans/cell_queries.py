@@ -497,7 +497,7 @@ def _record_paths(v: Fixtures) -> DataFrame:
     """A file per sample and left type; which of the layouts holds it depends on the type."""
     name = F.concat("sample", F.lit("__"), "left_type", F.lit("_vs_"), "right_type", F.lit("_DMRs.bed"))
     folder = F.when(F.col("left_type") == "T0", F.concat(F.lit("/data/in/"), "sample", F.lit("_sample_celltype/"))).when(F.col("left_type") == "T1", "/data/in/sample_celltype/").otherwise("/data/more/")
-    return v.dmr.select("sample", "left_type", "right_type").distinct().select(F.concat(folder, name).alias("path"))
+    return v.dmr.groupBy("sample", "left_type").agg(F.max("right_type").alias("right_type")).select(F.concat(folder, name).alias("path"))
 
 
 def _site_bins(v: Fixtures) -> DataFrame:

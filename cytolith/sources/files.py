@@ -77,17 +77,17 @@ def record_files(paths: DataFrame, root: str, fallbacks: Sequence[str] = (), sam
     samples that are not asked for. A file whose sample is not its folder's, and two files
     of one comparison, are errors.
     """
-    source = F.lit(None).cast("string")
-    inner = F.lit(None).cast("string")
-    for label, base in ((STANDARD, root), *((FALLBACK, x) for x in fallbacks)):
-        start = base.rstrip("/") + "/"
-        below = F.when(F.col("path").startswith(start), F.substr("path", F.lit(len(start) + 1)))
-        folder = F.regexp_extract(below, "^(.*)/[^/]*$", 1)
-        right_place = (folder == "") if label == FALLBACK else (folder == "") | (folder == FLAT_FOLDER) | folder.rlike(SAMPLE_FOLDER)
-        source = F.coalesce(source, F.when(right_place, F.concat(F.lit(f"{label}:"), below)))
-        inner = F.coalesce(inner, F.when(right_place, folder))
-    name = base_name(F.col("path"))
-    found = paths.distinct().select("path", source.alias("source"), inner.alias("folder"), *[F.regexp_extract(name, RECORD_FILE, i).alias(c) for i, c in enumerate(("sample", "left_type", "right_type"), 1)])
+    name = F.substring_index("path", "/", -1)
+    place = F.substr("path", F.lit(1), F.length("path") - F.length(name) - 1)
+    last = F.substring_index(place, "/", -1)
+    base = root.rstrip("/")
+    in_sample_folder = (place == F.concat(F.lit(base + "/"), last)) & last.rlike(SAMPLE_FOLDER)
+    standard = (place == base) | (place == f"{base}/{FLAT_FOLDER}") | in_sample_folder
+    source = F.when(standard, F.concat(F.lit(f"{STANDARD}:"), F.substr("path", F.lit(len(base) + 2))))
+    for fallback in (x.rstrip("/") for x in fallbacks):
+        source = source.when(place == fallback, F.concat(F.lit(f"{FALLBACK}:"), name))
+    parsed = [F.regexp_extract(name, RECORD_FILE, i).alias(c) for i, c in enumerate(("sample", "left_type", "right_type"), 1)]
+    found = paths.select("path", source.alias("source"), F.when(in_sample_folder, last).alias("folder"), *parsed)
     found = found.where(F.col("source").isNotNull() & (F.col("sample") != ""))
     expected = F.nullif(F.regexp_extract("folder", SAMPLE_FOLDER, 1), F.lit(""))
     wrong = expected.isNotNull() & (expected != F.col("sample"))
