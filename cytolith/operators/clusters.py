@@ -50,8 +50,10 @@ def knn(df: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> Data
     """Exact nearest neighbours by Euclidean distance: (from_id, to_id, distance, rank).
 
     Queries and points are dealt out in blocks; every pair of blocks is a task that keeps
-    the k nearest of each query, so no list of all pairs is made.
+    the k nearest of each query, so no list of all pairs is made. Rows are counted by a job
+    first. Null vectors, and vectors that hold a null, take no part.
     """
+    df = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
     n = df.count()
     parts = max(1, -(-n // block))
     points = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))

@@ -117,7 +117,7 @@ def type_summary(standard: DataFrame, compared: DataFrame, united: DataFrame, sh
         F.count_distinct("other_type").alias("n_with_hypo"), F.count(F.lit(1)).alias("n_records"),
         F.count_distinct(*PLACE).alias("n_intervals"), F.count_if(~F.col("consistent")).alias("n_mismatches"),
     )
-    out = compared.withColumn("n_opponents", F.size(F.split("opponents", ","))).join(own, ["sample", "cell_type"], "left")
+    out = compared.withColumn("n_opponents", F.size(F.split("opponents", ",")).cast("long")).join(own, ["sample", "cell_type"], "left")
     for name, df in (("n_united", united), ("n_shared", shared)):
         out = out.join(df.groupBy("sample", "cell_type").agg(F.count(F.lit(1)).alias(name)), ["sample", "cell_type"], "left")
     counts = ["n_with_hypo", "n_records", "n_intervals", "n_mismatches", "n_united", "n_shared"]

@@ -194,3 +194,11 @@ def test_parameters_out_of_range(spark):
     for call in (lambda: regions.windows(df, 0, 1), lambda: regions.windows(df, 1, 0), lambda: sites.aggregate_bins(df, df, 0)):
         with pytest.raises(ValueError, match="no (windows|size)"):
             call()
+
+
+def test_neighbours_leave_null_vectors_out(spark):
+    from cytolith.operators import clusters
+
+    df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0]), (3, None), (4, [None, 1.0]), (5, [0.0, 1.0])], "id long, v array<double>")
+    assert [(r.from_id, r.to_id, r.distance) for r in clusters.knn(df, "id", "v", 1).orderBy("from_id").collect()] == [(1, 5, 1.0), (2, 5, 2.0), (5, 1, 1.0)]
+    assert clusters.knn(df.where("id = 3"), "id", "v", 1).count() == 0
