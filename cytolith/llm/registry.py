@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, html_text, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup, token_counts
+from cytolith.llm import decontamination, fill_middle, html_text, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.query,
@@ -19,9 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.query,
     "op7_best_two_fit_packing": packing.query,
     "op8_simhash_near_dedup": simhash.query,
+    "op11_fill_middle": fill_middle.query,
 }
 
-#: The others read models, tokens or hashes that SQL lacks; tests hold them against brute force.
+#: The others read models, tokens, hashes or streams that SQL lacks; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
     "op2_decontamination": decontamination.oracle(),
