@@ -34,9 +34,9 @@ UNKNOWN = "und"
 FOLDS, HELD = 4, 2
 BUCKETS = 1 << 15
 #: The fit reads about so many documents of each language at most, and so many stretches, spread evenly, of each.
-FIT_ROWS, FIT_STRETCHES, FIT_BLOCKS = 400, 64, 12
+FIT_ROWS, FIT_STRETCHES, FIT_BLOCKS = 250, 32, 12
 STRETCH_WORDS, CHAIN_STRETCHES = 24, 10
-LEXICON_WORDS = 300
+LEXICON_WORDS, DRAWS = 300, 10**15
 STEPS, PENALTY = 24, 1e-5
 MOST_LABELS = 200
 #: Words that a task labels at a time (a longer text is one piece), and words whose scores it remembers.
@@ -134,8 +134,8 @@ def _drawn(docs: DataFrame, key: str, text: str, lang: str, fit_rows: int) -> tu
         raise ValueError(f"more than {MOST_LABELS} languages")
     if not sizes:
         return usable.limit(0), []
-    parts = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(1_000_000 * min(1.0, 0.95 * fit_rows / n)))])
-    return usable.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(1_000_000)) < F.element_at(parts, F.col("lang"))), sorted(sizes)
+    parts = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, int(DRAWS * min(1.0, 0.95 * fit_rows / n)))])
+    return usable.where(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(DRAWS)) < F.element_at(parts, F.col("lang"))), sorted(sizes)
 
 
 def _lexicon(drawn: DataFrame, labels: list[str], size: int) -> dict[str, list[int]]:
@@ -191,7 +191,7 @@ def _blocks(drawn: DataFrame, labels: list[str], lexicon: dict[str, list[int]])
                 first.append(j == 0 and nth % CHAIN_STRETCHES == 0)
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "words": [words], "gold": [gold], "first": [first], "features": [features], "starts": [starts]})
 
-    parted = drawn.withColumn("block", F.pmod(F.xxhash64("key", F.lit(29)), F.lit(FIT_BLOCKS)).cast("int"))
+    parted = drawn.withColumn("block", F.pmod(F.xxhash64("key", F.lit(29)), F.lit(FIT_BLOCKS)).cast("int")).repartition(FIT_BLOCKS, "block")
     return parted.groupBy("block").applyInPandas(build, "block int, words array<int>, gold array<int>, first array<boolean>, features array<int>, starts array<int>")
 
 
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return Model([], np.zeros((BUCKETS + 1, 0)), np.zeros((0, 0)), np.zeros(0))
     drawn = checkpointed(drawn)
     lexicon = _lexicon(drawn, labels, lexicon_words)
-    blocks = checkpointed(_blocks(drawn, labels, lexicon))
+    blocks = checkpointed(_blocks(drawn, labels, lexicon).repartition(FIT_BLOCKS, "block"))
     n = max(1, blocks.agg(F.sum(F.size("words"))).first()[0] or 0)
 
     def loss(theta: np.ndarray) -> tuple[float, np.ndarray]:
