@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cytolith.llm import decontamination, fill_middle, html_text, language_crf, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup, token_counts
+from cytolith.llm import conversation_repair, decontamination, fill_middle, html_text, language_crf, licenses, packing, permutation_index, pii, quality, simhash, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": html_text.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.query,
     "op11_fill_middle": fill_middle.query,
     "op12_language_crf": language_crf.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 
 #: The others read models, tokens, hashes or streams that SQL lacks; tests hold them against brute force.
