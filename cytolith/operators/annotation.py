@@ -186,6 +186,25 @@ def match_statistics(cells: DataFrame, annotation: DataFrame, key: str, label: s
     return found.join(F.broadcast(rows))
 
 
+def annotation_counts(cells: DataFrame, annotation: DataFrame, metadata: DataFrame, key: str = "cell_no", label: str = "cell_type", sample: str = "sample", condition: str = "condition") -> DataFrame:
+    """(kind, name, n): selected cells per label and per condition, and how many have an unknown sample or condition, distinct samples and metadata rows.
+
+    The label comes from ``annotation`` (one per key, the largest), the condition of a sample from
+    ``metadata``. Fixed words stand where nothing is known: Unannotated for the label, Unknown for sample and condition.
+    """
+    known = annotation.groupBy(key).agg(F.max(label).alias("__label"))
+    conditions = metadata.groupBy(sample).agg(F.max(condition).alias("__condition"))
+    joined = cells.select(key, F.coalesce(F.col(sample), F.lit("Unknown")).alias(sample)).join(known, key, "left").join(conditions, sample, "left")
+    rows = joined.select(sample, F.coalesce("__label", F.lit("Unannotated")).alias("label"), F.coalesce("__condition", F.lit("Unknown")).alias("condition"))
+    n = F.count(F.lit(1)).alias("n")
+    per = [rows.groupBy(F.col(c).alias("name")).agg(n).select(F.lit(kind).alias("kind"), "name", "n") for kind, c in (("cell_type", "label"), ("condition", "condition"))]
+    totals = rows.agg(
+        F.count_if(F.col(sample) == "Unknown").alias("unknown_sample"), F.count_if(F.col("condition") == "Unknown").alias("unknown_condition"), F.count_distinct(sample).alias("samples")
+    ).unpivot([], ["unknown_sample", "unknown_condition", "samples"], "name", "n")
+    listed = metadata.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("metadata_rows").alias("name"), "n")
+    return per[0].unionByName(per[1]).unionByName(totals.select(F.lit("total").alias("kind"), "name", "n")).unionByName(listed)
+
+
 def complete_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join in which every row of ``left`` has exactly one partner; rows without one, or with several, are an error."""
     counted = right.join(right.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), key)

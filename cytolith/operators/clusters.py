@@ -1,4 +1,4 @@
-"""Cluster agreement, composition and nearest neighbours."""
+"""Cluster agreement, composition and edges between neighbours."""
 
 from __future__ import annotations
 
@@ -46,44 +46,6 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return joint.join(F.broadcast(rows)).join(F.broadcast(columns)).select(value.alias("ari"))
 
 
-def knn(df: DataFrame, key: str, vector: str, k: int, block: int = 2048) -> DataFrame:
-    """Exact nearest neighbours by Euclidean distance: (from_id, to_id, distance, rank).
-
-    Queries and points are dealt out in blocks; every pair of blocks is a task that keeps
-    the k nearest of each query, so no list of all pairs is made. Rows are counted by a job
-    first. Null vectors, and vectors that hold a null, take no part.
-    """
-    df = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
-    n = df.count()
-    parts = max(1, -(-n // block))
-    points = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asked = points.withColumn("other", every).select(F.col("part").alias("p"), F.col("other").alias("o"), F.col("id").alias("id"), F.col("v").alias("v"))
-    held = points.withColumn("other", every).select(F.col("other").alias("p"), F.col("part").alias("o"), F.col("id").alias("id"), F.col("v").alias("v"))
-
-    def search(left, right):
-        import numpy as np
-        import pandas as pd
-
-        out = {"from_id": [np.array([], np.int64)], "to_id": [np.array([], np.int64)], "distance": [np.array([], np.float64)]}
-        if len(left) and len(right):
-            right = right.sort_values("id")
-            ids, data = right["id"].to_numpy(), np.stack(right["v"].to_numpy()).astype(np.float64)
-            for own, v in zip(left["id"], left["v"], strict=True):
-                distance = np.sqrt(((data - np.asarray(v, np.float64)) ** 2).sum(axis=1))
-                distance[ids == own] = np.inf
-                best = np.lexsort((ids, distance))[: min(k, len(ids))]
-                best = best[np.isfinite(distance[best])]
-                out["from_id"].append(np.full(len(best), own))
-                out["to_id"].append(ids[best])
-                out["distance"].append(distance[best])
-        return pd.DataFrame({c: np.concatenate(x) for c, x in out.items()})
-
-    found = asked.groupBy("p", "o").cogroup(held.groupBy("p", "o")).applyInPandas(search, "from_id long, to_id long, distance double")
-    order = Window.partitionBy("from_id").orderBy("distance", "to_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def knn_edges(neighbours: DataFrame) -> DataFrame:
     """Edges with weights that fall with distance, loops left out."""
     return neighbours.where("from_id <> to_id").select("from_id", "to_id", (1 / (1 + F.col("distance"))).alias("weight"))

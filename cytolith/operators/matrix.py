@@ -37,23 +37,25 @@ def feature_qc(df: DataFrame, feature: list[str], value: str = "value") -> DataF
     return out.select(*feature, "n_values", (F.col("n_values") == 0).alias("all_null"), flat.alias("zero_variance"), (~flat).alias("retained"))
 
 
-def assign_region_type(means: DataFrame, supporters: DataFrame, region: list[str], tolerance: float = 1e-12) -> DataFrame:
+def assign_region_type(means: DataFrame, supporters: DataFrame, region: list[str], tolerance: float = 1e-12, known: list[str] | None = None) -> DataFrame:
     """The type of each region among those that support it.
 
     A single supporter wins even without a value; of several, the one with the lowest
-    observed mean does, unless another is as low within the tolerance. The hypo difference
-    is the lowest mean of all other types less that of the winner.
+    observed mean does, unless another is as low within the tolerance. A region without
+    supporters, or with none of the ``known`` types among them, is there as well, without a
+    type. The hypo difference is the lowest mean of all other types less that of the winner.
     """
-    listed = supporters.groupBy(*region).agg(F.array_sort(F.collect_set("cell_type")).alias("types"))
+    listed = (supporters if known is None else supporters.where(F.col("cell_type").isin(known))).groupBy(*region).agg(F.array_sort(F.collect_set("cell_type")).alias("types"))
     seen = means.groupBy(*region).agg(F.collect_list(F.struct(F.col("mean_value").alias("m"), F.col("cell_type").alias("t"))).alias("means"))  # a row per type
-    both = listed.join(seen, region, "left")
+    every = means.select(*region).unionByName(supporters.select(*region)).distinct()
+    both = every.join(listed, region, "left").join(seen, region, "left").withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
     observed = F.filter(F.coalesce("means", F.array().cast("array<struct<m:double,t:string>>")), lambda x: x["m"].isNotNull())
     own = F.array_sort(F.filter(observed, lambda x: F.array_contains("types", x["t"])))
     low = F.get(own, F.lit(0))["m"]
     ties = F.size(F.filter(own, lambda x: x["m"] <= low + tolerance))
     n = F.size("types")
     winner = F.when(n == 1, F.get("types", F.lit(0))).when(ties == 1, F.get(own, F.lit(0))["t"])
-    rule = F.when(n == 1, "single").when(F.size(own) == 0, "unobserved").when(ties > 1, "tie").otherwise("lowest")
+    rule = F.when(n == 0, "unsupported").when(n == 1, "single").when(F.size(own) == 0, "unobserved").when(ties > 1, "tie").otherwise("lowest")
     picked = both.select(*region, F.coalesce(winner, F.lit("Unresolved")).alias("cell_type"), rule.alias("rule"), observed.alias("seen"))
     mine = F.get(F.filter("seen", lambda x: x["t"] == F.col("cell_type")), F.lit(0))["m"]
     others = F.array_min(F.transform(F.filter("seen", lambda x: x["t"] != F.col("cell_type")), lambda x: x["m"]))

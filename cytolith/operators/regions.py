@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolith.functions.labels import is_primary
+from cytolith.operators.checks import in_range
 
 PLACE = ["chrom", "start_pos", "end_pos"]
+# Status words of a subtraction.
+NOT_READ, NONE_PASSED = "no_pairwise_input", "input_present_no_DMR_passed"
 
 
 def difference() -> Column:
@@ -46,11 +49,15 @@ def standardize(df: DataFrame) -> DataFrame:
 
 def select_hypo(df: DataFrame, raw_p: float = 0.01, least: float = 0.25) -> DataFrame:
     """p below the limit (strictly), difference at least ``least``, on a primary chromosome."""
+    in_range("raw_p", raw_p, 0, 1)
+    in_range("least", least, 0, 1)
     return df.where((F.col("raw_p") < raw_p) & (difference() >= least) & is_primary(F.col("chrom")))
 
 
 def select_response(df: DataFrame, p: float = 0.05, above: float = 0.3) -> DataFrame:
     """p and difference both strictly beyond their limits."""
+    in_range("p", p, 0, 1)
+    in_range("above", above, 0, 1)
     return df.where((F.col("raw_p") < p) & (difference() > above))
 
 
@@ -61,6 +68,7 @@ def response_summary(df: DataFrame, by: list[str], p: float = 0.05, above: float
 
 def select_q(df: DataFrame, column: str, q: float = 0.05) -> DataFrame:
     """q below the limit on primary chromosomes; a q that is no number counts as 0."""
+    in_range("q", q, 0, 1)
     return df.where((F.coalesce(F.col(column).try_cast("double"), F.lit(0.0)) < q) & is_primary(F.col("chrom")))
 
 
@@ -79,6 +87,7 @@ def top_intervals(standard: DataFrame, n: int) -> DataFrame:
     Intervals rank by their best difference and the p of it. Ranks are taken over
     intervals, after records are reduced to one per interval by a partial aggregate.
     """
+    in_range("n", n, 1)
     best = standard.groupBy("sample", "hypo_type", *PLACE).agg(F.min(F.struct((-F.col("diff")).alias("d"), F.col("raw_p").alias("p"))).alias("best"))
     order = Window.partitionBy("sample", "hypo_type").orderBy("best.d", "best.p", "chrom", "start_pos", "end_pos")
     kept = best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth", "best")
@@ -138,7 +147,7 @@ def subtraction_summary(response: DataFrame, clean: DataFrame, pairwise: DataFra
     for name, df in (("n_clean", clean), ("__read", pairwise), ("__selected", selected)):
         out = out.join(df.groupBy(by).agg(F.count(F.lit(1)).alias(name)), by, "left")
     out = out.na.fill(0, ["n_clean", "__read", "__selected"])
-    status = F.when(F.col("__read") == 0, "no_pairwise_input").when(F.col("__selected") == 0, "input_present_no_DMR_passed").otherwise("complete")
+    status = F.when(F.col("__read") == 0, NOT_READ).when(F.col("__selected") == 0, NONE_PASSED).otherwise("complete")
     removed = F.col("n_rows") - F.col("n_clean")
     return out.select(by, "n_rows", "n_clean", removed.alias("n_removed"), (removed / F.col("n_rows")).alias("removed_fraction"), status.alias("status"))
 
@@ -153,6 +162,7 @@ def opponents(df: DataFrame) -> DataFrame:
 
 def pairwise_comparisons(cells: DataFrame, by: str, label: str, least: int = 10) -> DataFrame:
     """All unordered pairs of labels within a group, with sizes and eligibility."""
+    in_range("least", least, 1)
     counts = cells.where(F.col(label).isNotNull()).groupBy(by, label).agg(F.count(F.lit(1)).alias("n"))
     a = counts.select(by, F.col(label).alias("label_a"), F.col("n").alias("n_a"))
     b = counts.select(by, F.col(label).alias("label_b"), F.col("n").alias("n_b"))
@@ -161,6 +171,27 @@ def pairwise_comparisons(cells: DataFrame, by: str, label: str, least: int = 10)
     return pairs.withColumn("eligible", F.when(enough, "yes").otherwise("no"))
 
 
+def comparison_families(cells: DataFrame, families: dict[str, tuple[list[str], str]], least: int = 10) -> DataFrame:
+    """(family, within, label_a, label_b, n_a, n_b, eligible): pairs of labels in every family, a name with the columns that both sides share and the label.
+
+    Cells with a null in any of these columns take no part in that family; ``within`` joins what both share by a colon.
+    """
+    out = []
+    for name, (shared, label) in families.items():
+        rows = cells.where(F.col(label).isNotNull())
+        for c in shared:
+            rows = rows.where(F.col(c).isNotNull())
+        within = F.concat_ws(":", *shared) if shared else F.lit("")
+        pairs = pairwise_comparisons(rows.select(within.alias("within"), F.col(label).cast("string").alias("label")), "within", "label", least)
+        out.append(pairs.select(F.lit(name).alias("family"), "within", "label_a", "label_b", "n_a", "n_b", "eligible"))
+    if not out:
+        raise ValueError("no family of comparisons is named")
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
 def group_membership(cells: DataFrame, comparisons: DataFrame, by: str, label: str) -> DataFrame:
     """group_A, group_B or ``-`` for each cell of a group, in each comparison."""
     side = F.when(F.col(label) == F.col("label_a"), "group_A").when(F.col(label) == F.col("label_b"), "group_B").otherwise("-")

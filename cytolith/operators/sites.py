@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolith.functions.labels import is_primary
+from cytolith.operators.checks import in_range, ordered
 from cytolith.operators.intervals import points_in_regions
 
 FILE = ["sample", "cell_no"]
@@ -148,6 +149,11 @@ def cell_levels(sites: DataFrame) -> DataFrame:
 
 
 def cell_qc_filter(levels: DataFrame, min_sites: int = 300_000, max_sites: int = 1_200_000, min_level: float = 0.55, max_level: float | None = None) -> DataFrame:
+    in_range("min_sites", min_sites, 0)
+    in_range("min_level", min_level, 0, 1)
+    in_range("max_level", max_level, 0, 1)
+    ordered("min_sites", min_sites, "max_sites", max_sites)
+    ordered("min_level", min_level, "max_level", max_level)
     keep = F.col("n_sites").between(min_sites, max_sites) & (F.col("overall_level") >= min_level)
     return levels.where(keep if max_level is None else keep & (F.col("overall_level") <= max_level))
 
@@ -169,6 +175,7 @@ def cell_depth(binned: DataFrame) -> DataFrame:
 
 def bin_support(binned: DataFrame, cutoff: float = 0.95) -> DataFrame:
     """Cells per bin whose score (unmethylated share) exceeds the cutoff."""
+    in_range("cutoff", cutoff, 0, 1)
     score = 1 - F.col("mc") / F.col("cov")
     return binned.groupBy("chrom", "bin").agg(F.count_if(score > cutoff).alias("n_cells"), F.count(F.lit(1)).alias("n_covered"))
 
@@ -179,6 +186,8 @@ def threshold_for_target(support: DataFrame, n_cells: int, target: int) -> DataF
     If the target is the number of supported bins, T is one less than the smallest count;
     a larger target is an error. The percentage keeps exactly the bins above T.
     """
+    in_range("n_cells", n_cells, 1)
+    in_range("target", target, 0)
     counts = support.where("n_cells > 0").groupBy("n_cells").agg(F.count(F.lit(1)).alias("n_bins"))
     above = F.coalesce(F.sum("n_bins").over(Window.orderBy(F.desc("n_cells")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = counts.select("n_cells", above.alias("above"), "n_bins")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolith.functions import labels
-from cytolith.operators import annotation, clusters, decomposition, expression, intervals, matrix, regions, sites
+from cytolith.operators import annotation, clusters, decomposition, expression, intervals, matrix, neighbours, regions, sites
 from cytolith.plans.fixtures import Fixtures
 from cytolith.plans.site_queries import BINNED, LEVELS, RATIO, _binned, _rounded
 from cytolith.sources import files, sinks
@@ -183,7 +183,7 @@ def _before_after(v: Fixtures) -> DataFrame:
 
 
 def _knn(v: Fixtures) -> DataFrame:
-    found = clusters.knn(v.table("embeddings").where("vec_id is not null"), "vec_id", "embedding", 5)
+    found = neighbours.knn(v.table("embeddings").where("vec_id is not null"), "vec_id", "embedding", 5)
     return _rounded(found, "distance").withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -383,10 +383,11 @@ t as (select cell_type, count(*) as n, avg(m) as a, stddev_pop(m) as s from c gr
 select c.sample, c.cell_no, cell_type, round(m, 6) as mean_value, n_values, round(case when n >= 2 and s > 0 then (m - a) / s end, 6) as z from c join t using (cell_type)""",
     "feature_qc": f"""with {VALUES} select region, count(value) as n_values, count(value) = 0 as all_null, count(value) < 2 or min(value) = max(value) as zero_variance,
 not (count(value) < 2 or min(value) = max(value)) as retained from mx group by region""",
-    "dmr_assign": f"""with {SUPPORT}, s as (select region, count(*) as n, min(cell_type) as one from sp group by region),
+    "dmr_assign": f"""with {SUPPORT}, s as (select region, count(sp.cell_type) as n, min(sp.cell_type) as one from (select distinct region from tm) left join sp using (region) group by region),
 o as (select sp.region, tm.cell_type, m, min(m) over (partition by sp.region) as low from sp join tm using (region, cell_type)),
 w as (select region, count(*) filter (m <= low + 1e-12) as ties, min(cell_type) filter (m <= low + 1e-12) as best from o group by region),
-r as (select region, case when n = 1 then one when ties = 1 then best else 'Unresolved' end as cell_type, case when n = 1 then 'single' when ties > 1 then 'tie' else 'lowest' end as rule from s left join w using (region))
+r as (select region, case when n = 1 then one when ties = 1 then best else 'Unresolved' end as cell_type,
+case when n = 0 then 'unsupported' when n = 1 then 'single' when coalesce(ties, 0) = 0 then 'unobserved' when ties > 1 then 'tie' else 'lowest' end as rule from s left join w using (region))
 select region, cell_type, rule, round((select min(m) from tm where tm.region = r.region and tm.cell_type <> r.cell_type) - (select min(m) from tm where tm.region = r.region and tm.cell_type = r.cell_type), 6) as hypo_difference from r""",
     "bin_allocation": f'with {ALLOCATED} select grp as "group", n, n_bins from al',
     "display_bins": f"""with {ALLOCATED}, ix as (select cell_type, row_number() over (partition by cell_type order by region) - 1 as i from (select distinct region, cell_type from mx)),

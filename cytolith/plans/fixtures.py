@@ -44,6 +44,26 @@ def with_views(sql: str) -> str:
     return f"with {', '.join(used)} {body}" if used else body
 
 
+def snapped(sql: str) -> str:
+    """``sql`` with every ``round(x, 6)`` taken of x at twelve digits, so that the order of a sum decides no tie."""
+    out, at = [], 0
+    while (found := sql.find("round(", at)) >= 0:
+        start = end = found + len("round(")
+        depth, comma = 1, 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            comma = end if sql[end] == "," and depth == 1 else comma
+            end += 1
+        inner = sql[start:comma]
+        out.append(sql[at:start])
+        if sql[comma + 1 : end - 1].strip() == "6":
+            out.append(f"round({snapped(inner)}, 12), 6)")
+            at = end
+        else:
+            at = start
+    return "".join(out) + sql[at:]
+
+
 class Fixtures:
     """The views as DataFrames over the Parquet tables of a folder."""
 

@@ -21,15 +21,20 @@ def local_session(cores: int = 8, memory: str = "8g", **settings: str) -> SparkS
     return builder.getOrCreate()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and cut from its past.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
     A temporary folder is set only where there is none and the master is local; elsewhere that is an error.
     """
-    spark = df.sparkSession
     context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cytolith-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and cut from its past."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -197,8 +197,82 @@ def test_parameters_out_of_range(spark):
 
 
 def test_neighbours_leave_null_vectors_out(spark):
-    from cytolith.operators import clusters
+    from cytolith.operators import neighbours
 
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 3.0]), (3, None), (4, [None, 1.0]), (5, [0.0, 1.0])], "id long, v array<double>")
-    assert [(r.from_id, r.to_id, r.distance) for r in clusters.knn(df, "id", "v", 1).orderBy("from_id").collect()] == [(1, 5, 1.0), (2, 5, 2.0), (5, 1, 1.0)]
-    assert clusters.knn(df.where("id = 3"), "id", "v", 1).count() == 0
+    assert [(r.from_id, r.to_id, r.distance) for r in neighbours.knn(df, "id", "v", 1).orderBy("from_id").collect()] == [(1, 5, 1.0), (2, 5, 2.0), (5, 1, 1.0)]
+    assert neighbours.knn(df.where("id = 3"), "id", "v", 1).count() == 0
+
+
+def test_settings_out_of_range(spark):
+    from cytolith.operators import expression, integration, neighbours, regions
+
+    df = spark.createDataFrame([], SITE)
+    calls = {
+        "raw_p": lambda: regions.select_hypo(df, raw_p=1.5), "above": lambda: regions.select_response(df, above=-1), "q": lambda: regions.select_q(df, "x", 2), "n =": lambda: regions.top_intervals(df, 0),
+        "min_level": lambda: sites.cell_qc_filter(df, min_level=2), "min_sites": lambda: sites.cell_qc_filter(df, 5, 4), "cutoff": lambda: sites.bin_support(df, 1.2), "target": lambda: sites.threshold_for_target(df, 3, -1),
+        "mt": lambda: expression.rna_qc_filter(df, mt=101), "low": lambda: expression.rna_qc_filter(df, 9, 8), "min_cells": lambda: expression.gene_filter(df, 0), "rate": lambda: integration.doublet_scores(df, 1.5),
+        "clusters": lambda: integration.correct_batches(df, clusters=0), "k =": lambda: neighbours.knn(spark.createDataFrame([], "id long, v array<double>"), "id", "v", 0),
+    }
+    for name, call in calls.items():
+        with pytest.raises(ValueError, match=name):
+            call()
+
+
+def test_checks_name_what_is_wrong(spark):
+    from cytolith.operators import checks
+
+    df = spark.createDataFrame([("s", 1, "chr1", 5, 6, 1.0, 1, 1, 0), ("s", 2, "chr1", 7, 8, 1.0, 0, 0, 3), ("s", 2, "chr1", 7, 8, 1.0, None, 1, 4)], SITE)
+    assert checks.valid_counts(df.where("cell_no = 1"), ["cell_no", "line_no"]).count() == 1
+    for line in (3, 4):
+        with pytest.raises(Exception, match=f"no valid counts at cell_no=2, line_no={line}"):
+            checks.valid_counts(df.where(f"line_no = {line}"), ["cell_no", "line_no"]).collect()
+    text = spark.createDataFrame([("a", "12", " 3"), ("b", "1.5", "4"), ("c", None, "4")], "file string, mc string, uc string")
+    assert [(r.mc, r.uc) for r in checks.whole_numbers(text.where("file = 'a'"), ["mc", "uc"], ["file"]).collect()] == [(12, 3)]
+    for file in "bc":
+        with pytest.raises(Exception, match=f"mc is no whole number at file={file}"):
+            checks.whole_numbers(text.where(f"file = '{file}'"), ["mc", "uc"], ["file"]).collect()
+    levels = sites.cell_levels(df.where("cell_no = 1 or uc = 0"))
+    checks.covered_cells(levels, df.where("cell_no = 1"), ["sample", "cell_no"])
+    with pytest.raises(ValueError, match="no usable site in: sample=s, cell_no=2"):
+        checks.covered_cells(levels, df, ["sample", "cell_no"])
+    checks.unique(df, ["cell_no", "line_no"])
+    with pytest.raises(ValueError, match="not unique: cell_no=2, pos=7, rows=2"):
+        checks.unique(df, ["cell_no", "pos"])
+    samples = spark.createDataFrame([("IR",)] * 5 + [("NR",)] * 4, "condition string")
+    checks.expected_counts(samples, "condition", {"IR": 5}, 9)
+    with pytest.raises(ValueError, match="NR: 4 instead of 5; all: 9 instead of 10"):
+        checks.expected_counts(samples, "condition", {"IR": 5, "NR": 5}, 10)
+    a, b = spark.createDataFrame([(1,), (2,)], "k long"), spark.createDataFrame([(1,), (3,)], "k long")
+    assert checks.same_cells(a, a, "k", 2) == 2
+    for table, message in ((a.union(a), "source=2 table=4 unique=2"), (b, "not in the table: k=2"), (a, "2 cells instead of 3")):
+        with pytest.raises(ValueError, match=message):
+            checks.same_cells(a, table, "k", 3)
+
+
+def test_numbers_as_c_writes_them(spark):
+    values = [0.0, 1.0, -2.5, 1e-5, 0.0001234567891, 123456789.0, 1e15, 1 / 3, -1e-300, 99999999.6, 12345678.0, 5e22, None, float("nan"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in values], "x double").select("x", *[labels.number_general(F.col("x"), d).alias(f"g{d}") for d in (3, 8, 12)])
+    for r in df.collect():
+        for d in (3, 8, 12):
+            assert r[f"g{d}"] == ("NA" if r.x is None else f"%.{d}g" % r.x)
+
+
+def test_regions_without_supporters_stay(spark):
+    means = spark.createDataFrame([("r1", "A", 0.5), ("r2", "A", 0.2), ("r2", "B", 0.1), ("r4", "A", None)], "region string, cell_type string, mean_value double")
+    support = spark.createDataFrame([("r2", "X"), ("r3", "A"), ("r4", "A"), ("r4", "B")], "region string, cell_type string")
+    found = {r.region: (r.cell_type, r.rule, r.hypo_difference) for r in matrix.assign_region_type(means, support, ["region"], known=["A", "B"]).collect()}
+    assert found == {"r1": ("Unresolved", "unsupported", None), "r2": ("Unresolved", "unsupported", None), "r3": ("A", "single", None), "r4": ("Unresolved", "unobserved", None)}
+
+
+def test_p_of_the_normal_distribution(spark):
+    import math
+
+    from cytolith.operators import expression
+
+    df = spark.createDataFrame([(float(z),) for z in (0, 0.5, -1.96, 3, 8, -20)], "z double").select("z", expression.two_sided_p(F.col("z")).alias("p"))
+    for r in df.collect():
+        assert abs(r.p / math.erfc(abs(r.z) / math.sqrt(2)) - 1) < 2e-7
+    p = [0.01, 0.02, 0.02, 0.5, None]
+    rows = expression.adjusted(spark.createDataFrame([("g", i, x) for i, x in enumerate(p)], "g string, i int, p double"), ["g"]).orderBy("i").collect()
+    assert [None if r.adjusted_p is None else round(r.adjusted_p, 9) for r in rows] == [round(0.02 * 4 / 3, 9)] * 3 + [0.5, None]
