@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr"} | {"nav", "footer", "aside"}
+#: An end tag does not reach out of these, unless it is one of the others.
+CELLS, CROSSES_CELLS = ("td", "th", "table"), frozenset("tr tbody table div article body html".split())
 P_BOUNDARY = frozenset("td th caption table button object".split())
 FURNITURE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored sponsors promo promotion banner sidebar side menu nav navbar"
@@ -66,48 +69,65 @@ class Node:
         self.name, self.parent, self.children, self.attributes, self.score = name, parent, [], attributes, 0.0
 
 
+class _Path:
+    """The open elements, and by name at which depths they stand; a step takes no time in proportion to the depth."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes, self.depths = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, depth: int) -> None:
+        """End all elements from this depth on."""
+        while len(self.nodes) > depth:
+            self.depths[self.nodes.pop().name].pop()
+
+    def last(self, names) -> int:
+        """Depth of the innermost element of these names, 0 without one."""
+        return max((self.depths[x][-1] for x in names if self.depths.get(x)), default=0)
+
+    def first_after(self, names, depth: int) -> int:
+        """Depth of the outermost element of these names that stands deeper, 0 without one."""
+        found = []
+        for x in names:
+            at = self.depths.get(x, ())
+            if (nth := bisect_right(at, depth)) < len(at):
+                found.append(at[nth])
+        return min(found, default=0)
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed, misnested and cut-off markup is mended as browsers do, in one pass."""
-    root = here = Node("#root", None)
-    at = 0
+    path = _Path(Node("#root", None))
+    root, at = path.nodes[0], 0
     while found := _TOKEN.search(page, at):
         if found.start() > at:
-            here.children.append(page[at : found.start()])
+            path.nodes[-1].children.append(page[at : found.start()])
         at = found.end()
         name = (found[2] or "").lower()
         if not name:
             continue
         if found[1]:
-            node = here
-            while node is not root and node.name != name and not (node.name in ("td", "th", "table") and name not in ("tr", "tbody", "table", "div", "article", "body", "html")):
-                node = node.parent
-            if node is not root and node.name == name:
-                here = node.parent
+            depth = path.last((name,))
+            if depth and (name in CROSSES_CELLS or depth >= path.last(CELLS)):
+                path.cut(depth)
             continue
         ended, stops = ENDS.get(name, (None, None))
-        if ended:
-            node, last = here, None
-            while node is not root and node.name not in stops:
-                if node.name in ended:
-                    last = node
-                node = node.parent
-            if last:
-                here = last.parent
-        if name in CLOSES_P:
-            node = here
-            while node is not root and node.name != "p" and node.name not in P_BOUNDARY:
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
-        child = Node(name, here, found[3])
-        here.children.append(child)
+        if ended and (depth := path.first_after(ended, path.last(stops))):
+            path.cut(depth)
+        if name in CLOSES_P and (depth := path.last(("p",))) > path.last(P_BOUNDARY):
+            path.cut(depth)
+        child = Node(name, path.nodes[-1], found[3])
+        path.nodes[-1].children.append(child)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif name not in VOID and not (found[3].endswith("/") and name not in BLOCKS):
-            here = child
+            path.push(child)
     if at < len(page):
-        here.children.append(page[at:])
+        path.nodes[-1].children.append(page[at:])
     return root
 
 
@@ -160,38 +180,54 @@ def _prune(root: Node) -> list[Node]:
     return left
 
 
-def _lengths(nodes: list[Node]) -> tuple[dict[int, int], dict[int, int]]:
-    """Characters of text, and of text in links, below each element."""
+def _lengths(nodes: list[Node]) -> tuple[dict[int, int], dict[int, int], dict[int, tuple[int, int]]]:
+    """Characters of text, and of text in links, below each element; and its characters with white space, and commas."""
+    whole: dict[int, tuple[int, int]] = {}
     text: dict[int, int] = {}
     linked: dict[int, int] = {}
     for node in reversed(nodes):
         own = text.get(id(node), 0) + sum(len(c.strip()) for c in node.children if isinstance(c, str))
         text[id(node)] = own
+        size, commas = whole.get(id(node), (0, 0))
+        for c in node.children:
+            if isinstance(c, str):
+                size, commas = size + len(c), commas + c.count(",")
+        whole[id(node)] = size, commas
         inside = own if node.name == "a" else linked.get(id(node), 0)
         linked[id(node)] = inside
         if node.parent is not None:
             text[id(node.parent)] = text.get(id(node.parent), 0) + own
             linked[id(node.parent)] = linked.get(id(node.parent), 0) + inside
-    return text, linked
+            above = whole.get(id(node.parent), (0, 0))
+            whole[id(node.parent)] = above[0] + size, above[1] + commas
+    return text, linked, whole
+
+
+def _pass_up(nodes: list[Node], points: dict[int, float]) -> None:
+    """All points of an element to itself, half to its parent, and to each further ancestor a third of what the one below it got."""
+    near: dict[int, float] = {}
+    far: dict[int, float] = {}
+    for node in reversed(nodes):
+        own, half, rest = points.get(id(node), 0.0), near.get(id(node), 0.0), far.get(id(node), 0.0)
+        node.score = own + half + rest
+        if node.parent is not None:
+            near[id(node.parent)] = near.get(id(node.parent), 0.0) + own / 2
+            far[id(node.parent)] = far.get(id(node.parent), 0.0) + (half + rest) / 3
 
 
 def _chosen(nodes: list[Node]) -> list[Node]:
     """The best container and the siblings kept with it."""
-    text, linked = _lengths(nodes)
+    text, linked, whole = _lengths(nodes)
+    points: dict[int, float] = {}
     for node in nodes:
         direct = "".join(c for c in node.children if isinstance(c, str)).strip() if node.name not in ("#root", "html", "body") else ""
-        is_paragraph = node.name in ("p", "pre", "blockquote", "li", "td", "dd") or (direct and node.name in ("div", "section", "article", "main", "center"))
-        if not is_paragraph or not text[id(node)] or node.parent is None:
+        holds = bool(direct) and node.name in ("div", "section", "article", "main", "center")
+        if not (holds or node.name in ("p", "pre", "blockquote", "li", "td", "dd")) or not text[id(node)] or node.parent is None:
             continue
-        whole = _inline_text(node) if node.name in ("p", "pre") else direct
-        points = 1 + whole.count(",") + min(len(whole) / 100, 3)
-        holder, share = (node if direct and node.name in ("div", "section", "article", "main", "center") else node.parent), 1.0
-        level = 0
-        while holder is not None and level < 6:
-            holder.score += points * share
-            level += 1
-            share = 0.5 if level == 1 else share / 3
-            holder = holder.parent
+        size, commas = whole[id(node)] if node.name in ("p", "pre") else (len(direct), direct.count(","))
+        holder = node if holds else node.parent
+        points[id(holder)] = points.get(id(holder), 0.0) + 1 + commas + min(size / 100, 3)
+    _pass_up(nodes, points)
     best, most = None, 0.0
     for node in nodes:
         node.score *= 1 - linked[id(node)] / max(text[id(node)], 1)
@@ -219,17 +255,6 @@ def _chosen(nodes: list[Node]) -> list[Node]:
     return kept
 
 
-def _inline_text(node: Node) -> str:
-    out, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            out.append(x)
-        else:
-            stack.extend(reversed(x.children))
-    return "".join(out)
-
-
 def _blocks(nodes: list[Node]) -> list[str]:
     """Texts of blocks in page order, references decoded, white space folded, none empty."""
     out: list[str] = []
