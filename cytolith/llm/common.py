@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytolith.session import kept, shared_folder
+
 #: Rows, and bytes of rows without a fixed size, up to which a side that was counted may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
@@ -16,24 +17,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    A temporary one is set only where none is set and all work is on this machine, as in
-    local tests; on a cluster, executors could not read it.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not spark.conf.get("spark.checkpoint.dir", None) and not context.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cytolith-checkpoint-"))
-    return context.getCheckpointDir()
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return kept(df)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

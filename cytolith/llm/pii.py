@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import whole_text
+from cytolith.llm.common import unused, whole_text
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
@@ -49,16 +49,21 @@ NEEDS = {
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}",
 }
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
-#: Words in five languages that raise or lower a score when they stand within CONTEXT characters.
+#: Words in five languages that raise or lower a score when they stand, as words, within CONTEXT characters before or behind.
 CONTEXT = 40
 RAISING = {
-    "email": "mail|contact|write|kontakt|correo|courriel|schreib",
-    "ip": "ip|address|host|server|adresse|login",
-    "card": "card|visa|credit|karte|carte|tarjeta|pay",
-    "phone": "phone|call|tel|mobile|fax|telefon|appel|llam",
-    "iban": "iban|account|bank|konto|compte|cuenta",
+    "email": r"e?-?mails?|contact\w*|write|kontakt\w*|correo|courriel|schreib\w*",
+    "ip": r"ips?|address|host|server|adresse|login",
+    "card": r"cards?|visa|credit|karte|carte|tarjeta|pay|payment|paid",
+    "phone": r"phone|call|tel|mobile|fax|telefon|tel[eé]fono|appel\w*|llam\w*",
+    "iban": r"iban|account|bank|konto|compte|cuenta",
 }
-LOWERING = "version|isbn|order|serial|example|chapter|build"
+LOWERING = r"version|isbn|order|serial|example|chapter|build"
+
+
+def _stands(near: Column, words: str) -> Column:
+    """Whether one of the words stands there by itself: ``tel`` does not in hotel, ``order`` not in border."""
+    return near.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
 
 
 def _digits(hit: Column) -> Column:
@@ -103,17 +108,21 @@ SPAN = "struct<start:int,rank:int,end:int,kind:string,score:double>"
 
 
 def _spans(text: Column, kind: str) -> Column:
-    """Confirmed spans of a kind in order, leftmost and non-overlapping; failed matches are not tried anew."""
+    """Confirmed spans of a kind in order, leftmost and non-overlapping; failed matches are not tried anew.
+
+    The context of a span ends at the matches of its kind before and behind it.
+    """
     pattern = PATTERNS[kind]
-    parts = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))
-    )
+    gaps = F.split(text, pattern, -1)
+    behind = F.transform(F.slice(gaps, F.lit(2), F.greatest(F.size(gaps) - 1, F.lit(0))), lambda gap: F.left(gap, F.lit(CONTEXT)))
+    hits = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), behind, lambda hit, next: F.struct(hit.alias("hit"), next.alias("next")))
+    parts = F.zip_with(gaps, hits, lambda gap, x: F.struct(gap.alias("gap"), x["hit"].alias("hit"), x["next"].alias("next")))
 
     def step(state: Column, part: Column) -> Column:
         start = state["at"] + F.length(part["gap"])
         end = start + F.coalesce(F.length(part["hit"]), F.lit(0))
-        near = F.lower(F.right(part["gap"], F.lit(CONTEXT)))
-        score = SCORES[kind] + F.when(near.rlike(RAISING[kind]), 0.1).otherwise(0.0) - F.when(near.rlike(LOWERING), 0.3).otherwise(0.0)
+        near = F.lower(F.concat(F.right(part["gap"], F.lit(CONTEXT)), F.lit("\n"), F.coalesce(part["next"], F.lit(""))))
+        score = SCORES[kind] + F.when(_stands(near, RAISING[kind]), 0.1).otherwise(0.0) - F.when(_stands(near, LOWERING), 0.3).otherwise(0.0)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.round(score, 2).alias("score"))
         holds = part["hit"].isNotNull() & VALID[kind](part["hit"])
         return F.struct(end.alias("at"), F.when(holds, F.concat(state["found"], F.array(span.cast(SPAN)))).otherwise(state["found"]).alias("found"))
@@ -140,8 +149,9 @@ def redact(df: DataFrame, text: str = "text", least_score: float = 0.0) -> DataF
     texts stay null; texts without spans stay as they are.
     """
     whole = whole_text(text)
-    found = with_spans(df, text, "__spans")
-    spans = F.filter("__spans", lambda s: s["score"] >= least_score)
+    held = unused(df, "__spans")
+    found = with_spans(df, text, held)
+    spans = F.filter(held, lambda s: s["score"] >= least_score)
 
     def step(state: Column, span: Column) -> Column:
         begins = span["start"] >= state["at"]
@@ -153,11 +163,11 @@ def redact(df: DataFrame, text: str = "text", least_score: float = 0.0) -> DataF
     built = F.aggregate(
         spans, start, step, lambda state: F.concat(F.array_join(state["out"], ""), F.substring(whole, state["at"] + 1, F.length(whole) - state["at"]))
     )
-    return found.withColumn(text, F.when(F.size(spans) > 0, built).otherwise(F.col(text))).drop("__spans")
+    return found.withColumn(text, F.when(F.size(spans) > 0, built).otherwise(F.col(text))).drop(held)
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Counts per base kind, a digest of the base spans and all spans as text, per row of (doc_id, text)."""
+    """Counts per kind, a digest of the base spans and all spans as text, per row of (doc_id, text), repeated rows and null keys too; other columns are not read."""
 
     def listed(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
