@@ -1,9 +1,11 @@
 """License scans by canonical digest lookup, with built-in functions only.
 
 Texts are brought to a canonical form: lower case, copyright lines removed, punctuation
-as spaces, equivalent spellings unified. The SHA-256 digests of the whole canonical text
-and of each of its lines are looked up by a hash join among the digests of known
-licenses, which are made by the same rules.
+as spaces, equivalent spellings unified. The SHA-256 digests of the whole canonical text,
+of each of its lines, and of blocks of words are looked up by a hash join among the digests
+of known licenses, which are made by the same rules. A block begins at a line whose first
+words are those of a known license and has as many words as that one, so a license inside
+a longer text is found however its lines are wrapped.
 """
 
 from __future__ import annotations
@@ -179,6 +181,29 @@ NAMES = {
 SENTENCES = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.")
 
 
+# License files as published, whole, by the first words of their canonical form, its number of words and its digest.
+FILES = (
+    ("Apache-2.0", "apache license", 1606, "a4f911b2a0171adfa435c489bd27ef49fa3a5e3bc30977345b5a9edb5d1cb6cb"),
+    ("Artistic-1.0", "the artistic license", 983, "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "redistribution and use", 214, "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "creative commons legal", 1088, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "gnu free documentation", 3314, "d0d142139ba117e0fbb63d29df37776bc9c765c015720dc0ed43bceea6416494"),
+    ("GFDL-1.3", "gnu free documentation", 3730, "2cdb48855af1603586f28b20f0095e588a4bd77ee484d2c3b89bc3b1f0b61da5"),
+    ("GPL-1.0", "gnu general public", 2067, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "gnu general public", 2975, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "gnu general public", 5681, "24cd241e223e73eb1af195b9e4c0baf03a79bbbb39987eca0e347c1e490442aa"),
+    ("LGPL-2.0", "gnu library general", 4200, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "gnu lesser general", 4401, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "gnu lesser general", 1231, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "mozilla public license", 3785, "e4d7347f1855f056365c08ad8030307f5cda3d38c9658d4f4db9a7c0aaac6c53"),
+    ("MPL-2.0", "mozilla public license", 2425, "b59ad31436b35a95a00cff48e84c1f014339f59fac784c1935fc6f7dc34abf70"),
+)
+#: Words of a line by which blocks are found, and the least words of a license that is looked for as a block.
+HEAD_WORDS, BLOCK_WORDS = 3, 12
+#: Kinds of blocks that one scan looks for at most.
+MOST_BLOCKS = 5000
+
+
 def known_licenses() -> list[tuple[str, str]]:
     """(license_id, text) of all known licenses, their texts with and without a title; sentences are made from the names."""
     rows = [*TEXTS.items(), *NOTICES.items()]
@@ -204,22 +229,70 @@ def _digest(line: Column) -> Column:
     return F.sha2(F.replace(line, F.lit("\n"), F.lit(" ")), 256)
 
 
-def scan(docs: DataFrame, licenses: DataFrame) -> DataFrame:
+def _head(line: Column) -> Column:
+    return F.substring_index(line, " ", HEAD_WORDS)
+
+
+def _words(form: Column) -> Column:
+    return F.split(form, r"[ \n]")
+
+
+def digest_table(licenses: DataFrame, files: tuple[tuple[str, str, int, str], ...] = FILES) -> DataFrame:
+    """(license_id, digest, head, n_words) of licenses (license_id, text) and of files known by their digest alone."""
+    forms = licenses.where("license_id is not null").select("license_id", canonical(whole_text()).alias("form")).where("form <> ''")
+    made = forms.select("license_id", _digest(F.col("form")).alias("digest"), _head(F.get(F.split("form", "\n"), F.lit(0))).alias("head"), F.size(_words(F.col("form"))).alias("n_words"))
+    listed = licenses.sparkSession.createDataFrame(list(files), "license_id string, head string, n_words int, digest string")
+    return made.unionByName(listed).distinct()
+
+
+def _block_digests(blocks: list[tuple[str, int]]) -> Column:
+    """Digests of the words behind each line of ``form`` that begins like a known license, as many as that one has."""
+    known: dict[str, list[int]] = {}
+    for head, n in blocks:
+        known.setdefault(head, []).append(n)
+    none = F.array().cast("array<string>")
+    if not known:
+        return none
+    lines, words = F.split("form", "\n"), _words(F.col("form"))
+    sizes = F.create_map(*[x for head, ns in sorted(known.items()) for x in (F.lit(head), F.array(*[F.lit(n) for n in sorted(ns)]))])
+    places = F.array().cast("array<struct<at:int,head:string>>")
+
+    def step(state: Column, line: Column) -> Column:
+        here = F.array(F.struct(state["at"].alias("at"), _head(line).alias("head")))
+        starts = F.when(_head(line).isin(list(known)), F.concat(state["starts"], here)).otherwise(state["starts"])
+        return F.struct((state["at"] + F.size(F.split(line, " "))).alias("at"), starts.alias("starts"))
+
+    starts = F.aggregate(lines, F.struct(F.lit(1).alias("at"), places.alias("starts")), step, lambda state: state["starts"])
+
+    def of(start: Column) -> Column:
+        fitting = F.filter(F.element_at(sizes, start["head"]), lambda n: start["at"] + n - 1 <= F.size(words))
+        return F.transform(fitting, lambda n: F.sha2(F.array_join(F.slice(words, start["at"], n), " "), 256))
+
+    found = F.array_distinct(F.flatten(F.transform(starts, of)))
+    return F.when(F.exists(lines, lambda line: _head(line).isin(list(known))), found).otherwise(none)
+
+
+def scan(docs: DataFrame, licenses: DataFrame, files: tuple[tuple[str, str, int, str], ...] = FILES) -> DataFrame:
     """(doc_id, whole_license, licenses, n_licenses), one row per row of ``docs``.
 
     whole_license is the license (the first by name) whose text the whole document is;
-    licenses lists, by name and comma-joined, those that the whole document or one of its
-    lines is. Null and empty texts hold none, and a text that is empty in canonical form
-    matches nothing. Rows that repeat a doc_id share what their texts hold; rows without
-    one get none. Only doc_id, text and license_id, text are read.
+    licenses lists, by name and comma-joined, those that the whole document, one of its
+    lines, or a block of its words is (blocks of BLOCK_WORDS words at least). Null and empty
+    texts hold none, and a text that is empty in canonical form matches nothing. Rows that
+    repeat a doc_id share what their texts hold; rows without one get none. Only doc_id,
+    text and license_id, text are read. The kinds of blocks are read first, MOST_BLOCKS at most.
     """
-    table = licenses.where("license_id is not null").select("license_id", canonical(whole_text()).alias("form")).where("form <> ''")
-    table = table.select("license_id", _digest(F.col("form")).alias("digest")).distinct()
+    table = digest_table(licenses, files)
+    blocks = [tuple(r) for r in table.where(F.col("n_words") >= BLOCK_WORDS).select("head", "n_words").distinct().orderBy("head", "n_words").limit(MOST_BLOCKS + 1).collect()]
+    if len(blocks) > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} kinds of blocks")
     forms = docs.where("doc_id is not null").select("doc_id", canonical(whole_text()).alias("form")).where("form <> ''")
-    whole = F.array(F.struct(F.col("form").alias("unit"), F.lit(True).alias("is_whole")))
-    lines = F.transform(F.array_distinct(F.split("form", "\n")), lambda line: F.struct(line.alias("unit"), F.lit(False).alias("is_whole")))
-    units = forms.select("doc_id", F.explode(F.concat(whole, lines)).alias("u")).select("doc_id", "u.is_whole", _digest(F.col("u.unit")).alias("digest"))
-    hits = units.join(sized(table), "digest")
+    unit = "struct<unit:string,is_whole:boolean,digest:string>"
+    whole = F.array(F.struct(F.col("form").alias("unit"), F.lit(True).alias("is_whole"), F.lit(None).cast("string").alias("digest")).cast(unit))
+    lines = F.transform(F.array_distinct(F.split("form", "\n")), lambda line: F.struct(line.alias("unit"), F.lit(False).alias("is_whole"), F.lit(None).cast("string").alias("digest")).cast(unit))
+    inner = F.transform(_block_digests(blocks), lambda x: F.struct(F.lit(None).cast("string").alias("unit"), F.lit(False).alias("is_whole"), x.alias("digest")).cast(unit))
+    units = forms.select("doc_id", F.explode(F.concat(whole, lines, inner)).alias("u")).select("doc_id", "u.is_whole", F.coalesce("u.digest", _digest(F.col("u.unit"))).alias("digest"))
+    hits = units.join(sized(table.select("license_id", "digest").distinct()), "digest")
     found = hits.groupBy("doc_id").agg(
         F.min(F.when(F.col("is_whole"), F.col("license_id"))).alias("whole_license"), F.array_sort(F.collect_set("license_id")).alias("ids")
     )
@@ -250,15 +323,24 @@ def _canonical_sql(column: str) -> str:
 
 
 def oracle() -> str:
-    """The same scan in SQL, over the same license texts."""
+    """The same scan in SQL, over the same license texts and files."""
     values = ", ".join(f"({_sql_text(k)}, {_sql_text(t)})" for k, t in known_licenses())
+    files = ", ".join(f"({_sql_text(k)}, {_sql_text(head)}, {n}, {_sql_text(digest)})" for k, head, n, digest in FILES)
     return f"""
-with known(license_id, text) as (values {values}),
-forms as (select distinct license_id, replace({_canonical_sql("text")}, chr(10), ' ') as unit from known),
+with known(license_id, text) as (values {values}), files(license_id, head, n_words, digest) as (values {files}),
+kf as (select distinct license_id, {_canonical_sql("text")} as form from known),
+forms as (select license_id, array_to_string(list_slice(string_split(string_split(form, chr(10))[1], ' '), 1, {HEAD_WORDS}), ' ') as head,
+  len(string_split(replace(form, chr(10), ' '), ' ')) as n_words, sha256(replace(form, chr(10), ' ')) as digest from kf union select * from files),
+blocks as (select distinct head, n_words from forms where n_words >= {BLOCK_WORDS}),
 docs as (select doc_id, {_canonical_sql("coalesce(text, '')")} as form from documents),
+lines as (select doc_id, unnest(string_split(form, chr(10))) as line, generate_subscripts(string_split(form, chr(10)), 1) as i from docs where form <> ''),
+places as (select *, array_to_string(list_slice(string_split(line, ' '), 1, {HEAD_WORDS}), ' ') as head,
+  coalesce(sum(len(string_split(line, ' '))) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as at from lines),
+inner_units as (select p.doc_id, array_to_string(list_slice(string_split(replace(form, chr(10), ' '), ' '), cast(at as bigint) + 1, cast(at as bigint) + n_words), ' ') as unit
+  from places p join blocks using (head) join docs using (doc_id) where at + n_words <= len(string_split(replace(form, chr(10), ' '), ' '))),
 units as (select doc_id, true as is_whole, replace(form, chr(10), ' ') as unit from docs where form <> ''
-  union all select doc_id, false, unnest(list_distinct(string_split(form, chr(10)))) from docs where form <> ''),
-hits as (select doc_id, license_id, is_whole from units join forms using (unit)),
+  union all select doc_id, false, line from lines union all select doc_id, false, unit from inner_units),
+hits as (select doc_id, license_id, is_whole from units join forms on sha256(unit) = digest),
 found as (select doc_id, min(case when is_whole then license_id end) as whole_license,
   string_agg(distinct license_id, ',' order by license_id) as licenses, count(distinct license_id) as n_licenses from hits group by doc_id)
 select documents.doc_id, whole_license, coalesce(licenses, '') as licenses, coalesce(n_licenses, 0) as n_licenses
