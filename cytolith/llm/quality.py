@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import checkpointed, whole_text
+from cytolith.llm.common import checkpointed, unused, whole_text
 
 THRESHOLD = 0.3
 FOLDS = 5
@@ -35,23 +35,31 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce((F.crc32(doc_id.cast("string").cast("binary")) % FOLDS).cast("int"), F.lit(0))
 
 
-def features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the vector ``__features``. Null texts count as empty; an empty text has structure columns of zero."""
-    whole = df.withColumn("__text", whole_text(text)).withColumn("__words", F.filter(F.split(F.lower("__text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    chars, words = F.length("__text") + 1.0, F.size("__words") + 1.0
-    repeats = F.size(F.filter(F.transform("__words", lambda w, i: w == F.get("__words", i - 1)), lambda same: same))
-    structure = {f"__{k}": F.least(F.lit(1.0), RATIO * F.regexp_count("__text", F.lit(p)) / chars) for k, p in STRUCTURE.items()}
+def _names(df: DataFrame) -> dict[str, str]:
+    """Columns that are made on the way, by names that ``df`` does not have."""
+    return {x: unused(df, f"__{x}") for x in ("text", "words", "counts", "unit", "features", "probability", "prediction", "raw", *STRUCTURE, "repeats", "distinct", "length", "word_length", "lines")}
+
+
+def features(df: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the vector ``__features`` (``names`` tells how it is called). Null texts count as empty; an empty text has structure columns of zero."""
+    name = names or _names(df)
+    whole_words = F.filter(F.split(F.lower(name["text"]), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    whole = df.withColumn(name["text"], whole_text(text)).withColumn(name["words"], whole_words)
+    words_of = name["words"]
+    chars, words = F.length(name["text"]) + 1.0, F.size(words_of) + 1.0
+    repeats = F.size(F.filter(F.transform(words_of, lambda w, i: w == F.get(words_of, i - 1)), lambda same: same))
+    structure = {name[k]: F.least(F.lit(1.0), RATIO * F.regexp_count(name["text"], F.lit(p)) / chars) for k, p in STRUCTURE.items()}
     structure |= {
-        "__repeats": repeats / words,
-        "__distinct": F.size(F.array_distinct("__words")) / words,
-        "__length": F.log(chars) / 12,
-        "__word_length": F.least(F.lit(1.0), chars / words / 20),
-        "__lines": F.log(F.regexp_count("__text", F.lit("\n")) + 1.0) / 8,
+        name["repeats"]: repeats / words,
+        name["distinct"]: F.size(F.array_distinct(words_of)) / words,
+        name["length"]: F.log(chars) / 12,
+        name["word_length"]: F.least(F.lit(1.0), chars / words / 20),
+        name["lines"]: F.log(F.regexp_count(name["text"], F.lit("\n")) + 1.0) / 8,
     }
-    counted = HashingTF(inputCol="__words", outputCol="__counts", numFeatures=WORD_COLUMNS).transform(whole.withColumns(structure))
-    unit = Normalizer(inputCol="__counts", outputCol="__unit").transform(counted)
-    whole_vector = VectorAssembler(inputCols=["__unit", *structure], outputCol="__features").transform(unit)
-    return whole_vector.drop("__text", "__words", "__counts", "__unit", *structure)
+    counted = HashingTF(inputCol=words_of, outputCol=name["counts"], numFeatures=WORD_COLUMNS).transform(whole.withColumns(structure))
+    unit = Normalizer(inputCol=name["counts"], outputCol=name["unit"]).transform(counted)
+    whole_vector = VectorAssembler(inputCols=[name["unit"], *structure], outputCol=name["features"]).transform(unit)
+    return whole_vector.drop(name["text"], words_of, name["counts"], name["unit"], *structure)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> FMClassificationModel | float:
@@ -91,15 +99,20 @@ def score(df: DataFrame, model: FMClassificationModel | float, text: str = "text
     """``df`` with the column ``to``, from 0 to 1, higher where label 1 is likelier; a column of that name is replaced."""
     if isinstance(model, float):
         return df.withColumn(to, F.lit(model))
-    scored = model.transform(features(df, text))
-    value = F.get(vector_to_array("__probability"), F.lit(1))
+    name = _names(df)
+    renamed = model.copy()
+    for setting in ("features", "probability", "prediction", "raw"):
+        renamed.set(renamed.getParam({"raw": "rawPredictionCol"}.get(setting, f"{setting}Col")), name[setting])
+    scored = renamed.transform(features(df, text, name))
+    value = F.get(vector_to_array(name["probability"]), F.lit(1))
     scored = scored.withColumn(to, F.coalesce(F.nanvl(value, F.lit(0.5)), F.lit(0.5)))
     return scored.select(*[c for c in df.columns if c != to], to)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` whose score reaches the threshold; all columns and repeated rows are kept."""
-    return score(docs, fit(docs, labels), to="__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    """``docs`` whose score reaches the threshold; all columns and repeated rows are kept, whatever the columns are called."""
+    to = unused(docs, "__score")
+    return score(docs, fit(docs, labels), to=to).where(F.col(to) >= threshold).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

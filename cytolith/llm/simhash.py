@@ -87,19 +87,6 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest doc_id.
-
-    Repeated rows of that document collapse to one; rows without an identifier stay only
-    if no document of their component has one. All columns are kept.
-    """
-    found = near_duplicates(docs, words)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    lone = docs.where("doc_id is null")
-    kept = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(lone)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     from cytolith.llm.common import read_table
 
