@@ -55,6 +55,24 @@ def test_recall_holds_with_many_pivots(spark, monkeypatch):
     assert np.mean([len(got[q] & set(t)) / 20 for q, t in truth.items()]) >= 0.9
 
 
+def test_the_exact_setting_leaves_nothing_out(spark):
+    r = np.random.default_rng(3)
+    data = {i: [float(round(x, 2)) for x in r.normal(size=8)] for i in range(1500)}
+    short = {2000 + i: [float(round(x, 1)) for x in r.normal(size=3)] for i in range(60)}
+    rows = [(i, v, "x") for i, v in (data | short).items()]
+    df = spark.createDataFrame([*rows, (40, [9.0] * 8, "x")], "vec_id long, embedding array<double>, score string")
+    got: dict = {}
+    for x in permutation_index.nearest(df, F.col("vec_id") % 20 == 0, setting=permutation_index.EXACT).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    data[40] = min(data[40], [9.0] * 8)
+    for group in (data, short):
+        for q, ids in exact(group, [i for i in group if i % 20 == 0], 20).items():
+            scores = [float(np.dot(group[q], group[i])) for i in ids]
+            assert [s for _, s in got[q]] == pytest.approx(scores, abs=1e-9)
+    with pytest.raises(ValueError):
+        permutation_index.Setting(posted=0)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], ""), (20, [0.5, 0.5], ""), (21, [0.0, 1.0], "")], VECTORS)
     got = permutation_index.nearest(df, F.col("vec_id") % 20 == 0).collect()
@@ -84,5 +102,5 @@ def test_pipeline_stages_follow_each_other(spark):
 def test_registry_names_every_operator():
     from cytolith.llm import registry
 
-    assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)

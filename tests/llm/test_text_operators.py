@@ -54,7 +54,7 @@ def test_license_files_with_titles_and_other_line_ends(spark):
     got = {r.doc_id: r.whole_license for r in licenses.scan(frame(spark, texts), licenses.license_table(spark)).collect()}
     assert got == dict(enumerate(expected, 1))
     twice = frame(spark, [texts[0], texts[0] + "\nx " * 60_000]).union(frame(spark, [texts[0]]))
-    assert sorted((r.doc_id, r.n_licenses) for r in licenses.scan(twice, licenses.license_table(spark)).collect()) == [(1, 1), (1, 1), (2, 0)]
+    assert sorted((r.doc_id, r.n_licenses) for r in licenses.scan(twice, licenses.license_table(spark)).collect()) == [(1, 1), (1, 1), (2, 1)]  # it is a block of the long text
 
 
 # decontamination
@@ -275,8 +275,36 @@ def test_edits_reencode_only_what_they_touch(spark):
     assert sorted(r.text_after for r in got[2]) == ["", " text of 2"]
     assert [(r.text_after, r.n_tokens_after, r.n_edits_left_out) for r in (*got[3], *got[4])] == [("new", 1, 0), ("", 0, 1)]
     assert token_counts.build(docs.limit(0)).count() == 0 and token_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, start int, end int, replacement string").limit(0)).count() == 0
-    wrong = docs.limit(1).selectExpr("doc_id", "text", "array(1, 2) as counts", "cast(null as array<struct<start:int,end:int,replacement:string>>) as edits")
-    assert [(r.n_tokens, r.n_edits) for r in token_counts.recount(wrong).collect()] == [(len(n(texts[0])), 0)]
+    for tree in ("named_struct('mark', 0L, 'chars', array(1, 2), 'tokens', array(1, 2))", "cast(null as struct<mark: long, chars: array<int>, tokens: array<int>>)"):
+        wrong = docs.limit(1).selectExpr("doc_id", "text", f"{tree} as tree", "cast(null as array<struct<start:int,end:int,replacement:string>>) as edits")
+        assert [(r.n_tokens, r.n_edits) for r in token_counts.recount(wrong).collect()] == [(len(n(texts[0])), 0)]
+
+
+def test_batches_of_edits_follow_each_other(spark):
+    n = reference_tokenizer()
+    r = random.Random(8)
+    texts = {1: words(3000, 2), 2: "a" * 30_000, 3: ""}
+    trees = token_counts.build(spark.createDataFrame([(i, t, "x", "y") for i, t in texts.items()], "doc_id long, text string, tree_after string, mark string"))
+    for _ in range(3):
+        edits = []
+        for i, t in texts.items():
+            a = r.randint(0, len(t))
+            edits.append((i, a, min(len(t), a + r.choice([0, 5, 40])), r.choice(["", "new words", "x" * 500])))
+        again = {x.doc_id: x for x in token_counts.apply_edits(trees, spark.createDataFrame(edits, "doc_id long, start int, end int, replacement string")).collect()}
+        for i, a, b, new in edits:
+            texts[i] = texts[i][:a] + new + texts[i][b:]
+            assert again[i].text_after == texts[i] and again[i].n_tokens_after == len(n(texts[i]))
+        assert again[1].n_chars_encoded_again < 3000
+        trees = token_counts.edited(spark.createDataFrame([tuple(x) for x in again.values()], token_counts.recount(trees.selectExpr("doc_id", "text", "tree", "null as edits")).schema))
+
+
+def test_trees_of_another_text_are_made_anew(spark):
+    n = reference_tokenizer()
+    old, new = words(60, 3), words(60, 4)
+    new = new[: len(old)].ljust(len(old), "x")
+    tree = token_counts.build(spark.createDataFrame([(1, old)], "doc_id long, text string")).first().tree
+    rows = spark.createDataFrame([(1, new, [], tree)], f"doc_id long, text string, edits array<struct<start: int, end: int, replacement: string>>, tree {token_counts.TREE}")
+    assert token_counts.recount(rows).first().n_tokens == len(n(new))
 
 
 # personal data
@@ -433,8 +461,6 @@ def test_simhash_components_equal_brute_force(spark):
                 parent[b] = a
     got = simhash.near_duplicates(frame(spark, texts)).collect()
     assert {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in got} == {i: (prints[i], find(i)) for i in prints}
-    kept = simhash.drop_near_duplicates(frame(spark, texts))
-    assert sorted(r.doc_id for r in kept.collect()) == sorted({find(i) for i in prints})
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
@@ -453,6 +479,25 @@ PAGE = """<html><head><title>T</title><script>var t="</p>";</script></head><body
   goes on, and on.</p><ul><li>one<li>two</ul></article><div id="comments"><p>Nice, very nice, indeed.</p></div><footer>&copy;</footer></body></html>"""
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    began = time.process_time()
+    assert html_text.main_text("<div>" * 16_000 + "<p>deep, deep</p>" + "</span>" * 16_000) == "deep, deep"
+    assert html_text.main_text("<span><td>" + "<b>" * 16_000 + "</span>" * 16_000 + "<ul>" + "<div>" * 3000 + "<li>a</li>" * 3000).startswith("a")
+    assert time.process_time() - began < 10  # a climb for each tag would take minutes
+
+
+def test_points_reach_ancestors_of_any_level():
+    nodes = [html_text.Node("#root", None)]
+    for _ in range(12):
+        nodes.append(html_text.Node("div", nodes[-1]))
+    html_text._pass_up(nodes, {id(nodes[-1]): 9.0, id(nodes[3]): 2.0})
+    want = [9.0, 4.5, *(1.5 / 3**i for i in range(11))][::-1]
+    want[3], want[2], want[1], want[0] = want[3] + 2, want[2] + 1, want[1] + 1 / 3, want[0] + 1 / 9
+    assert [round(n.score, 12) for n in nodes] == [round(x, 12) for x in want]
+
+
 def test_main_text(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, "u", None), (3, None, ""), (4, "u", "<p>cut off &am"), (5, "u", "no markup at all"), (6, "u", "<div>" * 3000 + "deep")], "page_id long, url string, html string")
     got = {r.page_id: r for r in html_text.extract(pages.withColumn("text", pages.url)).collect()}
@@ -478,3 +523,45 @@ def test_containers_without_an_article():
 def test_names_of_furniture(name, drops):
     page = f"<article><h1>Title</h1><p>One, two, three, four.</p><div class='{name}'><p>Five, six.</p></div></article>"
     assert ("Five" in html_text.main_text(page)) != drops
+
+
+def test_context_stands_on_both_sides_as_words(spark):
+    card = "4111111111111111"
+    texts = {
+        f"a payload {card} of the border": 0.8, f"pay {card}": 0.9, f"{card} is my visa card": 0.9, f"{card} is the order": 0.5, f"visa {card} order": 0.6, f"the hotel and ship {card}": 0.8,
+    }
+    found = {r.text: r.pii_spans[0].score for r in pii.with_spans(frame(spark, list(texts))).collect()}
+    assert found == texts
+    phone = pii.with_spans(frame(spark, ["the hotel +49 30 1234567 x", "tel. +49 30 1234567", "+49 30 1234567 (mobile)"])).collect()
+    assert sorted(r.pii_spans[0].score for r in phone) == [0.6, 0.7, 0.7]
+
+
+LICENSE_FILES = {
+    "Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "BSD-3-Clause": "BSD",
+    "GPL-1.0": "GPL-1", "LGPL-2.0": "LGPL-2", "MPL-1.1": "MPL-1.1", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Artistic-1.0": "Artistic",
+}
+
+
+def test_license_files_are_found_whole_and_below_a_head(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    there = {k: f"{folder}/{f}" for k, f in LICENSE_FILES.items() if os.path.isfile(f"{folder}/{f}")}
+    if not there:
+        pytest.skip("no license files on this machine")
+    texts = {k: open(p, encoding="utf-8", errors="replace").read() for k, p in there.items()}
+    rows = []
+    for k, t in texts.items():
+        first, rest = t.split("\n\n", 1)
+        wrapped = first + "\n\n" + re.sub(r"(?<!\n)\n(?![\n]|[^a-z0-9\n]*(?:copyright|\(c\)))", " ", rest, flags=re.I) if k in ("MPL-2.0", "Apache-2.0") else t
+        rows += [(f"whole {k}", t), (f"below {k}", f"# My project README\n\nWords about it.\n\n{t}\nMore words behind it.\n"), (f"wrapped {k}", f"Title\n{wrapped}")]
+    mit = licenses.TEXTS["MIT"]
+    rows += [("below MIT", f"# My project README\n\nMIT License\n\nCopyright (c) 2020 Me\n\n{mit}\n\nThanks."), ("wrapped MIT", "Intro\n" + mit.replace("\n", " ")), ("cut MIT", "Intro\n" + mit[:-30])]
+    rows += [("heads", "GNU General Public License\n" * 2000)]
+    df = spark.createDataFrame([(i, t, n, "", 0) for i, (n, t) in enumerate(rows)], DOCS)
+    got = {rows[r.doc_id][0]: r for r in licenses.scan(df, licenses.license_table(spark)).collect()}
+    for k in texts:
+        assert got[f"whole {k}"].whole_license == k, k
+        for name in (f"below {k}", f"wrapped {k}"):
+            assert k in got[name].licenses.split(",") and got[name].whole_license is None, name
+    assert got["below MIT"].licenses == "MIT" and got["wrapped MIT"].licenses == "MIT" and got["cut MIT"].n_licenses == 0 and got["heads"].n_licenses == 0
