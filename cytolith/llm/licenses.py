@@ -335,9 +335,9 @@ blocks as (select distinct head, n_words from forms where n_words >= {BLOCK_WORD
 docs as (select doc_id, {_canonical_sql("coalesce(text, '')")} as form from documents),
 lines as (select doc_id, unnest(string_split(form, chr(10))) as line, generate_subscripts(string_split(form, chr(10)), 1) as i from docs where form <> ''),
 places as (select *, array_to_string(list_slice(string_split(line, ' '), 1, {HEAD_WORDS}), ' ') as head,
-  coalesce(sum(len(string_split(line, ' '))) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as at from lines),
-inner_units as (select p.doc_id, array_to_string(list_slice(string_split(replace(form, chr(10), ' '), ' '), cast(at as bigint) + 1, cast(at as bigint) + n_words), ' ') as unit
-  from places p join blocks using (head) join docs using (doc_id) where at + n_words <= len(string_split(replace(form, chr(10), ' '), ' '))),
+  coalesce(sum(len(string_split(line, ' '))) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as words_before from lines),
+inner_units as (select p.doc_id, array_to_string(list_slice(string_split(replace(form, chr(10), ' '), ' '), cast(words_before as bigint) + 1, cast(words_before as bigint) + n_words), ' ') as unit
+  from places p join blocks using (head) join docs using (doc_id) where words_before + n_words <= len(string_split(replace(form, chr(10), ' '), ' '))),
 units as (select doc_id, true as is_whole, replace(form, chr(10), ' ') as unit from docs where form <> ''
   union all select doc_id, false, line from lines union all select doc_id, false, unit from inner_units),
 hits as (select doc_id, license_id, is_whole from units join forms on sha256(unit) = digest),
