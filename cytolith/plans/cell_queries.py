@@ -288,7 +288,7 @@ def _overrides(v: Fixtures) -> DataFrame:
 
 
 QUERIES |= {
-    "annotation_match": lambda v: _rounded(annotation.match_statistics(v.counts.select("cell_no").distinct(), v.cells.where("cell_type <> 'T1' or excluded").withColumn("cell_type", F.nullif("cell_type", F.lit("T2"))), "cell_no", "cell_type", "excluded"), "match_rate"),
+    "annotation_match": lambda v: _rounded(annotation.match_statistics(v.counts.select("cell_no").distinct(), v.cells.withColumns({"cell_no": F.col("cell_no") * 2, "cell_type": F.nullif("cell_type", F.lit("T2"))}), "cell_no", "cell_type", "excluded"), "match_rate"),
     "join_complete": lambda v: annotation.complete_join(v.clusters.select(F.col("vec_id").alias("cell_no"), "cluster_a"), v.clusters.select(F.col("vec_id").alias("cell_no"), "cluster_b"), "cell_no"),
     "cluster_status": lambda v: annotation.annotate_clusters(v.clusters, {str(i): f"T{i}" for i in range(6)}, "cluster_a", ("T1", "T4", "Unknown")),
     "stage_counts": lambda v: annotation.stage_counts(regions.comparison_summary(_comparisons(v), v.dmr), ["sample"], "status", ("complete", "partial", "pending", "ineligible")),
@@ -297,12 +297,12 @@ QUERIES |= {
     ),
     "derive_group": lambda v: v.cells.select("cell_no", annotation.derive_group(F.col("sample")).alias("condition")),
     "meta_validate": lambda v: annotation.validate_metadata(
-        v.cells.where("cell_no % 5 <> 1").select(F.concat(F.lit(" S"), F.col("cell_no") % 45).alias("s"), F.when(F.col("cell_no") % 7 == 0, "xx").otherwise(F.lower(F.substring("sample", 1, 2))).alias("g")), "s", "g", ("IR", "NR")
+        v.cells.select(F.concat(F.lit(" S"), F.col("cell_no") - (F.col("cell_no") % 10 == 0).cast("int")).alias("s"), F.when(F.col("cell_no") % 7 == 0, "xx").otherwise(F.lower(F.substring("sample", 1, 2))).alias("g")), "s", "g", ("IR", "NR")
     ),
     "json_get": lambda v: v.cells.select("cell_no", annotation.json_value(F.when(F.col("cell_no") % 3 == 0, F.to_json(F.struct(F.col("cell_type").alias("t")))).otherwise("{}"), "$.t", "none").alias("value")),
     "response_split": lambda v: v.cells.groupBy(annotation.derive_group(F.col("sample")).alias("response")).agg(F.count(F.lit(1)).alias("n_cells"), F.count_distinct("sample").alias("n_samples")),
     "cluster_full_outer": lambda v: annotation.full_outer(
-        v.clusters.where("cluster_a <> 3").select(F.col("vec_id").alias("cell_no"), F.concat(F.lit("C"), "cluster_b").alias("cluster")), v.cells.select("cell_no", "cell_type"), ["cell_no"], {"cluster": "none", "cell_type": "unknown"}
+        v.clusters.select((F.col("vec_id") * 2).alias("cell_no"), F.concat(F.lit("C"), "cluster_b").alias("cluster")), v.cells.select("cell_no", "cell_type"), ["cell_no"], {"cluster": "none", "cell_type": "unknown"}
     ),
     "cell_plot_order": lambda v: annotation.plot_order(v.cells.select("cell_no", F.when(F.col("cell_no") % 2 == 0, F.lower("cell_type")).otherwise(F.col("cell_type")).alias("label")), "label", "cell_no").withColumn("place", F.col("place").cast("long")),
     "keep_features": lambda v: _rounded(annotation.keep_features(_values(v).select("cell_no", "region", "value"), _values(v).where("region like 'chr1:%'").select("region"), "region"), "value"),
@@ -429,7 +429,7 @@ ORACLES["topk_both_ends"] = _RANKED + """, h as (select "group", gene_no, z, row
 select "group", gene_no, z, hi as nth, 'high' as side from h where hi <= 5 union all select "group", gene_no, z, lo, 'low' from h where lo <= 5"""
 
 ORACLES |= {
-    "annotation_match": """with c as (select distinct cell_no from fx_counts), a as (select cell_no, nullif(cell_type, 'T2') as cell_type, excluded from fx_cells where cell_type <> 'T1' or excluded)
+    "annotation_match": """with c as (select distinct cell_no from fx_counts), a as (select cell_no * 2 as cell_no, nullif(cell_type, 'T2') as cell_type, excluded from fx_cells)
 select count(*) as n_cells, count(a.cell_no) as n_matched, count(*) - count(a.cell_no) as n_unmatched, round(cast(count(a.cell_no) as double) / count(*), 6) as match_rate, count(a.cell_type) as n_labelled,
 count(*) filter (a.excluded) as n_excluded, count(*) filter (not a.excluded) as n_retained, (select count(*) from a) as annotation_rows from c left join a on a.cell_no = c.cell_no""",
     "join_complete": "select vec_id as cell_no, cluster_a, cluster_b from fx_clusters",
@@ -439,11 +439,11 @@ select *, cell_type in ('T1', 'T4', 'Unknown') as excluded, case when cell_type
 count(*) filter (status = 'pending') as pending, count(*) filter (status = 'ineligible') as ineligible, cast(0 as bigint) as other, count(*) = count(*) filter (status = 'complete') as all_done from cs group by sample""",
     "dmr_fallback": """select sample, left_type, count(*) as n_records, count(*) filter (line_no % 3001 = 0 or start_pos = 299) as n_bad, count(*) filter (line_no % 3001 = 0 or start_pos = 299) = 0 as valid from fx_dmr group by all""",
     "derive_group": "select cell_no, substr(sample, 1, 2) as condition from fx_cells",
-    "meta_validate": """with m as (select concat('S', cell_no % 45) as sample_id, case when cell_no % 7 = 0 then 'XX' else substr(sample, 1, 2) end as condition from fx_cells where cell_no % 5 <> 1)
+    "meta_validate": """with m as (select concat('S', case when cell_no % 10 = 0 then cell_no - 1 else cell_no end) as sample_id, case when cell_no % 7 = 0 then 'XX' else substr(sample, 1, 2) end as condition from fx_cells)
 select sample_id, condition, condition in ('IR', 'NR') and count(*) over (partition by sample_id) = 1 as valid from m""",
     "json_get": "select cell_no, case when cell_no % 3 = 0 then cell_type else 'none' end as value from fx_cells",
     "response_split": "select substr(sample, 1, 2) as response, count(*) as n_cells, count(distinct sample) as n_samples from fx_cells group by 1",
-    "cluster_full_outer": """with a as (select vec_id as cell_no, concat('C', cluster_b) as cluster from fx_clusters where cluster_a <> 3)
+    "cluster_full_outer": """with a as (select vec_id * 2 as cell_no, concat('C', cluster_b) as cluster from fx_clusters)
 select coalesce(a.cell_no, c.cell_no) as cell_no, coalesce(cluster, 'none') as cluster, coalesce(cell_type, 'unknown') as cell_type from a full join fx_cells c on a.cell_no = c.cell_no""",
     "cell_plot_order": """with l as (select cell_no, case when cell_no % 2 = 0 then lower(cell_type) else cell_type end as label from fx_cells)
 select cell_no, label, row_number() over (order by lower(label), cell_no) - 1 as place from l""",
