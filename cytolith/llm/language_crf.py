@@ -19,9 +19,11 @@ a null key is held out. Ties go to the language that sorts first. Clashing colum
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -41,6 +43,9 @@ STEPS, PENALTY = 24, 1e-5
 MOST_LABELS = 200
 #: Words that a task labels at a time (a longer text is one piece), and words whose scores it remembers.
 PIECE_WORDS, REMEMBERED = 200_000, 300_000
+#: Characters at the end of a text in which its last word is looked for first.
+TAIL = 200
+_LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
 
 
 @dataclass
@@ -57,14 +62,50 @@ def fold(key: Column) -> Column:
     return F.coalesce((F.crc32(key.cast("string").cast("binary")) % FOLDS).cast("int"), F.lit(HELD))
 
 
-def word_features(word: str, lexicon: dict[str, list[int]], n_labels: int) -> list[int]:
-    """Columns of a word: hashed ones, then one for each lexicon that lists it, then one that all words have."""
-    low = word.lower()
-    marked = f"^{low}$"
-    found = {f"w{low}"}
-    found |= {f"p{low[:k]}" for k in (1, 2, 3)} | {f"s{low[-k:]}" for k in (1, 2, 3)}
-    found |= {f"g{marked[i : i + k]}" for k in (2, 3) for i in range(len(marked) - k + 1)}
-    return sorted(zlib.crc32(x.encode()) % BUCKETS for x in found) + [BUCKETS + i for i in lexicon.get(low, ())] + [BUCKETS + n_labels]
+#: Seeds of the parts of a word: prefixes and suffixes of one to three characters, n-grams of two and three.
+_PREFIXES, _SUFFIXES, _GRAMS = (11, 12, 13), (21, 22, 23), {2: 32, 3: 33}
+_FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+
+
+def _hashed(seed: int, *characters: np.ndarray) -> np.ndarray:
+    h = np.full(len(characters[0]), seed, np.uint64)
+    for factor, c in zip(_FACTORS, characters, strict=False):
+        h = (h ^ (c * factor)) * _FACTORS[0]
+        h ^= h >> np.uint64(29)
+    return (h % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def word_features(words: list[str], lexicon: dict[str, list[int]], n_labels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, where each word's begin): hashed ones, then one for each lexicon that lists the word, then one that all words have.
+
+    An n-gram that a word holds twice counts twice. All words are hashed at once, as an array of their characters.
+    """
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = [w.lower() for w in words]
+    marked = [f"^{w}$" for w in low]
+    sizes = np.array([len(w) for w in marked])
+    text = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype(np.uint64)
+    begins = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(n), sizes)
+    found = [(np.arange(n), np.array([zlib.crc32(w.encode()) % BUCKETS for w in low]))]
+    for k, seed in _GRAMS.items():
+        at = np.flatnonzero(owner[: len(text) - k + 1] == owner[k - 1 :])
+        found.append((owner[at], _hashed(seed, *[text[at + i] for i in range(k)])))
+    for k in (1, 2, 3):
+        long = np.flatnonzero(sizes >= k + 2)
+        front, back = begins[long] + 1, begins[long] + sizes[long] - 1 - k
+        found.append((long, _hashed(_PREFIXES[k - 1], *[text[front + i] for i in range(k)])))
+        found.append((long, _hashed(_SUFFIXES[k - 1], *[text[back + i] for i in range(k)])))
+    listed = [(i, BUCKETS + x) for i, w in enumerate(low) for x in lexicon.get(w, ())]
+    if listed:
+        found.append(tuple(np.array(x) for x in zip(*listed, strict=True)))
+    found.append((np.arange(n), np.full(n, BUCKETS + n_labels)))
+    of, columns = (np.concatenate(x) for x in zip(*found, strict=True))
+    columns = columns[np.argsort(of, kind="stable")]
+    counts = np.bincount(of, minlength=n)
+    return columns, np.cumsum(counts) - counts
 
 
 def type_scores(features: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -177,18 +218,15 @@ def _blocks(drawn: DataFrame, labels: list[str], lexicon: dict[str, list[int]])
             cut = [words[i : i + STRETCH_WORDS] for i in range(0, len(words), STRETCH_WORDS)]
             stretches += [(number[lang], cut[i]) for i in np.unique(np.linspace(0, len(cut) - 1, min(len(cut), FIT_STRETCHES)).astype(int))] if cut else []
         order = np.random.default_rng(int(frame["block"].iloc[0])).permutation(len(stretches))
-        types: dict[str, int] = {}
-        words, gold, first, features, starts = [], [], [], [], []
+        types = _Numbers()
+        words, gold, first = [], [], []
         for nth, i in enumerate(order):
             label, chain = stretches[i]
             for j, word in enumerate(chain):
-                if word not in types:
-                    types[word] = len(types)
-                    starts.append(len(features))
-                    features += word_features(word, lexicon, len(labels))
                 words.append(types[word])
                 gold.append(label)
                 first.append(j == 0 and nth % CHAIN_STRETCHES == 0)
+        features, starts = word_features(list(types), lexicon, len(labels))
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "words": [words], "gold": [gold], "first": [first], "features": [features], "starts": [starts]})
 
     parted = drawn.withColumn("block", F.pmod(F.xxhash64("key", F.lit(29)), F.lit(FIT_BLOCKS)).cast("int")).repartition(FIT_BLOCKS, "block")
@@ -282,6 +320,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 # labelling
 
 
+class _Numbers(dict):
+    """Words by number, in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class _Scores:
     """Scores of word types, made once and remembered."""
 
@@ -290,26 +336,34 @@ class _Scores:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.numbers = _Numbers()
         self.known = np.zeros((0, len(self.model.labels)))
-        self.features: list[int] = []
-        self.starts: list[int] = []
-
-    def of(self, word: str) -> int:
-        at = self.number.get(word)
-        if at is None:
-            at = self.number[word] = len(self.number)
-            self.starts.append(len(self.features))
-            self.features += word_features(word, self.model.lexicon, len(self.model.labels))
-        return at
 
     def table(self) -> np.ndarray:
-        if self.starts:
-            self.known = np.concatenate([self.known, type_scores(np.array(self.features), np.array(self.starts), self.model.weights)])
-            self.features, self.starts = [], []
+        new = list(islice(self.numbers, len(self.known), None))
+        if new:
+            found = type_scores(*word_features(new, self.model.lexicon, len(self.model.labels)), self.model.weights)
+            self.known = np.concatenate([self.known, found])
         return self.known
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; those of western Europe by their letters, which is faster and gives the same."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        import regex
+
+        return regex.findall(WORD, text)
+    return _LATIN.findall(text)
+
+
+def _spans_of(text: str) -> list[tuple[int, int]]:
+    import regex
+
+    return [x.span() for x in regex.finditer(WORD, text)]
+
+
 def _runs(best: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes of words that begin a run of one language within their text."""
     new = np.zeros(len(best), bool)
@@ -318,6 +372,24 @@ def _runs(best: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _bounds(text: str, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs that begin at these words start and end in the text."""
+    spans = np.array(_spans_of(text), np.int64) if len(runs) > 1 else np.array([_outer(text)], np.int64)
+    stops = np.append(runs[1:], len(spans)) - 1
+    return spans[runs, 0], spans[stops, 1]
+
+
+def _outer(text: str) -> tuple[int, int]:
+    """From the first character of the first word to the last one of the last word; there is one."""
+    import regex
+
+    start = regex.search(WORD, text).start()
+    last = words_of(text[max(start, len(text) - TAIL) :])
+    if len(last) < 2:  # the last word may begin before the tail
+        return start, _spans_of(text)[-1][1]
+    return start, text.rindex(last[-1]) + len(last[-1])
+
+
 def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, n_words, spans) per row: spans are runs of words of one language, by code points, end exclusive."""
     kind = docs.schema[key].dataType.simpleString()
@@ -326,20 +398,16 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         from array import array
 
         import pyarrow as pa
-        import regex
 
-        words_of, scores, names = regex.compile(WORD).finditer, _Scores(model), np.array([*model.labels, UNKNOWN])
+        scores, names = _Scores(model), np.array([*model.labels, UNKNOWN])
         for batch in batches:
             done = 0
             while done < len(batch):
-                types, starts, ends, lengths = array("q"), array("q"), array("q"), []
+                types, lengths, texts = array("q"), [], []
                 while done + len(lengths) < len(batch) and len(types) < PIECE_WORDS:
+                    texts.append(batch.column(1)[done + len(lengths)].as_py() if model.labels else "")
                     before = len(types)
-                    for found in words_of(batch.column(1)[done + len(lengths)].as_py() if model.labels else ""):
-                        types.append(scores.of(found.group()))
-                        start, end = found.span()
-                        starts.append(start)
-                        ends.append(end)
+                    types.extend(map(scores.numbers.__getitem__, words_of(texts[-1])))
                     lengths.append(len(types) - before)
                 keys, lengths = batch.column(0).slice(done, len(lengths)), np.array(lengths)
                 done += len(lengths)
@@ -353,13 +421,17 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                     found[lengths > 0], score[lengths > 0] = mean.argmax(axis=1), np.minimum(mean.max(axis=1), 1.0)
                 best = shares.argmax(axis=1) if len(types) else np.zeros(0, np.int64)
                 begins = _runs(best, lengths)
-                stops = np.append(begins[1:], len(types)) - 1 if len(begins) else begins
-                fields = [pa.array(np.array(starts, np.int64)[begins]), pa.array(np.array(ends, np.int64)[stops]), pa.array(names[best[begins]].tolist(), pa.string())]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(begins, edges).astype(np.int32)), pa.StructArray.from_arrays(fields, ["start", "end", "lang"]))
+                at = np.searchsorted(begins, edges)
+                starts, ends = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+                for i in np.flatnonzero(lengths):
+                    runs = begins[at[i] : at[i + 1]] - edges[i]
+                    starts[at[i] : at[i + 1]], ends[at[i] : at[i + 1]] = _bounds(texts[i], runs)
+                fields = [pa.array(starts), pa.array(ends), pa.array(names[best[begins]].tolist(), pa.string())]
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays(fields, ["start", "end", "lang"]))
                 yield pa.RecordBatch.from_arrays(
                     [keys, pa.array(names[found].tolist(), pa.string()), pa.array(score), pa.array(lengths.astype(np.int64)), lists], ["key", "lang_pred", "score", "n_words", "spans"]
                 )
-                if len(scores.number) > REMEMBERED:
+                if len(scores.numbers) > REMEMBERED:
                     scores.forget()
 
     rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))

@@ -53,10 +53,7 @@ def test_blocks_of_steps_do_not_change_long_chains():
 
 def test_gradient_is_that_of_the_loss():
     r = np.random.default_rng(3)
-    features, starts = [], []
-    for word in ("ba", "xyl", "bo"):
-        starts.append(len(features))
-        features += crf.word_features(word, {"ba": [0]}, 2)
+    features, starts = crf.word_features(["ba", "xyl", "bo"], {"ba": [0]}, 2)
     block = ([0, 1, 2, 0, 1], [0, 1, 0, 0, 1], [True, False, False, True, False], features, starts)
     theta = r.normal(size=(crf.BUCKETS + 2 + 1 + 2 + 1) * 2) / 10
     _, slope = crf.block_loss(theta, 2, *block)
@@ -67,6 +64,25 @@ def test_gradient_is_that_of_the_loss():
         assert abs(plain - slope[at]) < 1e-6
 
 
+def test_features_of_a_word_do_not_hang_on_the_others():
+    words = ["a", "ab", "Ärger", "ÄRGER", "𝄞x", "word" * 50, "naïve"]
+    features, starts = crf.word_features(words, {"ab": [1], "naïve": [0, 1]}, 2)
+    cut = [list(x) for x in np.split(features, starts[1:])]
+    assert cut == [list(crf.word_features([w], {"ab": [1], "naïve": [0, 1]}, 2)[0]) for w in words]
+    assert cut[2] == cut[3] and [len(x) for x in cut[:2]] == [1 + 2 + 1 + 2 + 1, 1 + 3 + 2 + 4 + 1 + 1] and max(features) == crf.BUCKETS + 2
+
+
+def test_fast_words_are_the_same():
+    every = "".join(map(chr, range(256)))
+    for text in (every, "ab c1d éa_b x²y ªº µ", " ".join(every), "中文 ab", ""):
+        import regex
+
+        assert crf.words_of(text) == regex.findall(crf.WORD, text)
+    for text in ("a", " ab, cd. ", "x " * 300 + "last" * 90 + "!", "only" * 90, "ab ab ab 1"):
+        spans = crf._spans_of(text)
+        assert crf._outer(text) == (spans[0][0], spans[-1][1])
+
+
 def made(spark):
     r = np.random.default_rng(0)
     rows = [(i, " ".join(r.choice(WORDS[lang].split(), 30)), lang, "x", 0.0, "y") for i in range(120) for lang in ("aa", "zz")]
