@@ -77,29 +77,34 @@ def _residuals(idx, val, ends, left, right) -> np.ndarray:
 
 
 def _multiply(rows: DataFrame, basis: np.ndarray, right: np.ndarray, residual: bool) -> np.ndarray:
-    """A'A times the basis: each task adds up its rows, Spark adds up the tasks per feature."""
+    """A'A times the basis: each task adds up its rows, Spark adds up the tasks per feature.
+
+    A task returns the features that its rows have, and the low-rank part as one row per rank (-1, -2, ...).
+    """
     n, width = basis.shape
+    rank = right.shape[1]
 
     def work(frames: Iterator) -> Iterator:
         import pandas as pd
 
-        total = np.zeros((n, width))
+        total, low = np.zeros((n, width)), np.zeros((rank, width))
         for frame in frames:
             for first, last, idx, val, ends in _chunks(frame):
                 left = _left(frame, first, last)
                 at = _residuals(idx, val, ends, left, right) if residual else val
                 y = _project(idx, at, ends, left, right, basis)
                 each = np.repeat(y, np.diff(np.concatenate([[0], ends])), axis=0) * at[:, None]
-                total += np.stack([np.bincount(idx, each[:, j], n) for j in range(width)], axis=1) + right @ (left.T @ y)
-        if total.any():
-            yield pd.DataFrame({"i": np.arange(n), "z": list(total)})
+                total += np.stack([np.bincount(idx, each[:, j], n) for j in range(width)], axis=1)
+                low += left.T @ y
+        there = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"i": np.concatenate([there, -1 - np.arange(rank)]), "z": [*total[there], *low]})
 
     parts = rows.select("idx", "val", "f").mapInPandas(work, "i int, z array<double>")
     sums = parts.groupBy("i").agg(F.array(*[F.sum(F.get("z", F.lit(j))) for j in range(width)]).alias("z")).toPandas()
-    out = np.zeros((n, width))
+    out = np.zeros((n + rank, width))  # the negative numbers count from the end
     if len(sums):
         out[sums["i"].to_numpy()] = np.stack(sums["z"].to_list())
-    return out
+    return out[:n] + right @ out[n:][::-1]
 
 
 def _subspace(rows: DataFrame, start: np.ndarray, right: np.ndarray, residual: bool, k: int, sweeps: int, close: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -93,15 +93,37 @@ def consensus(df: DataFrame, label: str, required: list[str], by: list[str] | No
         single.select(*keys, F.col("end_pos").alias("at"), F.lit(-1).alias("step"))
     )
     events = events.groupBy(*keys, "at").agg(F.sum("step").alias("step"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    swept = events.select(*keys, F.col("at").alias("start_pos"), F.lead("at").over(order).alias("end_pos"), F.sum("step").over(order).alias("active"))
+    swept = _swept(events.withColumn("__block", F.floor(F.col("at") / BLOCK)), keys)
     return merge_intervals(swept.where((F.col("active") == len(set(required))) & F.col("end_pos").isNotNull()), by, True).drop("n_records")
 
 
+def _swept(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Segments between neighbouring places (keys, at, step, __block) with what is active there.
+
+    Blocks are swept side by side: each gets the sum of the blocks before it and the first place of the next one, and only blocks are ordered per chromosome.
+    """
+    blocks = events.groupBy(*keys, "__block").agg(F.sum("step").alias("__total"), F.min("at").alias("__first"))
+    along = Window.partitionBy(*keys).orderBy("__block")
+    before = F.coalesce(F.sum("__total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(*keys, "__block", before.alias("__before"), F.lead("__first").over(along).alias("__next"))
+    order = Window.partitionBy(*keys, "__block").orderBy("at")
+    end = F.coalesce(F.lead("at").over(order), F.col("__next"))
+    return events.join(blocks, [*keys, "__block"]).select(*keys, F.col("at").alias("start_pos"), end.alias("end_pos"), (F.col("__before") + F.sum("step").over(order)).alias("active"))
+
+
 def overlapping_pairs(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Intervals that start before the one before them ends; none in a table that may be searched by start."""
-    order = Window.partitionBy(*(by or []), "chrom").orderBy("start_pos", "end_pos")
-    return df.withColumn("previous_end", F.lag("end_pos").over(order)).where("previous_end > start_pos")
+    """Intervals that start before the one before them ends; none in a table that may be searched by start.
+
+    Intervals are ordered within blocks of the genome; the last one of a block stands before the first of the next.
+    """
+    keys = [*(by or []), "chrom"]
+    rows = df.withColumn("__block", F.floor(F.col("start_pos") / BLOCK))
+    last = rows.groupBy(*keys, "__block").agg(F.max(F.struct("start_pos", "end_pos")).alias("__last"))
+    along = Window.partitionBy(*keys).orderBy("__block")
+    last = last.select(*keys, "__block", F.lag("__last").over(along)["end_pos"].alias("__before"))
+    order = Window.partitionBy(*keys, "__block").orderBy("start_pos", "end_pos")
+    out = rows.join(last, [*keys, "__block"]).withColumn("previous_end", F.coalesce(F.lag("end_pos").over(order), F.col("__before")))
+    return out.where("previous_end > start_pos").select(*df.columns, "previous_end")
 
 
 def make_bins(sizes: DataFrame, size: int) -> DataFrame:

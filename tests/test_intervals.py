@@ -89,3 +89,22 @@ def test_points_in_regions(spark):
 def test_bins_are_whole(spark):
     bins = intervals.make_bins(spark.createDataFrame([("chr1", 12), ("chr2", 3)], "chrom string, length long"), 5)
     assert rows(bins) == [("chr1", 0, 0, 5), ("chr1", 1, 5, 10)]
+
+
+def test_sweeps_by_block_are_those_of_the_whole(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    data = [(r.choice("ab"), r.choice(["chr1", "chr2"]), s := r.randrange(200), s + r.randrange(1, 30)) for _ in range(60)]
+    df = spark.createDataFrame(data, "label string, chrom string, start_pos long, end_pos long")
+
+    def found():
+        united = intervals.consensus(df, "label", ["a", "b"])
+        pairs = intervals.overlapping_pairs(df.drop("label"))
+        return sorted(tuple(x) for x in united.collect()), sorted(tuple(x) for x in pairs.collect())
+
+    whole = found()
+    monkeypatch.setattr(intervals, "BLOCK", 7)
+    assert found() == whole and whole[0]
+    covered = {(c, x) for c in ("chr1", "chr2") for x in range(240) if all(any(k == l and d == c and s <= x < e for k, d, s, e in data) for l in "ab")}
+    assert {(c, x) for c, s, e in whole[0] for x in range(s, e)} == covered
