@@ -104,3 +104,14 @@ def test_registry_names_every_operator():
 
     assert sorted(int(name[2:].split("_")[0]) for name in registry.QUERIES) == list(range(1, 14))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_stages_take_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "an item of the benchmark, with words enough to be one")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, __text string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
