@@ -54,7 +54,7 @@ QUERIES = {
     "rank_markers": _markers,
     "comparison_families": lambda v: regions.comparison_families(v.cells.withColumn("response", F.substring("sample", 1, 2)), FAMILIES, 20),
     "number_general": lambda v: v.table("lineitem").select(
-        "l_orderkey", "l_linenumber", *[labels.number_general(F.col("l_extendedprice") / F.col("l_quantity") * F.pow(F.lit(10.0), (F.col("l_linenumber") * 3 - 10).cast("double")) / 3, d).alias(f"g{d}") for d in (10, 11)]
+        "l_orderkey", "l_linenumber", *[labels.number_general(F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")) * F.pow(F.lit(10.0), (F.col("l_linenumber") * 3 - 10).cast("double")), d).alias(f"g{d}") for d in (6, 8)]
     ),
     "annotation_counts": _annotation_counts,
     "resumed_counts": _built,
@@ -83,7 +83,7 @@ sm as (select gene_no, grp, sum(value) as total, count(*) as size from g group b
 select zq.grp as "group", zq.gene_no, round(z, 6) as z, round(p, 6) as p, round(adjusted_p, 6) as adjusted_p,
 round(log2((exp(sm.total / sm.size) - 1 + 1e-9) / (exp((sa.total - sm.total) / (sa.size - sm.size)) - 1 + 1e-9)), 6) as log2_fold, nth from zq join sm using (gene_no, grp) join sa using (gene_no) where nth <= {MARKERS}""",
     "comparison_families": "with rc as (select *, substr(sample, 1, 2) as response from fx_cells) " + " union all ".join(_family(name, *family) for name, family in FAMILIES.items()),
-    "number_general": "select l_orderkey, l_linenumber, " + ", ".join(f"printf('%.{d}g', l_extendedprice / l_quantity * pow(cast(10 as double), l_linenumber * 3 - 10) / 3) as g{d}" for d in (10, 11)) + " from lineitem",
+    "number_general": "select l_orderkey, l_linenumber, " + ", ".join(f"printf('%.{d}g', sqrt(l_extendedprice / l_quantity) * pow(cast(10 as double), l_linenumber * 3 - 10)) as g{d}" for d in (6, 8)) + " from lineitem",
     "annotation_counts": """with c as (select cell_no, coalesce(case when cell_no % 17 <> 0 then sample end, 'Unknown') as sample from fx_cells),
 k as (select cell_no, max(case when not excluded then cell_type end) as label from fx_cells group by all), m as (select distinct sample, case when sample <> 'IR03' then substr(sample, 1, 2) end as condition from fx_cells),
 j as (select c.sample, coalesce(label, 'Unannotated') as label, coalesce(condition, 'Unknown') as condition from c left join k using (cell_no) left join m on m.sample = c.sample)
