@@ -42,6 +42,21 @@ def test_clusters_visit_few_blocks(spark):
     assert found.count() == 1800
 
 
+def test_open_vectors_are_sent_once_per_side(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE", 50)
+    points = clustered(400, 1, 16, 6, 1.0)
+    partition = neighbours.MetricPartition(spark.createDataFrame(points, POINTS), "id", "v", 10)
+    found, visits = partition.search(3)
+    assert partition.sides == neighbours.SIDES and visits.count() <= 400 * partition.sides
+    assert {(r.from_id, r.to_id, round(r.distance, 9), r.rank) for r in found.collect()} == brute_knn(points, 3)
+
+
+def test_copies_are_told_apart_by_id(spark):
+    points = [(i, [1.0, -0.0 if i % 2 else 0.0]) for i in range(90)] + [(200, [2.0, 0.0]), (201, [float("nan"), 0.0]), (202, [float("inf"), 0.0])]
+    got = neighbours.knn(spark.createDataFrame(points, POINTS), "id", "v", 4, block=20)
+    assert {(r.from_id, r.to_id, r.distance, r.rank) for r in got.collect()} == brute_knn(points[:91], 4)
+
+
 def test_empty_and_null_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0, None]), (None, [1.0])], POINTS)
     assert neighbours.knn(df, "id", "v", 2).count() == 0
