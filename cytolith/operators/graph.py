@@ -154,12 +154,11 @@ def communities(
     more than ``small`` edges are left, which one task finishes node by node. Nodes with more than ``split`` edges are
     met in slices. ``seed`` decides the halves.
     """
-    both = _both_ways(edges)
+    both = kept(_both_ways(edges))
     if both.isEmpty():
         return both.select(F.col("src").alias("id"), F.col("src").alias("community"))
     membership = None
     for level in range(most_levels):
-        both = kept(both)
         if both.count() <= small:
             up = _finished(both, resolution)
             start = up.select(F.col("community").alias("id"), "community") if membership is None else membership
@@ -175,7 +174,7 @@ def communities(
             break
         ends = _by_slice(nodes, F.col("community").alias("to"))
         starts = nodes.select(F.col("id").alias("src"), F.col("community").alias("at"))
-        both = both.join(ends, ["dst", "slice"]).join(starts, "src").groupBy(F.col("at").alias("src"), F.col("to").alias("dst")).agg(F.sum("w").alias("w"))
+        both = kept(both.join(ends, ["dst", "slice"]).join(starts, "src").groupBy(F.col("at").alias("src"), F.col("to").alias("dst")).agg(F.sum("w").alias("w")))
     least = membership.groupBy("community").agg(F.min("id").alias("least"))
     return membership.join(least, "community").select("id", F.col("least").alias("community"))
 
@@ -185,7 +184,8 @@ def consensus_communities(edges: DataFrame, resolution: float = 1.0, seeds: int
 
     The ensemble method of Poulin and Théberge: an edge keeps ``floor`` of its weight at least, so no node is lost.
     """
-    shares = edges.select("from_id", "to_id", "weight", F.lit(0).alias("together"))
+    edges = kept(edges.select("from_id", "to_id", "weight"))  # what makes them runs once, not once per seed
+    shares = edges.withColumn("together", F.lit(0))
     for seed in range(seeds):
         found = communities(edges, resolution, seed)
         a, b = (found.select(F.col("id").alias(end), F.col("community").alias(f"{end}_in")) for end in ("from_id", "to_id"))
