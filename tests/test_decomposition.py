@@ -72,6 +72,31 @@ def test_imputation_without_gaps_is_one_decomposition(spark):
     assert np.allclose(by_key(scores, "cell_no") @ by_key(loadings.select("gene_no", "loadings"), "gene_no").T, (u[:, :2] * s[:2]) @ v[:2], atol=1e-3)
 
 
+@pytest.mark.parametrize("center", [True, False])
+def test_wide_tables_are_turned(spark, monkeypatch, center):
+    x = low_rank(15, 60, 4, 0.3, 7) + 3
+    x[np.random.default_rng(8).random(x.shape) < 0.4] = 0
+    plain = decomposition.components(long(spark, np.where(x == 0, np.nan, x)), 3, center=center, sweeps=300, close=1e-14)
+    monkeypatch.setattr(decomposition, "WIDE", 50)
+    monkeypatch.setattr(decomposition, "CHUNK", 100)
+    turned = decomposition.components(long(spark, np.where(x == 0, np.nan, x)), 3, center=center, sweeps=300, close=1e-14)
+    assert np.allclose(turned[2], plain[2], rtol=1e-9)
+    assert np.allclose(by_key(turned[0], "cell_no"), by_key(plain[0], "cell_no"), atol=1e-4)
+    assert np.allclose(by_key(turned[1], "gene_no"), by_key(plain[1], "gene_no"), atol=1e-5)
+
+
+def test_wide_tables_with_gaps_are_turned(spark, monkeypatch):
+    x = low_rank(12, 40, 2, 0.01, 9)
+    x[np.random.default_rng(10).random(x.shape) < 0.25] = np.nan
+    monkeypatch.setattr(decomposition, "WIDE", 30)
+    expected, wanted = reference_imputation(x, 2, 50)
+    scores, loadings, errors = decomposition.impute_components(long(spark, x), 2, column="gene_no", sweeps=12)
+    assert len(errors) == len(wanted) and np.allclose(errors, wanted, rtol=1e-2)
+    vectors = by_key(loadings.select("gene_no", "loadings"), "gene_no")
+    assert np.allclose(by_key(scores, "cell_no") @ vectors.T, expected, atol=0.02)
+    assert np.allclose(vectors.T @ vectors, np.eye(2), atol=1e-2) and loadings.columns == ["gene_no", "loadings", "mean"]
+
+
 def test_empty_tables_nulls_repeats_and_bounds(spark):
     empty = spark.createDataFrame([], LONG)
     scores, loadings, singular = decomposition.components(empty, 3)
