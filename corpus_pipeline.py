@@ -24,8 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents like an earlier one: 5-word shingles at a similarity of 0.8 or more, which SimHash balls do not reach."""
-    return jaccard.drop_similar(docs)
+    """Drop documents like an earlier one: 5-word shingles at a similarity of 0.8 or more. Components of SimHash fingerprints propose, MinHash bands what they do not reach, exact sets decide."""
+    return jaccard.drop_similar(docs, proposed=jaccard.fingerprint_groups(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

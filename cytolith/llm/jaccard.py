@@ -2,6 +2,7 @@
 
 Every distinct text has BANDS digests of ROWS minima each; texts that share one meet. A
 pair at similarity s shares none with probability (1 - s**6)**24, which is 0.0007 at 0.8.
+Other proposals can be added: texts of one component of SimHash fingerprints meet as well.
 
 A text goes if it is similar to one that comes before it, in order of the smallest doc_id.
 Where texts meet, the first one is held against all others, and then the first four of
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cytolith.llm.common import checkpointed, sized, unused, whole_text
+from cytolith.llm.simhash import near_duplicates
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -128,9 +130,16 @@ def _prefix_pairs(texts: DataFrame, words: int, least: float) -> DataFrame:
     return met.where((F.col("a") < F.col("b")) & enough).select("a", "b").distinct()
 
 
-def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def fingerprint_groups(docs: DataFrame) -> DataFrame:
+    """(name, band): texts, by a hash of their key, and the component of SimHash fingerprints that they are in. Runs jobs."""
+    found = near_duplicates(docs.select(F.xxhash64(_key()).alias("doc_id"), whole_text().alias("text")))
+    return found.select(F.col("doc_id").alias("name"), F.xxhash64(F.lit("simhash"), "component_id").alias("band")).distinct()
+
+
+def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, proposed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(texts, links): the distinct texts as (id, key, first), and (a, b) where text b goes for its similarity to text a.
 
+    ``proposed`` (as of ``fingerprint_groups``) are groups of texts that meet beside those of the bands.
     ids follow the order of the smallest doc_id; texts without one come last.
     """
     held = docs.select(_key().alias("key"), whole_text().alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
@@ -160,7 +169,10 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
         right = chosen.join(large, "band", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         return left.select("band", "salt", "id", "n").join(right.select("band", "salt", "a", "n_a"), ["band", "salt"]).where("a < id")
 
-    met = in_company(prints.select("id", "n", F.explode("bands").alias("band")))
+    met = prints.select("id", "n", F.explode("bands").alias("band"))
+    if proposed is not None:
+        met = met.unionByName(prints.select("id", "n", F.xxhash64("key").alias("name")).join(proposed, "name").select("id", "n", "band"))
+    met = in_company(met)
     wanted = met.select("id").distinct().join(prints.select("id", "key"), "id")
     texts = checkpointed(held.select("key", "text").join(wanted, "key").dropDuplicates(["id"]).select("id", "text"))
     links = docs.sparkSession.createDataFrame([], "a long, b long")
@@ -177,7 +189,7 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
     return prints.select("id", "key", "first"), links.unionByName(checkpointed(_similar(pairs, rest, words, least)))
 
 
-def drop_similar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:
     """``docs`` without the rows whose text equals, or is that similar to, the text of a row before it.
 
     Rows come in the order of doc_id, those without one last; of equal texts one row stays,
@@ -185,7 +197,7 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARIT
     to each other only. Rows that share a doc_id are judged by their texts alone. All
     columns are kept; an empty table gives an empty result. Runs jobs when it is called.
     """
-    texts, links = similar_to_earlier(docs, words, least)
+    texts, links = similar_to_earlier(docs, words, least, proposed)
     key = unused(docs, "__key")
     held, first = f"{key}_kept", f"{key}_first"
     kept = texts.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select(F.col("key").alias(held), F.col("first").alias(first))

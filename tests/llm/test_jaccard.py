@@ -87,3 +87,14 @@ def test_names_of_columns_do_not_matter(spark):
 
     out = quality.keep_good(df, labels, 0.0)
     assert out.columns == df.columns and out.count() == 4 and all([r[x] for x in names] == names for r in out.collect())
+
+
+def test_fingerprints_propose_what_no_band_does(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    made = jaccard.signatures
+    monkeypatch.setattr(jaccard, "signatures", lambda *x: made(*x).withColumn("bands", F.array(F.xxhash64("key"))))
+    text = " ".join(f"w{i * i % 977}" for i in range(80))
+    rows = [(2, text.upper()), (1, text), (3, text.replace(" ", "  ")), (4, "some other words that are like none of these"), (5, text)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [1, 4]
