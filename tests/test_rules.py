@@ -276,3 +276,21 @@ def test_p_of_the_normal_distribution(spark):
     p = [0.01, 0.02, 0.02, 0.5, None]
     rows = expression.adjusted(spark.createDataFrame([("g", i, x) for i, x in enumerate(p)], "g string, i int, p double"), ["g"]).orderBy("i").collect()
     assert [None if r.adjusted_p is None else round(r.adjusted_p, 9) for r in rows] == [round(0.02 * 4 / 3, 9)] * 3 + [0.5, None]
+
+
+def test_files_are_ordered_by_ranges(spark, monkeypatch):
+    import random
+
+    from cytolith.operators import sites
+
+    r = random.Random(5)
+    rows, place = [], (1, 10)
+    for n in range(300):
+        place = place if r.random() < 0.5 else (r.randrange(3), r.randrange(40))
+        rows.append(("S" if n % 7 else None, n % 2, f"chr{place[0]}", place[1], place[1] + 1, r.choice([0.0, 50.0]), 1, 1, n))
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "sample string, cell_no long, chrom string, pos long, end_pos long, prob double, mc long, uc long, line_no long")
+    whole = [sorted(map(str, f(df).collect())) for f in (sites.audit_duplicates, sites.order_audit)]
+    monkeypatch.setattr(sites, "LINES", 20)
+    assert sites._in_order(df, "line_no", ["chrom", "pos"]).select("part").distinct().count() > 10
+    assert [sorted(map(str, f(df).collect())) for f in (sites.audit_duplicates, sites.order_audit)] == whole
