@@ -17,10 +17,14 @@ from pyspark.sql import functions as F
 from cytolith.operators.intervals import merge_intervals, points_in_regions
 from cytolith.operators.ordered import kth_largest, running
 from cytolith.operators.regions import welch_t, windows
-from cytolith.session import kept
+from cytolith.session import ROWS, kept, spread
 
 #: Half bandwidths in a genome block of the smoother; a block also gets the sites half a bandwidth around it.
-BLOCK = 4
+BLOCK = 128
+#: Widths in a genome block of sliding windows; a site is sent to every block that has a window around it.
+WINDOW_BLOCK = 16
+#: Labels of all cells and permutations up to which they are broadcast; they are counted.
+LABELS = 1_000_000
 
 
 def _positive(**sizes: float) -> None:
@@ -29,31 +33,86 @@ def _positive(**sizes: float) -> None:
             raise ValueError(f"{name} = {size} is not positive")
 
 
-def smooth_means(values: DataFrame, bandwidth: int = 1000, weigh: bool = False) -> DataFrame:
+def _tricube(pos, mean, weight, half: float):
+    """Means of sites in the order of their places, smoothed: pairs of neighbours are met by their distance in that order."""
+    import numpy as np
+
+    above, below = weight * mean, weight.copy()
+    at, lag = np.arange(len(pos)), 1
+    while len(at := at[at + lag < len(pos)]):
+        away = (pos[at + lag] - pos[at]) / half
+        at, away = at[away < 1], away[away < 1]
+        kernel = 1 - away * away * away
+        kernel = kernel * kernel * kernel
+        for one, other in ((at, at + lag), (at + lag, at)):
+            part = kernel * weight[other]
+            above[one] += part * mean[other]
+            below[one] += part
+        lag += 1
+    return above / below
+
+
+def _in_blocks(values: DataFrame, half: float, rows: int | None) -> DataFrame:
+    """Values with a ratio and a place, in their genome block and in those that they are near to."""
+    size = BLOCK * half
+    reach = F.sequence(F.floor((F.col("pos") - half) / size), F.floor((F.col("pos") + half) / size))
+    rows = values.count() if rows is None else rows
+    there = values.where("ratio is not null and chrom is not null and pos is not null")
+    return spread(there.select("*", F.explode(reach).alias("block")), "chrom", "block", rows=rows)
+
+
+def _own(block, half: float):
+    """Rows of a block that lie in it, not near it."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.array(np.floor(block.column("pos").to_numpy() / (BLOCK * half)) == block.column("block").to_numpy())
+
+
+def _types(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def smooth_means(values: DataFrame, bandwidth: int = 1000, weigh: bool = False, rows: int | None = None) -> DataFrame:
     """(chrom, pos, n_cells, site_mean, smoothed): means of sites, smoothed by a tricube kernel of this whole width.
 
-    With ``weigh``, sites count by the log of one plus their cells. Sites are dealt out by
+    With ``weigh``, sites count by the log of one plus their cells. Values are dealt out by
     genome block, those near an edge to both sides of it, so each site meets all its
-    neighbours in its own block, and one shuffle of sites is all there is after the means.
+    neighbours in its own block, whose width bounds what a task holds, and one shuffle is all there is. ``rows``
+    is how many values there are at most; without it they are counted, which runs a job.
     """
     _positive(bandwidth=bandwidth)
     half = bandwidth / 2
-    size = BLOCK * half
-    site = values.where("ratio is not null").groupBy("chrom", "pos").agg(F.count("ratio").alias("n_cells"), F.avg("ratio").alias("site_mean"))
-    at = site.withColumn("block", F.floor(F.col("pos") / size))
-    reach = F.sequence(F.floor((F.col("pos") - half) / size), F.floor((F.col("pos") + half) / size))
-    near = site.select("chrom", F.explode(reach).alias("block"), F.col("pos").alias("near_pos"), F.col("site_mean").alias("near_mean"), F.col("n_cells").alias("near_cells"))
-    away = F.abs(F.col("pos") - F.col("near_pos")) / half
-    kernel = F.pow(1 - F.pow(away, F.lit(3.0)), F.lit(3.0)) * (F.log1p("near_cells") if weigh else F.lit(1.0))
-    joined = at.join(near, ["chrom", "block"]).where(away < 1)
-    out = joined.groupBy("chrom", "block", "pos", "n_cells", "site_mean").agg((F.sum(kernel * F.col("near_mean")) / F.sum(kernel)).alias("smoothed"))
-    return out.select("chrom", "pos", "n_cells", "site_mean", "smoothed")
+    site = _in_blocks(values, half, rows).groupBy("chrom", "block", "pos").agg(F.count("ratio").alias("n_cells"), F.avg("ratio").alias("site_mean"))
+
+    def smooth(block):
+        import numpy as np
+        import pyarrow as pa
+
+        block = block.sort_by("pos")
+        pos, mean, cells = (block.column(c).to_numpy() for c in ("pos", "site_mean", "n_cells"))
+        smoothed = _tricube(pos, mean, np.log1p(cells) if weigh else np.ones(len(pos)), half)
+        return block.append_column("smoothed", pa.array(smoothed)).filter(_own(block, half)).drop_columns("block")
+
+    return site.groupBy("chrom", "block").applyInArrow(smooth, f"{_types(site, 'chrom', 'pos')}, n_cells long, site_mean double, smoothed double")
 
 
-def residuals(values: DataFrame, bandwidth: int = 1000) -> DataFrame:
-    """(chrom, pos, cell_no, residual): ratios less the smoothed mean of their site."""
-    smoothed = smooth_means(values, bandwidth).select("chrom", "pos", "smoothed")
-    return values.where("ratio is not null").join(smoothed, ["chrom", "pos"]).select("chrom", "pos", "cell_no", (F.col("ratio") - F.col("smoothed")).alias("residual"))
+def residuals(values: DataFrame, bandwidth: int = 1000, rows: int | None = None) -> DataFrame:
+    """(chrom, pos, cell_no, residual): ratios less the smoothed mean of their site, by blocks as in ``smooth_means``."""
+    _positive(bandwidth=bandwidth)
+    half = bandwidth / 2
+    near = _in_blocks(values.select("chrom", "pos", "cell_no", "ratio"), half, rows)
+
+    def less(block):
+        import numpy as np
+        import pyarrow as pa
+
+        ratio = block.column("ratio").to_numpy()
+        pos, of = np.unique(block.column("pos").to_numpy(), return_inverse=True)
+        smoothed = _tricube(pos, np.bincount(of, ratio) / np.bincount(of), np.ones(len(pos)), half)
+        return block.append_column("residual", pa.array(ratio - smoothed[of])).filter(_own(block, half)).drop_columns(["ratio", "block"])
+
+    return near.groupBy("chrom", "block").applyInArrow(less, f"{_types(near, 'chrom', 'pos', 'cell_no')}, residual double")
 
 
 def _shrunken() -> Column:
@@ -61,24 +120,36 @@ def _shrunken() -> Column:
     return F.round(F.sum("residual") / (F.count(F.lit(1)) + 1), 12)
 
 
-def window_residuals(rests: DataFrame, width: int, step: int) -> DataFrame:
-    """(chrom, start_pos, cell_no, value): shrunken mean residual of each cell in each sliding window."""
-    return windows(rests, width, step).groupBy("chrom", "start_pos", "cell_no").agg(_shrunken().alias("value"))
-
+def window_residuals(rests: DataFrame, width: int, step: int, rows: int | None = None) -> DataFrame:
+    """(chrom, block, start_pos, cell_no, value): shrunken mean residual of each cell in each sliding window.
 
-def variable_regions(values: DataFrame, width: int = 2000, step: int = 100, share: float = 0.02, least_cells: int = 6, bandwidth: int = 1000) -> DataFrame:
+    Sites are dealt by the genome block of their windows before these are made; a group by chrom, block and what
+    else stays in its task. ``rows`` is how many residuals there are at most; without it they are counted.
+    """
+    _positive(width=width, step=step)
+    size = WINDOW_BLOCK * max(width, step)
+    first = F.greatest(F.lit(0), F.floor((F.col("pos") - width) / step) + 1) * step
+    blocks = F.sequence(F.floor(first / size), F.floor(F.floor(F.col("pos") / step) * step / size))
+    # a residual is in so many windows, and each is a row of the task
+    each = max(1, ROWS // max(1, width // step))
+    placed = spread(rests.withColumn("block", F.explode(blocks)), "chrom", "block", rows=rests.count() if rows is None else rows, each=each)
+    inside = windows(placed, width, step).where(F.floor(F.col("start_pos") / size) == F.col("block"))
+    return inside.groupBy("chrom", "block", "start_pos", "cell_no").agg(_shrunken().alias("value"))
+
+
+def variable_regions(values: DataFrame, width: int = 2000, step: int = 100, share: float = 0.02, least_cells: int = 6, bandwidth: int = 1000, rows: int | None = None) -> DataFrame:
     """(chrom, start_pos, end_pos, n_windows, n_cells, variance): the windows of largest variance over cells, united, and scored anew as regions.
 
     A window counts if it holds ``least_cells`` cells; the ``share`` of windows with the
     largest variance (and all that tie with the last of them) is taken. The limit is an
-    exact order statistic. Runs jobs.
+    exact order statistic. ``rows`` as in ``smooth_means``. Runs jobs.
     """
     _positive(width=width, step=step, least_cells=least_cells)
     if not 0 < share <= 1:
         raise ValueError(f"{share} is no share of the windows")
-    rests = kept(residuals(values, bandwidth))
-    spread = F.round(F.var_samp("value"), 12).alias("variance")
-    scored = window_residuals(rests, width, step).groupBy("chrom", "start_pos").agg(F.count(F.lit(1)).alias("n_cells"), spread)
+    rests = kept(residuals(values, bandwidth, rows))
+    variance = F.round(F.var_samp("value"), 12).alias("variance")
+    scored = window_residuals(rests, width, step).groupBy("chrom", "block", "start_pos").agg(F.count(F.lit(1)).alias("n_cells"), variance)
     scored = kept(scored.where((F.col("n_cells") >= least_cells) & F.col("variance").isNotNull()))
     n = scored.count()
     limit = kth_largest(scored, "variance", math.ceil(share * n)) if n else math.inf
@@ -106,8 +177,16 @@ def permuted_labels(members: DataFrame, sides: tuple[str, str], permutations: in
 
 
 def permuted_statistics(values: DataFrame, labels: DataFrame, sides: tuple[str, str], by: list[str]) -> DataFrame:
-    """(by, permutation, n_a, n_b, t): Welch's t of the two groups, for the labels and all their shuffles in one pass."""
-    return welch_t(values.join(labels, "cell_no"), "side", sides, [*by, "permutation"])
+    """(by, permutation, n_a, n_b, t): Welch's t of the two groups, for the labels and all their shuffles in one pass.
+
+    Cells are few beside the values, so values are not dealt by cell: the labels of a cell are one row, and go to all tasks if
+    they were counted to be few. Runs a job over the labels.
+    """
+    drawn = kept(labels.groupBy("cell_no").agg(F.collect_list(F.struct("permutation", "side")).alias("drawn")))
+    if (drawn.agg(F.sum(F.size("drawn"))).first()[0] or 0) <= LABELS:
+        drawn = F.broadcast(drawn)
+    labelled = values.join(drawn, "cell_no").select(*by, "value", F.explode("drawn").alias("drawn")).select(*by, "value", "drawn.permutation", "drawn.side")
+    return welch_t(labelled, "side", sides, [*by, "permutation"])
 
 
 def permuted_fdr(statistics: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cytolith.operators import methylome, regions, sites
 from cytolith.plans.fixtures import Fixtures
 from cytolith.plans.site_queries import RATIO, _rounded, merged_sql
+from cytolith.session import kept, spread
 
 BANDWIDTH, WIDTH, STEP, SHARE, LEAST_CELLS = 200, 200, 50, 0.02, 6
 SIDES, PERMUTATIONS, SEED = ("IR", "NR"), 5, 11
@@ -15,14 +16,28 @@ FLANK, PROFILE_BIN = 100, 20
 
 
 def _site_values(v: Fixtures) -> DataFrame:
-    return v.sites.groupBy("chrom", "pos", "cell_no").agg(F.avg(sites.ratio()).alias("ratio"))
+    return spread(v.sites, "chrom", "pos", rows=v.rows("fx_sites")).groupBy("chrom", "pos", "cell_no").agg(F.avg(sites.ratio()).alias("ratio"))
+
+
+def _smoothed(v: Fixtures, weigh: bool = False) -> DataFrame:
+    return methylome.smooth_means(_site_values(v), BANDWIDTH, weigh, rows=v.rows("fx_sites"))
 
 
 def _statistics(v: Fixtures) -> DataFrame:
-    values = methylome.window_residuals(methylome.residuals(_site_values(v), BANDWIDTH), WIDTH, STEP)
+    rows = v.rows("fx_sites")
+    values = methylome.window_residuals(methylome.residuals(_site_values(v), BANDWIDTH, rows), WIDTH, STEP, rows)
     members = v.cells.select("cell_no", F.substring("sample", 1, 2).alias("side"))
-    labels = methylome.permuted_labels(members, SIDES, PERMUTATIONS, SEED)
-    return methylome.permuted_statistics(values, labels, SIDES, ["chrom", "start_pos"])
+    # all cells are shuffled, those without sites as well; labels are needed of the others only
+    labels = methylome.permuted_labels(members, SIDES, PERMUTATIONS, SEED).join(v.sites.select("cell_no").distinct(), "cell_no", "left_semi")
+    return methylome.permuted_statistics(values, labels, SIDES, ["chrom", "block", "start_pos"]).drop("block")
+
+
+def _fallback(v: Fixtures) -> DataFrame:
+    statistics = kept(_statistics(v))
+    tested = methylome.permuted_fdr(statistics, ["chrom", "start_pos"]).withColumn("permutation", F.lit(0))
+    nothing = [F.lit(None).cast("double").alias(c) for c in ("p", "adjusted_p")]
+    permuted = statistics.where("permutation > 0 and chrom <> 'chr2'").select("chrom", "start_pos", "n_a", "n_b", "t", *nothing, "permutation")
+    return regions.without_null_fdr(tested.unionByName(permuted), F.col("permutation") > 0, ["chrom"]).where("permutation = 0").drop("permutation")
 
 
 def _starts(v: Fixtures) -> DataFrame:
@@ -30,21 +45,12 @@ def _starts(v: Fixtures) -> DataFrame:
 
 
 QUERIES = {
-    "smooth_means": lambda v: _rounded(methylome.smooth_means(_site_values(v), BANDWIDTH), "site_mean", "smoothed"),
-    "smooth_means_weighted": lambda v: _rounded(methylome.smooth_means(_site_values(v), BANDWIDTH, weigh=True), "site_mean", "smoothed"),
-    "variable_regions": lambda v: _rounded(methylome.variable_regions(_site_values(v), WIDTH, STEP, SHARE, LEAST_CELLS, BANDWIDTH), "variance"),
+    "smooth_means": lambda v: _rounded(_smoothed(v), "site_mean", "smoothed"),
+    "smooth_means_weighted": lambda v: _rounded(_smoothed(v, weigh=True), "site_mean", "smoothed"),
+    "variable_regions": lambda v: _rounded(methylome.variable_regions(_site_values(v), WIDTH, STEP, SHARE, LEAST_CELLS, BANDWIDTH, v.rows("fx_sites")), "variance"),
     "permuted_statistics": lambda v: _rounded(_statistics(v), "t"),
     "permuted_fdr": lambda v: _rounded(methylome.permuted_fdr(_statistics(v), ["chrom", "start_pos"]), "t", "p", "adjusted_p"),
-    "permuted_fdr_fallback": lambda v: _rounded(
-        regions.without_null_fdr(
-            methylome.permuted_fdr(_statistics(v), ["chrom", "start_pos"]).withColumn("permutation", F.lit(0)).unionByName(
-                _statistics(v).where("permutation > 0 and chrom <> 'chr2'").select("chrom", "start_pos", "n_a", "n_b", "t", F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("adjusted_p"), "permutation")
-            ),
-            F.col("permutation") > 0,
-            ["chrom"],
-        ).where("permutation = 0"),
-        "t", "p", "adjusted_p",
-    ).drop("permutation"),
+    "permuted_fdr_fallback": lambda v: _rounded(_fallback(v), "t", "p", "adjusted_p"),
     "start_profile": lambda v: _rounded(methylome.start_profile(v.sites, _starts(v), FLANK, PROFILE_BIN), "level"),
 }
 

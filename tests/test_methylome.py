@@ -70,3 +70,22 @@ def test_permuted_p_of_planted_and_null_places(spark):
 def test_ranges_are_checked(spark, call):
     with pytest.raises(ValueError):
         call(spark.createDataFrame([], VALUES))
+
+
+def test_tasks_grow_with_the_values(spark):
+    values = spark.createDataFrame([("1", p, c, 0.5 * (p % 3)) for p in range(0, 4000, 7) for c in range(3)], VALUES)
+    rows = 5 << 20
+    assert methylome.smooth_means(values, 200, rows=rows).rdd.getNumPartitions() == 5
+    rests = methylome.residuals(values, 200, rows)
+    assert rests.rdd.getNumPartitions() == 5
+    assert methylome.window_residuals(rests, 200, 50, rows).rdd.getNumPartitions() == 20
+    several = {tuple(x) for x in methylome.smooth_means(values, 200, rows=rows).collect()}
+    assert several == {tuple(x) for x in methylome.smooth_means(values, 200).collect()}
+
+
+def test_few_cells_with_many_values_stay_where_they_are(spark):
+    values = spark.range(3000, numPartitions=7).selectExpr("id % 100 as place", "id % 2 as cell_no", "cast(id % 11 as double) as value")
+    labels = spark.createDataFrame([(c, p, "ab"[(c + p) % 2]) for c in range(2) for p in range(4)], "cell_no long, permutation int, side string")
+    statistics = methylome.permuted_statistics(values, labels, ("a", "b"), ["place"])
+    assert "SortMergeJoin" not in statistics._jdf.queryExecution().executedPlan().toString()
+    assert statistics.count() == 100 * 4
