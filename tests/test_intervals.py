@@ -108,3 +108,17 @@ def test_sweeps_by_block_are_those_of_the_whole(spark, monkeypatch):
     assert found() == whole and whole[0]
     covered = {(c, x) for c in ("chr1", "chr2") for x in range(240) if all(any(k == l and d == c and s <= x < e for k, d, s, e in data) for l in "ab")}
     assert {(c, x) for c, s, e in whole[0] for x in range(s, e)} == covered
+
+
+def test_distinct_rows_and_bins_take_as_many_tasks_as_they_need(spark):
+    from cytolith.operators import sites
+
+    table = spark.createDataFrame([("1", 5, 9), ("1", 5, 9), (None, 5, 9)], "chrom string, start_pos long, end_pos long")
+    found = intervals.distinct_rows([table, table], rows=7 << 20)
+    assert found.rdd.getNumPartitions() == 7
+    assert {tuple(x) for x in found.collect()} == {("1", 5, 9), (None, 5, 9)} and found.count() == 2
+    lines = spark.createDataFrame([("s", 1, "1", p, 1, 0) for p in (3, 4, 60)], "sample string, cell_no long, chrom string, pos long, mc long, uc long")
+    bins = spark.createDataFrame([("1", 0)], "chrom string, bin long")
+    binned = sites.aggregate_bins(lines, bins, 50, rows=7 << 20)
+    assert "hashpartitioning(chrom" in (plan := binned._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
+    assert [tuple(x) for x in binned.select("bin", "mc", "cov").collect()] == [(0, 2, 2)]
