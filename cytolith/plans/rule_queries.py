@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cytolith.functions import labels
 from cytolith.operators import annotation, expression, regions
-from cytolith.plans.cell_queries import _RANKED, _group_of
+from cytolith.plans.cell_queries import _RANKED, _group_of, _normalized
 from cytolith.plans.fixtures import Fixtures
 from cytolith.plans.site_queries import _merged, _rounded, merged_sql
 from cytolith.session import shared_folder
@@ -20,8 +20,7 @@ FAMILIES = {"response": (["cell_type"], "response"), "samples": (["response"], "
 
 
 def _markers(v: Fixtures) -> DataFrame:
-    values = expression.normalize_log1p(v.counts).withColumn("value", F.round("value", 9))
-    return _rounded(expression.rank_markers(values, _group_of(v), MARKERS), "z", "p", "adjusted_p", "log2_fold").withColumn("nth", F.col("nth").cast("long"))
+    return _rounded(expression.rank_markers(_normalized(v), _group_of(v), MARKERS, v.rows("fx_counts")), "z", "p", "adjusted_p", "log2_fold").withColumn("nth", F.col("nth").cast("long"))
 
 
 def _annotation_counts(v: Fixtures) -> DataFrame:
