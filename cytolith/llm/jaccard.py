@@ -12,6 +12,10 @@ it has members, for its first texts take them out. What still has company afterw
 compared exactly by prefixes: of two similar sets, each has a member in common with the
 other among the first fifth of its own, rarest first. Texts that met for a passage that
 very many share have no rare member in common, and make no pairs. No group is capped.
+
+Digests are made where rows are read, so that copies are told by keys. Texts that meet
+are compressed one by one and moved by their key once; from there each goes to the parts
+of groups in which it is compared, and nowhere else.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ from pyspark.sql import functions as F
 
 from cytolith.llm.common import checkpointed, sized, unused, whole_text
 from cytolith.llm.simhash import near_duplicates
+from cytolith.session import spread
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 6
 #: Texts of a group per part that it is dealt in, texts held against one per part, and slices in which the first of a group are sought.
 TEXTS_PER_SALT, PAIRS_PER_SALT, SLICES = 5000, 1000, 64
+#: Compressed texts that a task holds by their keys, and that it compares.
+KEPT_EACH, HELD_EACH = 1 << 13, 1 << 11
 #: Texts of a group that are held against the others in the first rounds.
 FIRST = (1, 4)
 SEED = 42
@@ -78,45 +85,68 @@ def signatures(texts: DataFrame, words: int = SHINGLE) -> DataFrame:
     return texts.select("key", "lacks", "first", "text").mapInArrow(work, "key binary, lacks boolean, first long, n long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b) of the pairs whose texts (id, text) have at least the similarity ``least``."""
+def _compressed(docs: DataFrame) -> DataFrame:
+    """(key, packed): the texts of all rows, compressed; of equal ones in a batch of rows one stays."""
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            firsts = dict(zip(reversed(batch.column("key").to_pylist()), range(batch.num_rows - 1, -1, -1), strict=True))
+            texts = batch.column("text").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.binary()), pa.array([packer.compress(texts[i].as_py()) for i in firsts.values()], pa.binary())], ["key", "packed"])
+
+    return docs.select(_key().alias("key"), whole_text().alias("text")).mapInArrow(work, "key binary, packed binary")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, words: int, least: float) -> DataFrame:
+    """(a, b) of the pairs whose texts (key, packed) have at least the similarity ``least``; names are (id, key)."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
-        last, own = None, None
+        opener, own = zstandard.ZstdDecompressor(), None
         for batch in batches:
             kept = []
-            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True)):
-                if a != last:
-                    last, own = a, shingles(x.as_py().encode(), words)
-                other = shingles(y.as_py().encode(), words)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                if common >= least * (len(own) + len(other) - common):
+            for i, (b, packed) in enumerate(zip(batch.column("b").to_pylist(), batch.column("packed"), strict=True)):
+                found = shingles(opener.decompress(packed.as_py()), words)
+                if b is None:
+                    own = found
+                    continue
+                common = len(np.intersect1d(own, found, assume_unique=True))
+                if common >= least * (len(own) + len(found) - common):
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     # the texts held against a very common one are many tasks, each with a copy of that one
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("int").alias("salts"))
-    firsts = texts.withColumnRenamed("id", "a").join(salts, "a").select("a", F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    others = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    others = others.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return others.join(firsts, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    large = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("int").alias("salts")).where("salts > 1")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("salts"))).cast("int")
+    others = pairs.join(sized(checkpointed(large)), "a", "left").select("a", "b", salt.alias("salt"))
+    firsts = others.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("long").alias("b"))
+    asked = others.select(F.col("b").alias("id"), "a", "salt", "b").unionByName(firsts).join(names, "id").select("key", "a", "salt", "b")
+    # a copy of the one that the others are held against comes before them
+    sent = spread(asked.join(texts, "key").select("a", "salt", "b", "packed"), "a", "salt", rows=2 * pairs.count(), each=HELD_EACH)
+    return sent.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "packed").mapInArrow(work, "a long, b long")
 
 
 def _prefix_pairs(texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b), a < b, of the texts (id, text) that may be that similar; all similar ones are among them."""
+    """(a, b), a < b, of the texts (id, packed) that may be that similar; all similar ones are among them."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import zstandard
 
+        opener = zstandard.ZstdDecompressor()
         for batch in batches:
-            found = [shingles(x.as_py().encode(), words).view(np.int64) for x in batch.column("text")]
+            found = [shingles(opener.decompress(x.as_py()), words).view(np.int64) for x in batch.column("packed")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "members"])
 
-    members = texts.select("id", "text").mapInArrow(work, "id long, members array<long>")
+    members = texts.select("id", "packed").mapInArrow(work, "id long, members array<long>")
     members = checkpointed(members.select("id", F.size("members").alias("n"), F.explode("members").alias("member")))
     common = members.groupBy("member").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "member"))
@@ -142,9 +172,9 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
     ``proposed`` (as of ``fingerprint_groups``) are groups of texts that meet beside those of the bands.
     ids follow the order of the smallest doc_id; texts without one come last.
     """
-    held = docs.select(_key().alias("key"), whole_text().alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    distinct = held.groupBy("key").agg(F.min("doc_id").alias("first"), F.any_value("text").alias("text"))
-    prints = signatures(distinct.withColumn("lacks", F.col("first").isNull()), words)
+    first = F.col("doc_id").cast("long")
+    prints = signatures(docs.select(_key().alias("key"), first.isNull().alias("lacks"), first.alias("first"), whole_text().alias("text")), words)
+    prints = prints.groupBy("key").agg(F.min("lacks").alias("lacks"), F.min("first").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     # ids grow in the order of the rows, which is kept by the checkpoint
     prints = checkpointed(checkpointed(prints).orderBy("lacks", "first", "key").withColumn("id", F.monotonically_increasing_id()))
 
@@ -173,20 +203,23 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
     if proposed is not None:
         met = met.unionByName(prints.select("id", "n", F.xxhash64("key").alias("name")).join(proposed, "name").select("id", "n", "band"))
     met = in_company(met)
-    wanted = met.select("id").distinct().join(prints.select("id", "key"), "id")
-    texts = checkpointed(held.select("key", "text").join(wanted, "key").dropDuplicates(["id"]).select("id", "text"))
+    names = prints.select("id", "key")
+    wanted = met.select("id").distinct().join(names, "id")
+    # the checkpoint stays dealt by key, so what asks for texts is moved and not they
+    texts = spread(_compressed(docs), "key", rows=prints.count(), each=KEPT_EACH)
+    texts = checkpointed(texts.join(wanted, "key").dropDuplicates(["key"]).select("key", "id", "packed"))
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     for many in FIRST:
         chosen = checkpointed(earliest(met, many))
         near = dealt(met, chosen)
         pairs = checkpointed(near.where(F.least("n", "n_a") >= least * F.greatest("n", "n_a")).select("a", F.col("id").alias("b")).distinct())
-        found = checkpointed(_similar(pairs, texts, words, least))
+        found = checkpointed(_similar(pairs, texts.drop("id"), names, words, least))
         links = links.unionByName(found)
         gone = found.select(F.col("b").alias("id")).distinct()
         met = in_company(met.join(gone, "id", "left_anti").join(chosen.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti"))
-    rest = checkpointed(texts.join(met.select("id").distinct(), "id", "left_semi"))
+    rest = checkpointed(texts.join(met.select("id").distinct().join(names, "id").select("key"), "key", "left_semi"))
     pairs = checkpointed(_prefix_pairs(rest, words, least))
-    return prints.select("id", "key", "first"), links.unionByName(checkpointed(_similar(pairs, rest, words, least)))
+    return prints.select("id", "key", "first"), links.unionByName(checkpointed(_similar(pairs, rest.drop("id"), names, words, least)))
 
 
 def drop_similar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:
@@ -198,9 +231,9 @@ def drop_similar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARIT
     columns are kept; an empty table gives an empty result. Runs jobs when it is called.
     """
     texts, links = similar_to_earlier(docs, words, least, proposed)
-    key = unused(docs, "__key")
-    held, first = f"{key}_kept", f"{key}_first"
-    kept = texts.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select(F.col("key").alias(held), F.col("first").alias(first))
-    rows = docs.withColumn(key, _key())
-    rows = rows.join(kept, (F.col(key) == F.col(held)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first)), "left_semi")
-    return rows.dropDuplicates([key]).select(*docs.columns)
+    name = unused(docs, "__name")
+    held = f"{name}_kept"
+    kept = texts.join(links.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select(F.struct("key", "first").alias(held))
+    # of the rows of a text those with the smallest doc_id are left; one name for both moves the rows only once
+    rows = docs.withColumn(name, F.struct(_key().alias("key"), F.col("doc_id").cast("long").alias("first")))
+    return rows.join(kept, F.col(name) == F.col(held), "left_semi").dropDuplicates([name]).select(*docs.columns)

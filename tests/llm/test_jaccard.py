@@ -98,3 +98,23 @@ def test_fingerprints_propose_what_no_band_does(spark, monkeypatch):
     rows = [(2, text.upper()), (1, text), (3, text.replace(" ", "  ")), (4, "some other words that are like none of these"), (5, text)]
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     assert sorted(x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [1, 4]
+
+
+def test_texts_move_a_few_times_only(spark):
+    """Shuffles write less than six times the texts, most of which leave in the first round."""
+    r = random.Random(5)
+    docs = []
+    for i in range(40):
+        base = [f"{r.getrandbits(64):x}" for _ in range(1500)]
+        docs += [(3 * i + k, " ".join([*base, *["tail"] * k])) for k in range(3)]
+    df = jaccard.checkpointed(spark.createDataFrame([(i, t, "en", "x", 0) for i, t in docs], DOCS).repartition(3))
+    gateway = spark.sparkContext._gateway
+
+    def written():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = written()
+    assert sorted(x.doc_id for x in jaccard.drop_similar(df).collect()) == [3 * i for i in range(40)]
+    assert 0 < written() - before < 6 * sum(len(t) for _, t in docs)
