@@ -122,3 +122,15 @@ def test_distinct_rows_and_bins_take_as_many_tasks_as_they_need(spark):
     binned = sites.aggregate_bins(lines, bins, 50, rows=7 << 20)
     assert "hashpartitioning(chrom" in (plan := binned._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in plan
     assert [tuple(x) for x in binned.select("bin", "mc", "cov").collect()] == [(0, 2, 2)]
+
+
+def test_bins_are_never_broadcast(spark):
+    """An exploded range looks like one row per chromosome to Spark, in the plan and while it runs."""
+    from cytolith.operators import sites
+
+    lines = spark.createDataFrame([("s", 1, "1", p, 1, 0) for p in range(0, 3000, 30)], "sample string, cell_no long, chrom string, pos long, mc long, uc long")
+    sizes = spark.createDataFrame([("1", 1000), ("1", 2000)], "chrom string, length long").groupBy("chrom").agg({"length": "max"}).toDF("chrom", "length")
+    binned = sites.aggregate_bins(lines, intervals.make_bins(sizes, 50), 50, rows=100, each=20)
+    assert len(binned.collect()) == 40 and "Broadcast" not in binned._jdf.queryExecution().executedPlan().toString()
+    assert [sites.sites_each(n) for n in (10, 36_000_000, 1 << 40)] == [1 << 17, 180_000, 1 << 20]
+    assert ", 5), REPARTITION_BY_NUM" in binned._jdf.queryExecution().executedPlan().toString()
