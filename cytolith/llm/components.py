@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import checkpointed
+from cytolith.llm.common import checkpointed, gathered
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     """Link neighbours of each node to the least node near it.
 
     ``edges`` has columns u > v. The large star moves the larger neighbours, the small
     star the smaller ones. Least neighbours are partial aggregates and a join brings
     them back, so a node with very many neighbours is never gathered in one task.
+    There are at most ``most`` edges, and as many tasks as they need.
     """
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    both = gathered(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), 2 * most) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return gathered(gathered(out.where("u > v"), 2 * most).distinct(), 2 * most)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -35,10 +36,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     edges = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     digest = [F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     before = edges.agg(*digest).first()
+    edges = gathered(edges, before[0])
     for _ in range(rounds):
         if not before[0]:
             break
-        edges = checkpointed(_star(_star(edges, True), False))
+        edges = checkpointed(_star(_star(edges, True, before[0]), False, before[0]))
         after = edges.agg(*digest).first()
         if after == before:
             break

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cytolith.llm.common import checkpointed, sized, unused, whole_text
+from cytolith.llm.common import checkpointed, gathered, sized, unused, whole_text
 from cytolith.llm.simhash import near_duplicates
 from cytolith.session import spread
 
@@ -102,7 +102,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, words: int, least: float) -> DataFrame:
-    """(a, b) of the pairs whose texts (key, packed) have at least the similarity ``least``; names are (id, key)."""
+    """(a, b) of the pairs whose texts (key, packed) have at least the similarity ``least``; names are (id, key). Runs jobs."""
 
     def work(batches: Iterator) -> Iterator:
         import numpy as np
@@ -122,15 +122,17 @@ def _similar(pairs: DataFrame, texts: DataFrame, names: DataFrame, words: int, l
                     kept.append(i)
             yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
+    n = pairs.count()
+    pairs = gathered(pairs, n)
     # the texts held against a very common one are many tasks, each with a copy of that one
     large = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_SALT).cast("int").alias("salts")).where("salts > 1")
     salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("salts"))).cast("int")
-    others = pairs.join(sized(checkpointed(large)), "a", "left").select("a", "b", salt.alias("salt"))
+    others = pairs.join(sized(checkpointed(gathered(large, n))), "a", "left").select("a", "b", salt.alias("salt"))
     firsts = others.select("a", "salt").distinct().select(F.col("a").alias("id"), "a", "salt", F.lit(None).cast("long").alias("b"))
     asked = others.select(F.col("b").alias("id"), "a", "salt", "b").unionByName(firsts).join(names, "id").select("key", "a", "salt", "b")
     # a copy of the one that the others are held against comes before them
-    sent = spread(asked.join(texts, "key").select("a", "salt", "b", "packed"), "a", "salt", rows=2 * pairs.count(), each=HELD_EACH)
-    return sent.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "packed").mapInArrow(work, "a long, b long")
+    sent = spread(asked.join(texts, "key").select("a", "salt", "b", "packed"), "a", "salt", rows=2 * n, each=HELD_EACH)
+    return gathered(checkpointed(sent.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).select("a", "b", "packed").mapInArrow(work, "a long, b long")), n)
 
 
 def _prefix_pairs(texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -148,11 +150,13 @@ def _prefix_pairs(texts: DataFrame, words: int, least: float) -> DataFrame:
 
     members = texts.select("id", "packed").mapInArrow(work, "id long, members array<long>")
     members = checkpointed(members.select("id", F.size("members").alias("n"), F.explode("members").alias("member")))
+    n = members.count()
+    members = gathered(members, n)
     common = members.groupBy("member").agg(F.count(F.lit(1)).alias("df"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("df", "member"))
     prefix = members.join(common, "member").withColumn("nth", nth)
     prefix = prefix.where((F.col("nth") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
-    prefix = checkpointed(prefix.select("member", "id", "n", "nth"))
+    prefix = checkpointed(gathered(prefix.select("member", "id", "n", "nth"), n))
     met = prefix.select("member", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("nth").alias("nth_a")).join(prefix.withColumnRenamed("id", "b"), "member")
     # the first common member and all that come after it have to suffice
     most = F.least(F.col("n_a") - F.col("nth_a"), F.col("n") - F.col("nth")) + 1
@@ -176,11 +180,16 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
     prints = signatures(docs.select(_key().alias("key"), first.isNull().alias("lacks"), first.alias("first"), whole_text().alias("text")), words)
     prints = prints.groupBy("key").agg(F.min("lacks").alias("lacks"), F.min("first").alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     # ids grow in the order of the rows, which is kept by the checkpoint
-    prints = checkpointed(checkpointed(prints).orderBy("lacks", "first", "key").withColumn("id", F.monotonically_increasing_id()))
+    prints = checkpointed(prints)
+    n_texts = prints.count()
+    prints = gathered(checkpointed(gathered(prints, n_texts).orderBy("lacks", "first", "key").withColumn("id", F.monotonically_increasing_id())), n_texts)
 
-    def in_company(met: DataFrame) -> DataFrame:
+    def in_company(met: DataFrame, most: int) -> tuple[DataFrame, int]:
+        """Those of ``most`` rows at most that have others in their group, and how many these are."""
         several = met.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-        return checkpointed(met.join(several, "band", "left_semi"))
+        left = checkpointed(gathered(met.join(several, "band", "left_semi"), most))
+        rows = left.count()
+        return gathered(left, rows), rows
 
     def earliest(met: DataFrame, many: int) -> DataFrame:
         """The first texts of each group: those of its slices first, so that no group is ordered in one task."""
@@ -191,10 +200,10 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
         place = F.row_number().over(Window.partitionBy("band").orderBy("id"))
         return some.select("band", "id", "n", place.alias("place")).where(F.col("place") <= many).select("band", F.col("id").alias("a"), F.col("n").alias("n_a"))
 
-    def dealt(met: DataFrame, chosen: DataFrame) -> DataFrame:
+    def dealt(met: DataFrame, chosen: DataFrame, rows: int) -> DataFrame:
         """Each text beside the chosen ones of its group; large groups are dealt in parts by their counted size."""
         large = met.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TEXTS_PER_SALT).cast("int").alias("salts")).where("salts > 1")
-        large = sized(checkpointed(large))
+        large = sized(checkpointed(gathered(large, rows)))
         left = met.join(large, "band", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("salts"))).cast("int"))
         right = chosen.join(large, "band", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
         return left.select("band", "salt", "id", "n").join(right.select("band", "salt", "a", "n_a"), ["band", "salt"]).where("a < id")
@@ -202,24 +211,24 @@ def similar_to_earlier(docs: DataFrame, words: int = SHINGLE, least: float = SIM
     met = prints.select("id", "n", F.explode("bands").alias("band"))
     if proposed is not None:
         met = met.unionByName(prints.select("id", "n", F.xxhash64("key").alias("name")).join(proposed, "name").select("id", "n", "band"))
-    met = in_company(met)
+    met, rows = in_company(met, (BANDS + 1) * n_texts)
     names = prints.select("id", "key")
     wanted = met.select("id").distinct().join(names, "id")
     # the checkpoint stays dealt by key, so what asks for texts is moved and not they
-    texts = spread(_compressed(docs), "key", rows=prints.count(), each=KEPT_EACH)
+    texts = spread(_compressed(docs), "key", rows=n_texts, each=KEPT_EACH)
     texts = checkpointed(texts.join(wanted, "key").dropDuplicates(["key"]).select("key", "id", "packed"))
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     for many in FIRST:
-        chosen = checkpointed(earliest(met, many))
-        near = dealt(met, chosen)
-        pairs = checkpointed(near.where(F.least("n", "n_a") >= least * F.greatest("n", "n_a")).select("a", F.col("id").alias("b")).distinct())
-        found = checkpointed(_similar(pairs, texts.drop("id"), names, words, least))
+        chosen = gathered(checkpointed(gathered(earliest(met, many), rows)), rows)
+        near = dealt(met, chosen, rows).where(F.least("n", "n_a") >= least * F.greatest("n", "n_a"))
+        pairs = checkpointed(gathered(near.select("a", F.col("id").alias("b")).distinct(), many * rows))
+        found = _similar(pairs, texts.drop("id"), names, words, least)
         links = links.unionByName(found)
         gone = found.select(F.col("b").alias("id")).distinct()
-        met = in_company(met.join(gone, "id", "left_anti").join(chosen.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti"))
+        met, rows = in_company(gathered(met.join(gone, "id", "left_anti").join(chosen.select("band", F.col("a").alias("id")), ["band", "id"], "left_anti"), rows), rows)
     rest = checkpointed(texts.join(met.select("id").distinct().join(names, "id").select("key"), "key", "left_semi"))
     pairs = checkpointed(_prefix_pairs(rest, words, least))
-    return prints.select("id", "key", "first"), links.unionByName(checkpointed(_similar(pairs, rest.drop("id"), names, words, least)))
+    return prints.select("id", "key", "first"), links.unionByName(_similar(pairs, rest.drop("id"), names, words, least))
 
 
 def drop_similar(docs: DataFrame, words: int = SHINGLE, least: float = SIMILARITY, proposed: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from cytolith.llm import jaccard
+from cytolith.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -118,3 +119,36 @@ def test_texts_move_a_few_times_only(spark):
     before = written()
     assert sorted(x.doc_id for x in jaccard.drop_similar(df).collect()) == [3 * i for i in range(40)]
     assert 0 < written() - before < 6 * sum(len(t) for _, t in docs)
+
+
+def test_few_rows_make_few_tasks(spark):
+    """Tasks follow the rows and not the partitions of shuffles: over 40 of them, components and the stage keep to a few tasks."""
+    gateway = spark.sparkContext._gateway
+
+    def tasks():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).numCompleteTasks() for i in range(stages.size())}
+
+    def ran(before):
+        return sum(n for k, n in tasks().items() if k not in before)
+
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    were = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        before = tasks()
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+        found = {r.node: r.root for r in connected_components(edges).collect()}
+        assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+        chain = ran(before)
+        before = tasks()
+        docs = list(enumerate(planted(), 1))
+        df = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in docs], DOCS)
+        assert sorted(x.doc_id for x in jaccard.drop_similar(df).collect()) == kept_by_comparing_all(docs)
+        stage = ran(before)
+    finally:
+        for k, v in were.items():
+            spark.conf.set(k, v)
+    assert 0 < chain < 1000 and 0 < stage < 2700
