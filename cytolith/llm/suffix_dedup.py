@@ -16,8 +16,8 @@ document has bytes, so the collection is dealt out first, such that equal string
    fills a bucket. Anchors only choose where strings meet, not what is equal.
 4. In a bucket the texts are the documents of a collection whose suffix order is built
    column by column: each round inserts one symbol of every document, updating the
-   Burrows-Wheeler transform and the common prefixes of the collection, which pass from
-   round to round through files that are read and written in sequence, block by block.
+   Burrows-Wheeler transform of the collection, which passes from round to round through
+   files that are read and written in sequence, block by block.
    Runs with common prefixes of SPAN bytes or more are equal strings; their smallest
    doc_id goes back to the chunks, which remove what starts in a smaller document.
 """
@@ -38,7 +38,7 @@ SIDE = (SPAN - GRAM) // 2
 CHUNK_BYTES, STEP_BYTES, BUCKET_BYTES = 4 << 20, 1 << 17, 16 << 20
 #: Texts that are put in order together, about; whole anchors at a time. An anchor with more segments counts as common.
 GROUP = 20_000
-#: Entries of the transform and prefix files per block.
+#: Entries of the transform file per block.
 BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 ALONE, SHARED, COMMON = 0, 1, 2
@@ -174,7 +174,7 @@ class Chunk:
             row = last
         empty = np.array([], np.int64)
         self.first, self.count, self.anchor, key = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty, empty, empty, empty.astype(np.uint64))
-        self.row = np.searchsorted(offsets, self.first, side="right") - 1
+        self.row = np.repeat(np.arange(len(self.docs)), np.diff(np.searchsorted(self.first, offsets)))
         self.buckets = buckets
         bucket = (key >> np.uint64(32)) % np.uint64(buckets)
         self.names, self.name = np.unique((bucket << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF)), return_inverse=True)
@@ -293,119 +293,61 @@ def _send_texts(buckets: int, step_bytes: int):
     return work
 
 
-def _range_minima(values):
-    """A function of (lo, hi): the least of values[lo:hi] for each pair, lo < hi.
-
-    Ranges of up to two blocks are covered by two windows of a power of two; longer ones
-    by a window at either end and the blocks between, which have a table of their own.
-    """
+def _blocks(transform_file: str, block: int) -> Iterator:
+    """(start, transform) of the file, in sequence."""
     import numpy as np
 
-    block = 64
-
-    def table(x, most):
-        levels = np.full((max(1, min(most, len(x)).bit_length()), len(x)), 255, x.dtype)
-        levels[0] = x
-        for d in range(1, len(levels)):
-            step = 1 << (d - 1)
-            np.minimum(levels[d - 1, : len(x) - 2 * step + 1], levels[d - 1, step : len(x) - step + 1], out=levels[d, : len(x) - 2 * step + 1])
-        return levels
-
-    def covered(levels, lo, hi):
-        depth = np.frexp(hi - lo)[1] - 1
-        return np.minimum(levels[depth, lo], levels[depth, hi - (1 << depth)])
-
-    near = table(values, block)
-    whole = len(values) // block
-    far = table(values[: whole * block].reshape(whole, block).min(axis=1), whole) if whole else near
-
-    def least(lo, hi):
-        out = np.empty(len(lo), np.int64)
-        long = hi - lo >= 2 * block
-        short = np.flatnonzero(~long)
-        out[short] = covered(near, lo[short], hi[short])
-        long = np.flatnonzero(long)
-        if len(long):
-            a, b = lo[long], hi[long]
-            ends = np.minimum(near[-1][a], near[-1][b - block])
-            out[long] = np.minimum(ends, covered(far, -(-a // block), b // block))
-        return out
-
-    return least
-
-
-def _blocks(transform_file: str, prefix_file: str, block: int) -> Iterator:
-    """(start, transform, prefix) of the two files, in sequence."""
-    import numpy as np
-
-    with open(transform_file, "rb") as t, open(prefix_file, "rb") as p:
+    with open(transform_file, "rb") as t:
         start = 0
         while raw := t.read(block):
-            yield start, np.frombuffer(raw, np.uint8), np.frombuffer(p.read(block), np.uint8)
+            yield start, np.frombuffer(raw, np.uint8)
             start += len(raw)
 
 
-def _meet(blocks: Iterator, place, symbols):
-    """For places in order and the symbols there: (rank of the symbol, prefix shared with the one before, with the one after).
-
-    One pass over the files. Between blocks only a count, the least prefix since the last
-    occurrence, and the place that waits for the next one are kept for each symbol.
-    """
+def _ranks(blocks: Iterator, place, symbols):
+    """For places in order and the symbols there: how many equal symbols come before. One pass; between blocks only counts are kept."""
     import numpy as np
 
-    rank, own, after = (np.zeros(len(place), np.int64) for _ in range(3))
-    seen, carry, waiting = np.zeros(256, np.int64), np.full(256, 255, np.int64), np.full(256, -1, np.int64)
-    for start, transform, prefix in blocks:
-        n = len(transform)
-        lo, hi = np.searchsorted(place, (start, start + n))
-        order = np.argsort(transform, kind="stable")
+    rank, seen = np.zeros(len(place), np.int64), np.zeros(256, np.int64)
+    for start, transform in blocks:
+        lo, hi = np.searchsorted(place, (start, start + len(transform)))
         counts = np.bincount(transform, minlength=256)
-        heads = np.concatenate([[0], np.cumsum(counts)])
-        here = np.flatnonzero(counts)
-        least = _range_minima(prefix)
-        up_to = lambda ends, least=least: least(np.zeros(len(ends), np.int64), ends + 1)
-        held = waiting[here]
-        ends = held >= 0
-        after[held[ends]] = 1 + np.minimum(carry[here[ends]], up_to(order[heads[here[ends]]]))
-        waiting[here] = -1
         if hi > lo:
-            at, symbol = place[lo:hi] - start, symbols[lo:hi]
-            asked = np.zeros(n, bool)
-            asked[at] = True
-            nth = np.empty(hi - lo, np.int64)
-            nth[np.argsort(symbol, kind="stable")] = np.flatnonzero(asked[order])
-            rank[lo:hi] = seen[symbol] + nth - heads[symbol]
-            has = nth > heads[symbol]
-            found = np.zeros(hi - lo, np.int64)
-            found[has] = 1 + least(order[nth[has] - 1] + 1, at[has] + 1)
-            has = ~has & (seen[symbol] > 0)
-            found[has] = 1 + np.minimum(carry[symbol[has]], up_to(at[has]))
-            own[lo:hi] = found
-            has = nth + 1 < heads[symbol.astype(np.int64) + 1]
-            found = np.zeros(hi - lo, np.int64)
-            found[has] = 1 + least(at[has] + 1, order[nth[has] + 1] + 1)
-            after[lo:hi] = found
-            waiting[symbol[~has]] = lo + np.flatnonzero(~has)
-        carry = np.minimum(carry, prefix.min())
-        lasts = order[heads[here + 1] - 1]
-        inner = lasts + 1 < n
-        carry[here] = 255
-        carry[here[inner]] = least(lasts[inner] + 1, np.full(int(inner.sum()), n))
+            asked = np.zeros(len(transform), bool)
+            asked[place[lo:hi] - start] = True
+            by = np.argsort(symbols[lo:hi], kind="stable") + lo
+            rank[by] = (seen - np.cumsum(counts) + counts)[symbols[by]] + np.flatnonzero(asked[np.argsort(transform, kind="stable")])
         seen += counts
-    return rank, own, after
+    return rank
+
+
+def _common_prefixes(cells, owner, offset):
+    """Symbols that each suffix shares with the one before it, 255 at most; ends equal nothing."""
+    import numpy as np
+
+    rounds, m = len(cells) - 1, cells.shape[1]
+    prefix, cells = np.zeros(len(owner), np.uint8), cells.ravel()
+    at = (rounds - 1 - offset.astype(np.int64)) * m + owner
+    which, a, b = np.arange(1, len(owner)), at[:-1], at[1:]
+    for _ in range(min(rounds, 255)):
+        same = (cells[a] == cells[b]) & (cells[a] > 0)
+        which, a, b = which[same], a[same] - m, b[same] - m
+        prefix[which] += 1
+    return prefix
 
 
 def column_wise_order(texts: list[bytes], folder: str, block: int = BLOCK):
     """(document, offset, common prefix) of all suffixes of a collection, in order.
 
-    Round j inserts the suffix of j symbols of each document that is long enough. The
-    place of a suffix that a symbol precedes follows from the number of smaller symbols,
-    and of equal ones before it, in the transform; its common prefix with its neighbours
-    is one more than the least common prefix between the places of their tails. Ends of
-    documents are smaller than all symbols and differ by document. The transform and the
-    prefixes are files in ``folder``; each round reads those of the round before in
+    Every round inserts one suffix of each document, the next longer one. All documents end
+    with the last round, so shorter ones enter later, and no round passes over symbols
+    of documents that were done long before. The place of a suffix that a symbol precedes
+    follows from the number of smaller symbols, and of equal ones before it, in the
+    transform. Ends of documents are smaller than all symbols and differ by document. The
+    transform is a file in ``folder``; each round reads that of the round before in
     sequence, block by block, and writes its own. Documents and offsets are read off at
-    the end, by walking the transform from the ends.
+    the end, by walking the transform from the ends; common prefixes by comparing each
+    suffix with the one before it.
     """
     import os
 
@@ -416,55 +358,58 @@ def column_wise_order(texts: list[bytes], folder: str, block: int = BLOCK):
     rounds = int(lengths.max()) if m else 0
     if 255 in b"".join(texts):
         raise ValueError("the byte 255 is no part of a text")
-    cells = np.zeros((m, rounds + 1), np.uint8)  # symbols from the end, 0 before the start
+    cells = np.zeros((m, rounds + 1), np.uint8)  # symbols from the end, 0 before the start and until a document enters
     for i, t in enumerate(texts):
-        cells[i, : len(t)] = np.frombuffer(t, np.uint8)[::-1] + 1
+        cells[i, rounds - len(t) : rounds] = np.frombuffer(t, np.uint8)[::-1] + 1
     cells = np.ascontiguousarray(cells.T)
-    transform_file, prefix_file = f"{folder}/transform-0", f"{folder}/prefix-0"
+    transform_file = f"{folder}/transform-0"
     cells[0].tofile(transform_file)
-    np.zeros(m, np.uint8).tofile(prefix_file)
     counts = np.bincount(cells[0], minlength=256)
-    place, active, total = np.arange(m), np.arange(m), m
+    place, active, total = np.empty(0, np.int64), np.empty(0, np.int64), m
     for j in range(1, rounds + 1):
+        entering = np.flatnonzero(lengths == rounds - j + 1)  # the last symbols of these come before their ends, which are the first rows
+        if j > 1 and len(entering):
+            with open(transform_file, "r+b") as t:
+                ends = np.frombuffer(t.read(m), np.uint8).copy()
+                ends[entering] = cells[j - 1][entering]
+                t.seek(0)
+                t.write(ends.tobytes())
+            counts += np.bincount(cells[j - 1][entering], minlength=256)
+            counts[0] -= len(entering)
+        active, place = np.concatenate([entering, active]), np.concatenate([entering, place])
         symbols = cells[j - 1][active]
-        going = symbols > 0
-        active, place, symbols = active[going], place[going], symbols[going]
-        if not len(active):
-            break
-        rank, own, after = _meet(_blocks(transform_file, prefix_file, block), place, symbols)
+        rank = _ranks(_blocks(transform_file, block), place, symbols)
         starts = np.concatenate([[0], np.cumsum(counts)])
         # ends precede nothing; the m empty suffixes come first. Places are in order within a symbol
         by = np.argsort(symbols, kind="stable")
         place, active = (m + starts[symbols] - starts[1] + rank)[by], active[by]
         before = place - np.arange(len(by))  # rows of the files that come before an inserted one
-        new_symbols, new_prefixes, next_prefixes = cells[j][active], np.minimum(own[by], 255).astype(np.uint8), np.minimum(after[by], 255).astype(np.uint8)
-        last = np.concatenate([before[1:] != before[:-1], [True]])  # the row that follows this one was there already
-        grown = f"{folder}/transform-{j}", f"{folder}/prefix-{j}"
-        with open(grown[0], "wb") as t, open(grown[1], "wb") as p:
-            for start, transform, prefix in _blocks(transform_file, prefix_file, block):
+        new_symbols = cells[j][active]
+        grown = f"{folder}/transform-{j}"
+        with open(grown, "wb") as t:
+            for start, transform in _blocks(transform_file, block):
                 stop = start + len(transform)
                 lo, hi = np.searchsorted(before, (start, stop if stop < total else stop + 1))
-                prefix = prefix.copy()
-                follows = np.flatnonzero(last[lo:hi] & (before[lo:hi] < stop)) + lo
-                prefix[before[follows] - start] = next_prefixes[follows]
-                t.write(np.insert(transform, before[lo:hi] - start, new_symbols[lo:hi]).tobytes())
-                p.write(np.insert(prefix, before[lo:hi] - start, new_prefixes[lo:hi]).tobytes())
-        for name in (transform_file, prefix_file):
-            os.unlink(name)
-        transform_file, prefix_file = grown
+                rows, both = before[lo:hi] - start + np.arange(hi - lo), np.empty(len(transform) + hi - lo, np.uint8)
+                there = np.ones(len(both), bool)
+                there[rows] = False
+                both[rows], both[there] = new_symbols[lo:hi], transform
+                t.write(both)
+        os.unlink(transform_file)
+        transform_file = grown
         counts += np.bincount(new_symbols, minlength=256)
         total += len(by)
-    transform, prefix = np.fromfile(transform_file, np.uint8), np.fromfile(prefix_file, np.uint8)
+    transform = np.fromfile(transform_file, np.uint8)
     order = np.argsort(transform, kind="stable")
-    to = np.empty(len(order), np.int64)
-    to[order] = np.arange(len(order)) + m - int((transform == 0).sum())
-    owner, offset = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    to = np.empty(len(order), np.int32)
+    to[order] = np.arange(len(order), dtype=np.int32) + m - int((transform == 0).sum())
+    owner, offset = np.empty(len(order), np.int32), np.empty(len(order), np.int32)
     place, active = np.arange(m), np.arange(m)
     for j in range(rounds + 1):
         owner[place], offset[place] = active, lengths[active] - j
         going = lengths[active] > j
         active, place = active[going], to[place[going]]
-    return owner, offset, prefix
+    return owner, offset, _common_prefixes(cells, owner, offset)
 
 
 def least_documents(texts: list[bytes], docs):

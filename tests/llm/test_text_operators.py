@@ -223,6 +223,25 @@ def test_column_wise_order_of_many_texts(tmp_path):
         assert prefix[x] == next((i for i, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
 
 
+def test_column_wise_order_passes_over_no_text_that_is_done(tmp_path, monkeypatch):
+    """Shorter texts enter later, so every round passes over the symbols inserted so far and over no text that was done before."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcd ") for _ in range(n)).encode() for n in [50, 51, 54, 62, 76, 76] * 20]
+    blocks, passed = suffix_dedup._blocks, []
+
+    def counted(*args):
+        for start, transform, *rest in blocks(*args):
+            passed.append(len(transform))
+            yield start, transform, *rest
+
+    monkeypatch.setattr(suffix_dedup, "_blocks", counted)
+    owner, offset, _ = suffix_dedup.column_wise_order(texts, str(tmp_path), 1000)
+    expected = sorted((t[k:], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1))
+    assert list(zip(owner.tolist(), offset.tolist(), strict=True)) == [(i, k) for _, i, k in expected]
+    # a round reads twice: where symbols meet, and where they are inserted
+    assert 0 < sum(passed) <= 2 * sum(1 + max(0, len(t) - k) for t in texts for k in range(1, 77))
+
+
 # tokens
 
 
