@@ -2,11 +2,16 @@
 
 Edges are rows (from_id, to_id, weight), undirected; both directions of a pair and its
 repeats add up, loops count as weight within their node. All rounds work on the edges as a
-table that is checkpointed; the driver sees counts and one number per round.
+table that is checkpointed. Of a graph of at most HELD nodes the driver and the tasks hold one
+number per node and one per community as arrays, and a round is one pass over the edges; of a
+larger one they see counts and one number per round, and a round is joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +21,19 @@ from cytolith.session import kept
 PATIENCE = 6
 #: Edges of one node that meet its community in one task; nodes of more are split.
 SPLIT = 10_000
+#: Nodes whose communities are held as arrays, some 60 bytes a node on the driver; graphs of more stay tables in all rounds.
+HELD = 2_000_000
+#: Edges that a task of a held graph goes through, one node after another.
+BLOCK = 1 << 17
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     """(src, dst, w) in both directions, loops twice, one row per ordered pair; null ids and weights that are not above 0 are left out."""
     good = edges.where("from_id is not null and to_id is not null and weight > 0")
-    there = good.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), F.col("weight").cast("double").alias("w"))
-    back = there.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    return there.unionByName(back).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    # both directions of a row, not a union, which would make the edges twice
+    ends = F.array(F.struct(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), F.struct(F.col("to_id").alias("src"), F.col("from_id").alias("dst")))
+    both = good.select(F.explode(ends).alias("x"), F.col("weight").cast("double").alias("w"))
+    return both.groupBy(F.col("x.src").alias("src"), F.col("x.dst").alias("dst")).agg(F.sum("w").alias("w"))
 
 
 def _spread(edges: DataFrame, split: int) -> tuple[DataFrame, DataFrame]:
@@ -88,6 +98,166 @@ def _level(edges: DataFrame, resolution: float, seed: int, most_rounds: int, spl
     return edges, nodes, start, value
 
 
+def _blocks(edges: DataFrame, ids: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Edges by the places of their ends in ``ids``, as one row (src, dst, w: arrays) of whole nodes per task, about BLOCK edges each."""
+    block = (np.cumsum(counts) - counts) // BLOCK
+
+    def numbered(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for frame in frames:
+            src = np.searchsorted(ids, frame["src"].to_numpy())
+            yield pd.DataFrame({"block": block[src], "src": src, "dst": np.searchsorted(ids, frame["dst"].to_numpy()), "w": frame["w"].to_numpy()})
+
+    def packed(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        if some := [x for x in frames if len(x)]:
+            whole = pd.concat(some).sort_values(["src", "dst"])
+            yield pd.DataFrame({"src": [whole["src"].to_numpy()], "dst": [whole["dst"].to_numpy()], "w": [whole["w"].to_numpy()]})
+
+    placed = kept(edges.mapInPandas(numbered, "block int, src int, dst int, w double")).repartitionByRange(int(block[-1]) + 1, "block")
+    return kept(placed.select("src", "dst", "w").mapInPandas(packed, "src array<int>, dst array<int>, w array<double>"))
+
+
+def _drawn(nodes: np.ndarray, seed: int, nth: int, parts: int) -> np.ndarray:
+    """Which nodes may move in a round; ``parts`` is how many rounds would draw them all."""
+    with np.errstate(over="ignore"):
+        x = nodes.astype(np.uint64) + np.array([seed, nth // 2], np.int64).astype(np.uint64) @ np.array([0xD1342543DE82EF95, 0x9E3779B97F4A7C15], np.uint64)
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(times)
+    return (x ^ x >> np.uint64(31)) % np.uint64(parts) == nth % 2
+
+
+def _stepped(blocks: DataFrame, label: np.ndarray, size: np.ndarray, total: float, resolution: float, seed: int, nth: int, parts: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(weight within communities, nodes that move, communities they go to) in one pass over the edges.
+
+    In a task the nodes that may move go one after another where modularity gains most, if it
+    gains at all, and see those before them moved; ties go to the smaller community.
+    """
+    shared = blocks.sparkSession.sparkContext.broadcast((label, size))
+
+    def work(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        label, size = shared.value
+        owner, sizes, inside, at, to = label.tolist(), size.tolist(), 0.0, [], []
+        for frame in frames:
+            for src, dst, w in zip(frame["src"], frame["dst"], frame["w"], strict=True):
+                inside += float(w[label[src] == label[dst]].sum())
+                first = np.flatnonzero(np.diff(src, prepend=-1))
+                nodes, last, degree = src[first], np.append(first[1:], len(src)), np.add.reduceat(w, first)
+                some = _drawn(nodes, seed, nth, parts)
+                for i, a, b, d in zip(nodes[some].tolist(), first[some].tolist(), last[some].tolist(), degree[some].tolist(), strict=True):
+                    own = owner[i]
+                    towards = {own: 0.0}
+                    for j, x in zip(dst[a:b].tolist(), w[a:b].tolist(), strict=True):
+                        if j != i:
+                            c = owner[j]
+                            towards[c] = towards.get(c, 0.0) + x
+                    sizes[own] -= d
+                    pull = resolution * d / total
+                    gains = {c: x - pull * sizes[c] for c, x in towards.items()}
+                    best = max(gains.values())
+                    if best > gains[own] + 1e-12 * total:
+                        owner[i] = own = min(c for c, x in gains.items() if x >= best - 1e-15 * total)
+                        at.append(i)
+                        to.append(own)
+                    sizes[own] += d
+        yield pd.DataFrame({"at": [-1, *at], "to": [-1, *to], "inside": [inside] + [0.0] * len(at)})
+
+    found = blocks.mapInPandas(work, "at int, to int, inside double").toArrow()
+    shared.destroy()
+    at, to = found["at"].to_numpy(), found["to"].to_numpy()
+    return float(found["inside"].to_numpy().sum()), at[at >= 0], to[at >= 0]
+
+
+def _held_level(blocks: DataFrame, degree: np.ndarray, resolution: float, seed: int, most_rounds: int) -> tuple[np.ndarray, float, float]:
+    """Moves as in ``_level``, over arrays: (community of each node, modularity before, modularity after)."""
+    total = float(degree.sum())
+    n = len(degree)
+
+    def sizes(label: np.ndarray) -> np.ndarray:
+        return np.bincount(label, degree, n)
+
+    def step(label: np.ndarray, nth: int, parts: int) -> tuple[float, np.ndarray, np.ndarray]:
+        size = sizes(label)
+        inside, at, to = _stepped(blocks, label, size, total, resolution, seed, nth, parts)
+        return inside / total - resolution * float((size**2).sum()) / total**2, at, to
+
+    label = np.arange(n, dtype=np.int32)
+    parts, idle, still = 2, 0, 0
+    start, at, to = step(label, 0, parts)
+    value = start
+    for nth in range(most_rounds):
+        tried, moved = label.copy(), len(at)
+        tried[at] = to
+        still = still + 1 if parts == 2 and not moved else 0
+        if still == 2 and nth % 2:
+            break  # neither half has a move that gains
+        new, then = value, None
+        if moved:
+            # what the next round would move, should this one be accepted, comes with its value
+            new, *then = step(tried, nth + 1, max(2, parts // 2))
+        if moved and new > value + 1e-9:
+            label, value, parts, idle = tried, new, max(2, parts // 2), 0
+        else:
+            if moved or parts > 2:
+                # too many moved at once, or none of these few could: others are tried next
+                idle, parts = idle + 1, parts * 2 if moved else parts
+                if idle == PATIENCE:
+                    break
+            _, *then = step(label, nth + 1, parts)
+        at, to = then
+    return label, start, value
+
+
+def _folded(blocks: DataFrame, label: np.ndarray) -> DataFrame:
+    """Edges (src, dst, w) between communities, each task's own added up first."""
+    shared = blocks.sparkSession.sparkContext.broadcast(label)
+
+    def work(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        label = shared.value
+        for frame in frames:
+            for src, dst, w in zip(frame["src"], frame["dst"], frame["w"], strict=True):
+                yield pd.DataFrame({"src": label[src], "dst": label[dst], "w": w}).groupby(["src", "dst"], as_index=False).sum()
+
+    found = kept(blocks.mapInPandas(work, "src int, dst int, w double").groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    shared.destroy()
+    return found
+
+
+def _held(both: DataFrame, resolution: float, seed: int, most_rounds: int, most_levels: int, small: int) -> DataFrame:
+    """``communities`` of a graph of at most HELD nodes."""
+    import pyarrow as pa
+
+    spark, kind, names, member = both.sparkSession, both.schema["src"].dataType, None, None
+    for level in range(most_levels):
+        nodes = both.groupBy("src").agg(F.sum("w").alias("degree"), F.count(F.lit(1)).alias("n")).toArrow().sort_by("src")
+        ids, degree, counts = (nodes[c].to_numpy() for c in ("src", "degree", "n"))
+        if names is None:
+            names, member = ids, np.arange(len(ids), dtype=np.int32)
+        last = both.count() <= small
+        if last:
+            found = _finished(both, resolution).toArrow().sort_by("community")
+            label = np.searchsorted(ids, found["next"].to_numpy()).astype(np.int32)
+        else:
+            blocks = _blocks(both, ids, counts)
+            label, before, after = _held_level(blocks, degree, resolution, seed + 1000 * level, most_rounds)
+            last = not after > before + 1e-9
+        label = np.unique(label, return_inverse=True)[1].astype(np.int32)
+        member = label[member]
+        if last:
+            break
+        both = _folded(blocks, label)
+    # names ascend, so the first of a community is its smallest
+    _, first, which = np.unique(member, return_index=True, return_inverse=True)
+    found = spark.createDataFrame(pa.table({"id": names, "community": names[first[which]]}))
+    return kept(found.select(F.col("id").cast(kind).alias("id"), F.col("community").cast(kind).alias("community")))
+
+
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> float:
     """Modularity of (id, community); 0 without edges. Runs jobs."""
     both, nodes = _spread(_both_ways(edges), SPLIT)
@@ -143,7 +313,7 @@ def _finished(edges: DataFrame, resolution: float) -> DataFrame:
 
 
 def communities(
-    edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_rounds: int = 40, most_levels: int = 20, split: int = SPLIT, small: int = 200_000
+    edges: DataFrame, resolution: float = 1.0, seed: int = 0, most_rounds: int = 40, most_levels: int = 20, split: int = SPLIT, small: int = 200_000, held: int = HELD
 ) -> DataFrame:
     """(id, community: the smallest id in it) of every node with an edge.
 
@@ -151,12 +321,15 @@ def communities(
     the nodes, drawn anew, may move, so that neighbours seldom change places. A round that
     does not raise modularity is taken back and a smaller part is drawn; PATIENCE such
     rounds end a level. Communities then become nodes, until none joins another, or until no
-    more than ``small`` edges are left, which one task finishes node by node. Nodes with more than ``split`` edges are
-    met in slices. ``seed`` decides the halves.
+    more than ``small`` edges are left, which one task finishes node by node. ``seed`` decides the halves.
+    Of at most ``held`` nodes the communities are arrays, and the nodes of a task move one after
+    another; of more they are tables, and nodes with more than ``split`` edges are met in slices.
     """
     both = kept(_both_ways(edges))
     if both.isEmpty():
         return both.select(F.col("src").alias("id"), F.col("src").alias("community"))
+    if both.count() > small and both.select("src").distinct().count() <= held:
+        return _held(both, resolution, seed, most_rounds, most_levels, small)
     membership = None
     for level in range(most_levels):
         if both.count() <= small:

@@ -151,6 +151,37 @@ def test_communities_are_as_good_as_greedy_ones(spark, edges, options):
     assert abs(graph.modularity(df, found) - quality(a, mine)) < 1e-9
 
 
+@pytest.mark.parametrize("options", [{"small": 0}, {"small": 0, "held": 0, "split": 3, "most_rounds": 8}, {"small": 60, "resolution": 1.5}])
+def test_held_and_tabled_graphs_are_as_good_as_greedy_ones(spark, monkeypatch, options):
+    monkeypatch.setattr(graph, "BLOCK", 40)  # a few nodes to a task, and one node of more edges
+    if options.get("held") != 0:
+        monkeypatch.setattr(graph, "_moved", lambda *_: pytest.fail("a round of a held graph is one pass over its edges"))
+    edges = [(5 * a - 7, 5 * b - 7, w) for a, b, w in [*planted(5, 10, 0.7, 0.03, 4), *((0, i, 0.2) for i in range(11, 50)), (3, 3, 2.0)]]
+    df = spark.createDataFrame(edges, "from_id int, to_id int, weight double").repartition(3)
+    found = graph.communities(df, **options)
+    label = {r.id: r.community for r in found.collect()}
+    a = matrix([((x + 7) // 5, (y + 7) // 5, w) for x, y, w in edges])
+    mine = np.array([label[5 * i - 7] for i in range(50)])
+    assert sorted(label) == [5 * i - 7 for i in range(50)] and all(label[c] == c <= i for i, c in label.items())
+    assert quality(a, mine, options.get("resolution", 1.0)) >= quality(a, greedy(a), options.get("resolution", 1.0)) - (1e-9 if "resolution" not in options else 0.02)
+    assert [str(f.dataType) for f in found.schema] == ["IntegerType()"] * 2
+    again = {r.id: r.community for r in graph.communities(df.repartition(2), **options).collect()}
+    assert again == label
+
+
+def test_edges_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def work(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    df = spark.createDataFrame(ring(6, 5), "from_id long, to_id long, weight double").coalesce(1)
+    assert graph.communities(df.mapInPandas(work, df.schema)).count() == 30
+    assert made.value == df.count()
+
+
 def test_consensus_and_odd_edges(spark):
     edges = [*ring(4, 5), (7, 7, 1.0), (1, 2, 0.0), (3, 4, -1.0), (None, 5, 1.0), (50, 51, 2.0), (51, 50, 1.0), (60, 60, 1.0)]
     df = spark.createDataFrame(edges, "from_id long, to_id long, weight double")
