@@ -85,6 +85,33 @@ def test_wide_tables_are_turned(spark, monkeypatch, center):
     assert np.allclose(by_key(turned[1], "gene_no"), by_key(plain[1], "gene_no"), atol=1e-5)
 
 
+@pytest.mark.parametrize("wide", [20_000, 50])
+def test_components_of_many_blocks_make_their_values_once(spark, monkeypatch, wide):
+    monkeypatch.setattr(decomposition, "WIDE", wide)
+    monkeypatch.setattr(decomposition, "PACK", 20)  # less than most rows and some columns have
+    monkeypatch.setattr(decomposition, "SLICE", 7)
+    made = spark.sparkContext.accumulator(0)
+
+    def work(frames):
+        for frame in frames:
+            made.add(len(frame))
+            yield frame
+
+    x = low_rank(30, 60, 4, 0.3, 11) + 3
+    x[np.random.default_rng(12).random(x.shape) < 0.4] = 0
+    rows = long(spark, np.where(x == 0, np.nan, x))
+    names = rows.selectExpr("concat('c', lpad(cell_no, 2, '0')) as cell", "cast(gene_no as int) as gene", "value")
+    scores, loadings, singular = decomposition.components(names.mapInPandas(work, names.schema), 3, "cell", "gene", sweeps=300, close=1e-14)
+    assert made.value == rows.count()
+    u, s, v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+    assert np.allclose(singular, s[:3], rtol=1e-6)
+    found = by_key(loadings, "gene")
+    sign = np.sign((found * v[:3].T).sum(axis=0))
+    assert np.allclose(found, v[:3].T * sign, atol=1e-4) and (found[np.abs(found).argmax(axis=0), range(3)] > 0).all()
+    assert np.allclose(by_key(scores, "cell"), (u * s)[:, :3] * sign, atol=1e-3)
+    assert scores.dtypes == [("cell", "string"), ("scores", "array<double>")] and loadings.dtypes == [("gene", "int"), ("loadings", "array<double>")]
+
+
 def test_wide_tables_with_gaps_are_turned(spark, monkeypatch):
     x = low_rank(12, 40, 2, 0.01, 9)
     x[np.random.default_rng(10).random(x.shape) < 0.25] = np.nan
