@@ -135,3 +135,20 @@ def test_empty_tables_nulls_repeats_and_bounds(spark):
     with pytest.raises(ValueError, match="most_features"):
         decomposition.components(long(spark, np.ones((2, 9))), 1, most_features=8)
     assert spark.createDataFrame([(1, 1, 1.0)], LONG).transform(decomposition.tf_idf).first().value == pytest.approx(np.log1p(1e5) * np.log(2))
+
+
+def test_weights_leave_values_dealt_by_column_where_they_are(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([(i, i * j % 7, 1.0) for i in range(9) for j in range(5)], LONG)
+        weights = decomposition.tf_idf(rows.repartition(3, "gene_no"))
+        plan = weights._jdf.queryExecution().executedPlan().toString()
+        moves = [x for x in plan.split("Exchange hashpartitioning(")[1:] if x.startswith("gene_no") and "ENSURE_REQUIREMENTS" in x.split("\n")[0]]
+        assert not moves
+        assert {(r.cell_no, r.gene_no): round(r.value, 9) for r in weights.collect()} == {
+            (i, g): round(float(np.log1p(1e5 / len({i * j % 7 for j in range(5)})) * np.log1p(9 / sum(g in {a * j % 7 for j in range(5)} for a in range(9)))), 9)
+            for i in range(9) for g in {i * j % 7 for j in range(5)}
+        }
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
