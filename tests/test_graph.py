@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -188,3 +189,12 @@ def test_consensus_and_odd_edges(spark):
     label = {r.id: r.community for r in graph.consensus_communities(df.where("from_id is not null and weight > 0"), seeds=2).collect()}
     assert label == {i: i // 5 * 5 for i in range(20)} | {50: 50, 51: 50, 60: 60}
     assert graph.communities(df.limit(0)).count() == 0
+
+
+def test_consensus_of_held_graphs_is_one_pass_a_round(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 40)
+    monkeypatch.setattr(graph, "_moved", lambda *_: pytest.fail("a round of a held graph is one pass over its edges"))
+    monkeypatch.setattr(graph, "communities", functools.partial(graph.communities, small=0))
+    df = spark.createDataFrame(ring(6, 5), "from_id long, to_id long, weight double").repartition(3)
+    label = {r.id: r.community for r in graph.consensus_communities(df, seeds=2).collect()}
+    assert label == {i: i // 5 * 5 for i in range(30)}
